@@ -33,11 +33,12 @@ def _base64_only(c: Column) -> Column:
 
 
 def decode_base64(c: Column, pad: bool = False) -> Column:
-    """Decoded bytes, or null where the length does not fit; ``pad`` adds missing padding."""
+    """Decoded bytes; null where the length does not fit or the text is not ASCII. ``pad`` adds missing padding."""
     body = _base64_only(c)
     if pad:
         body = F.concat(body, F.repeat(F.lit("="), F.pmod(-F.length(body), F.lit(4))))
-    return F.when(F.length(body) % 4 == 0, F.try_to_binary(body, F.lit("base64")))
+    fits = (F.length(body) % 4 == 0) & (F.length(c) == F.octet_length(c))
+    return F.when(fits, F.try_to_binary(body, F.lit("base64")))
 
 
 def is_base64_image(c: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatloom.functions import images
+from chatloom.functions.columns import let
 from chatloom.functions.text import is_blank, py_text
 from chatloom.schemas import message_type, part_type
 
@@ -33,8 +34,8 @@ def no_parts(vision: bool) -> Column:
 
 def text_parts(text: Column, vision: bool = False, drop_blank: bool = True) -> Column:
     """One text part, or none where the text is empty (or blank)."""
-    missing = F.coalesce(is_blank(text) if drop_blank else text == "", F.lit(True))
-    return F.when(missing, no_parts(vision)).otherwise(F.array(text_part(text, vision)))
+    given = (lambda p: ~is_blank(p["text"])) if drop_blank else (lambda p: p["text"] != "")
+    return F.filter(F.array(text_part(text, vision)), given)
 
 
 def message(role: str, parts: Column) -> Column:
@@ -46,11 +47,6 @@ def message(role: str, parts: Column) -> Column:
     return F.get(built, F.lit(0))
 
 
-def _once(value: Column, build) -> Column:
-    """``build(value)`` with the value computed a single time."""
-    return F.transform(F.array(value), build).getItem(0)
-
-
 def _json_message(doc: Column, vision: bool) -> Column:
     content = F.try_variant_get(doc, "$.content", "variant")
 
@@ -76,7 +72,7 @@ def _json_message(doc: Column, vision: bool) -> Column:
         )
 
     has_role = F.try_variant_get(doc, "$.role", "variant").isNotNull()
-    return F.when(has_role, _once(content, build))
+    return F.when(has_role, let(content, build))
 
 
 def _listed_part(p: Column, vision: bool) -> Column:
@@ -120,7 +116,7 @@ def preformatted(c: Column, dtype: T.DataType, vision: bool = False) -> Column |
     if isinstance(dtype, T.StructType) and {"role", "content"} <= set(dtype.names):
         return _struct_message(c, dtype, vision).cast(message_type(vision))
     if isinstance(dtype, T.StringType):
-        parsed = _once(F.try_parse_json(c), lambda doc: _json_message(doc, vision))
+        parsed = let(F.try_parse_json(c), lambda doc: _json_message(doc, vision))
         return F.when(c.rlike(MESSAGE_JSON), parsed).cast(message_type(vision))
     return None
 

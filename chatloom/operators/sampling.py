@@ -1,11 +1,12 @@
 """Seeded order, exact samples and exact splits.
 
-Order is the md5 of the seed and a row's key. A sample or a split of exact size is the set of rows below a cut
-in that order; the cut is found from counts of hash prefixes, so no row is moved and the driver sees only a
-bounded table of counts. ``key`` must identify rows (several columns are allowed)."""
+The seeded order is the md5 of the seed and a row's key. A sample or a split of exact size is the set of rows
+below a cut in that order; the cut is found from counts of prefixes, so no row is moved and the driver sees only
+a bounded table of counts. ``key`` must identify rows (several columns are allowed)."""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -26,6 +27,13 @@ def order_hash(key: str | Sequence[str], seed=SEED) -> Column:
     return hash_hex(seed, *key_columns(key))
 
 
+def order_text(order: str | Sequence[str]) -> Column:
+    """Integer columns as hex text of fixed width that sorts like they do."""
+    return F.concat(
+        *[F.lpad(F.hex(c.cast("bigint").bitwiseXOR(F.lit(-(2**63)))), 16, "0") for c in key_columns(order)]
+    )
+
+
 def shuffle(df: DataFrame, key: str | Sequence[str], seed=SEED) -> DataFrame:
     return df.orderBy(order_hash(key, seed), *key_columns(key))
 
@@ -40,15 +48,15 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
 
 @dataclass(frozen=True)
 class _Prefixes:
-    """Counts of hash prefixes of one length, within one parent prefix."""
+    """Counts of order-text prefixes of one length, within one parent prefix."""
 
     counts: list[tuple[str, int]]
 
     @staticmethod
-    def of(hashes: DataFrame, parent: str) -> _Prefixes:
-        inside = hashes.filter(F.col("_h").startswith(parent)) if parent else hashes
+    def of(texts: DataFrame, parent: str) -> _Prefixes:
+        inside = texts.filter(F.col("_t").startswith(parent)) if parent else texts
         rows = (
-            inside.groupBy(F.substring("_h", 1, len(parent) + _DIGITS).alias("p"))
+            inside.groupBy(F.substring("_t", 1, len(parent) + _DIGITS).alias("p"))
             .agg(F.count(F.lit(1)).alias("n"))
             .collect()
         )
@@ -68,29 +76,26 @@ class _Prefixes:
         raise ValueError(f"rank {rank} beyond {before} rows")
 
 
-def _cut(hashes: DataFrame, top: _Prefixes, rank: int) -> str:
-    """Hash of the rank-th row (1-based)."""
-    prefix, before, size = top.holding(rank)
-    rank -= before
-    while size > _SMALL_BUCKET:
-        if len(prefix) >= 32:
-            raise ValueError(f"{size} rows share one key; pass columns that identify a row, or use with_row_id")
-        prefix, before, size = _Prefixes.of(hashes, prefix).holding(rank)
-        rank -= before
-    bucket = sorted(r["_h"] for r in hashes.filter(F.col("_h").startswith(prefix)).collect())
-    if rank < len(bucket) and bucket[rank - 1] == bucket[rank]:
-        raise ValueError("rows at the cut share one key; pass columns that identify a row, or use with_row_id")
-    return bucket[rank - 1]
+class RowOrder:
+    """An order of the rows given by a hex text of fixed width: the number of rows, and tests for being among
+    the first n. Only counts per prefix, and one small bucket of texts, reach the driver."""
 
+    def __init__(self, df: DataFrame, text: Column, start: str = ""):
+        self.text = text
+        self._texts = df.select(text.alias("_t"))
+        self._top = _Prefixes.of(self._texts, start)
+        self.rows = self._top.total
 
-class HashOrder:
-    """The seeded order of one DataFrame: its size, and tests for being among the first n rows."""
+    @classmethod
+    def seeded(cls, df: DataFrame, key: str | Sequence[str], seed=SEED) -> RowOrder:
+        return cls(df, order_hash(key, seed))
 
-    def __init__(self, df: DataFrame, key: str | Sequence[str], seed=SEED):
-        self.hash = order_hash(key, seed)
-        self._hashes = df.select(self.hash.alias("_h"))
-        self._top = _Prefixes.of(self._hashes, "")
-        self.rows = self._top.total
+    @classmethod
+    def stored(cls, df: DataFrame, order: str | Sequence[str]) -> RowOrder:
+        """The order of integer columns; the prefix all rows share is skipped."""
+        text = order_text(order)
+        ends = df.agg(F.min(text).alias("a"), F.max(text).alias("z")).first()
+        return cls(df, text, os.path.commonprefix([ends["a"] or "", ends["z"] or ""]))
 
     def first(self, n: int) -> Column:
         """True for exactly the first n rows."""
@@ -98,12 +103,26 @@ class HashOrder:
             return F.lit(False)
         if n >= self.rows:
             return F.lit(True)
-        return self.hash <= F.lit(_cut(self._hashes, self._top, n))
+        return self.text <= F.lit(self._cut(n))
+
+    def _cut(self, rank: int) -> str:
+        prefix, before, size = self._top.holding(rank)
+        rank -= before
+        while size > _SMALL_BUCKET:
+            level = _Prefixes.of(self._texts, prefix)
+            if level.counts[0][0] == prefix:
+                raise ValueError(f"{size} rows share one key; pass columns that identify a row, or use with_row_id")
+            prefix, before, size = level.holding(rank)
+            rank -= before
+        bucket = sorted(r["_t"] for r in self._texts.filter(F.col("_t").startswith(prefix)).collect())
+        if rank < len(bucket) and bucket[rank - 1] == bucket[rank]:
+            raise ValueError("rows at the cut share one key; pass columns that identify a row, or use with_row_id")
+        return bucket[rank - 1]
 
 
 def sample_exact(df: DataFrame, n: int, key: str | Sequence[str], seed=SEED) -> DataFrame:
     """n random rows, or all of them when there are no more than n."""
-    return df.filter(HashOrder(df, key, seed).first(n))
+    return df.filter(RowOrder.seeded(df, key, seed).first(n))
 
 
 def _train_size(rows: int, test_size: float) -> int:
@@ -116,12 +135,12 @@ def _labelled(df: DataFrame, train: Column) -> DataFrame:
 
 def train_test_split(df: DataFrame, test_size: float, key: str | Sequence[str], seed=SEED) -> DataFrame:
     """Adds ``split``: the first int(rows * (1 - test_size)) rows of the seeded order train, the others test."""
-    order = HashOrder(df, key, seed)
+    order = RowOrder.seeded(df, key, seed)
     return _labelled(df, order.first(_train_size(order.rows, test_size)))
 
 
 def sample_then_split(df: DataFrame, n: int, test_size: float, key: str | Sequence[str], seed=SEED) -> DataFrame:
-    order = HashOrder(df, key, seed)
+    order = RowOrder.seeded(df, key, seed)
     size = min(n, order.rows)
     return _labelled(df.filter(order.first(size)), order.first(_train_size(size, test_size)))
 
@@ -134,7 +153,7 @@ def apply_split(df: DataFrame, config: ManualSplit | NoSplit, key: str | Sequenc
     sample = config.sample_size
     if not sample and not test_size:
         return df.withColumn("split", F.lit("train"))
-    order = HashOrder(df, key, seed)
+    order = RowOrder.seeded(df, key, seed)
     sampled = bool(sample) and order.rows > sample
     size = sample if sampled else order.rows
     chosen = df.filter(order.first(sample)) if sampled else df
@@ -144,8 +163,8 @@ def apply_split(df: DataFrame, config: ManualSplit | NoSplit, key: str | Sequenc
 
 
 def head(df: DataFrame, max_samples: int | None, order: str | Sequence[str]) -> DataFrame:
-    """The first rows in stored order, which an order column must carry."""
-    return df if not max_samples else df.orderBy(*key_columns(order)).limit(max_samples)
+    """The first rows in stored order, which integer columns must carry."""
+    return df if not max_samples else df.filter(RowOrder.stored(df, order).first(max_samples))
 
 
 def sample_results(df: DataFrame, k: int, key: str | Sequence[str], seed=SEED) -> DataFrame:

@@ -253,7 +253,8 @@ ORACLES = {
         FROM conversations""",
     "drop_failed": "SELECT d.doc_id FROM documents d JOIN labels l USING (doc_id)",
     "normalize_ws": f"SELECT doc_id, {ws('text')} AS text FROM documents",
-    "base64_image_check": """WITH t AS (SELECT doc_id, text, base64(encode(text)) AS b FROM documents)
+    "base64_image_check": r"""WITH t AS (SELECT doc_id, text, base64(encode(text)) AS b FROM documents)
         SELECT doc_id, length(b) > 100 AND octet_length(encode(text)) > 100 AS encoded, true AS data_url,
-               length(text) > 100 AND coalesce(octet_length(TRY(from_base64(regexp_replace(text, '[^A-Za-z0-9+/=]', '', 'g')))) > 100, false) AS plain FROM t""",
+               length(text) > 100 AND length(text) = octet_length(encode(text)) AND coalesce(octet_length(TRY(from_base64(
+                 regexp_replace(regexp_replace(text, '[^A-Za-z0-9+/=]', '', 'g'), '=+([^=])', '\1', 'g')))) > 100, false) AS plain FROM t""",
 }
