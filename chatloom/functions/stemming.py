@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chatloom.functions.columns import let
+
 _C = "[^aeiou][^aeiouy]*"  # consonant run
 _V = "[aeiouy][aeiou]*"  # vowel run
 _M0 = f"^(?:{_C})?{_V}{_C}"  # measure above 0
@@ -22,8 +26,14 @@ _STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
 _STEP4 = "ement ment al ance ence er ic able ible ant ent ou ism ate iti ous ive ize"
 
 
+def _ends(w: Column, *suffixes: str) -> Column:
+    """Cheap test that the word is longer than a suffix it ends with; most words fail it at once."""
+    tests = [w.endswith(x) & (F.length(w) > len(x)) for x in suffixes]
+    return reduce(lambda a, b: a | b, tests)
+
+
 def _without(w: Column, suffix: str) -> Column:
-    return F.expr("''") if not suffix else F.regexp_replace(w, f"{suffix}$", "")
+    return F.substring(w, F.lit(1), F.length(w) - len(suffix))
 
 
 def _choose(w: Column, cases) -> Column:
@@ -35,31 +45,30 @@ def _choose(w: Column, cases) -> Column:
 
 
 def _step1a(w: Column) -> Column:
-    return F.when(w.rlike("(ss|i)es$"), F.regexp_replace(w, "es$", "")).when(
-        w.rlike(".[^s]s$"), F.regexp_replace(w, "s$", "")
-    ).otherwise(w)
+    plural = F.when(_ends(w, "sses", "ies"), _without(w, "es")).when(w.endswith("ss"), w).otherwise(_without(w, "s"))
+    return F.when(_ends(w, "s"), plural).otherwise(w)
 
 
-def _step1b(w: Column) -> Column:
-    stem = F.regexp_replace(w, "(ed|ing)$", "")
-    fixed = (
+def _tail_fixed(stem: Column) -> Column:
+    return (
         F.when(stem.rlike("(at|bl|iz)$"), F.concat(stem, F.lit("e")))
-        .when(stem.rlike(r"([^aeiouylsz])\1$"), F.regexp_replace(stem, ".$", ""))
+        .when(stem.rlike(r"([^aeiouylsz])\1$"), _without(stem, "x"))
         .when(stem.rlike(_SHORT), F.concat(stem, F.lit("e")))
         .otherwise(stem)
     )
-    return _choose(
-        w,
-        [
-            (w.rlike(".eed$"), F.when(_without(w, "eed").rlike(_M0), F.regexp_replace(w, "d$", "")).otherwise(w)),
-            (w.rlike(".(ed|ing)$"), F.when(stem.rlike(_HAS_VOWEL), fixed).otherwise(w)),
-        ],
-    )
+
+
+def _step1b(w: Column) -> Column:
+    cases = [(_ends(w, "eed"), F.when(_without(w, "eed").rlike(_M0), _without(w, "d")).otherwise(w))]
+    for suffix in ("ed", "ing"):
+        stem = _without(w, suffix)
+        cases.append((_ends(w, suffix), F.when(stem.rlike(_HAS_VOWEL), let(stem, _tail_fixed)).otherwise(w)))
+    return _choose(w, cases)
 
 
 def _step1c(w: Column) -> Column:
     stem = _without(w, "y")
-    return F.when(w.rlike(".y$") & stem.rlike(_HAS_VOWEL), F.concat(stem, F.lit("i"))).otherwise(w)
+    return F.when(_ends(w, "y") & stem.rlike(_HAS_VOWEL), F.concat(stem, F.lit("i"))).otherwise(w)
 
 
 def _suffixes(rules: str):
@@ -68,7 +77,7 @@ def _suffixes(rules: str):
         for rule in sorted(rules.split(), key=lambda r: -len(r.split(":")[0])):
             suffix, new = rule.split(":")
             stem = _without(w, suffix)
-            cases.append((w.rlike(f".{suffix}$"), F.when(stem.rlike(_M0), F.concat(stem, F.lit(new))).otherwise(w)))
+            cases.append((_ends(w, suffix), F.when(stem.rlike(_M0), F.concat(stem, F.lit(new))).otherwise(w)))
         return _choose(w, cases)
 
     return step
@@ -78,26 +87,29 @@ def _step4(w: Column) -> Column:
     cases = []
     for suffix in sorted(_STEP4.split(), key=len, reverse=True):
         stem = _without(w, suffix)
-        cases.append((w.rlike(f".{suffix}$"), F.when(stem.rlike(_M1), stem).otherwise(w)))
+        cases.append((_ends(w, suffix), F.when(stem.rlike(_M1), stem).otherwise(w)))
     stem = _without(w, "ion")
-    cases.append((w.rlike(".[st]ion$"), F.when(stem.rlike(_M1), stem).otherwise(w)))
+    cases.append((_ends(w, "sion", "tion"), F.when(stem.rlike(_M1), stem).otherwise(w)))
     return _choose(w, cases)
 
 
 def _step5(w: Column) -> Column:
     stem = _without(w, "e")
     drops = stem.rlike(_M1) | (stem.rlike(_EQ1) & ~stem.rlike(_SHORT))
-    return F.when(w.rlike(".e$") & drops, stem).otherwise(w)
+    return F.when(_ends(w, "e") & drops, stem).otherwise(w)
 
 
 def _step5b(w: Column) -> Column:
-    return F.when(w.rlike("ll$") & w.rlike(_M1), F.regexp_replace(w, "l$", "")).otherwise(w)
+    return F.when(_ends(w, "ll") & w.rlike(_M1), _without(w, "l")).otherwise(w)
 
 
 def porter_stems(tokens: Column) -> Column:
     """Stems of an array of lower-case words; words of one or two letters stay. A leading y is a consonant."""
-    steps = [_step1a, _step1b, _step1c, _suffixes(_STEP2), _suffixes(_STEP3), _step4, _step5, _step5b]
+
+    def apply(step, words: Column) -> Column:
+        return F.transform(words, lambda w: F.when(F.length(w) < 3, w).otherwise(step(w)))
+
     stems = F.transform(tokens, lambda w: F.regexp_replace(w, "^y", "Y"))
-    for step in steps:
-        stems = F.transform(stems, lambda w, step=step: F.when(F.length(w) < 3, w).otherwise(step(w)))
+    for step in (_step1a, _step1b, _step1c, _suffixes(_STEP2), _suffixes(_STEP3), _step4, _step5, _step5b):
+        stems = apply(step, stems)
     return F.transform(stems, lambda w: F.regexp_replace(w, "^Y", "y"))

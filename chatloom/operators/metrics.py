@@ -6,7 +6,7 @@ of texts; only scores per class group, and they combine before they move."""
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -240,15 +240,21 @@ def _summary_hits(ref_sentences, can_sentences) -> int:
     return hits
 
 
-@F.pandas_udf("int")
-def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_lcs_length(list(x), list(y)) for x, y in zip(a, b)], dtype="int32")
+def lcs_length(a: Column, b: Column) -> Column:
+    @F.pandas_udf("int")
+    def length(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_lcs_length(list(x), list(y)) for x, y in zip(a, b)], dtype="int32")
 
+    return length(a, b)
 
-@F.pandas_udf("int")
-def summary_hits(predicted: pd.Series, referenced: pd.Series) -> pd.Series:
-    rows = zip(referenced, predicted)
-    return pd.Series([_summary_hits([list(s) for s in r], [list(s) for s in p]) for r, p in rows], dtype="int32")
+
+def summary_hits(predicted: Column, referenced: Column) -> Column:
+    @F.pandas_udf("int")
+    def hits(predicted: pd.Series, referenced: pd.Series) -> pd.Series:
+        rows = zip(referenced, predicted)
+        return pd.Series([_summary_hits([list(s) for s in r], [list(s) for s in p]) for r, p in rows], dtype="int32")
+
+    return hits(predicted, referenced)
 
 
 def rouge_l(prediction: Column, reference: Column) -> Column:
@@ -335,14 +341,20 @@ def _meteor(p_words, p_stems, r_words, r_stems, known) -> float:
     return (1 - GAMMA * (chunks / len(pairs)) ** BETA) * mean
 
 
-@F.pandas_udf("double")
-def meteor_score(
-    p_words: pd.Series, p_stems: pd.Series, r_words: pd.Series, r_stems: pd.Series, known: pd.Series, synonyms: pd.Series
-) -> pd.Series:
-    rows = zip(p_words, p_stems, r_words, r_stems, known, synonyms)
-    return pd.Series(
-        [_meteor(pw, ps, rw, rs, {w: set(s) for w, s in zip(k, sy)}) for pw, ps, rw, rs, k, sy in rows], dtype="float64"
-    )
+def meteor_score(*columns: Column) -> Column:
+    """Words and stems of the prediction, the same of the reference, and the prediction's words with synonyms."""
+
+    @F.pandas_udf("double")
+    def score(
+        p_words: pd.Series, p_stems: pd.Series, r_words: pd.Series, r_stems: pd.Series, known: pd.Series, synonyms: pd.Series
+    ) -> pd.Series:
+        rows = zip(p_words, p_stems, r_words, r_stems, known, synonyms)
+        return pd.Series(
+            [_meteor(pw, ps, rw, rs, {w: set(s) for w, s in zip(k, sy)}) for pw, ps, rw, rs, k, sy in rows],
+            dtype="float64",
+        )
+
+    return score(*columns)
 
 
 def with_meteor(pairs: DataFrame, key: str = "sample_index", lexicon: DataFrame | None = None, out: str = "meteor") -> DataFrame:
@@ -383,7 +395,7 @@ def bertscore_columns(prediction: Column, reference: Column, load: Callable[[],
     live only inside the task."""
 
     @F.pandas_udf("precision double, recall double, f1 double")
-    def score(batches):
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         embed = load()
         for predicted, referenced in batches:
             rows = [

@@ -112,31 +112,36 @@ def _marker_starts(ids: Column, marker: Sequence[int]) -> Column:
     """0-based positions at which the marker starts."""
     wanted = F.array(*[F.lit(int(i)) for i in marker]).cast("array<int>")
     last = F.size(ids) - len(marker)
-    return F.when(
-        last >= 0, F.filter(F.sequence(F.lit(0), last), lambda i: F.slice(ids, i + 1, len(marker)) == wanted)
-    ).otherwise(F.array().cast("array<int>"))
+
+    def starts(i: Column) -> Column:
+        first = F.get(ids, i) == int(marker[0])
+        return first if len(marker) == 1 else first & (F.slice(ids, i + 1, len(marker)) == wanted)
+
+    return F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), starts)).otherwise(F.array().cast("array<int>"))
 
 
 def mask_non_response(ids: Column, instruction: Sequence[int], response: Sequence[int]) -> Column:
-    """Labels only inside answers: after a response marker and up to the next instruction marker."""
-    width = len(response)
-
-    def build(ids: Column) -> Column:
-        return let(
-            _marker_starts(ids, response),
-            lambda opens: let(
-                _marker_starts(ids, instruction),
-                lambda closes: F.transform(ids, lambda x, i: _label(x, i, opens, closes)),
-            ),
-        )
-
-    def _label(x: Column, i: Column, opens: Column, closes: Column) -> Column:
-        opened = F.array_max(F.filter(opens, lambda o: o + width <= i)) + width
-        closed = F.array_max(F.filter(closes, lambda c: c <= i))
-        inside = opened.isNotNull() & (closed.isNull() | (closed < opened))
-        return F.when(inside, x).otherwise(F.lit(IGNORE)).cast("int")
-
-    return let(ids.cast("array<int>"), build)
+    """Labels only inside answers: after a response marker and up to the next instruction marker. The markers
+    cut the tokens into runs, and each run is kept or masked as a whole."""
+
+    def event(at: Column, opens: bool) -> Column:
+        return F.struct(at.alias("at"), F.lit(0 if opens else 1).alias("closes"))
+
+    def labels(ids: Column) -> Column:
+        opened = F.transform(_marker_starts(ids, response), lambda i: event(i + len(response), True))
+        closed = F.transform(_marker_starts(ids, instruction), lambda i: event(i, False))
+        start = F.array(event(F.lit(0), False))
+        return let(F.sort_array(F.concat(start, opened, closed)), lambda events: _runs(ids, events))
+
+    def _runs(ids: Column, events: Column) -> Column:
+        def run(e: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(events, k + 1)["at"], F.size(ids))
+            tokens = F.slice(ids, e["at"] + 1, end - e["at"])
+            return F.when(e["closes"] == 0, tokens).otherwise(F.array_repeat(F.lit(IGNORE), end - e["at"]))
+
+        return F.flatten(F.transform(events, run))
+
+    return let(ids.cast("array<int>"), labels)
 
 
 def argmax_tokens(logits: Column) -> Column:
