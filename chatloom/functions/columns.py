@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def let(value: Column, build: Callable[[Column], Column]) -> Column:
     """``build(value)`` with the value computed once per row, also where ``build`` uses it inside a lambda."""
     return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
+def settle(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a computed column that later steps read as it is. Inputs of Python functions need this: the planner
+    would otherwise move the expression into the call, and it does not plan calls around nested lambdas."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))

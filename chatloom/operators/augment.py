@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from chatloom.config import AugmentationConfig
 from chatloom.functions import messages as M
+from chatloom.functions.columns import settle
 from chatloom.functions.rng import key_columns
 from chatloom.functions.text import clean_chars, is_blank, words
 from chatloom.operators import lexical, sampling, synthesis
@@ -84,7 +85,7 @@ def augment_messages(
         .withColumn("_text", F.when(F.col("_role").isin("user", "assistant") & (F.col("_part.type") == "text"), F.col("_part.text")))
     )
     ident = [*key_columns(keys), F.col("_pos"), F.col("_part_pos")]
-    edited = parts.withColumn("_new", _edited(F.col("_text"), ident, methods, models or {}, alphas or lexical.rates(), seed))
+    edited = _with_edits(parts, ident, methods, models or {}, alphas or lexical.rates(), seed)
     part = F.col("_part").withField("text", F.coalesce("_new", "_text", "_part.text"))
     messages = (
         edited.withColumn("_part", F.when(F.col("_part").isNotNull(), part))
@@ -106,21 +107,24 @@ def augment_messages(
         F.filter("_messages", lambda m: m["_pos"].isNotNull()),
         lambda m: F.struct(m["_role"].alias("role"), m["_content"].alias("content")),
     )
-    return whole.withColumn("messages", rebuilt.cast(dtype)).select(*df.columns)
+    return whole.withColumn("messages", rebuilt).select(*df.columns)
 
 
-def _edited(text: Column, key: list[Column], methods, models, alphas, seed) -> Column:
-    lexical_result = None
-    if EDA in methods:
-        lexical_result = lexical.eda_text(text, words(clean_chars(F.coalesce(text, F.lit("")))), F.col("known"), alphas, seed, *key)
-    chains = {m: models[m] for m in methods if m in models and m not in (EDA, SYNTHESIS)}
+def _with_edits(parts: DataFrame, key: list[Column], methods, models, alphas, seed) -> DataFrame:
+    """Adds ``_new``, the text after the first method that changes it."""
+    text = F.col("_text")
     usable = F.when(~is_blank(text), text)
+    chains = {m: models[m] for m in methods if m in models and m not in (EDA, SYNTHESIS)}
+    if EDA in methods:
+        tokens = words(clean_chars(F.coalesce(text, F.lit(""))))
+        parts = settle(parts, "_lexical", lexical.eda_text(text, tokens, F.col("known"), alphas, seed, *key))
     if chains:
-        names = [*chains, *([EDA] if lexical_result is not None else [])]
-        return try_methods(usable, lexical_result, method_order(seed, key, names), chains)
-    if lexical_result is None:
-        return text
-    return first_changed(usable, seed, key, {EDA: lexical_result})
+        names = [*chains, *([EDA] if EDA in methods else [])]
+        ready = F.col("_lexical") if EDA in methods else None
+        return parts.withColumn("_new", try_methods(usable, ready, method_order(seed, key, names), chains))
+    if EDA in methods:
+        return parts.withColumn("_new", first_changed(usable, seed, key, {EDA: F.col("_lexical")}))
+    return parts.withColumn("_new", text)
 
 
 def _with_origin(df: DataFrame, origin: str) -> DataFrame:
@@ -163,7 +167,7 @@ def augment(
             )
             dtype = df.schema["messages"].dataType
             content = _as_content(dtype)
-            new = _with_origin(new.select(F.transform("messages", content).cast(dtype).alias("messages")), "synthetic")
+            new = _with_origin(new.select(F.transform("messages", content).alias("messages")), "synthetic")
             result = result.unionByName(new, allowMissingColumns=True)
     editors = [m for m in methods if m != SYNTHESIS]
     if edited and editors:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from chatloom.functions import images
 from chatloom.functions import messages as M
+from chatloom.functions.columns import settle
 from chatloom.functions.text import strip
 from chatloom.operators.generation import Loader, ask
 from chatloom.operators.training import chat_text
@@ -76,9 +77,10 @@ def batch_generate(
     """Adds the model's stripped answer to every conversation and ``<out>_error``. The model gets the rendered
     prompts, and for vision the list of payloads as a second Series."""
     prompt = chat_text(F.col(column), df.schema[column].dataType, add_generation_prompt=True)
-    inputs = (prompt,) if images_col is None else (prompt, F.col(images_col))
-    asked = df.withColumn("_answer", ask(load, *inputs, batch_size=batch_size))
-    return asked.withColumns({out: strip(F.col("_answer.text")), f"{out}_error": F.col("_answer.error")}).drop("_answer")
+    inputs = ("_prompt",) if images_col is None else ("_prompt", images_col)
+    asked = settle(df, "_prompt", prompt).withColumn("_answer", ask(load, *map(F.col, inputs), batch_size=batch_size))
+    answered = asked.withColumns({out: strip(F.col("_answer.text")), f"{out}_error": F.col("_answer.error")})
+    return answered.drop("_answer", "_prompt")
 
 
 def unaligned(predictions: DataFrame, references: DataFrame, key: str = "sample_index") -> DataFrame:

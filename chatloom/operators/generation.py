@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatloom.functions.columns import settle
 from chatloom.functions.rng import hash_hex
 from chatloom.functions.text import is_blank, strip
 
@@ -74,28 +75,34 @@ def ask(load: Loader, *inputs: Column, batch_size: int = 32, retries: int = 2) -
 
 def generate(df: DataFrame, prompt_col: str, load: Loader, *, out: str = "generated", batch_size: int = 32, retries: int = 2) -> DataFrame:
     """Adds the generated text and ``<out>_error``; an empty answer is kept as empty text."""
-    asked = df.withColumn("_answer", ask(load, F.col(prompt_col), batch_size=batch_size, retries=retries))
-    return asked.withColumns({out: F.col("_answer.text"), f"{out}_error": F.col("_answer.error")}).drop("_answer")
+    asked = settle(df, "_asked", F.col(prompt_col)).withColumn(
+        "_answer", ask(load, F.col("_asked"), batch_size=batch_size, retries=retries)
+    )
+    answered = asked.withColumns({out: F.col("_answer.text"), f"{out}_error": F.col("_answer.error")})
+    return answered.drop("_answer", "_asked")
 
 
 def back_translate(df: DataFrame, column: str, forward: Loader, backward: Loader, *, out: str = "augmented", batch_size: int = 32) -> DataFrame:
     """To another language and back. An empty result gives the stripped original, a failure the original."""
-    there = df.withColumn("_there", ask(forward, _non_blank(column), batch_size=batch_size, retries=0))
+    there = settle(df, "_asked", _non_blank(column)).withColumn(
+        "_there", ask(forward, F.col("_asked"), batch_size=batch_size, retries=0)
+    )
     back = there.withColumn("_back", ask(backward, F.col("_there.text"), batch_size=batch_size, retries=0))
-    return _settled(back, column, out, F.coalesce(F.col("_there.error"), F.col("_back.error"))).drop("_there")
+    return _with_fallback(back, column, out, F.coalesce(F.col("_there.error"), F.col("_back.error"))).drop("_there", "_asked")
 
 
 def paraphrase(df: DataFrame, column: str, load: Loader, *, out: str = "augmented", batch_size: int = 32) -> DataFrame:
     """The model is asked ``paraphrase: <text>``; an empty result gives the stripped original, a failure the original."""
-    asked = F.concat(F.lit("paraphrase: "), _non_blank(column))
-    return _settled(df.withColumn("_back", ask(load, asked, batch_size=batch_size, retries=0)), column, out, F.col("_back.error"))
+    asked = settle(df, "_asked", F.concat(F.lit("paraphrase: "), _non_blank(column)))
+    back = asked.withColumn("_back", ask(load, F.col("_asked"), batch_size=batch_size, retries=0))
+    return _with_fallback(back, column, out, F.col("_back.error")).drop("_asked")
 
 
 def _non_blank(column: str) -> Column:
     return F.when(~is_blank(F.col(column)), F.col(column))
 
 
-def _settled(df: DataFrame, column: str, out: str, error: Column) -> DataFrame:
+def _with_fallback(df: DataFrame, column: str, out: str, error: Column) -> DataFrame:
     result = strip(F.col("_back.text"))
     text = (
         F.when(F.coalesce(is_blank(F.col(column)), F.lit(True)) | error.isNotNull(), F.col(column))

@@ -59,28 +59,19 @@ def chat_text(messages: Column, dtype: T.DataType, add_generation_prompt: bool =
     """The conversation as one text of marked turns. A leading system message becomes the start of the first
     turn; assistant turns are named model."""
     legacy = M.is_legacy(dtype)
-
-    def render(ms: Column) -> Column:
-        has_system = F.coalesce(F.get(ms, F.lit(0))["role"] == "system", F.lit(False))
-        prefix = F.when(
-            has_system, F.concat(F.coalesce(_first_text(F.get(ms, F.lit(0)), legacy), F.lit("")), F.lit("\n\n"))
-        ).otherwise(F.lit(""))
-        turns = F.when(has_system, F.slice(ms, F.lit(2), F.greatest(F.size(ms), F.lit(1)))).otherwise(ms)
-
-        def turn(m: Column, i: Column) -> Column:
-            role = F.when(m["role"] == "assistant", F.lit("model")).otherwise(m["role"])
-            return F.concat(
-                F.lit(TURN_START),
-                role,
-                F.lit("\n"),
-                F.when(i == 0, prefix).otherwise(F.lit("")),
-                _content_text(m, legacy),
-                F.lit(TURN_END + "\n"),
-            )
-
-        return F.array_join(F.transform(turns, turn), "")
-
-    text = let(messages, render)
+    first = F.get(messages, F.lit(0))
+    has_system = F.coalesce(first["role"] == "system", F.lit(False))
+    prefix = F.when(has_system, F.concat(F.coalesce(_first_text(first, legacy), F.lit("")), F.lit("\n\n"))).otherwise(F.lit(""))
+    turns = F.when(has_system, F.slice(messages, F.lit(2), F.greatest(F.size(messages), F.lit(1)))).otherwise(messages)
+
+    def turn(m: Column, i: Column) -> Column:
+        role = F.when(m["role"] == "assistant", F.lit("model")).otherwise(m["role"])
+        lead = F.when(i == 0, prefix).otherwise(F.lit(""))
+        return F.concat(
+            F.lit(TURN_START), role, F.lit("\n"), lead, _content_text(m, legacy), F.lit(TURN_END + "\n")
+        )
+
+    text = F.array_join(F.transform(turns, turn), "")
     return F.concat(
         F.lit(BOS if bos else ""), text, F.lit(f"{TURN_START}model\n" if add_generation_prompt else "")
     )

@@ -3,25 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark) -> None:
-    """The cluster names its shared folder in ``spark.checkpoint.dir``; only a local session may fall back to
-    a folder of this machine."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``. Only a local session may fall back to a folder
+    of this machine."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-        return
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="chatloom-"))
+    if not sc.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="chatloom-"))
+    return sc.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
