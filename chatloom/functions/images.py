@@ -29,7 +29,7 @@ def mime_subtype(payload: Column) -> Column:
 
 def _base64_only(c: Column) -> Column:
     """Signs outside the alphabet, and padding that is not at the end, are skipped."""
-    return F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9+/=]", ""), "=+(?=[^=])", "")
+    return F.regexp_replace(F.regexp_replace(c, r"[^\p{Alnum}+/=]", ""), "=+(?=[^=])", "")
 
 
 def decode_base64(c: Column, pad: bool = False) -> Column:

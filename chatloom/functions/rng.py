@@ -28,6 +28,14 @@ def uniform(seed, *parts) -> Column:
     return u32(seed, *parts) / F.lit(float(2**32))
 
 
+def above(p: float, seed, *parts) -> Column:
+    """``uniform(seed, …) > p``, decided on the digits."""
+    limit = int(p * 2**32)
+    if limit >= 2**32:
+        return F.lit(False)
+    return F.substring(hash_hex(seed, *parts), 1, 8) > F.lit(f"{limit:08x}")
+
+
 def index_below(n, seed, *parts) -> Column:
     """Uniform integer in [0, n)."""
     return F.pmod(u32(seed, *parts), n if isinstance(n, Column) else F.lit(n)).cast("int")

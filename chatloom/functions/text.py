@@ -86,7 +86,7 @@ def tokens_13a(c: Column) -> Column:
     for entity, sign in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         t = F.replace(t, F.lit(entity), F.lit(sign))
     t = F.concat(F.lit(" "), t, F.lit(" "))
-    t = F.regexp_replace(t, r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 ")
+    t = F.regexp_replace(t, r"([ \p{Punct}&&[^',.\-]])", " $1 ")
     t = F.regexp_replace(t, r"([^0-9])([\.,])", "$1 $2 ")
     t = F.regexp_replace(t, r"([\.,])([^0-9])", " $1 $2")
     t = F.regexp_replace(t, r"([0-9])(-)", "$1 $2 ")

@@ -116,8 +116,9 @@ def _with_edits(parts: DataFrame, key: list[Column], methods, models, alphas, se
     usable = F.when(~is_blank(text), text)
     chains = {m: models[m] for m in methods if m in models and m not in (EDA, SYNTHESIS)}
     if EDA in methods:
-        tokens = words(clean_chars(F.coalesce(text, F.lit(""))))
-        parts = settle(parts, "_lexical", lexical.eda_text(text, tokens, F.col("known"), alphas, seed, *key))
+        planned = lexical.with_plan(parts, alphas, seed, *key)
+        planned = settle(planned, "_words", words(clean_chars(F.coalesce(text, F.lit("")))))
+        parts = settle(planned, "_lexical", lexical.eda_text(text, F.col("_words"), F.col("known"), alphas, seed, *key))
     if chains:
         names = [*chains, *([EDA] if EDA in methods else [])]
         ready = F.col("_lexical") if EDA in methods else None

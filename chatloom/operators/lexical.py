@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.functions.columns import let
-from chatloom.functions.rng import hash_hex, index_below, key_columns, uniform
+from chatloom.functions.columns import let, settle
+from chatloom.functions.rng import above, hash_hex, index_below, key_columns, uniform
 from chatloom.functions.text import clean_chars, is_blank, words
 
 # Words never replaced by a synonym, next to the empty word.
@@ -101,7 +101,7 @@ def synonym_replace(words_col: Column, known: Column, n: Column, seed, *key) ->
 def random_delete(words_col: Column, p: float, seed, *key) -> Column:
     """Each word stays when its draw is above p; a single word stays, and of a text that would vanish one
     random word remains."""
-    kept = F.filter(words_col, lambda w, i: uniform(seed, "delete", *key, i) > F.lit(float(p)))
+    kept = F.filter(words_col, lambda w, i: above(p, seed, "delete", *key, i))
     last = F.array(
         F.get(words_col, index_below(F.greatest(F.size(words_col), F.lit(1)), seed, "keep", *key))
     )
@@ -252,13 +252,18 @@ def eda_explode(
     )
 
 
-def eda_text(text: Column, words_col: Column, known: Column, alphas: dict[str, float], seed, *key) -> Column:
-    """One augmented version of a text; texts without a letter stay as they are."""
+def with_plan(df: DataFrame, alphas: dict[str, float], seed, *key) -> DataFrame:
+    """Adds ``_plan``, the one operation a text gets. It is settled first, because the edits read it per word."""
     plan = F.get(chosen_operations(1, alphas, seed, *key), F.lit(0))
-    changed = apply_operation(
-        F.coalesce(plan["op"], F.lit("none")), F.coalesce(plan["rep"], F.lit(0)), words_col, known, alphas, seed, *key
-    )
-    return F.when((F.size(words_col) == 0) | plan.isNull(), text).otherwise(changed)
+    none = F.struct(F.lit("none").alias("op"), F.lit(0).alias("rep"))
+    return settle(df, "_plan", F.coalesce(plan, none))
+
+
+def eda_text(text: Column, words_col: Column, known: Column, alphas: dict[str, float], seed, *key) -> Column:
+    """The text after the operation in ``_plan``; texts without a letter, or without a plan, stay as they are."""
+    plan = F.col("_plan")
+    changed = apply_operation(plan["op"], plan["rep"], words_col, known, alphas, seed, *key)
+    return F.when((F.size(words_col) == 0) | (plan["op"] == "none"), text).otherwise(changed)
 
 
 def eda_one(
@@ -271,7 +276,8 @@ def eda_one(
     out: str = "augmented",
 ) -> DataFrame:
     """Adds one augmented version of every text."""
+    keys, alphas = key_columns(key), alphas or rates()
     base = df.withColumn("_words", words(clean_chars(F.coalesce(F.col(column), F.lit("")))))
-    known = with_synonyms(base, key, "_words", lexicon)
-    changed = eda_text(F.col(column), F.col("_words"), F.col("known"), alphas or rates(), seed, *key_columns(key))
-    return known.withColumn(out, changed).drop("_words", "known")
+    known = with_plan(with_synonyms(base, key, "_words", lexicon), alphas, seed, *keys)
+    changed = eda_text(F.col(column), F.col("_words"), F.col("known"), alphas, seed, *keys)
+    return known.withColumn(out, changed).drop("_words", "known", "_plan")

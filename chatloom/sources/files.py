@@ -48,6 +48,12 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
     return df if columns is None else df.select(*columns)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a scan of fewer pieces than there are cores out to all of them; larger scans are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """One row per line, in the column ``text``."""
     return spark.read.text(path).withColumnRenamed("value", "text")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from chatloom.functions import images
 from chatloom.operators import convert, sampling
-from workload.tables import flat_messages, table
+from chatloom.sources.files import spread
+from workload.tables import documents, flat_messages, table
 
 TEMPLATE = "Summarise the following {lang} text: {text}"
 
@@ -58,7 +59,7 @@ def fewshot_samples(spark, sf):
 
 
 def chat_lm(spark, sf):
-    docs = _docs(spark, sf)
+    docs = documents(spark, sf)
     mappings = {
         "user_field": {"type": "template", "value": TEMPLATE},
         "assistant_field": {"type": "column", "value": "text"},
@@ -67,7 +68,7 @@ def chat_lm(spark, sf):
 
 
 def chat_lm_system(spark, sf):
-    docs = _docs(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left")
+    docs = documents(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left")
     mappings = {
         "system_field": {"type": "template", "value": "Source  {source}, quality {quality:>4}|{{raw}}"},
         "user_field": {"type": "column", "value": "text"},
@@ -77,7 +78,7 @@ def chat_lm_system(spark, sf):
 
 
 def chat_list_user(spark, sf):
-    events = table(spark, sf, "events")
+    events = spread(table(spark, sf, "events"))
     mappings = {
         "user_field": [
             {"type": "template", "value": "User {user_id} did {event_type} at {ts}: {value}"},
@@ -159,11 +160,11 @@ def drop_failed(spark, sf):
 def normalize_ws(spark, sf):
     from chatloom.functions.text import normalize_ws as tidy
 
-    return _docs(spark, sf).select("doc_id", tidy(F.col("text")).alias("text"))
+    return documents(spark, sf, "doc_id", "text").select("doc_id", tidy(F.col("text")).alias("text"))
 
 
 def base64_image_check(spark, sf):
-    docs = _docs(spark, sf).select("doc_id", "text", F.base64(F.encode("text", "utf-8")).alias("b64"))
+    docs = documents(spark, sf, "doc_id", "text").select("doc_id", "text", F.base64(F.encode("text", "utf-8")).alias("b64"))
     return docs.select(
         "doc_id",
         images.is_base64_image(F.col("b64")).alias("encoded"),

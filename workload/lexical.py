@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from chatloom.functions.text import clean_chars, words
 from chatloom.operators import lexical
-from workload.tables import table
+from workload.tables import documents, table
+from workload.tables import turns as all_turns
 
 SEED = 42
 STOP_SQL = ", ".join(f"'{w}'" for w in lexical.STOP_WORDS)
@@ -35,25 +36,25 @@ def synonyms(spark, sf):
 
 
 def clean(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf, "doc_id", "text")
     return lexical.clean_column(docs, "text").select("doc_id", "clean")
 
 
 def _turn_words(spark, sf):
-    turns = table(spark, sf, "conversations")
+    turns = all_turns(spark, sf)
     return turns.select(
         F.concat_ws("-", "conv_id", "turn").alias("turn_key"), words(clean_chars(F.col("text"))).alias("words")
     )
 
 
 def random_delete(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", words(clean_chars(F.col("text"))).alias("words"))
+    docs = documents(spark, sf, "doc_id", "text").select("doc_id", words(clean_chars(F.col("text"))).alias("words"))
     kept = lexical.random_delete(F.col("words"), 0.1, SEED, F.col("doc_id"))
     return docs.select("doc_id", F.array_join(kept, " ").alias("text"))
 
 
 def synonym_replace(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", words(clean_chars(F.col("text"))).alias("words"))
+    docs = documents(spark, sf, "doc_id", "text").select("doc_id", words(clean_chars(F.col("text"))).alias("words"))
     known = lexical.with_synonyms(docs, "doc_id", "words", lexicon(spark, sf))
     n = lexical.edits(F.size("words"), 0.1)
     new = lexical.synonym_replace(F.col("words"), F.col("known"), n, SEED, F.col("doc_id"))
@@ -77,7 +78,7 @@ def random_insert(spark, sf):
 
 def eda_candidates(spark, sf):
     """Nine augmented versions of every turn."""
-    turns = table(spark, sf, "conversations")
+    turns = all_turns(spark, sf)
     return lexical.eda_explode(turns, "text", ["conv_id", "turn"], lexicon(spark, sf)).select(
         "conv_id", "turn", "candidate", "op", "augmented"
     )
@@ -85,7 +86,7 @@ def eda_candidates(spark, sf):
 
 def eda_counts(spark, sf):
     """How many versions each operation gave."""
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf, "doc_id", "text")
     return (
         lexical.eda_explode(docs, "text", "doc_id", lexicon(spark, sf), num_aug=3)
         .groupBy("op")
@@ -94,7 +95,7 @@ def eda_counts(spark, sf):
 
 
 def eda_one(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf, "doc_id", "text")
     return lexical.eda_one(docs, "text", "doc_id", lexicon(spark, sf)).select("doc_id", "augmented")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.functions.messages import text_part
+from chatloom.sources.files import spread
 
 CHUNK = 64  # messages per row; longer conversations go on in the next row
 
@@ -14,11 +15,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The documents for work that is heavy per text."""
+    return spread(table(spark, sf, "documents").select(*(columns or ("*",))))
+
+
+def turns(spark: SparkSession, sf: str) -> DataFrame:
+    """The conversation turns for work that is heavy per text."""
+    return spread(table(spark, sf, "conversations"))
+
+
 def conversation_rows(spark: SparkSession, sf: str) -> DataFrame:
     """conv_id, chunk, messages. A row holds at most CHUNK messages, so no group grows with the data."""
-    turns = table(spark, sf, "conversations")
     return (
-        turns.groupBy("conv_id", F.floor(F.col("turn") / CHUNK).alias("chunk"))
+        table(spark, sf, "conversations")
+        .groupBy("conv_id", F.floor(F.col("turn") / CHUNK).alias("chunk"))
         .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
         .select(
             "conv_id",
@@ -33,9 +44,8 @@ def conversation_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def turn_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Every user turn (prediction) with the assistant turn right after it (reference)."""
-    turns = table(spark, sf, "conversations")
-    user = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("prediction"))
-    reply = turns.filter("role = 'assistant'").select(
+    user = turns(spark, sf).filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("prediction"))
+    reply = table(spark, sf, "conversations").filter("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reference")
     )
     return user.join(reply, ["conv_id", "turn"]).select(

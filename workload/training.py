@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chatloom.functions.rng import hash_hex
 from chatloom.operators import training
-from workload.tables import CHUNK, conversation_rows, table
+from workload.tables import CHUNK, conversation_rows, documents, table
 
 
 def _ids(text):
@@ -17,7 +17,7 @@ def _ids(text):
 
 
 def _tokens(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "n_chars", _ids(F.col("text")).alias("ids"))
+    return documents(spark, sf, "doc_id", "n_chars", "text").select("doc_id", "n_chars", _ids(F.col("text")).alias("ids"))
 
 
 def _flat(df, column, *ids):
