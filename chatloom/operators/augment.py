@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from chatloom.config import AugmentationConfig
 from chatloom.functions import messages as M
-from chatloom.functions.columns import settle
+from chatloom.functions.columns import let, settle
 from chatloom.functions.rng import key_columns
 from chatloom.functions.text import clean_chars, is_blank, words
 from chatloom.operators import lexical, sampling, synthesis
@@ -56,8 +56,8 @@ def augment_messages(
     alphas: dict[str, float] | None = None,
     seed=sampling.SEED,
 ) -> DataFrame:
-    """Edits the text parts of user and assistant messages; everything else stays. Rows are placed by ``key``
-    once, and taking a conversation apart and putting it together again stays inside that placement."""
+    """Edits the text parts of user and assistant messages; everything else stays. A conversation is taken apart
+    into parts, and its parts meet again by key."""
     keys = [key] if isinstance(key, str) else list(key)
     dtype = df.schema["messages"].dataType
     if M.is_legacy(dtype):
@@ -76,7 +76,7 @@ def augment_messages(
     if use_eda:
         placed = lexical.with_synonyms(df.withColumn("_words", own_words), keys, "_words", lexicon).drop("_words")
     else:
-        placed = df.repartition(*keys).withColumn(
+        placed = df.withColumn(
             "known", F.array().cast("array<struct<word:string,synonyms:array<string>>>")
         )
     parts = (
@@ -86,28 +86,31 @@ def augment_messages(
     )
     ident = [*key_columns(keys), F.col("_pos"), F.col("_part_pos")]
     edited = _with_edits(parts, ident, methods, models or {}, alphas or lexical.rates(), seed)
-    part = F.col("_part").withField("text", F.coalesce("_new", "_text", "_part.text"))
-    messages = (
-        edited.withColumn("_part", F.when(F.col("_part").isNotNull(), part))
-        .groupBy(*keys, "_pos")
-        .agg(
-            *[F.first(c).alias(c) for c in others],
-            F.first("_role").alias("_role"),
-            F.sort_array(F.collect_list(F.struct("_part_pos", "_part"))).alias("_content"),
-        )
-        .withColumn(
-            "_content", F.transform(F.filter("_content", lambda c: c["_part_pos"].isNotNull()), lambda c: c["_part"])
-        )
-    )
-    whole = messages.groupBy(*keys).agg(
+    part = F.when(F.col("_part").isNotNull(), F.col("_part").withField("text", F.coalesce("_new", "_text", "_part.text")))
+    whole = edited.groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in others],
-        F.sort_array(F.collect_list(F.struct("_pos", "_role", "_content"))).alias("_messages"),
+        F.sort_array(F.collect_list(F.struct("_pos", "_part_pos", "_role", part.alias("_part")))).alias("_parts"),
     )
-    rebuilt = F.transform(
-        F.filter("_messages", lambda m: m["_pos"].isNotNull()),
-        lambda m: F.struct(m["_role"].alias("role"), m["_content"].alias("content")),
+    return settle(whole, "messages", _joined_parts(F.col("_parts"))).select(*df.columns)
+
+
+def _joined_parts(parts: Column) -> Column:
+    """Ordered parts back to messages: each run of one position is a message."""
+    starts = F.filter(
+        F.sequence(F.lit(0), F.size(parts) - 1),
+        lambda i: F.get(parts, i)["_pos"].isNotNull()
+        & ((i == 0) | (F.get(parts, i)["_pos"] != F.get(parts, i - 1)["_pos"])),
+    )
+
+    def message(at: Column, until: Column) -> Column:
+        own = F.filter(F.slice(parts, at + 1, until - at), lambda p: p["_part_pos"].isNotNull())
+        return F.struct(
+            F.get(parts, at)["_role"].alias("role"), F.transform(own, lambda p: p["_part"]).alias("content")
+        )
+
+    return let(
+        starts, lambda st: F.transform(st, lambda at, k: message(at, F.coalesce(F.get(st, k + 1), F.size(parts))))
     )
-    return whole.withColumn("messages", rebuilt).select(*df.columns)
 
 
 def _with_edits(parts: DataFrame, key: list[Column], methods, models, alphas, seed) -> DataFrame:

@@ -53,21 +53,19 @@ def _lexicon_side(lexicon: DataFrame) -> DataFrame:
     return F.broadcast(lexicon) if small else lexicon
 
 
-def with_synonyms(df: DataFrame, key: str | Sequence[str], words_col: str, lexicon: DataFrame, only: Column | None = None) -> DataFrame:
-    """Adds ``known``: the text's own words found in the lexicon, with their synonyms. Rows are placed by key
-    once; exploding, regrouping and joining back all stay inside that placement. Each text sends a word once,
-    so a word that every text holds costs one row per text."""
+def with_synonyms(df: DataFrame, key: str | Sequence[str], words_col: str, lexicon: DataFrame) -> DataFrame:
+    """Adds ``known``: the text's own words found in the lexicon, with their synonyms. Texts stay where they are
+    until the join back: each sends its distinct words through the lexicon, and they come together again before
+    they move, so a word that every text holds costs one row per text and skews nothing."""
     keys = [key] if isinstance(key, str) else list(key)
-    placed = df.repartition(*keys)
-    candidates = placed if only is None else placed.filter(only)
     found = (
-        candidates.select(*keys, F.explode(F.array_distinct(words_col)).alias("word"))
+        df.select(*keys, F.explode(F.array_distinct(words_col)).alias("word"))
         .join(_lexicon_side(lexicon), "word")
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct("word", "synonyms"))).alias("known"))
     )
     empty = F.array().cast("array<struct<word:string,synonyms:array<string>>>")
-    return placed.join(found, keys, "left").withColumn("known", F.coalesce("known", empty))
+    return df.join(found, keys, "left").withColumn("known", F.coalesce("known", empty))
 
 
 def edits(n_words: Column, alpha: float) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chatloom.functions.text import clean_chars, words
 from chatloom.operators import lexical
+from chatloom.plans.materialize import materialize
 from workload.tables import documents, table
 from workload.tables import turns as all_turns
 
@@ -28,11 +29,12 @@ def _raw_lexicon(spark, sf):
 
 
 def lexicon(spark, sf):
-    return lexical.normalize_lexicon(_raw_lexicon(spark, sf))
+    """The lexicon as a stored table, as users have it."""
+    return materialize(lexical.normalize_lexicon(_raw_lexicon(spark, sf)))
 
 
 def synonyms(spark, sf):
-    return lexicon(spark, sf).select("word", F.explode("synonyms").alias("synonym"))
+    return lexical.normalize_lexicon(_raw_lexicon(spark, sf)).select("word", F.explode("synonyms").alias("synonym"))
 
 
 def clean(spark, sf):
