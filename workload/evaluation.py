@@ -53,11 +53,11 @@ def unaligned(spark, sf):
 
 
 def _first_words(texts: pd.Series) -> pd.Series:
-    return texts.str.split().map(lambda w: " ".join(w[:5])).str.upper()
+    return texts.str.split().map(lambda w: " ".join(w[:5])).str.lower()
 
 
 def batch_generate(spark, sf):
-    """A stand-in model that answers with the first five words of the prompt in capitals."""
+    """A stand-in model that answers with the first five words of the prompt in small letters."""
     done = evaluation.batch_generate(_prepared(spark, sf), lambda: _first_words)
     return done.select("conv_id", "chunk", "prediction", "prediction_error")
 
@@ -306,6 +306,14 @@ ORACLES = {
         re AS (SELECT sample_index, avg(m) AS r FROM (SELECT sample_index, j, max(s) AS m FROM sim GROUP BY ALL) GROUP BY 1)
         SELECT sample_index, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1
         FROM pr JOIN re USING (sample_index)""",
+    "batch_generate": rf"""WITH {_CHUNKS},
+        s AS (SELECT conv_id, chunk, any_value(text) AS system FROM asked WHERE in_pos = 0 AND role = 'system' GROUP BY 1, 2),
+        p AS (SELECT conv_id, chunk, string_agg('<start_of_turn>' || role || chr(10) ||
+                CASE WHEN in_pos = (system IS NOT NULL)::INTEGER THEN coalesce(system || chr(10) || chr(10), '') ELSE '' END ||
+                trim(text, ' ' || chr(9) || chr(10) || chr(13)) || '<end_of_turn>' || chr(10), '' ORDER BY in_pos) || '<start_of_turn>model' || chr(10) AS prompt
+              FROM asked LEFT JOIN s USING (conv_id, chunk) WHERE in_pos > 0 OR role <> 'system' GROUP BY 1, 2)
+        SELECT conv_id, chunk, lower(array_to_string(list_slice(list_filter(regexp_split_to_array(prompt, '\s+'), lambda w: w <> ''), 1, 5), ' ')) AS prediction,
+               NULL::VARCHAR AS prediction_error FROM p""",
     "evaluate_classification": f"""WITH {_QUALITY},
         s AS (SELECT count(*) FILTER (p = 1 AND r = 1)::DOUBLE AS tp, count(*) FILTER (p = 1) AS pp, count(*) FILTER (r = 1) AS rr,
                      avg((p = r)::INTEGER) AS acc FROM q)

@@ -97,6 +97,13 @@ def eda_counts(spark, sf):
 
 
 def eda_one(spark, sf):
+    turns = all_turns(spark, sf)
+    done = lexical.eda_one(turns, "text", ["conv_id", "turn"], lexicon(spark, sf))
+    return done.select("conv_id", "turn", "augmented")
+
+
+def eda_documents(spark, sf):
+    """One augmented version of every document, whatever its length."""
     docs = documents(spark, sf, "doc_id", "text")
     return lexical.eda_one(docs, "text", "doc_id", lexicon(spark, sf)).select("doc_id", "augmented")
 
@@ -111,6 +118,7 @@ QUERIES = {
     "eda_candidates": eda_candidates,
     "eda_counts": eda_counts,
     "eda_one": eda_one,
+    "eda_documents": eda_documents,
 }
 
 
@@ -137,51 +145,87 @@ turns AS (SELECT conv_id || '-' || turn AS turn_key, {_words('text')} AS words F
 
 _EDITS = "greatest(1, floor(len(words) * 0.1::DOUBLE))::INTEGER"
 
+# Recursive members over a table (turn_key, words): one step per swap or insertion.
+_SWAPS = f"""
+sw AS (SELECT turn_key, words, 0 AS step, {_EDITS} AS n FROM {{source}}
+  UNION ALL
+  SELECT turn_key, CASE WHEN j IS NULL THEN words ELSE list_transform(words, lambda w, p:
+           CASE WHEN p = i + 1 THEN words[j + 1] WHEN p = j + 1 THEN words[i + 1] ELSE w END) END, step + 1, n
+  FROM (SELECT *, list_filter([{_u32("'42:with:' || turn_key || ':' || step || ':0'")} % len(words),
+            {_u32("'42:with:' || turn_key || ':' || step || ':1'")} % len(words),
+            {_u32("'42:with:' || turn_key || ':' || step || ':2'")} % len(words)], lambda d: d <> i)[1] AS j
+        FROM (SELECT *, {_u32("'42:swap:' || turn_key || ':' || step")} % len(words) AS i
+              FROM sw WHERE step < n AND len(words) > 0)))"""
+
+_INSERTS = f"""
+own AS (SELECT turn_key, list(word) AS known, list(synonyms[1]) AS firsts
+        FROM (SELECT DISTINCT turn_key, unnest(words) AS word FROM {{source}}) JOIN lex USING (word) GROUP BY turn_key),
+ins AS (SELECT turn_key, words, 0 AS step, {_EDITS} AS n, coalesce(known, []) AS known, coalesce(firsts, []) AS firsts
+      FROM {{source}} LEFT JOIN own USING (turn_key)
+  UNION ALL
+  SELECT turn_key, CASE WHEN hit IS NULL THEN words ELSE
+           list_concat(list_concat(list_slice(words, 1, at_pos), [firsts[list_position(known, hit)]]), list_slice(words, at_pos + 1, len(words))) END,
+         step + 1, n, known, firsts
+  FROM (SELECT *, {_u32("'42:at:' || turn_key || ':' || step")} % len(words) AS at_pos,
+          list_filter(list_transform(range(10), lambda t: words[{_u32("'42:insert:' || turn_key || ':' || step || ':' || t")} % len(words) + 1]),
+            lambda w: list_contains(known, w))[1] AS hit
+        FROM ins WHERE step < n AND len(words) > 0))"""
+
+
+def _deletes(key: str) -> str:
+    """The words kept of a list ``words``."""
+    kept = f"list_filter(words, lambda w, i: {_u32(f"'42:delete:' || {key} || ':' || (i - 1)")} / 4294967296.0::DOUBLE > 0.1::DOUBLE)"
+    return f"""CASE WHEN len(words) <= 1 THEN words WHEN len({kept}) > 0 THEN {kept}
+        ELSE [words[{_u32(f"'42:keep:' || {key}")} % len(words) + 1]] END"""
+
+
+def _replaces(source: str, key: str) -> str:
+    """CTEs that end in ``merged(key, text)``: the texts of ``source`` with synonyms."""
+    return f"""
+distinct_words AS (SELECT DISTINCT {key}, unnest(words) AS word FROM {source}),
+cand AS (SELECT {key}, word, synonyms[{_u32(f"'42:which:' || {key} || ':' || word")} % len(synonyms) + 1] AS synonym,
+           row_number() OVER (PARTITION BY {key} ORDER BY md5('42:synonym:' || {key} || ':' || word)) AS r
+         FROM distinct_words JOIN lex USING (word) WHERE word NOT IN ({STOP_SQL})),
+chosen AS (SELECT {key}, word, synonym FROM cand JOIN {source} USING ({key}) WHERE r <= {_EDITS}),
+placed AS (SELECT {key}, generate_subscripts(words, 1) AS i, unnest(words) AS word FROM {source}),
+merged AS (SELECT {key}, string_agg(coalesce(synonym, word), ' ' ORDER BY i) AS text
+           FROM placed LEFT JOIN chosen USING ({key}, word) GROUP BY {key})"""
+
+
 ORACLES = {
     "clean_chars": f"SELECT doc_id, {_clean('text')} AS clean FROM documents",
     "synonyms": f"WITH {_LEXICON} SELECT word, unnest(synonyms) AS synonym FROM lex",
     "random_delete": f"""
-        WITH t AS (SELECT doc_id, {_words('text')} AS words FROM documents),
-        k AS (SELECT doc_id, words, list_filter(words, lambda w, i:
-                {_u32("'42:delete:' || doc_id || ':' || (i - 1)")} / 4294967296.0::DOUBLE > 0.1::DOUBLE) AS kept FROM t)
-        SELECT doc_id, array_to_string(CASE WHEN len(words) <= 1 THEN words WHEN len(kept) > 0 THEN kept
-            ELSE [words[{_u32("'42:keep:' || doc_id")} % len(words) + 1]] END, ' ') AS text FROM k""",
+        WITH t AS (SELECT doc_id, {_words('text')} AS words FROM documents)
+        SELECT doc_id, array_to_string({_deletes('doc_id')}, ' ') AS text FROM t""",
     "synonym_replace": f"""
-        WITH {_LEXICON}, t AS (SELECT doc_id, {_words('text')} AS words FROM documents),
-        distinct_words AS (SELECT DISTINCT doc_id, unnest(words) AS word FROM t),
-        cand AS (SELECT doc_id, word, synonyms[{_u32("'42:which:' || doc_id || ':' || word")} % len(synonyms) + 1] AS synonym,
-                   row_number() OVER (PARTITION BY doc_id ORDER BY md5('42:synonym:' || doc_id || ':' || word)) AS r
-                 FROM distinct_words JOIN lex USING (word) WHERE word NOT IN ({STOP_SQL})),
-        chosen AS (SELECT doc_id, word, synonym FROM cand JOIN t USING (doc_id) WHERE r <= {_EDITS}),
-        placed AS (SELECT doc_id, generate_subscripts(words, 1) AS i, unnest(words) AS word FROM t),
-        merged AS (SELECT doc_id, string_agg(coalesce(synonym, word), ' ' ORDER BY i) AS text
-                   FROM placed LEFT JOIN chosen USING (doc_id, word) GROUP BY doc_id)
+        WITH {_LEXICON}, t AS (SELECT doc_id, {_words('text')} AS words FROM documents), {_replaces('t', 'doc_id')}
         SELECT doc_id, coalesce(text, '') AS text FROM t LEFT JOIN merged USING (doc_id)""",
     "random_swap": f"""
-        WITH RECURSIVE {_TURNS},
-        s AS (SELECT turn_key, words, 0 AS step, {_EDITS} AS n FROM turns
-          UNION ALL
-          SELECT turn_key, CASE WHEN j IS NULL THEN words ELSE list_transform(words, lambda w, p:
-                   CASE WHEN p = i + 1 THEN words[j + 1] WHEN p = j + 1 THEN words[i + 1] ELSE w END) END, step + 1, n
-          FROM (SELECT *, list_filter([{_u32("'42:with:' || turn_key || ':' || step || ':0'")} % len(words),
-                    {_u32("'42:with:' || turn_key || ':' || step || ':1'")} % len(words),
-                    {_u32("'42:with:' || turn_key || ':' || step || ':2'")} % len(words)], lambda d: d <> i)[1] AS j
-                FROM (SELECT *, {_u32("'42:swap:' || turn_key || ':' || step")} % len(words) AS i
-                      FROM s WHERE step < n AND len(words) > 0)))
-        SELECT turn_key, array_to_string(words, ' ') AS text FROM s WHERE step = n OR len(words) = 0""",
+        WITH RECURSIVE {_TURNS}, {_SWAPS.format(source='turns')}
+        SELECT turn_key, array_to_string(words, ' ') AS text FROM sw WHERE step = n OR len(words) = 0""",
     "random_insert": f"""
-        WITH RECURSIVE {_LEXICON}, {_TURNS},
-        own AS (SELECT turn_key, list(word) AS known, list(synonyms[1]) AS firsts
-                FROM (SELECT DISTINCT turn_key, unnest(words) AS word FROM turns) JOIN lex USING (word) GROUP BY turn_key),
-        s AS (SELECT turn_key, words, 0 AS step, {_EDITS} AS n, coalesce(known, []) AS known, coalesce(firsts, []) AS firsts
-              FROM turns LEFT JOIN own USING (turn_key)
-          UNION ALL
-          SELECT turn_key, CASE WHEN hit IS NULL THEN words ELSE
-                   list_concat(list_concat(list_slice(words, 1, at_pos), [firsts[list_position(known, hit)]]), list_slice(words, at_pos + 1, len(words))) END,
-                 step + 1, n, known, firsts
-          FROM (SELECT *, {_u32("'42:at:' || turn_key || ':' || step")} % len(words) AS at_pos,
-                  list_filter(list_transform(range(10), lambda t: words[{_u32("'42:insert:' || turn_key || ':' || step || ':' || t")} % len(words) + 1]),
-                    lambda w: list_contains(known, w))[1] AS hit
-                FROM s WHERE step < n AND len(words) > 0))
-        SELECT turn_key, array_to_string(words, ' ') AS text FROM s WHERE step = n OR len(words) = 0""",
+        WITH RECURSIVE {_LEXICON}, {_TURNS}, {_INSERTS.format(source='turns')}
+        SELECT turn_key, array_to_string(words, ' ') AS text FROM ins WHERE step = n OR len(words) = 0""",
+    "eda_counts": f"""
+        WITH t AS (SELECT doc_id FROM documents WHERE len({_words('text')}) > 0),
+        ranked AS (SELECT doc_id, op, row_number() OVER (PARTITION BY doc_id ORDER BY md5('42:pick:' || doc_id || ':' || op || ':0')) AS r
+                   FROM t, (VALUES ('synonym'), ('insert'), ('swap'), ('delete')) o(op))
+        SELECT op, count(*) AS versions FROM ranked WHERE r <= 3 GROUP BY op
+        UNION ALL SELECT 'original', count(*) FROM t""",
+    "eda_one": f"""
+        WITH RECURSIVE {_LEXICON},
+        t AS (SELECT conv_id, turn, conv_id || ':' || turn || ':0' AS turn_key, text AS original, {_words('text')} AS words FROM conversations),
+        op AS (SELECT conv_id, turn, arg_min(op, md5('42:pick:' || conv_id || ':' || turn || ':' || op || ':0')) AS op
+               FROM t, (VALUES ('synonym'), ('insert'), ('swap'), ('delete')) o(op) GROUP BY 1, 2),
+        planned AS (SELECT * FROM t JOIN op USING (conv_id, turn)),
+        to_swap AS (SELECT turn_key, words FROM planned WHERE op = 'swap' AND len(words) > 0),
+        to_insert AS (SELECT turn_key, words FROM planned WHERE op = 'insert' AND len(words) > 0),
+        to_replace AS (SELECT turn_key, words FROM planned WHERE op = 'synonym' AND len(words) > 0),
+        {_SWAPS.format(source='to_swap')}, {_INSERTS.format(source='to_insert')}, {_replaces('to_replace', 'turn_key')},
+        done AS (SELECT turn_key, array_to_string(words, ' ') AS text FROM sw WHERE step = n
+          UNION ALL SELECT turn_key, array_to_string(words, ' ') FROM ins WHERE step = n
+          UNION ALL SELECT turn_key, text FROM merged
+          UNION ALL SELECT turn_key, array_to_string({_deletes('turn_key')}, ' ') FROM planned WHERE op = 'delete' AND len(words) > 0)
+        SELECT conv_id, turn, coalesce(done.text, original) AS augmented FROM t LEFT JOIN done USING (turn_key)""",
 }
