@@ -70,5 +70,5 @@ def image_struct(payload: Column) -> Column:
 def data_url(payload: Column) -> Column:
     return F.when(
         mime_subtype(payload).isNotNull(),
-        F.concat(F.lit("data:image/"), mime_subtype(payload), F.lit(";base64,"), F.base64(payload)),
+        F.concat(F.lit("data:image/"), mime_subtype(payload), F.lit(";base64,"), F.translate(F.base64(payload), "\r\n", "")),
     )

@@ -52,13 +52,7 @@ def _json_message(doc: Column, vision: bool) -> Column:
 
     def build(c: Column) -> Column:
         kind = F.schema_of_variant(c)
-        listed = F.coalesce(
-            F.transform(
-                F.try_variant_get(c, "$", "array<struct<type:string,text:string,image:string>>"),
-                lambda p: _listed_part(p, vision),
-            ),
-            F.transform(F.try_variant_get(c, "$", "array<string>"), lambda t: text_part(t, vision)),
-        )
+        listed = F.transform(F.try_variant_get(c, "$", "array<variant>"), lambda p: _listed_part(p, vision))
         plain = (
             F.when(kind == "VOID", F.lit("None"))
             .when(kind == "BOOLEAN", F.initcap(F.try_variant_get(c, "$", "string")))
@@ -76,12 +70,14 @@ def _json_message(doc: Column, vision: bool) -> Column:
 
 
 def _listed_part(p: Column, vision: bool) -> Column:
-    if not vision:
-        return F.struct(p["type"].alias("type"), p["text"].alias("text"))
-    payload = images.image_bytes(p["image"], T.StringType())
-    return F.struct(
-        p["type"].alias("type"), p["text"].alias("text"), images.image_struct(payload).alias("image")
-    )
+    """A list item: an object with type, text and image, or anything else as text."""
+    given = lambda name: F.try_variant_get(p, f"$.{name}", "string")
+    fields = [given("type").alias("type"), given("text").alias("text")]
+    if vision:
+        payload = images.image_bytes(given("image"), T.StringType())
+        fields.append(images.image_struct(payload).alias("image"))
+    is_object = F.schema_of_variant(p).startswith("OBJECT")
+    return F.when(is_object, F.struct(*fields)).otherwise(text_part(F.try_variant_get(p, "$", "string"), vision))
 
 
 def _struct_message(c: Column, dtype: T.StructType, vision: bool) -> Column:
