@@ -135,44 +135,27 @@ def _with_origin(df: DataFrame, origin: str) -> DataFrame:
     return df.withColumn("origin", F.lit(origin))
 
 
-def augment(
+def extra_rows(
     df: DataFrame,
     key: str | Sequence[str],
     config: AugmentationConfig,
     lexicon: DataFrame | None = None,
     models: dict[str, object] | None = None,
-) -> DataFrame:
-    """Adds ``origin`` (original, synthetic, augmented) and ``draw`` (number of an augmented row, else null).
-    ``models``: ``synthesis`` a loader; ``back_translation`` a pair of loaders; ``paraphrasing`` one loader.
-    An edited row that could not be changed is still added, so sizes are exact except for synthetic rows a
-    model failed to give."""
+) -> DataFrame | None:
+    """The rows that bring the dataset to its target size, with ``origin`` (synthetic, augmented) and ``draw``
+    (number of an augmented row, else null); None when there is nothing to add. An edited row that could not be
+    changed is still added, so sizes are exact except for synthetic rows a model failed to give.
+    ``models``: ``synthesis`` a loader; ``back_translation`` a pair of loaders; ``paraphrasing`` one loader."""
     models = dict(models or {})
     methods = enabled_methods(config, models)
     if EDA in methods and lexicon is None:
         lexicon = df.sparkSession.createDataFrame([], "word string, synonyms array<string>")
     rows = df.count()
-    extra = target_extra(rows, config.augmentation_factor)
-    originals = _with_origin(df, "original").withColumn("draw", F.lit(None).cast("bigint"))
-    if extra == 0:
-        return originals
-    result, edited = originals, extra
-    if SYNTHESIS in methods and "messages" in df.columns:
-        synthetic, edited = synthesis_split(extra, config.synthesis_ratio)
+    edited, parts = target_extra(rows, config.augmentation_factor), []
+    if edited and SYNTHESIS in methods and "messages" in df.columns:
+        synthetic, edited = synthesis_split(edited, config.synthesis_ratio)
         if synthetic:
-            new = synthesis.synthesize(
-                df,
-                synthetic,
-                key,
-                models[SYNTHESIS],
-                system_message=config.system_message,
-                max_batch_size=config.max_batch_size,
-                custom_prompt=config.custom_prompt or "",
-                seed=config.seed,
-            )
-            dtype = df.schema["messages"].dataType
-            content = _as_content(dtype)
-            new = _with_origin(new.select(F.transform("messages", content).alias("messages")), "synthetic")
-            result = result.unionByName(new, allowMissingColumns=True)
+            parts.append(_synthetic(df, synthetic, key, config, models[SYNTHESIS]))
     editors = [m for m in methods if m != SYNTHESIS]
     if edited and editors:
         drawn = sampling.sample_with_replacement(df, edited, key, config.seed, rows)
@@ -188,10 +171,91 @@ def augment(
                 ),
                 seed=config.seed,
             )
-        result = result.unionByName(_with_origin(drawn, "augmented"))
+        parts.append(_with_origin(drawn, "augmented"))
+    if not parts:
+        return None
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+
+
+def _synthetic(df: DataFrame, n: int, key, config: AugmentationConfig, load: Loader) -> DataFrame:
+    new = synthesis.synthesize(
+        df,
+        n,
+        key,
+        load,
+        system_message=config.system_message,
+        max_batch_size=config.max_batch_size,
+        custom_prompt=config.custom_prompt or "",
+        seed=config.seed,
+    )
+    messages = F.transform("messages", _as_content(df.schema["messages"].dataType))
+    return _with_origin(new.select(messages.alias("messages")), "synthetic").withColumn("draw", F.lit(None).cast("bigint"))
+
+
+def as_originals(df: DataFrame) -> DataFrame:
+    return _with_origin(df, "original").withColumn("draw", F.lit(None).cast("bigint"))
+
+
+def augment(
+    df: DataFrame,
+    key: str | Sequence[str],
+    config: AugmentationConfig,
+    lexicon: DataFrame | None = None,
+    models: dict[str, object] | None = None,
+) -> DataFrame:
+    """The rows themselves (``origin`` = original) followed by their extra rows."""
+    extra = extra_rows(df, key, config, lexicon, models)
+    originals = as_originals(df)
+    return originals if extra is None else originals.unionByName(extra, allowMissingColumns=True)
+
+
+def extra_split_rows(
+    df: DataFrame,
+    key: str | Sequence[str],
+    config: AugmentationConfig,
+    lexicon: DataFrame | None = None,
+    models: dict[str, object] | None = None,
+) -> DataFrame | None:
+    """Extra rows per chosen split, each grown by itself. By default only train grows; ``splits="all"`` grows
+    test data too."""
+    names = sorted(r["split"] for r in df.select("split").distinct().collect())
+    result = None
+    for name in (n for n in names if config.splits == "all" or n in config.splits):
+        extra = extra_rows(df.filter(F.col("split") == name).drop("split"), key, config, lexicon, models)
+        if extra is not None:
+            extra = extra.withColumn("split", F.lit(name))
+            result = extra if result is None else result.unionByName(extra, allowMissingColumns=True)
     return result
 
 
+def augment_splits(
+    df: DataFrame,
+    key: str | Sequence[str],
+    config: AugmentationConfig,
+    lexicon: DataFrame | None = None,
+    models: dict[str, object] | None = None,
+) -> DataFrame:
+    extra = extra_split_rows(df, key, config, lexicon, models)
+    originals = as_originals(df)
+    return originals if extra is None else originals.unionByName(extra, allowMissingColumns=True)
+
+
+def augmentation_report(augmented: DataFrame, methods: Sequence[str], errors: Sequence[str] = ()) -> DataFrame:
+    """One row: sizes before and after, methods, whether synthesis took part, and the share of the goal reached."""
+    sizes = augmented.agg(
+        F.count_if(F.col("origin") == "original").alias("original_count"),
+        F.count(F.lit(1)).alias("final_count"),
+    )
+    return sizes.select(
+        "original_count",
+        "final_count",
+        F.lit(",".join(methods)).alias("methods_used"),
+        F.lit(SYNTHESIS in methods).alias("synthesis_used"),
+        F.lit(",".join(errors)).alias("errors"),
+        F.least(F.lit(1.0), F.col("final_count") / F.greatest(F.lit(1), F.col("original_count"))).alias("success_rate"),
+    )
+
+
 def _as_content(dtype: T.ArrayType):
     """Parsed messages in the shape the dataset has: parts with or without an image field, or plain text."""
     content = dtype.elementType["content"].dataType

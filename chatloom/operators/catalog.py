@@ -78,9 +78,22 @@ def _split_order(name: str) -> tuple[bool, str]:
     return name.lower() not in ("train", "training"), name
 
 
-def write_processed(
-    df: DataFrame,
+def write_rows(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One folder per split below ``path``; splits without rows get none."""
+    if "split" not in df.columns:
+        raise ValueError("a split column is required")
+    df.write.mode(mode).partitionBy("split").parquet(path)
+
+
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows written so far, with ``split`` as text."""
+    return spark.read.parquet(path).withColumn("split", F.col("split").cast("string"))
+
+
+def register_processed(
+    spark: SparkSession,
     base: str,
+    processed_id: str,
     name: str,
     *,
     user_id: str,
@@ -88,24 +101,13 @@ def write_processed(
     dataset_source: str = "upload",
     dataset_subset: str = "default",
     modality: str = "text",
-    config: Mapping | None = None,
-    processed_id: str | None = None,
 ) -> DataFrame:
-    """Writes one folder per non-empty split and returns the new manifest row. Rows are counted from the files
-    written, which takes their footers and not a second run of the plan."""
-    if not name:
-        raise ValueError("dataset name is required")
-    if "split" not in df.columns:
-        raise ValueError("a split column is required")
-    spark = df.sparkSession
-    described = {"name": name, "user": user_id, "dataset": dataset_id, "subset": dataset_subset, "config": config or {}}
-    processed_id = processed_id or new_id(described)
-    path = dataset_path(base, processed_id)
-    df.write.mode("overwrite").partitionBy("split").parquet(path)
-    counts = {}
-    if _count_files(spark, path):
-        written = spark.read.parquet(path)
-        counts = {str(r["split"]): r["n"] for r in written.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Lists the written rows of a dataset and returns its manifest row. Rows are counted from the files, which
+    takes their footers and not a second run of the plan."""
+    path, counts = dataset_path(base, processed_id), {}
+    if _exists(spark, path) and _count_files(spark, path):
+        per_split = read_rows(spark, path).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+        counts = {r["split"]: r["n"] for r in per_split.collect()}
     if not counts:
         _delete(spark, path)
         raise ValueError("cannot write the dataset: all splits are empty")
@@ -118,6 +120,17 @@ def write_processed(
     return _append_entry(spark, [row], MANIFEST, manifest_path(base), f"id_{processed_id}")
 
 
+def write_processed(
+    df: DataFrame, base: str, name: str, *, user_id: str, config: Mapping | None = None, processed_id: str | None = None, **described
+) -> DataFrame:
+    """Writes a dataset and returns its manifest row."""
+    if not name:
+        raise ValueError("dataset name is required")
+    processed_id = processed_id or new_id({"name": name, "user": user_id, "config": config or {}, **described})
+    write_rows(df, dataset_path(base, processed_id))
+    return register_processed(df.sparkSession, base, processed_id, name, user_id=user_id, **described)
+
+
 def dataset_summary(df: DataFrame, modality: str = "text") -> DataFrame:
     """One row: number of examples, number of rows per split, modality."""
     per_split = df.groupBy("split").agg(F.count(F.lit(1)).alias("n"))

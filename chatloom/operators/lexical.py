@@ -29,7 +29,9 @@ STOP_WORDS = (
 OPERATIONS = ("synonym", "insert", "swap", "delete")
 INSERT_TRIES = 10
 SWAP_TRIES = 3
-BROADCAST_WORDS = 500_000  # a lexicon up to this size is broadcast, a larger one is joined by shuffle
+BROADCAST_WORDS = 500_000  # a lexicon up to this many words and bytes is broadcast,
+BROADCAST_BYTES = 64 * 2**20  # a larger one is joined by shuffle
+SALTS = 32  # pieces a frequent word is cut into in that shuffle
 
 
 def clean_column(df: DataFrame, column: str, out: str = "clean") -> DataFrame:
@@ -48,9 +50,20 @@ def normalize_lexicon(lexicon: DataFrame) -> DataFrame:
     )
 
 
-def _lexicon_side(lexicon: DataFrame) -> DataFrame:
-    small = lexicon.select("word").limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
-    return F.broadcast(lexicon) if small else lexicon
+def _is_small(lexicon: DataFrame) -> bool:
+    size = F.length("word") + F.aggregate("synonyms", F.lit(0), lambda n, x: n + F.length(x))
+    found = lexicon.limit(BROADCAST_WORDS + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
+    return found["n"] <= BROADCAST_WORDS and (found["b"] or 0) <= BROADCAST_BYTES
+
+
+def _looked_up(own: DataFrame, keys: list[str], lexicon: DataFrame) -> DataFrame:
+    """``own`` words joined with the lexicon. Without a broadcast, a word most texts hold would meet in one
+    task, so both sides are salted: texts by their key, the lexicon by a copy per salt."""
+    if _is_small(lexicon):
+        return own.join(F.broadcast(lexicon), "word")
+    salted = own.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)))
+    copies = lexicon.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return salted.join(copies, ["word", "_salt"]).drop("_salt")
 
 
 def with_synonyms(df: DataFrame, key: str | Sequence[str], words_col: str, lexicon: DataFrame) -> DataFrame:
@@ -58,9 +71,9 @@ def with_synonyms(df: DataFrame, key: str | Sequence[str], words_col: str, lexic
     until the join back: each sends its distinct words through the lexicon, and they come together again before
     they move, so a word that every text holds costs one row per text and skews nothing."""
     keys = [key] if isinstance(key, str) else list(key)
+    own = df.select(*keys, F.explode(F.array_distinct(words_col)).alias("word"))
     found = (
-        df.select(*keys, F.explode(F.array_distinct(words_col)).alias("word"))
-        .join(_lexicon_side(lexicon), "word")
+        _looked_up(own, keys, lexicon)
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct("word", "synonyms"))).alias("known"))
     )

@@ -25,28 +25,17 @@ def load_splits(
     return sampling.apply_split(rows, config.split, key)
 
 
-def prepare(
-    rows: DataFrame,
-    mode: str,
-    config: PreprocessingConfig,
-    key: str | Sequence[str],
-    lexicon: DataFrame | None = None,
-    models: dict[str, object] | None = None,
-) -> DataFrame:
-    """Chat examples with ``split`` and the key columns; grown if the configuration says so."""
-    keys = [key] if isinstance(key, str) else list(key)
-    chat = convert.to_chat(
+def prepare(rows: DataFrame, mode: str, config: PreprocessingConfig, key: str | Sequence[str]) -> DataFrame:
+    """Chat examples with ``split`` and the key columns."""
+    return convert.to_chat(
         rows,
         mode,
         config.field_mappings,
-        keep=keys,
+        keep=[key] if isinstance(key, str) else list(key),
         normalize_whitespace=config.normalize_whitespace,
         null_text=config.null_text,
         include_system=config.include_system,
     )
-    if config.augmentation is None:
-        return chat
-    return augment.augment_splits(chat, keys, config.augmentation, lexicon, models)
 
 
 def process_dataset(
@@ -65,16 +54,25 @@ def process_dataset(
     lexicon: DataFrame | None = None,
     models: dict[str, object] | None = None,
 ) -> DataFrame:
-    """Runs the whole job and returns the manifest row."""
-    chat = prepare(load_splits(spark, path, config, key), mode, config, key, lexicon, models)
-    return catalog.write_processed(
-        chat,
-        base,
-        name,
-        user_id=user_id,
-        dataset_id=dataset_id,
-        dataset_source=dataset_source,
-        dataset_subset=dataset_subset,
-        modality=detect_modality(as_mappings(config.field_mappings)),
-        config={"mode": mode, **asdict(config)},
-    )
+    """Runs the whole job and returns the manifest row. Converted rows are written first; extra rows are drawn
+    from what was written and appended, so growth neither converts the source again nor reads more of the
+    stored columns than it needs."""
+    if not name:
+        raise ValueError("dataset name is required")
+    source = {"dataset_id": dataset_id, "dataset_source": dataset_source, "dataset_subset": dataset_subset}
+    described = {"name": name, "user": user_id, "mode": mode, **source, **asdict(config)}
+    processed_id = catalog.new_id(described)
+    target = catalog.dataset_path(base, processed_id)
+    chat = prepare(load_splits(spark, path, config, key), mode, config, key)
+    if config.augmentation is None:
+        catalog.write_rows(chat, target)
+    else:
+        catalog.write_rows(augment.as_originals(chat), target)
+        stored = catalog.read_rows(spark, target).drop("origin", "draw")
+        extra = augment.extra_split_rows(stored, key, config.augmentation, lexicon, models)
+        if extra is not None:
+            # files of one dataset share one schema: what synthetic rows lack is null
+            same = augment.as_originals(stored).limit(0).unionByName(extra, allowMissingColumns=True)
+            catalog.write_rows(same, target, mode="append")
+    modality = detect_modality(as_mappings(config.field_mappings))
+    return catalog.register_processed(spark, base, processed_id, name, user_id=user_id, modality=modality, **source)

@@ -159,6 +159,19 @@ def test_preparation_job(spark, table, tmp_path):
     assert whole.count() == 5 and whole.filter("split = 'train'").count() == 5
 
 
+def test_synthetic_rows_share_the_schema(spark, table, tmp_path):
+    base = str(tmp_path / "base")
+    growth = AugmentationConfig(2.0, use_synthesis=True, synthesis_ratio=1.0)
+    config = PreprocessingConfig(MAPPINGS, split=NoSplit(split="dev"), augmentation=growth)
+    author = lambda: (lambda p: p.map(lambda _: "```\nUser: a\nAssistant: b\n```" * 10))
+    entry = preprocess.process_dataset(
+        spark, table, base, "n", "language_modeling", config, key="id", user_id="u", models={"synthesis": author}
+    ).first()
+    rows = spark.read.parquet(entry["splits"][0]["path"])
+    grown = {r["origin"]: (r["count"], r["ids"]) for r in rows.groupBy("origin").agg(F.count("*").alias("count"), F.count("id").alias("ids")).collect()}
+    assert grown == {"original": (10, 10), "synthetic": (10, 0)}
+
+
 def test_evaluation_job(spark, table, tmp_path):
     base = str(tmp_path / "base")
     config = PreprocessingConfig(MAPPINGS, split=NamedSplits("Train", "dev"))

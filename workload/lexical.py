@@ -192,6 +192,26 @@ merged AS (SELECT {key}, string_agg(coalesce(synonym, word), ' ' ORDER BY i) AS
            FROM placed LEFT JOIN chosen USING ({key}, word) GROUP BY {key})"""
 
 
+def _augmented(table: str, ids: tuple[str, ...], num_aug: int) -> str:
+    """CTEs ``t`` (texts), ``plans`` (chosen operations) and ``done`` (the edited texts)."""
+    key, cols = " || ':' || ".join(ids), ", ".join(ids)
+    return f"""
+        WITH RECURSIVE {_LEXICON},
+        t AS (SELECT {cols}, text AS original, {_words('text')} AS words FROM {table}),
+        plans AS (SELECT {cols}, op, rep, {key} || ':' || rep AS turn_key, words, candidate FROM (
+            SELECT *, (row_number() OVER (PARTITION BY {cols} ORDER BY md5('42:pick:' || {key} || ':' || op || ':' || rep)) - 1)::INTEGER AS candidate
+            FROM t, (VALUES ('synonym'), ('insert'), ('swap'), ('delete')) o(op), range({num_aug // 4 + 1}) r(rep) WHERE len(words) > 0)
+          WHERE candidate < {num_aug}),
+        to_swap AS (SELECT turn_key, words FROM plans WHERE op = 'swap'),
+        to_insert AS (SELECT turn_key, words FROM plans WHERE op = 'insert'),
+        to_replace AS (SELECT turn_key, words FROM plans WHERE op = 'synonym'),
+        {_SWAPS.format(source='to_swap')}, {_INSERTS.format(source='to_insert')}, {_replaces('to_replace', 'turn_key')},
+        done AS (SELECT turn_key, 'swap' AS op, array_to_string(words, ' ') AS text FROM sw WHERE step = n
+          UNION ALL SELECT turn_key, 'insert', array_to_string(words, ' ') FROM ins WHERE step = n
+          UNION ALL SELECT turn_key, 'synonym', text FROM merged
+          UNION ALL SELECT turn_key, 'delete', array_to_string({_deletes('turn_key')}, ' ') FROM plans WHERE op = 'delete')"""
+
+
 ORACLES = {
     "clean_chars": f"SELECT doc_id, {_clean('text')} AS clean FROM documents",
     "synonyms": f"WITH {_LEXICON} SELECT word, unnest(synonyms) AS synonym FROM lex",
@@ -213,19 +233,13 @@ ORACLES = {
                    FROM t, (VALUES ('synonym'), ('insert'), ('swap'), ('delete')) o(op))
         SELECT op, count(*) AS versions FROM ranked WHERE r <= 3 GROUP BY op
         UNION ALL SELECT 'original', count(*) FROM t""",
-    "eda_one": f"""
-        WITH RECURSIVE {_LEXICON},
-        t AS (SELECT conv_id, turn, conv_id || ':' || turn || ':0' AS turn_key, text AS original, {_words('text')} AS words FROM conversations),
-        op AS (SELECT conv_id, turn, arg_min(op, md5('42:pick:' || conv_id || ':' || turn || ':' || op || ':0')) AS op
-               FROM t, (VALUES ('synonym'), ('insert'), ('swap'), ('delete')) o(op) GROUP BY 1, 2),
-        planned AS (SELECT * FROM t JOIN op USING (conv_id, turn)),
-        to_swap AS (SELECT turn_key, words FROM planned WHERE op = 'swap' AND len(words) > 0),
-        to_insert AS (SELECT turn_key, words FROM planned WHERE op = 'insert' AND len(words) > 0),
-        to_replace AS (SELECT turn_key, words FROM planned WHERE op = 'synonym' AND len(words) > 0),
-        {_SWAPS.format(source='to_swap')}, {_INSERTS.format(source='to_insert')}, {_replaces('to_replace', 'turn_key')},
-        done AS (SELECT turn_key, array_to_string(words, ' ') AS text FROM sw WHERE step = n
-          UNION ALL SELECT turn_key, array_to_string(words, ' ') FROM ins WHERE step = n
-          UNION ALL SELECT turn_key, text FROM merged
-          UNION ALL SELECT turn_key, array_to_string({_deletes('turn_key')}, ' ') FROM planned WHERE op = 'delete' AND len(words) > 0)
-        SELECT conv_id, turn, coalesce(done.text, original) AS augmented FROM t LEFT JOIN done USING (turn_key)""",
+    "eda_one": f"""{_augmented('conversations', ('conv_id', 'turn'), 1)}
+        SELECT conv_id, turn, coalesce(done.text, original) AS augmented
+        FROM t LEFT JOIN plans USING (conv_id, turn) LEFT JOIN done USING (turn_key, op)""",
+    "eda_documents": f"""{_augmented('documents', ('doc_id',), 1)}
+        SELECT doc_id, coalesce(done.text, original) AS augmented
+        FROM t LEFT JOIN plans USING (doc_id) LEFT JOIN done USING (turn_key, op)""",
+    "eda_candidates": f"""{_augmented('conversations', ('conv_id', 'turn'), 9)}
+        SELECT conv_id, turn, candidate, op, done.text AS augmented FROM plans JOIN done USING (turn_key, op)
+        UNION ALL SELECT conv_id, turn, 9, 'original', array_to_string(words, ' ') FROM t WHERE len(words) > 0""",
 }
