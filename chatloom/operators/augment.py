@@ -77,7 +77,7 @@ def augment_messages(
         placed = lexical.with_synonyms(df.withColumn("_words", own_words), keys, "_words", lexicon).drop("_words")
     else:
         placed = df.withColumn(
-            "known", F.array().cast("array<struct<word:string,synonyms:array<string>>>")
+            "known", F.array().cast(lexical.KNOWN)
         )
     parts = (
         placed.select(*keys, *others, "known", F.posexplode_outer("messages").alias("_pos", "_m"))

@@ -29,8 +29,9 @@ STOP_WORDS = (
 OPERATIONS = ("synonym", "insert", "swap", "delete")
 INSERT_TRIES = 10
 SWAP_TRIES = 3
-BROADCAST_WORDS = 500_000  # a lexicon up to this many words and bytes is broadcast,
-BROADCAST_BYTES = 64 * 2**20  # a larger one is joined by shuffle
+KNOWN = "array<struct<word:string,synonyms:array<string>>>"
+BROADCAST_WORDS = 500_000  # a lexicon up to this many words and characters is broadcast,
+BROADCAST_CHARS = 64 * 2**20  # a larger one is joined by shuffle
 SALTS = 32  # pieces a frequent word is cut into in that shuffle
 
 
@@ -53,32 +54,49 @@ def normalize_lexicon(lexicon: DataFrame) -> DataFrame:
 def _is_small(lexicon: DataFrame) -> bool:
     size = F.length("word") + F.aggregate("synonyms", F.lit(0), lambda n, x: n + F.length(x))
     found = lexicon.limit(BROADCAST_WORDS + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
-    return found["n"] <= BROADCAST_WORDS and (found["b"] or 0) <= BROADCAST_BYTES
+    return found["n"] <= BROADCAST_WORDS and (found["b"] or 0) <= BROADCAST_CHARS
 
 
-def _looked_up(own: DataFrame, keys: list[str], lexicon: DataFrame) -> DataFrame:
-    """``own`` words joined with the lexicon. Without a broadcast, a word most texts hold would meet in one
-    task, so both sides are salted: texts by their key, the lexicon by a copy per salt."""
-    if _is_small(lexicon):
-        return own.join(F.broadcast(lexicon), "word")
-    salted = own.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)))
-    copies = lexicon.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    return salted.join(copies, ["word", "_salt"]).drop("_salt")
+def _known_from_dictionary(own: Column, lexicon: DataFrame) -> Column:
+    """Lookup in a broadcast dictionary, batch by batch, where the texts are."""
+    entries = {r["word"]: list(r["synonyms"]) for r in lexicon.collect()}
+    dictionary = lexicon.sparkSession.sparkContext.broadcast(entries)
 
+    @F.pandas_udf(KNOWN)
+    def known(own: pd.Series) -> pd.Series:
+        synonyms = dictionary.value
+        found = (() if words is None else (w for w in words if w in synonyms) for words in own)
+        return pd.Series([[{"word": w, "synonyms": synonyms[w]} for w in sorted(f)] for f in found], dtype=object)
 
-def with_synonyms(df: DataFrame, key: str | Sequence[str], words_col: str, lexicon: DataFrame) -> DataFrame:
-    """Adds ``known``: the text's own words found in the lexicon, with their synonyms. Texts stay where they are
-    until the join back: each sends its distinct words through the lexicon, and they come together again before
-    they move, so a word that every text holds costs one row per text and skews nothing."""
-    keys = [key] if isinstance(key, str) else list(key)
-    own = df.select(*keys, F.explode(F.array_distinct(words_col)).alias("word"))
-    found = (
-        _looked_up(own, keys, lexicon)
+    return known(own)
+
+
+def _known_from_join(df: DataFrame, keys: list[str], lexicon: DataFrame) -> DataFrame:
+    """Lookup by join for a lexicon of any size. A word most texts hold would meet in one task, so both sides
+    are salted: texts by their key, the lexicon by a copy per salt. A text's words come together again before
+    they move."""
+    own = df.select(*keys, F.explode("_own").alias("word")).withColumn(
+        "_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS))
+    )
+    copies = lexicon.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return (
+        own.join(copies, ["word", "_salt"])
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct("word", "synonyms"))).alias("known"))
     )
-    empty = F.array().cast("array<struct<word:string,synonyms:array<string>>>")
-    return df.join(found, keys, "left").withColumn("known", F.coalesce("known", empty))
+
+
+def with_synonyms(df: DataFrame, key: str | Sequence[str], words_col: str, lexicon: DataFrame) -> DataFrame:
+    """Adds ``known``: the text's own words found in the lexicon, with their synonyms, ordered by word. A lexicon
+    of checked small size goes to the texts, which then need not move at all; for a larger one the texts' words
+    go to the lexicon."""
+    keys = [key] if isinstance(key, str) else list(key)
+    own = settle(df, "_own", F.array_distinct(words_col))
+    if _is_small(lexicon):
+        return own.withColumn("known", _known_from_dictionary(F.col("_own"), lexicon)).drop("_own")
+    empty = F.array().cast(KNOWN)
+    joined = own.drop("_own").join(_known_from_join(own, keys, lexicon), keys, "left")
+    return joined.withColumn("known", F.coalesce("known", empty))
 
 
 def edits(n_words: Column, alpha: float) -> Column:
