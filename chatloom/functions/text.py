@@ -104,13 +104,14 @@ def tokens_words(c: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Every run of n tokens, joined by a space."""
+    """Every run of n tokens, joined by a space. Tokens are read by position: slicing would copy the whole array
+    for every n-gram."""
     if n == 1:
         return tokens
     return F.when(
         F.size(tokens) >= n,
         F.transform(
-            F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
-            lambda i: F.array_join(F.slice(tokens, i, n), " "),
+            F.sequence(F.lit(0), F.size(tokens) - n),
+            lambda i: F.concat_ws(" ", *[F.get(tokens, i + j) for j in range(n)]),
         ),
     ).otherwise(F.array().cast("array<string>"))

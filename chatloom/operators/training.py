@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,12 +102,10 @@ def mask_labels(ids: Column, ignore_ids: Sequence[int]) -> Column:
 
 def _marker_starts(ids: Column, marker: Sequence[int]) -> Column:
     """0-based positions at which the marker starts."""
-    wanted = F.array(*[F.lit(int(i)) for i in marker]).cast("array<int>")
     last = F.size(ids) - len(marker)
 
     def starts(i: Column) -> Column:
-        first = F.get(ids, i) == int(marker[0])
-        return first if len(marker) == 1 else first & (F.slice(ids, i + 1, len(marker)) == wanted)
+        return reduce(lambda a, b: a & b, [F.get(ids, i + j) == int(t) for j, t in enumerate(marker)])
 
     return F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), starts)).otherwise(F.array().cast("array<int>"))
 
@@ -127,8 +126,9 @@ def mask_non_response(ids: Column, instruction: Sequence[int], response: Sequenc
     def _runs(ids: Column, events: Column) -> Column:
         def run(e: Column, k: Column) -> Column:
             end = F.coalesce(F.get(events, k + 1)["at"], F.size(ids))
-            tokens = F.slice(ids, e["at"] + 1, end - e["at"])
-            return F.when(e["closes"] == 0, tokens).otherwise(F.array_repeat(F.lit(IGNORE), end - e["at"]))
+            kept = F.transform(F.sequence(e["at"], end - 1), lambda i: F.get(ids, i))
+            masked = F.array_repeat(F.lit(IGNORE), end - e["at"])
+            return F.when((e["closes"] == 0) & (end > e["at"]), kept).otherwise(masked)
 
         return F.flatten(F.transform(events, run))
 

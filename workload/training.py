@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chatloom.functions.rng import hash_hex
 from chatloom.operators import training
 from workload.tables import CHUNK, conversation_rows, documents, table
 
