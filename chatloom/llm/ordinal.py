@@ -62,7 +62,7 @@ class Features(dict):
             words += len(part)
             before = part[-1] if part else before
         for shape, n in shapes.items():
-            for tenth in range(1, 10 * n // words + 1):
+            for tenth in range(1, 10 * n // max(1, words) + 1):
                 found.add(xxhash.xxh3_64_intdigest(b"%b >= %d / 10" % (shape, tenth), 1) >> (64 - BITS))
         return np.array(sorted(found), "<u4")
 

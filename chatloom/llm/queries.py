@@ -166,8 +166,8 @@ a1 AS (SELECT lo / 1048576.0::DOUBLE AS a FROM even ORDER BY step DESC LIMIT 1),
 often AS (
   SELECT 0 AS step, -1 AS lo, 1048576 AS hi FROM v UNION ALL
   SELECT step + 1, CASE WHEN over THEN mid ELSE lo END, CASE WHEN over THEN hi ELSE mid - 1 END FROM (
-    SELECT o.*, (lo + hi + 1) // 2 AS mid, a1.a + (1 - a1.a) * (((lo + hi + 1) // 2) / 1048576.0::DOUBLE) AS a,
-      list_max(list_transform(p, lambda x: pow(x, a - 1))) / list_sum(list_transform(p, lambda x: pow(x, a))) > {mixing.REPEATS} AS over
+    SELECT o.*, (lo + hi + 1) // 2 AS mid, a1.a + (1 - a1.a) * (((lo + hi + 1) // 2) / 1048576.0::DOUBLE) AS t,
+      list_max(list_transform(p, lambda x: pow(x, t - 1))) / list_sum(list_transform(p, lambda x: pow(x, t))) > {mixing.REPEATS} AS over
     FROM often o, v, a1 WHERE lo < hi)),
 alpha AS (
   SELECT least(1.0, CASE WHEN lo < 0 THEN a1.a ELSE a1.a + (1 - a1.a) * ((lo + 1) / 1048576.0::DOUBLE) END) AS a
