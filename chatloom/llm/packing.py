@@ -3,11 +3,14 @@
 A block of documents is packed at a time, inside the task that tokenizes them, so nothing is shuffled. Every piece
 costs ``LINEAR * n + QUADRATIC * n * n`` (attention stays inside a document). The pieces go in descending order to
 the sequence of least cost that still has room for them whole; a piece that fits nowhere whole is cut to fill
-the sequence with the most room. A block has as many sequences as its tokens need, and the last, unfilled one goes
-on as part of the next block, so a task leaves one unfilled sequence."""
+the sequence with the most room. A block has only sequences that its tokens fill, and what is left over goes on as
+part of the next block; the last block of a task leaves less than one sequence's length unfilled, all in all."""
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,47 +26,104 @@ LINEAR = 1.0
 QUADRATIC = 1.0 / LENGTH
 BLOCK = 512  # sequences packed together
 _CACHE = 1 << 20  # words a task remembers
-_GROUP = 512
+_GROUP = 512  # parts tokenized as one text
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 )
 
 
+#: What a tokenizer file must say for texts to be tokenized by their words.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Signs whose lower case and class no library disputes: printable ASCII, and the letters from U+00C0 to U+017F but
+#: for the dotted capital I.
+_PLAIN = re.compile(r"[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+_LETTER = r"a-z\u00df-\u00f6\u00f8-\u017f"
+_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^0-9{_LETTER}]+")
+
+
 class WordIds(dict):
-    """The ids of words as little-endian 32-bit bytes. Words hold no space or line break, at which the tokenizer
-    always splits, so a text's ids are those of its words in order; other white space stays inside a word."""
+    """The ids of words as little-endian 32-bit bytes, remembered; words hold no space or line break.
+
+    A tokenizer of words with an end mark always splits at white space, so a text's ids are those of its words in
+    order. Words of plain signs fall into parts by the tokenizer's pattern; parts that are new are tokenized many at
+    a time, and told apart by the end mark that the last id of each part carries, and no other. All other words go
+    through the library one by one, and whole texts do where the tokenizer is of another kind."""
+
+    def __init__(self, model: bytes, config: dict):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-    def __init__(self, tokenizer):
         super().__init__({"": b""})
-        self.tokenizer = tokenizer
+        self.tokenizer, self.parts = Tokenizer.from_buffer(model), {}
+        self.bare = Tokenizer.from_buffer(model)  # for parts, which are normalized and split
+        self.bare.normalizer = normalizers.Sequence([])
+        spaces, to_bytes = pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([spaces, to_bytes])
+        normalizer, splitter = config.get("normalizer") or {}, config.get("pre_tokenizer") or {}
+        split = (splitter.get("pretokenizers") or [{}])[0]
+        self.by_word = (
+            [n["type"] for n in normalizer.get("normalizers", [])] == _NORMALIZERS
+            and (split.get("pattern", {}).get("Regex"), split.get("behavior"), split.get("invert")) == (_PATTERN, "Removed", True)
+            and config["model"].get("end_of_word_suffix") == "</w>"
+            and all(t["content"].startswith("<|") for t in config.get("added_tokens", []))
+        )
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def one(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_parts(self, new: list[str]) -> None:
+        groups = [new[s : s + _GROUP] for s in range(0, len(new), _GROUP)]
+        texts = [" ".join(g) for g in groups]
+        for group, found in zip(groups, self.bare.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(group):
+                cuts, raw = [0, *(4 * ends).tolist()], ids.tobytes()
+                self.parts.update((p, raw[cuts[i] : cuts[i + 1]]) for i, p in enumerate(group))
+            else:
+                self.parts.update((p, self.one(p)) for p in group)
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
+        new = words.difference(self)
         if len(self) + len(new) > _CACHE:
             self.clear()
             self[""] = b""
-            new = [w for w in words if w]
-        special = [w for w in new if "<|" in w]
-        self.update((w, self[w]) for w in special)
-        new = [w for w in new if "<|" not in w]
-        for start in range(0, len(new), _GROUP):
-            group = new[start : start + _GROUP]
-            whole = self.tokenizer.encode(group, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(whole.ids, "<u4").tobytes()
-            owner = np.array(whole.word_ids, np.int64)
-            cuts = (4 * np.searchsorted(owner, np.arange(len(group) + 1))).tolist()
-            self.update((w, ids[cuts[i] : cuts[i + 1]]) for i, w in enumerate(group))
-
-    def __missing__(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+            self.parts.clear()
+            new = words.difference(self)
+        single, several, other = [], {}, []
+        for word in new:
+            low = word.lower()
+            if word.isascii() and low.isalpha():
+                single.append((word, low))
+            elif word.isascii() and low[:-1].isalpha():
+                several[word] = [low[:-1], low[-1]]
+            elif _PLAIN.fullmatch(word) and "<|" not in word:
+                several[word] = _PARTS.findall(low)
+            else:
+                other.append(word)
+        parts = self.parts
+        self._learn_parts(list({low for _, low in single}.union(*several.values()).difference(parts)))
+        self.update((w, parts[low]) for w, low in single)
+        self.update((w, b"".join([parts[p] for p in found])) for w, found in several.items())
+        self.update((w, self.one(w)) for w in other)
+
+    def of(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text."""
+        if not self.by_word:
+            yield from map(self.one, texts)
+            return
+        words = [t.replace("\n", " ").split(" ") for t in texts]
+        self.learn(set().union(*words))
+        for w in words:
+            yield b"".join(map(self.__getitem__, w))
 
 
 def assign(lengths: np.ndarray, sequences: int, length: int = LENGTH) -> list[tuple[int, int, int, int]]:
-    """(piece, start in it, length, sequence) for pieces of at most ``length`` whose sum the sequences can hold."""
+    """(piece, start in it, length, sequence) for pieces of at most ``length``. What finds no room has sequence -1."""
     room = np.full(sequences, length)
     cost = np.zeros(sequences)
     out = []
@@ -74,6 +134,9 @@ def assign(lengths: np.ndarray, sequences: int, length: int = LENGTH) -> list[tu
             to = int(fits.argmin())
             if fits[to] == np.inf:
                 to = int(room.argmax())
+            if not room[to]:
+                out.append((piece, start, left, -1))
+                break
             n = min(left, int(room[to]))
             out.append((piece, start, n, to))
             room[to] -= n
@@ -112,20 +175,16 @@ class _Packer:
         if not self.pieces:
             return
         lengths = np.array([p[3] for p in self.pieces])
-        count = -(-self.held // self.length)
-        placed = assign(lengths, count, self.length)
-        used = np.bincount([p[3] for p in placed], weights=[p[2] for p in placed], minlength=count).astype(int)
-        open_ = int(used.argmin()) if not last and used.min() < self.length else -1
-        rest, offsets = [], np.zeros(count, int)
-        for piece, start, n, to in placed:
-            if to == open_:
-                doc_id, ids, first, _, tokens = self.pieces[piece]
+        count = -(-self.held // self.length) if last else self.held // self.length
+        rest, offsets = [], [0] * count
+        for piece, start, n, to in assign(lengths, count, self.length):
+            doc_id, ids, first, _, tokens = self.pieces[piece]
+            if to < 0:
                 rest.append((doc_id, ids[4 * start : 4 * (start + n)], first + start, n, tokens))
             else:
-                sequence = self.next + to - (0 <= open_ < to)
-                self._emit(self.pieces[piece], start, n, sequence, int(offsets[to]))
+                self._emit(self.pieces[piece], start, n, self.next + to, offsets[to])
                 offsets[to] += n
-        self.next += count - (open_ >= 0)
+        self.next += count
         self.pieces, self.held = rest, sum(p[3] for p in rest)
 
     def take(self) -> pa.RecordBatch:
@@ -136,7 +195,7 @@ class _Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
-def _chunks(batch: pa.RecordBatch, characters: int = 1 << 24) -> Iterator[tuple[list, list]]:
+def _chunks(batch: pa.RecordBatch, characters: int = 1 << 22) -> Iterator[tuple[list, list]]:
     """The batch's ids and texts, so many characters at a time."""
     ids, texts, size = [], [], 0
     for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -160,22 +219,20 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int = END,
     stays null. An empty table gives no rows. The partitions' sequences are numbered apart: sequence_id is the partition
     times 2**40 plus a count, and the same input partitions give the same sequences again."""
     with open(vocabulary, "rb") as f:
-        model = docs.sparkSession.sparkContext.broadcast(f.read())
+        raw = f.read()
+    config = {k: v for k, v in json.loads(raw).items() if k != "model"}
+    config["model"] = {"end_of_word_suffix": json.loads(raw)["model"].get("end_of_word_suffix")}
+    model = docs.sparkSession.sparkContext.broadcast(raw)
     close = int(end).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        words = WordIds(Tokenizer.from_buffer(model.value))
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        words = WordIds(model.value, config)
         packer = _Packer(TaskContext.get().partitionId() << 40, length, keep_ids)
         for batch in batches:
             for ids, texts in _chunks(batch):
-                words.learn({w for t in texts for w in t.replace("\n", " ").split(" ")})
-                for doc_id, text in zip(ids, texts):
-                    packer.add(doc_id, words.of(text) + close)
+                for doc_id, found in zip(ids, words.of(texts)):
+                    packer.add(doc_id, found + close)
                 yield packer.take()
         packer.pack(last=True)
         yield packer.take()
