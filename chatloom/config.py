@@ -67,10 +67,15 @@ def validate_mappings(mappings: FieldMappings, columns: Iterable[str], mode: str
                 raise ValueError(f"{name!r} refers to column {m.value!r}; available: {sorted(columns)}")
 
 
-def detect_modality(mappings: FieldMappings) -> str:
+def image_columns(mappings: FieldMappings) -> list[str]:
+    """The columns that image mappings name."""
     user = mappings.get("user_field")
     items = user if isinstance(user, list) else [user] if user else []
-    return "vision" if any(m.type == "image" for m in items) else "text"
+    return [m.value for m in items if m.type == "image"]
+
+
+def detect_modality(mappings: FieldMappings) -> str:
+    return "vision" if image_columns(mappings) else "text"
 
 
 @dataclass(frozen=True)
@@ -129,3 +134,4 @@ class EvaluationConfig:
     metrics: Sequence[str] = ()
     max_samples: int | None = None
     num_sample_results: int = 3
+    positive: str | int = 1  # the label that binary precision, recall and F1 are about

@@ -39,8 +39,13 @@ def metric_suite(task_type: str | None = None, metrics: Sequence[str] = ()) -> t
 # ---- equality and classes -------------------------------------------------------------------------------
 
 
+def _text(column: str) -> Column:
+    return F.col(column).cast("string")
+
+
 def _equal() -> Column:
-    return (F.col("prediction").cast("string") == F.col("reference").cast("string")).cast("double")
+    """1 or 0 for every pair: a missing text equals a missing one and nothing else."""
+    return _text("prediction").eqNullSafe(_text("reference")).cast("double")
 
 
 def exact_match(pairs: DataFrame) -> DataFrame:
@@ -51,63 +56,72 @@ def accuracy(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.avg(_equal()).alias("accuracy"))
 
 
-def _ratio(a: Column, b: Column) -> Column:
-    return F.when(b > 0, a / b).otherwise(F.lit(0.0))
-
-
-def _confusion(positive) -> tuple[Column, Column, Column]:
-    p = F.col("prediction").cast("string") == F.lit(str(positive))
-    r = F.col("reference").cast("string") == F.lit(str(positive))
-    return F.count_if(p & r), F.count_if(p & ~r), F.count_if(~p & r)
+def confusion(pairs: DataFrame) -> DataFrame:
+    """``p, r, n``: how often each label was predicted where each was right; all scores of classes come from it, so
+    they take one scan of the pairs."""
+    return pairs.groupBy(_text("prediction").alias("p"), _text("reference").alias("r")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def precision_expr(positive=1) -> Column:
-    tp, fp, _ = _confusion(positive)
-    return _ratio(tp, tp + fp)
+def _ratio(a: Column, b: Column) -> Column:
+    return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def recall_expr(positive=1) -> Column:
-    tp, _, fn = _confusion(positive)
-    return _ratio(tp, tp + fn)
+def _class_scores(positive=1) -> dict[str, Column]:
+    """Scores over the rows of ``confusion``. A missing prediction is a miss, never a hit."""
+    label = F.lit(str(positive))
+    p, r = F.col("p").eqNullSafe(label), F.col("r").eqNullSafe(label)
 
+    def count(test: Column) -> Column:
+        return F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
 
-def f1_expr(positive=1) -> Column:
-    tp, fp, fn = _confusion(positive)
-    return _ratio(2 * tp, 2 * tp + fp + fn)
+    tp, fp, fn = count(p & r), count(p & ~r), count(~p & r)
+    right = count(F.col("p").eqNullSafe(F.col("r"))) / F.sum("n")
+    scores = {"exact_match": right, "accuracy": right, "precision": _ratio(tp, tp + fp), "recall": _ratio(tp, tp + fn)}
+    return scores | {"f1": _ratio(2 * tp, 2 * tp + fp + fn), "_seen": tp + fp + fn}
 
 
 def precision_recall(pairs: DataFrame, positive=1) -> DataFrame:
-    return pairs.agg(precision_expr(positive).alias("precision"), recall_expr(positive).alias("recall"))
+    scores = _class_scores(positive)
+    return confusion(pairs).agg(scores["precision"].alias("precision"), scores["recall"].alias("recall"))
 
 
 def f1_binary(pairs: DataFrame, positive=1) -> DataFrame:
-    return pairs.agg(f1_expr(positive).alias("f1"))
+    return confusion(pairs).agg(_class_scores(positive)["f1"].alias("f1"))
 
 
-def f1_per_class(pairs: DataFrame) -> DataFrame:
-    """``class, f1`` for every label that is predicted or referenced."""
-    p, r = F.col("prediction").cast("string"), F.col("reference").cast("string")
-    hit = F.when(p == r, F.array(F.struct(p.alias("class"), F.lit(2).alias("w"), F.lit(2).alias("n")))).otherwise(
-        F.array(
-            F.struct(p.alias("class"), F.lit(0).alias("w"), F.lit(1).alias("n")),
-            F.struct(r.alias("class"), F.lit(0).alias("w"), F.lit(1).alias("n")),
-        )
+def _per_class(counted: DataFrame) -> DataFrame:
+    p, r, n = F.col("p"), F.col("r"), F.col("n")
+    both = F.when(p.eqNullSafe(r), F.array(F.struct(p.alias("class"), (2 * n).alias("w"), (2 * n).alias("n"))))
+    none = F.lit(0).cast("bigint")
+    apart = F.array(
+        F.struct(p.alias("class"), none.alias("w"), n.alias("n")), F.struct(r.alias("class"), none.alias("w"), n.alias("n"))
     )
     return (
-        pairs.select(F.explode(hit).alias("c"))
+        counted.select(F.explode(both.otherwise(apart)).alias("c"))
+        .filter(F.col("c.class").isNotNull())
         .groupBy(F.col("c.class").alias("class"))
         .agg((F.sum("c.w") / F.sum("c.n")).alias("f1"))
     )
 
 
+def f1_per_class(pairs: DataFrame) -> DataFrame:
+    """``class, f1`` for every label that is predicted or referenced. A missing label is no class, but costs the class
+    on the other side."""
+    return _per_class(confusion(pairs))
+
+
 def f1_macro(pairs: DataFrame) -> DataFrame:
     return f1_per_class(pairs).agg(F.avg("f1").alias("f1"))
 
 
-def f1(pairs: DataFrame) -> DataFrame:
+def is_binary(counted: DataFrame) -> bool:
+    """Whether the references hold no more than two labels."""
+    return counted.filter("r is not null").select("r").distinct().limit(3).count() <= 2
+
+
+def f1(pairs: DataFrame, positive=1) -> DataFrame:
     """Binary F1 for up to two reference labels, else the mean over classes."""
-    labels = pairs.select("reference").distinct().limit(3).count()
-    return f1_binary(pairs) if labels <= 2 else f1_macro(pairs)
+    return f1_binary(pairs, positive) if is_binary(confusion(pairs)) else f1_macro(pairs)
 
 
 # ---- n-gram overlap -------------------------------------------------------------------------------------
@@ -142,6 +156,11 @@ def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(_numbered(a), _numbered(b)))
 
 
+def _given(text: Column) -> Column:
+    """A missing text scores as an empty one."""
+    return F.coalesce(text.cast("string"), F.lit(""))
+
+
 def bleu_counts(prediction: Column, reference: Column, order: int = 4) -> Column:
     """``struct<p_len, r_len, m1, t1, …>``: lengths, matched and possible n-grams of one pair."""
 
@@ -153,7 +172,7 @@ def bleu_counts(prediction: Column, reference: Column, order: int = 4) -> Column
             fields.append(F.greatest(F.size(p) - (n - 1), F.lit(0)).cast("bigint").alias(f"t{n}"))
         return F.struct(*fields)
 
-    return let(F.struct(tokens_13a(prediction).alias("p"), tokens_13a(reference).alias("r")), counts)
+    return let(F.struct(tokens_13a(_given(prediction)).alias("p"), tokens_13a(_given(reference)).alias("r")), counts)
 
 
 def bleu_expr(counts: str, order: int = 4) -> Column:
@@ -183,7 +202,7 @@ def rouge_n(prediction: Column, reference: Column, n: int) -> Column:
         p, r = ngrams(both["p"], n), ngrams(both["r"], n)
         return _f_measure(overlap(p, r), F.size(p), F.size(r))
 
-    return let(F.struct(tokens_rouge(prediction).alias("p"), tokens_rouge(reference).alias("r")), score)
+    return let(F.struct(tokens_rouge(_given(prediction)).alias("p"), tokens_rouge(_given(reference)).alias("r")), score)
 
 
 # ---- longest common subsequence -------------------------------------------------------------------------
@@ -258,12 +277,12 @@ def summary_hits(predicted: Column, referenced: Column) -> Column:
 
 
 def rouge_l(prediction: Column, reference: Column) -> Column:
-    p, r = tokens_rouge(prediction), tokens_rouge(reference)
+    p, r = tokens_rouge(_given(prediction)), tokens_rouge(_given(reference))
     return _f_measure(lcs_length(p, r), F.size(p), F.size(r))
 
 
 def _sentences(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n"), lambda s: s != "")
+    lines = F.filter(F.split(_given(text), "\n"), lambda s: s != "")
     return F.transform(lines, tokens_rouge)
 
 
@@ -359,7 +378,7 @@ def meteor_score(*columns: Column) -> Column:
 
 def with_meteor(pairs: DataFrame, key: str = "sample_index", lexicon: DataFrame | None = None, out: str = "meteor") -> DataFrame:
     """Adds each pair's score. Words match when equal, then by stem, then through the lexicon."""
-    tokens = pairs.withColumns({"_p": tokens_words(F.col("prediction")), "_r": tokens_words(F.col("reference"))})
+    tokens = pairs.withColumns({"_p": tokens_words(_given(F.col("prediction"))), "_r": tokens_words(_given(F.col("reference")))})
     if lexicon is None:
         known = F.array().cast("array<string>")
         synonyms = F.array().cast("array<array<string>>")
@@ -391,32 +410,75 @@ def _greedy(p: np.ndarray, r: np.ndarray) -> tuple[float, float, float]:
 
 
 def bertscore_columns(prediction: Column, reference: Column, load: Callable[[], Embedder]) -> Column:
-    """``struct<precision, recall, f1>``: every token's best cosine with the other side, averaged. Token vectors
-    live only inside the task."""
+    """``struct<precision, recall, f1, error>``: every token's best cosine with the other side, averaged. Token vectors
+    live only inside the task. Where the embedder fails, the rows of its batch have an error and no score."""
 
-    @F.pandas_udf("precision double, recall double, f1 double")
+    @F.pandas_udf("precision double, recall double, f1 double, error string")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        embed = load()
+        embed = None
         for predicted, referenced in batches:
-            rows = [
-                _greedy(np.asarray(list(p), dtype="float64"), np.asarray(list(r), dtype="float64"))
-                for p, r in zip(embed(predicted), embed(referenced))
-            ]
-            yield pd.DataFrame(rows, columns=["precision", "recall", "f1"])
+            try:
+                embed = embed or load()
+                rows = [
+                    (*_greedy(np.asarray(list(p), dtype="float64"), np.asarray(list(r), dtype="float64")), None)
+                    for p, r in zip(embed(predicted), embed(referenced))
+                ]
+            except Exception as e:  # noqa: BLE001 - the caller's model; one failing metric must not end the others
+                rows = [(None, None, None, f"{type(e).__name__}: {e}"[:500])] * len(predicted)
+            yield pd.DataFrame(rows, columns=["precision", "recall", "f1", "error"]).astype({"error": object})
+
+    return score(_given(prediction), _given(reference))
+
 
-    return score(prediction, reference)
+def _bert_means(column: str) -> dict[str, Column]:
+    """Means without value when any pair has an error."""
+    return {f: F.when(F.count(f"{column}.error") == 0, F.avg(f"{column}.{f}")) for f in ("precision", "recall", "f1")}
 
 
 def bertscore(pairs: DataFrame, load: Callable[[], Embedder]) -> DataFrame:
+    """``precision_mean, recall_mean, f1_mean, error``."""
     scored = pairs.select(bertscore_columns(F.col("prediction"), F.col("reference"), load).alias("_b"))
-    return scored.agg(
-        F.avg("_b.precision").alias("precision_mean"), F.avg("_b.recall").alias("recall_mean"), F.avg("_b.f1").alias("f1_mean")
-    )
+    means = [c.alias(f"{f}_mean") for f, c in _bert_means("_b").items()]
+    return scored.agg(*means, F.max("_b.error").alias("error"))
 
 
 # ---- suite ----------------------------------------------------------------------------------------------
 
 
+RESULT = "metric string, value double, error string"
+CLASS_METRICS = ("exact_match", "accuracy", "precision", "recall", "f1")
+
+
+def _stacked(one: DataFrame, found: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """A row of values and errors as ``metric, value, error`` rows."""
+    entries = [
+        F.struct(F.lit(n).alias("metric"), v.cast("double").alias("value"), e.cast("string").alias("error"))
+        for n, (v, e) in found.items()
+    ]
+    return one.select(F.explode(F.array(*entries)).alias("m")).select("m.metric", "m.value", "m.error")
+
+
+def _class_part(pairs: DataFrame, wanted: Sequence[str], positive) -> DataFrame:
+    """The scores of classes, from one scan. Scores of a positive label that never occurs say so."""
+    counted, scores = confusion(pairs), _class_scores(positive)
+    names = [n for n in wanted if n in CLASS_METRICS]
+    macro = "f1" in names and not is_binary(counted)
+    if macro:
+        names.remove("f1")
+    one = counted.agg(*[scores[n].alias(n) for n in {*names, "_seen"}])
+    missing = F.lit(f"label {str(positive)!r} occurs in no prediction and no reference; pass the positive label")
+    none, found = F.lit(None), {}
+    for name in names:
+        if name in ("exact_match", "accuracy"):
+            found[name] = (F.col(name), none)
+        else:
+            found[name] = (F.when(F.col("_seen") > 0, F.col(name)), F.when(F.col("_seen") == 0, missing))
+    parts = [_stacked(one, found)] if found else []
+    if macro:
+        parts.append(_per_class(counted).agg(F.avg("f1").alias("f1")).select(F.lit("f1").alias("metric"), F.col("f1").alias("value"), none.cast("string").alias("error")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def evaluate_metrics(
     pairs: DataFrame,
     task_type: str | None = None,
@@ -425,22 +487,18 @@ def evaluate_metrics(
     key: str = "sample_index",
     embedder: Callable[[], Embedder] | None = None,
     lexicon: DataFrame | None = None,
+    positive=1,
 ) -> DataFrame:
-    """``metric, value, error``: all metrics from one scan of the pairs (F1 over many classes takes its own).
-    A metric that cannot be computed has no value and says why."""
+    """``metric, value, error``: all text metrics from one scan of the pairs, all class metrics from another. A metric
+    that cannot be computed has no value and says why; the others keep theirs. ``positive`` is the label that binary
+    precision, recall and F1 are about."""
     wanted = metric_suite(task_type, metrics)
     p, r = F.col("prediction"), F.col("reference")
-    rows, aggregates, errors = {}, {}, {}
+    rows, aggregates, failures, errors = {}, {}, {}, {}
     for name in wanted:
-        if name in ("exact_match", "accuracy"):
-            aggregates[name] = F.avg(_equal())
-        elif name == "precision":
-            aggregates[name] = precision_expr()
-        elif name == "recall":
-            aggregates[name] = recall_expr()
-        elif name == "f1":
+        if name in CLASS_METRICS:
             continue
-        elif name == "bleu":
+        if name == "bleu":
             rows["_bleu"] = bleu_counts(p, r)
             aggregates[name] = bleu_expr("_bleu")
         elif name == "rouge":
@@ -450,7 +508,8 @@ def evaluate_metrics(
             aggregates[name] = F.avg("meteor")
         elif name == "bertscore" and embedder is not None:
             rows["_bert"] = bertscore_columns(p, r, embedder)
-            aggregates.update({f"bertscore_{f}_mean": F.avg(f"_bert.{f}") for f in ("precision", "recall", "f1")})
+            aggregates.update({f"bertscore_{f}_mean": c for f, c in _bert_means("_bert").items()})
+            failures = {f"bertscore_{f}_mean": F.col("_bert_error") for f in ("precision", "recall", "f1")}
         elif name == "bertscore":
             errors[name] = "no embedder given"
         else:
@@ -458,17 +517,15 @@ def evaluate_metrics(
     scored = with_meteor(pairs, key, lexicon) if "meteor" in wanted else pairs
     parts = []
     if aggregates:
-        one = scored.withColumns(rows).agg(*[c.alias(n) for n, c in aggregates.items()])
-        stacked = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in aggregates])
-        parts.append(one.select(F.explode(stacked).alias("m")).select("m.metric", "m.value", F.lit(None).cast("string").alias("error")))
-    if "f1" in wanted:
-        parts.append(f1(pairs).select(F.lit("f1").alias("metric"), F.col("f1").alias("value"), F.lit(None).cast("string").alias("error")))
+        error = [F.max("_bert.error").alias("_bert_error")] if failures else []
+        one = scored.withColumns(rows).agg(*[c.alias(n) for n, c in aggregates.items()], *error)
+        parts.append(_stacked(one, {n: (F.col(n), failures.get(n, F.lit(None))) for n in aggregates}))
+    if any(n in CLASS_METRICS for n in wanted):
+        parts.append(_class_part(pairs, wanted, positive))
     if errors:
-        parts.append(
-            pairs.sparkSession.createDataFrame([(n, None, e) for n, e in errors.items()], "metric string, value double, error string")
-        )
+        parts.append(pairs.sparkSession.createDataFrame([(n, None, e) for n, e in errors.items()], RESULT))
     if not parts:
-        return pairs.sparkSession.createDataFrame([], "metric string, value double, error string")
+        return pairs.sparkSession.createDataFrame([], RESULT)
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

@@ -23,6 +23,7 @@ class Evaluation:
     answers: DataFrame
     num_samples: int  # rows taken from the evaluation split
     num_evaluated: int  # rows that had something to ask
+    f1_per_class: DataFrame | None = None  # class, f1; only where the suite has F1
 
 
 def evaluate_rows(
@@ -51,12 +52,15 @@ def evaluate_rows(
         config.metrics,
         embedder=embedder,
         lexicon=lexicon,
+        positive=config.positive,
     )
+    wants_f1 = "f1" in metrics.metric_suite(config.task_type, config.metrics)
     shown = answers.withColumn("input", render_images(F.col("input"))) if vision else answers
     samples = sampling.sample_results(
         shown.select(*keys, "input", "prediction", "reference"), config.num_sample_results, keys, seed
     )
-    return Evaluation(scores, samples, answers, taken.count(), answers.count())
+    per_class = metrics.f1_per_class(answers) if wants_f1 else None
+    return Evaluation(scores, samples, answers, taken.count(), answers.count(), per_class)
 
 
 def evaluate_dataset(

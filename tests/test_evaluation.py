@@ -149,7 +149,7 @@ def embedder():
 def test_bertscore(spark):
     df = spark.createDataFrame([(0, "a b", "c"), (1, "a", "a"), (2, "", "a")], "sample_index long, prediction string, reference string")
     score = metrics.bertscore_columns(F.col("prediction"), F.col("reference"), embedder)
-    got = {r["sample_index"]: tuple(r["s"]) for r in df.select("sample_index", score.alias("s")).collect()}
+    got = {r["sample_index"]: tuple(r["s"])[:3] for r in df.select("sample_index", score.alias("s")).collect()}
     half = math.sqrt(0.5)
     assert got[0] == pytest.approx((half, half, half)) and got[1] == pytest.approx((1, 1, 1)) and got[2] == (0, 0, 0)
     assert metrics.bertscore(df, embedder).first()["f1_mean"] == pytest.approx((half + 1) / 3)

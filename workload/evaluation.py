@@ -11,25 +11,38 @@ from pyspark.sql import functions as F
 from chatloom.functions.rng import index_below
 from chatloom.operators import evaluation, generation, metrics
 from workload.lexical import lexicon
-from workload.tables import CHUNK, PAIRS_SQL, conversation_rows, flat_messages, table, turn_pairs
+from workload.tables import PAIRS_SQL, conversation_rows, flat_messages, long_turns, table, turn_pairs
 
 LANGS = ("de", "en", "es", "fr")
 
 
 def messages_from_turns(spark, sf):
-    return flat_messages(conversation_rows(spark, sf), "messages", "conv_id", "chunk")
+    return flat_messages(conversation_rows(spark, sf), "messages", "conv_id")
 
 
 def _prepared(spark, sf):
-    return evaluation.prepare_eval(conversation_rows(spark, sf), keep=["conv_id", "chunk"])
+    return evaluation.prepare_eval(conversation_rows(spark, sf), keep=["conv_id"])
 
 
 def eval_prepare(spark, sf):
-    return flat_messages(_prepared(spark, sf), "input", "conv_id", "chunk")
+    return flat_messages(_prepared(spark, sf), "input", "conv_id")
 
 
 def eval_reference(spark, sf):
-    return _prepared(spark, sf).select("conv_id", "chunk", "reference")
+    return _prepared(spark, sf).select("conv_id", "reference")
+
+
+def _prepared_long(spark, sf):
+    return evaluation.prepare_eval(conversation_rows(spark, sf, long_turns(spark, sf)), keep=["conv_id"])
+
+
+def eval_prepare_long(spark, sf):
+    """Conversations of hundreds of turns are one example each."""
+    return flat_messages(_prepared_long(spark, sf), "input", "conv_id")
+
+
+def eval_reference_long(spark, sf):
+    return _prepared_long(spark, sf).select("conv_id", "reference")
 
 
 def modality(spark, sf):
@@ -59,7 +72,7 @@ def _first_words(texts: pd.Series) -> pd.Series:
 def batch_generate(spark, sf):
     """A stand-in model that answers with the first five words of the prompt in small letters."""
     done = evaluation.batch_generate(_prepared(spark, sf), lambda: _first_words)
-    return done.select("conv_id", "chunk", "prediction", "prediction_error")
+    return done.select("conv_id", "prediction", "prediction_error")
 
 
 def back_translate(spark, sf):
@@ -168,10 +181,49 @@ def evaluate_classification(spark, sf):
     return _rounded(metrics.evaluate_metrics(_quality(spark, sf), "classification")).select("metric", "value")
 
 
+def _with_nulls(spark, sf):
+    """Labelled documents; every seventh prediction and every eleventh reference is missing."""
+    labels = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    return labels.select(
+        F.when(F.col("doc_id") % 7 != 0, (F.col("n_chars") > 500).cast("int")).alias("prediction"),
+        F.when(F.col("doc_id") % 11 != 0, F.col("quality")).alias("reference"),
+    )
+
+
+def scores_with_nulls(spark, sf):
+    """Missing labels stay in the denominators."""
+    return _rounded(metrics.evaluate_metrics(_with_nulls(spark, sf), metrics=metrics.CLASS_METRICS))
+
+
+def f1_text_labels(spark, sf):
+    """Text labels, with the positive one named and with the default, which does not occur."""
+    named = F.when(F.col("prediction") == 1, "good").otherwise("bad"), F.when(F.col("reference") == 1, "good").otherwise("bad")
+    pairs = _quality(spark, sf).select(named[0].alias("prediction"), named[1].alias("reference"))
+    asked = [(p, metrics.evaluate_metrics(pairs, metrics=("precision", "f1"), positive=p)) for p in ("good", 1)]
+    parts = [d.select(F.lit(str(p)).alias("positive"), "metric", F.round("value", 6).alias("value"), F.col("error").isNotNull().alias("failed")) for p, d in asked]
+    return parts[0].unionByName(parts[1])
+
+
+def _no_model():
+    raise OSError("no model here")
+
+
+def suite_with_failing_metric(spark, sf):
+    """An embedder that cannot be loaded costs only its own scores."""
+    pairs = turn_pairs(spark, sf)
+    done = metrics.evaluate_metrics(pairs, metrics=("bertscore", "exact_match", "unheard_of"), embedder=_no_model)
+    return done.select("metric", "value", "error")
+
+
 QUERIES = {
+    "scores_with_nulls": scores_with_nulls,
+    "f1_text_labels": f1_text_labels,
+    "suite_with_failing_metric": suite_with_failing_metric,
     "messages_from_turns": messages_from_turns,
     "eval_prepare": eval_prepare,
     "eval_reference": eval_reference,
+    "eval_prepare_long": eval_prepare_long,
+    "eval_reference_long": eval_reference_long,
     "modality": modality,
     "align": align,
     "unaligned": unaligned,
@@ -195,12 +247,14 @@ QUERIES = {
     "evaluate_classification": evaluate_classification,
 }
 
-_CHUNKS = f"""
-c AS (SELECT conv_id, turn // {CHUNK} AS chunk, turn, role, text,
-             row_number() OVER (PARTITION BY conv_id, turn // {CHUNK} ORDER BY turn) - 1 AS pos FROM conversations),
-f AS (SELECT conv_id, chunk, min(pos) FILTER (role = 'assistant') AS first FROM c GROUP BY 1, 2),
-asked AS (SELECT c.*, first, row_number() OVER (PARTITION BY c.conv_id, c.chunk ORDER BY pos) - 1 AS in_pos
-          FROM c JOIN f USING (conv_id, chunk)
+_LONG = """longs AS (SELECT conv_id % 10 AS conv_id, conv_id // 10 * 1000 + turn AS turn, role, text FROM conversations),"""
+
+_ASKED = """
+c AS (SELECT conv_id, turn, role, text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations),
+f AS (SELECT conv_id, min(pos) FILTER (role = 'assistant') AS first FROM c GROUP BY 1),
+asked AS (SELECT c.*, first, row_number() OVER (PARTITION BY c.conv_id ORDER BY pos) - 1 AS in_pos
+          FROM c JOIN f USING (conv_id)
           WHERE role IN ('user', 'system') AND (first IS NULL OR pos < first))"""
 
 _QUALITY = """
@@ -253,12 +307,34 @@ FROM t LEFT JOIN hits USING (sample_index)"""
 
 
 ORACLES = {
-    "messages_from_turns": f"WITH {_CHUNKS} SELECT conv_id, chunk, pos, role, 0::BIGINT AS part_pos, 'text' AS part_type, text FROM c",
-    "eval_prepare": f"WITH {_CHUNKS} SELECT conv_id, chunk, in_pos AS pos, role, 0::BIGINT AS part_pos, 'text' AS part_type, text FROM asked",
-    "eval_reference": f"""WITH {_CHUNKS}
-        SELECT f.conv_id, f.chunk, coalesce(trim(c.text, ' ' || chr(9) || chr(10) || chr(13)), '') AS reference
-        FROM f LEFT JOIN c ON c.conv_id = f.conv_id AND c.chunk = f.chunk AND c.pos = f.first
-        WHERE EXISTS (FROM asked a WHERE a.conv_id = f.conv_id AND a.chunk = f.chunk)""",
+    "scores_with_nulls": """WITH q AS (SELECT CASE WHEN doc_id % 7 <> 0 THEN (n_chars > 500)::INTEGER END AS p,
+            CASE WHEN doc_id % 11 <> 0 THEN quality END AS r FROM labels JOIN documents USING (doc_id)),
+        s AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (p IS NOT DISTINCT FROM r) AS same,
+                count(*) FILTER (p = 1 AND r = 1)::DOUBLE AS tp, count(*) FILTER (p = 1) AS pp, count(*) FILTER (r = 1) AS rr FROM q)
+        SELECT metric, round(value, 6) AS value, NULL::VARCHAR AS error FROM (
+          SELECT 'exact_match' AS metric, same / n AS value FROM s UNION ALL SELECT 'accuracy', same / n FROM s
+          UNION ALL SELECT 'precision', tp / pp FROM s UNION ALL SELECT 'recall', tp / rr FROM s
+          UNION ALL SELECT 'f1', 2 * tp / (pp + rr) FROM s)""",
+    "f1_text_labels": f"""WITH {_QUALITY},
+        s AS (SELECT count(*) FILTER (p = 1 AND r = 1)::DOUBLE AS tp, count(*) FILTER (p = 1) AS pp, count(*) FILTER (r = 1) AS rr FROM q)
+        SELECT 'good' AS positive, 'precision' AS metric, round(tp / pp, 6) AS value, false AS failed FROM s
+        UNION ALL SELECT 'good', 'f1', round(2 * tp / (pp + rr), 6), false FROM s
+        UNION ALL SELECT '1', unnest(['precision', 'f1']), NULL, true FROM s""",
+    "suite_with_failing_metric": f"""WITH {PAIRS_SQL}
+        SELECT 'exact_match' AS metric, avg((prediction = reference)::INTEGER) AS value, NULL::VARCHAR AS error FROM pairs
+        UNION ALL SELECT unnest(['bertscore_precision_mean', 'bertscore_recall_mean', 'bertscore_f1_mean']), NULL, 'OSError: no model here'
+        UNION ALL SELECT 'unheard_of', NULL, 'unknown metric'""",
+    "messages_from_turns": f"WITH {_ASKED} SELECT conv_id, pos, role, 0::BIGINT AS part_pos, 'text' AS part_type, text FROM c",
+    "eval_prepare": f"WITH {_ASKED} SELECT conv_id, in_pos AS pos, role, 0::BIGINT AS part_pos, 'text' AS part_type, text FROM asked",
+    "eval_reference": f"""WITH {_ASKED}
+        SELECT f.conv_id, coalesce(trim(c.text, ' ' || chr(9) || chr(10) || chr(13)), '') AS reference
+        FROM f LEFT JOIN c ON c.conv_id = f.conv_id AND c.pos = f.first
+        WHERE EXISTS (FROM asked a WHERE a.conv_id = f.conv_id)""",
+    "eval_prepare_long": f"WITH {_LONG} {_ASKED.replace('FROM conversations', 'FROM longs')} SELECT conv_id, in_pos AS pos, role, 0::BIGINT AS part_pos, 'text' AS part_type, text FROM asked",
+    "eval_reference_long": f"""WITH {_LONG} {_ASKED.replace('FROM conversations', 'FROM longs')}
+        SELECT f.conv_id, coalesce(trim(c.text, ' ' || chr(9) || chr(10) || chr(13)), '') AS reference
+        FROM f LEFT JOIN c ON c.conv_id = f.conv_id AND c.pos = f.first
+        WHERE EXISTS (FROM asked a WHERE a.conv_id = f.conv_id)""",
     "modality": "SELECT 'text' AS modality FROM conversations LIMIT 1",
     "align": f"WITH {PAIRS_SQL} SELECT * FROM pairs",
     "unaligned": """WITH p AS (SELECT conv_id * 1000000 + turn AS k FROM conversations WHERE role = 'user'),
@@ -306,13 +382,13 @@ ORACLES = {
         re AS (SELECT sample_index, avg(m) AS r FROM (SELECT sample_index, j, max(s) AS m FROM sim GROUP BY ALL) GROUP BY 1)
         SELECT sample_index, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1
         FROM pr JOIN re USING (sample_index)""",
-    "batch_generate": rf"""WITH {_CHUNKS},
-        s AS (SELECT conv_id, chunk, any_value(text) AS system FROM asked WHERE in_pos = 0 AND role = 'system' GROUP BY 1, 2),
-        p AS (SELECT conv_id, chunk, string_agg('<start_of_turn>' || role || chr(10) ||
+    "batch_generate": rf"""WITH {_ASKED},
+        s AS (SELECT conv_id, any_value(text) AS system FROM asked WHERE in_pos = 0 AND role = 'system' GROUP BY 1),
+        p AS (SELECT conv_id, string_agg('<start_of_turn>' || role || chr(10) ||
                 CASE WHEN in_pos = (system IS NOT NULL)::INTEGER THEN coalesce(system || chr(10) || chr(10), '') ELSE '' END ||
                 trim(text, ' ' || chr(9) || chr(10) || chr(13)) || '<end_of_turn>' || chr(10), '' ORDER BY in_pos) || '<start_of_turn>model' || chr(10) AS prompt
-              FROM asked LEFT JOIN s USING (conv_id, chunk) WHERE in_pos > 0 OR role <> 'system' GROUP BY 1, 2)
-        SELECT conv_id, chunk, lower(array_to_string(list_slice(list_filter(regexp_split_to_array(prompt, '\s+'), lambda w: w <> ''), 1, 5), ' ')) AS prediction,
+              FROM asked LEFT JOIN s USING (conv_id) WHERE in_pos > 0 OR role <> 'system' GROUP BY 1)
+        SELECT conv_id, lower(array_to_string(list_slice(list_filter(regexp_split_to_array(prompt, '\s+'), lambda w: w <> ''), 1, 5), ' ')) AS prediction,
                NULL::VARCHAR AS prediction_error FROM p""",
     "evaluate_classification": f"""WITH {_QUALITY},
         s AS (SELECT count(*) FILTER (p = 1 AND r = 1)::DOUBLE AS tp, count(*) FILTER (p = 1) AS pp, count(*) FILTER (r = 1) AS rr,

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from chatloom.functions.messages import text_part
 from chatloom.sources.files import spread
 
-CHUNK = 64  # messages per row; longer conversations go on in the next row
-
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -25,15 +23,24 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "conversations"))
 
 
-def conversation_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """conv_id, chunk, messages. A row holds at most CHUNK messages, so no group grows with the data."""
+def long_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """The turns of every tenth conversation in a row, as a few long conversations."""
+    return table(spark, sf, "conversations").select(
+        (F.col("conv_id") % 10).alias("conv_id"),
+        (F.floor(F.col("conv_id") / 10) * 1000 + F.col("turn")).alias("turn"),
+        "role",
+        "text",
+    )
+
+
+def conversation_rows(spark: SparkSession, sf: str, turns: DataFrame | None = None) -> DataFrame:
+    """conv_id, messages: whole conversations, each of which is one example and so one row."""
+    rows = table(spark, sf, "conversations") if turns is None else turns
     return (
-        table(spark, sf, "conversations")
-        .groupBy("conv_id", F.floor(F.col("turn") / CHUNK).alias("chunk"))
+        rows.groupBy("conv_id")
         .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
         .select(
             "conv_id",
-            "chunk",
             F.transform(
                 "turns",
                 lambda t: F.struct(t["role"].alias("role"), F.array(text_part(t["text"])).alias("content")),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatloom.operators import training
-from workload.tables import CHUNK, conversation_rows, documents, table
+from workload.tables import conversation_rows, documents, long_turns, table
 
 
 def _ids(text):
@@ -20,15 +20,22 @@ def _tokens(spark, sf):
 
 
 def _flat(df, column, *ids):
-    return df.select(*ids, F.posexplode(column).alias("i", column)).withColumn("i", F.col("i").cast("bigint"))
+    # the outer form: from the plain one the planner derives a test that computes the column a second time, in the scan
+    flat = df.select(*ids, F.posexplode_outer(column).alias("i", column)).filter(F.col("i").isNotNull())
+    return flat.withColumn("i", F.col("i").cast("bigint"))
 
 
 def chat_render(spark, sf):
-    return training.render_chat(conversation_rows(spark, sf)).select("conv_id", "chunk", "text")
+    return training.render_chat(conversation_rows(spark, sf)).select("conv_id", "text")
+
+
+def chat_render_long(spark, sf):
+    """Conversations of hundreds of turns, each as one text."""
+    return training.render_chat(conversation_rows(spark, sf, long_turns(spark, sf))).select("conv_id", "text")
 
 
 def chat_render_prompt(spark, sf):
-    return training.render_chat(conversation_rows(spark, sf), add_generation_prompt=True).select("conv_id", "chunk", "text")
+    return training.render_chat(conversation_rows(spark, sf), add_generation_prompt=True).select("conv_id", "text")
 
 
 def standardize(spark, sf):
@@ -88,6 +95,7 @@ def argmax(spark, sf):
 QUERIES = {
     "chat_render": chat_render,
     "chat_render_prompt": chat_render_prompt,
+    "chat_render_long": chat_render_long,
     "standardize": standardize,
     "mask_labels": mask_labels,
     "mask_non_response": mask_non_response,
@@ -98,15 +106,15 @@ QUERIES = {
 }
 
 _RENDER = f"""
-WITH c AS (SELECT conv_id, turn // {CHUNK} AS chunk, turn, role, text,
-        row_number() OVER (PARTITION BY conv_id, turn // {CHUNK} ORDER BY turn) AS pos FROM conversations),
-s AS (SELECT conv_id, chunk, text || chr(10) || chr(10) AS prefix FROM c WHERE pos = 1 AND role = 'system'),
+WITH c AS (SELECT conv_id, turn, role, text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations),
+s AS (SELECT conv_id, text || chr(10) || chr(10) AS prefix FROM c WHERE pos = 1 AND role = 'system'),
 m AS (SELECT c.*, s.prefix, (prefix IS NULL AND pos = 1) OR (prefix IS NOT NULL AND pos = 2) AS leads
-      FROM c LEFT JOIN s USING (conv_id, chunk) WHERE NOT (pos = 1 AND role = 'system')),
-r AS (SELECT conv_id, chunk, string_agg('<start_of_turn>' || CASE role WHEN 'assistant' THEN 'model' ELSE role END || chr(10) ||
+      FROM c LEFT JOIN s USING (conv_id) WHERE NOT (pos = 1 AND role = 'system')),
+r AS (SELECT conv_id, string_agg('<start_of_turn>' || CASE role WHEN 'assistant' THEN 'model' ELSE role END || chr(10) ||
         CASE WHEN leads THEN coalesce(prefix, '') ELSE '' END || trim(text, ' ' || chr(9) || chr(10) || chr(13)) || '<end_of_turn>' || chr(10), '' ORDER BY pos) AS body
-      FROM m GROUP BY 1, 2)
-SELECT conv_id, chunk, body{{suffix}} AS text FROM r"""
+      FROM m GROUP BY 1)
+SELECT conv_id, body{{suffix}} AS text FROM r"""
 
 _IDS = """
 t AS (SELECT doc_id, n_chars, list_transform(string_split(text, ' '), lambda w: (('0x' || substr(md5(w), 1, 8))::BIGINT % 1000)::INTEGER) AS ids
@@ -121,6 +129,8 @@ b AS (SELECT doc_id % 32 AS batch_id, count(*) FILTER (x % 10 <> 0) AS n,
 
 ORACLES = {
     "chat_render": _RENDER.format(suffix=""),
+    "chat_render_long": "WITH longs AS (SELECT conv_id % 10 AS conv_id, conv_id // 10 * 1000 + turn AS turn, role, text"
+    " FROM conversations), " + _RENDER.format(suffix="").replace("FROM conversations", "FROM longs").lstrip().removeprefix("WITH"),
     "chat_render_prompt": _RENDER.format(suffix=" || '<start_of_turn>model' || chr(10)"),
     "standardize": "SELECT conv_id, turn, role, text AS content FROM conversations",
     "mask_labels": f"{_FLAT} SELECT doc_id, i, CASE WHEN x IN (0, 7, 500, 262144) THEN -100 ELSE x END AS label FROM f",
