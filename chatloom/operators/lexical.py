@@ -27,12 +27,12 @@ STOP_WORDS = (
 ).split()
 
 OPERATIONS = ("synonym", "insert", "swap", "delete")
-INSERT_TRIES = 10
+INSERT_TRIES = 9
 SWAP_TRIES = 3
 KNOWN = "array<struct<word:string,synonyms:array<string>>>"
 BROADCAST_WORDS = 500_000  # a lexicon up to this many words and characters is broadcast,
 BROADCAST_CHARS = 64 * 2**20  # a larger one is joined by shuffle
-SALTS = 32  # pieces a frequent word is cut into in that shuffle
+FREQUENT = 1000  # in that shuffle, words of at least 1/FREQUENT of all uses are broadcast, which are no more
 
 
 def clean_column(df: DataFrame, column: str, out: str = "clean") -> DataFrame:
@@ -57,6 +57,12 @@ def _is_small(lexicon: DataFrame) -> bool:
     return found["n"] <= BROADCAST_WORDS and (found["b"] or 0) <= BROADCAST_CHARS
 
 
+def merge_words(lexicon: DataFrame) -> DataFrame:
+    """One row per word: the synonyms of all its rows, sorted, each once."""
+    every = F.flatten(F.collect_list("synonyms"))
+    return lexicon.groupBy("word").agg(F.sort_array(F.array_distinct(every)).alias("synonyms"))
+
+
 def _known_from_dictionary(own: Column, lexicon: DataFrame) -> Column:
     """Lookup in a broadcast dictionary, batch by batch, where the texts are."""
     entries = {r["word"]: list(r["synonyms"]) for r in lexicon.collect()}
@@ -72,15 +78,20 @@ def _known_from_dictionary(own: Column, lexicon: DataFrame) -> Column:
 
 
 def _known_from_join(df: DataFrame, keys: list[str], lexicon: DataFrame) -> DataFrame:
-    """Lookup by join for a lexicon of any size. A word most texts hold would meet in one task, so both sides
-    are salted: texts by their key, the lexicon by a copy per salt. A text's words come together again before
-    they move."""
-    own = df.select(*keys, F.explode("_own").alias("word")).withColumn(
-        "_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS))
-    )
-    copies = lexicon.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    """Lookup by join for a lexicon of any size. A word most texts hold would meet in one task: the few words that
+    make up a large share of all uses are broadcast, the others meet in a shuffle where none is frequent. A text's
+    words come together again before they move."""
+    own = df.select(*keys, F.explode("_own").alias("word"))
+    uses = own.groupBy("word").agg(F.count(F.lit(1)).alias("_uses"))
+    counted = lexicon.join(uses, "word")
+    total = uses.agg(F.sum("_uses")).first()[0] or 0
+    often = F.col("_uses") * FREQUENT >= F.lit(total)
+    hot = F.broadcast(counted.filter(often).select("word", F.col("synonyms").alias("_hot")))
+    tagged = own.join(hot, "word", "left")
+    here = tagged.filter(F.col("_hot").isNotNull()).select(*keys, "word", F.col("_hot").alias("synonyms"))
+    rest = tagged.filter(F.col("_hot").isNull()).drop("_hot").join(counted.filter(~often).drop("_uses"), "word")
     return (
-        own.join(copies, ["word", "_salt"])
+        here.unionByName(rest.select(*keys, "word", "synonyms"))
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct("word", "synonyms"))).alias("known"))
     )
@@ -91,6 +102,7 @@ def with_synonyms(df: DataFrame, key: str | Sequence[str], words_col: str, lexic
     of checked small size goes to the texts, which then need not move at all; for a larger one the texts' words
     go to the lexicon."""
     keys = [key] if isinstance(key, str) else list(key)
+    lexicon = merge_words(lexicon)
     own = settle(df, "_own", F.array_distinct(words_col))
     if _is_small(lexicon):
         return own.withColumn("known", _known_from_dictionary(F.col("_own"), lexicon)).drop("_own")
@@ -196,7 +208,7 @@ def random_swap(words_col: Column, n: Column, seed, *key) -> Column:
 
 
 def random_insert(words_col: Column, known: Column, n: Column, seed, *key) -> Column:
-    """n times the first synonym of a random word (ten tries to find one that has synonyms) goes to a random place."""
+    """n times the first synonym of a random word (nine tries to find one that has synonyms) goes to a random place."""
     return _ordered_edits(seed)(F.lit("insert"), words_col, *_first_synonyms(known), n, _key_text(key))
 
 

@@ -167,7 +167,7 @@ ins AS (SELECT turn_key, words, 0 AS step, {_EDITS} AS n, coalesce(known, []) AS
            list_concat(list_concat(list_slice(words, 1, at_pos), [firsts[list_position(known, hit)]]), list_slice(words, at_pos + 1, len(words))) END,
          step + 1, n, known, firsts
   FROM (SELECT *, {_u32("'42:at:' || turn_key || ':' || step")} % len(words) AS at_pos,
-          list_filter(list_transform(range(10), lambda t: words[{_u32("'42:insert:' || turn_key || ':' || step || ':' || t")} % len(words) + 1]),
+          list_filter(list_transform(range(9), lambda t: words[{_u32("'42:insert:' || turn_key || ':' || step || ':' || t")} % len(words) + 1]),
             lambda w: list_contains(known, w))[1] AS hit
         FROM ins WHERE step < n AND len(words) > 0))"""
 
