@@ -23,6 +23,11 @@ def u32(seed, *parts) -> Column:
     return F.conv(F.substring(hash_hex(seed, *parts), 1, 8), 16, 10).cast("bigint")
 
 
+def u60(seed, *parts) -> Column:
+    """Uniform integer in [0, 2**60), for draws from more rows than 32 bits can tell apart."""
+    return F.conv(F.substring(hash_hex(seed, *parts), 1, 15), 16, 10).cast("bigint")
+
+
 def uniform(seed, *parts) -> Column:
     """Uniform double in [0, 1)."""
     return u32(seed, *parts) / F.lit(float(2**32))

@@ -141,22 +141,29 @@ def extra_rows(
     config: AugmentationConfig,
     lexicon: DataFrame | None = None,
     models: dict[str, object] | None = None,
+    errors: list[str] | None = None,
 ) -> DataFrame | None:
     """The rows that bring the dataset to its target size, with ``origin`` (synthetic, augmented) and ``draw``
-    (number of an augmented row, else null); None when there is nothing to add. An edited row that could not be
-    changed is still added, so sizes are exact except for synthetic rows a model failed to give.
+    (number of an augmented row, else null); None when there is nothing to add. Synthetic rows a model failed to give
+    are made up for by edited ones, and said in ``errors``; an edited row that could not be changed is still added. So
+    sizes are exact.
     ``models``: ``synthesis`` a loader; ``back_translation`` a pair of loaders; ``paraphrasing`` one loader."""
     models = dict(models or {})
     methods = enabled_methods(config, models)
-    if EDA in methods and lexicon is None:
-        lexicon = df.sparkSession.createDataFrame([], "word string, synonyms array<string>")
     rows = df.count()
     edited, parts = target_extra(rows, config.augmentation_factor), []
+    editors = [m for m in methods if m != SYNTHESIS]
     if edited and SYNTHESIS in methods and "messages" in df.columns:
         synthetic, edited = synthesis_split(edited, config.synthesis_ratio)
         if synthetic:
-            parts.append(_synthetic(df, synthetic, key, config, models[SYNTHESIS]))
-    editors = [m for m in methods if m != SYNTHESIS]
+            made = _synthetic(df, synthetic, key, config, models[SYNTHESIS])
+            parts.append(made)
+            if short := synthetic - made.count():  # what the model failed to give is made up for by editing
+                edited, editors = edited + short, editors or [EDA]
+                if errors is not None:
+                    errors.append(f"synthesis gave {synthetic - short} of {synthetic} rows")
+    if EDA in editors and lexicon is None:
+        lexicon = df.sparkSession.createDataFrame([], "word string, synonyms array<string>")
     if edited and editors:
         drawn = sampling.sample_with_replacement(df, edited, key, config.seed, rows)
         if "messages" in df.columns:
@@ -202,9 +209,10 @@ def augment(
     config: AugmentationConfig,
     lexicon: DataFrame | None = None,
     models: dict[str, object] | None = None,
+    errors: list[str] | None = None,
 ) -> DataFrame:
     """The rows themselves (``origin`` = original) followed by their extra rows."""
-    extra = extra_rows(df, key, config, lexicon, models)
+    extra = extra_rows(df, key, config, lexicon, models, errors)
     originals = as_originals(df)
     return originals if extra is None else originals.unionByName(extra, allowMissingColumns=True)
 
@@ -215,13 +223,14 @@ def extra_split_rows(
     config: AugmentationConfig,
     lexicon: DataFrame | None = None,
     models: dict[str, object] | None = None,
+    errors: list[str] | None = None,
 ) -> DataFrame | None:
     """Extra rows per chosen split, each grown by itself. By default only train grows; ``splits="all"`` grows
     test data too."""
     names = sorted(r["split"] for r in df.select("split").distinct().collect())
     result = None
     for name in (n for n in names if config.splits == "all" or n in config.splits):
-        extra = extra_rows(df.filter(F.col("split") == name).drop("split"), key, config, lexicon, models)
+        extra = extra_rows(df.filter(F.col("split") == name).drop("split"), key, config, lexicon, models, errors)
         if extra is not None:
             extra = extra.withColumn("split", F.lit(name))
             result = extra if result is None else result.unionByName(extra, allowMissingColumns=True)
@@ -234,8 +243,9 @@ def augment_splits(
     config: AugmentationConfig,
     lexicon: DataFrame | None = None,
     models: dict[str, object] | None = None,
+    errors: list[str] | None = None,
 ) -> DataFrame:
-    extra = extra_split_rows(df, key, config, lexicon, models)
+    extra = extra_split_rows(df, key, config, lexicon, models, errors)
     originals = as_originals(df)
     return originals if extra is None else originals.unionByName(extra, allowMissingColumns=True)
 
@@ -265,37 +275,3 @@ def _as_content(dtype: T.ArrayType):
     return lambda m: F.struct(
         m["role"].alias("role"), F.transform(m["content"], lambda p: M.text_part(p["text"], vision)).alias("content")
     )
-
-
-def augment_splits(
-    df: DataFrame,
-    key: str | Sequence[str],
-    config: AugmentationConfig,
-    lexicon: DataFrame | None = None,
-    models: dict[str, object] | None = None,
-) -> DataFrame:
-    """Every chosen split grows by itself. By default only train does; ``splits="all"`` grows test data too."""
-    names = sorted(r["split"] for r in df.select("split").distinct().collect())
-    chosen = [n for n in names if config.splits == "all" or n in config.splits]
-    rest = df.filter(~F.col("split").isin(chosen)) if chosen else df
-    result = _with_origin(rest, "original").withColumn("draw", F.lit(None).cast("bigint"))
-    for name in chosen:
-        grown = augment(df.filter(F.col("split") == name).drop("split"), key, config, lexicon, models)
-        result = result.unionByName(grown.withColumn("split", F.lit(name)))
-    return result
-
-
-def augmentation_report(augmented: DataFrame, methods: Sequence[str], errors: Sequence[str] = ()) -> DataFrame:
-    """One row: sizes before and after, methods, whether synthesis took part, and the share of the goal reached."""
-    sizes = augmented.agg(
-        F.count_if(F.col("origin") == "original").alias("original_count"),
-        F.count(F.lit(1)).alias("final_count"),
-    )
-    return sizes.select(
-        "original_count",
-        "final_count",
-        F.lit(",".join(methods)).alias("methods_used"),
-        F.lit(SYNTHESIS in methods).alias("synthesis_used"),
-        F.lit(",".join(errors)).alias("errors"),
-        F.least(F.lit(1.0), F.col("final_count") / F.greatest(F.lit(1), F.col("original_count"))).alias("success_rate"),
-    )

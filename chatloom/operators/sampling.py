@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chatloom.config import ManualSplit, NamedSplits, NoSplit
-from chatloom.functions.rng import hash_hex, key_columns, u32
+from chatloom.functions.rng import hash_hex, key_columns, u60
 
 SEED = 42
 _DIGITS = 3  # hex digits per refinement: at most 4096 counts on the driver at a time
 _RANK_DIGITS = 4  # hex digits of a rank bucket: 65,536 even buckets
+_FEW_PICKS = 10_000  # picks (a key and two numbers each) that are broadcast
 _SMALL_BUCKET = 10_000  # hashes (32 characters each) the driver may look at
 
 
@@ -196,17 +197,27 @@ def with_order_rank(df: DataFrame, key: str | Sequence[str], seed=SEED, name: st
 def draws(spark: SparkSession, k: int, n: int, seed=SEED) -> DataFrame:
     """k draws with replacement from the ranks 0…n-1."""
     return spark.range(k).select(
-        F.col("id").alias("draw"), F.pmod(u32(seed, "draw", F.col("id")), F.lit(n)).alias("row_index")
+        F.col("id").alias("draw"), F.pmod(u60(seed, "draw", F.col("id")), F.lit(n)).alias("row_index")
     )
 
 
 def sample_with_replacement(df: DataFrame, k: int, key: str | Sequence[str], seed=SEED, rows: int | None = None) -> DataFrame:
-    """k rows, each drawn from all rows; adds ``draw``. Both join sides are keyed by an even spread of ranks."""
+    """k rows, each drawn from all rows; adds ``draw``. Ranks are given to the keys alone; the rows are fetched by key."""
     rows = df.count() if rows is None else rows
     if rows == 0 or k <= 0:
         return df.limit(0).withColumn("draw", F.lit(0).cast("bigint"))
     picked = draws(df.sparkSession, k, rows, seed)
-    return with_order_rank(df, key, seed).join(picked, "row_index").drop("row_index")
+    return _fetched(df, key, picked, k, seed)
+
+
+def _fetched(df: DataFrame, key: str | Sequence[str], picked: DataFrame, n: int, seed) -> DataFrame:
+    """The rows of the picked ranks. Of n picks few enough to broadcast, the rows do not move at all."""
+    keys = [key] if isinstance(key, str) else list(key)
+    ranked = with_order_rank(df.select(*keys), key, seed)
+    chosen = ranked.join(F.broadcast(picked) if n <= _FEW_PICKS else picked, "row_index").drop("row_index")
+    return df.join(F.broadcast(chosen) if n <= _FEW_PICKS else chosen, keys).select(
+        *df.columns, *[c for c in chosen.columns if c not in keys]
+    )
 
 
 def fewshot_samples(df: DataFrame, batches: int, key: str | Sequence[str], m: int = 3, seed=SEED) -> DataFrame:
@@ -222,7 +233,7 @@ def fewshot_samples(df: DataFrame, batches: int, key: str | Sequence[str], m: in
         .select(
             F.col("id").alias("batch"),
             "example",
-            F.pmod(u32(seed, "batch", F.col("id")) + F.col("example") - 1, F.lit(rows)).alias("row_index"),
+            F.pmod(u60(seed, "batch", F.col("id")) + F.col("example") - 1, F.lit(rows)).alias("row_index"),
         )
     )
-    return with_order_rank(df, key, seed).join(picked, "row_index").drop("row_index")
+    return _fetched(df, key, picked, batches * m, seed)

@@ -227,21 +227,16 @@ def test_methods_are_tried_until_one_changes_the_text(spark, lexicon):
     assert any(t != TEXT for t in texts)
 
 
-PROMPT = """You are a dataset generator. Create 2 new conversation(s) similar to the examples below, but with different topics and content. Follow the exact same format and conversation style.
+PROMPT = """Here are sample dialogues from a training set. Write 2 more dialogues that could stand beside them: alike in tone, length and layout, but about other things.
 
 Example 1:
 User: hi
 Assistant: yo
 
 
-Generate 2 new conversation(s) following the same pattern:
-- Keep the same roles (user/assistant)
-- Maintain similar conversation flow and style
-- Use different topics and content
-- Make each conversation realistic and coherent
-- Ensure responses are helpful and informative
+Now write the 2 dialogues. Only a user and an assistant speak, in turns as in the samples. No subject may come twice, nothing may contradict itself, and every answer must be of real use to the user.
 
-Output each conversation in this exact format:
+Put every dialogue between fences, laid out like this:
 ```
 User: [question or request]
 Assistant: [helpful response]

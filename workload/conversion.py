@@ -193,7 +193,7 @@ QUERIES = {
     "base64_image_check": base64_image_check,
 }
 
-U32 = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+U60 = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 
 _RANKED = "ranked AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS row_index FROM documents)"
 
@@ -208,11 +208,11 @@ ORACLES = {
     "head": "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 50",
     "sample_results": "SELECT doc_id, text FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 3",
     "sample_with_replacement": f"""WITH {_RANKED}, n AS (SELECT count(*) AS n FROM documents),
-        draws AS (SELECT d AS draw, {U32.format("'42:draw:' || d")} % n AS row_index
+        draws AS (SELECT d AS draw, {U60.format("'42:draw:' || d")} % n AS row_index
                   FROM n, range((SELECT count(*) // 2 FROM documents)) t(d))
         SELECT draw, doc_id, lang FROM draws JOIN ranked USING (row_index)""",
     "fewshot_samples": f"""WITH {_RANKED}, n AS (SELECT count(*) AS n FROM documents),
-        picks AS (SELECT b AS batch, e AS example, ({U32.format("'42:batch:' || b")} + e - 1) % n AS row_index
+        picks AS (SELECT b AS batch, e AS example, ({U60.format("'42:batch:' || b")} + e - 1) % n AS row_index
                   FROM n, range(40) t(b), range(1, 4) s(e))
         SELECT batch, example, doc_id, lang FROM picks JOIN ranked USING (row_index)""",
     "chat_lm": f"""WITH t AS (SELECT doc_id, {ws("'Summarise the following ' || lang || ' text: ' || text")} AS u,
