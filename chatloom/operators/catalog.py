@@ -6,7 +6,8 @@ from __future__ import annotations
 import hashlib
 import json
 import posixpath
-from collections.abc import Mapping
+import uuid
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -31,12 +32,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
-def _count_files(spark: SparkSession, path: str) -> int:
+def _files(spark: SparkSession, path: str) -> Iterator[str]:
     fs, jpath = _folder(spark, path)
-    listing, n = fs.listFiles(jpath, True), 0
+    listing = fs.listFiles(jpath, True)
     while listing.hasNext():
-        n += not listing.next().getPath().getName().startswith((".", "_"))
-    return n
+        name = listing.next().getPath().getName()
+        if not name.startswith((".", "_")):
+            yield name
+
+
+def _has_files(spark: SparkSession, path: str) -> bool:
+    return next(_files(spark, path), None) is not None
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -56,9 +62,32 @@ def is_id(processed_id: str) -> Column:
     return F.col("processed_dataset_id") == processed_id
 
 
+def _digest(config: Mapping) -> str:
+    return hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()
+
+
 def new_id(config: Mapping) -> str:
-    """Eight hex digits of the configuration, so that a rerun writes to the same place."""
-    return hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:8]
+    """Eight hex digits of the configuration, so that a rerun replaces its own output and nothing else."""
+    return _digest(config)[:8]
+
+
+def new_version(spark: SparkSession, base: str, processed_id: str, config: Mapping) -> str:
+    """A new folder for the rows of a dataset. It is named by the whole configuration too: an id that is in use for
+    another one is an error, not a replacement."""
+    folder, mark = dataset_path(base, processed_id), _digest(config)[8:40]
+    if _exists(spark, folder):
+        fs, jpath = _folder(spark, folder)
+        for status in fs.listStatus(jpath):
+            if not status.getPath().getName().startswith(mark):
+                raise ValueError(f"dataset {processed_id} exists with another configuration; drop it or pass another id")
+    return posixpath.join(folder, f"{mark}-{uuid.uuid4().hex[:8]}")
+
+
+def _drop_other_versions(spark: SparkSession, path: str) -> None:
+    fs, jpath = _folder(spark, posixpath.dirname(path))
+    for status in fs.listStatus(jpath):
+        if status.getPath().getName() != posixpath.basename(path):
+            fs.delete(status.getPath(), True)
 
 
 def _append_entry(spark: SparkSession, rows: list[tuple], schema, path: str, entry: str) -> DataFrame:
@@ -101,11 +130,13 @@ def register_processed(
     dataset_source: str = "upload",
     dataset_subset: str = "default",
     modality: str = "text",
+    path: str | None = None,
 ) -> DataFrame:
     """Lists the written rows of a dataset and returns its manifest row. Rows are counted from the files, which
-    takes their footers and not a second run of the plan."""
-    path, counts = dataset_path(base, processed_id), {}
-    if _exists(spark, path) and _count_files(spark, path):
+    takes their footers and not a second run of the plan. The entry is the last thing written: until then an earlier
+    version of the dataset stays as it was, and afterwards its files go."""
+    path, counts = path or dataset_path(base, processed_id), {}
+    if _exists(spark, path) and _has_files(spark, path):
         per_split = read_rows(spark, path).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
         counts = {r["split"]: r["n"] for r in per_split.collect()}
     if not counts:
@@ -117,7 +148,10 @@ def register_processed(
         processed_id, name, user_id, dataset_id, dataset_source, dataset_subset,
         datetime.now(timezone.utc).replace(tzinfo=None), sum(counts.values()), modality, splits,
     )
-    return _append_entry(spark, [row], MANIFEST, manifest_path(base), f"id_{processed_id}")
+    entry = _append_entry(spark, [row], MANIFEST, manifest_path(base), f"id_{processed_id}")
+    if path != dataset_path(base, processed_id):
+        _drop_other_versions(spark, path)
+    return entry
 
 
 def write_processed(
@@ -126,9 +160,11 @@ def write_processed(
     """Writes a dataset and returns its manifest row."""
     if not name:
         raise ValueError("dataset name is required")
-    processed_id = processed_id or new_id({"name": name, "user": user_id, "config": config or {}, **described})
-    write_rows(df, dataset_path(base, processed_id))
-    return register_processed(df.sparkSession, base, processed_id, name, user_id=user_id, **described)
+    whole = {"name": name, "user": user_id, "config": config or {}, **described}
+    processed_id = processed_id or new_id(whole)
+    path = new_version(df.sparkSession, base, processed_id, whole)
+    write_rows(df, path)
+    return register_processed(df.sparkSession, base, processed_id, name, user_id=user_id, path=path, **described)
 
 
 def dataset_summary(df: DataFrame, modality: str = "text") -> DataFrame:
@@ -219,7 +255,7 @@ def drop_dataset(spark: SparkSession, base: str, processed_id: str, user_id: str
     """Deletes the files of an owned dataset and then its entry; raw files stay. Returns the number of files."""
     get_dataset(spark, base, processed_id, user_id)
     path = dataset_path(base, processed_id)
-    n = _count_files(spark, path) if _exists(spark, path) else 0
+    n = sum(1 for _ in _files(spark, path)) if _exists(spark, path) else 0
     if n:
         _delete(spark, path)
         _delete(spark, posixpath.join(manifest_path(base), f"entry=id_{processed_id}"))

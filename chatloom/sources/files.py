@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import posixpath
 import re
 from collections.abc import Sequence
@@ -22,21 +21,44 @@ def read_csv(spark: SparkSession, path: str, schema: Schema = None, multi_line:
     return reader.csv(path)
 
 
-def _is_json_lines(spark: SparkSession, path: str) -> bool:
-    first = spark.read.text(path).filter(F.trim("value") != "").first()
-    if first is None:
-        return True
+HEAD_BYTES = 4096
+
+
+def _input_files(spark: SparkSession, path: str) -> list[str]:
+    """The files below a folder, or those a path or glob names, as the readers would take them."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return listed.inputFiles()
+
+
+def _is_document(spark: SparkSession, path: str) -> bool:
+    """Whether a JSON file is one document: an array, or an object that goes on past its first line."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).open(jpath)
     try:
-        return isinstance(json.loads(first["value"]), dict)
-    except ValueError:
-        return False
+        head = bytes(stream.readNBytes(HEAD_BYTES)).decode("utf-8", "replace").lstrip("\ufeff \t\r\n")
+    finally:
+        stream.close()
+    return head.startswith("[") or head.split("\n", 1)[0].strip() == "{"
 
 
-def read_json(spark: SparkSession, path: str, schema: Schema = None, lines: bool | None = None) -> DataFrame:
-    """One document (an array of rows) per file, or one row per line; the first line tells which."""
-    lines = _is_json_lines(spark, path) if lines is None else lines
+def _json(spark: SparkSession, paths: Sequence[str], schema: Schema, lines: bool) -> DataFrame:
     reader = spark.read.option("multiLine", not lines)
-    return (reader.schema(schema) if schema is not None else reader).json(path)
+    return (reader.schema(schema) if schema is not None else reader).json(list(paths))
+
+
+def read_json(spark: SparkSession, path: str, schema: Schema = None, lines: bool | None = None) -> DataFrame:
+    """One document (an array of rows) per file, or one row per line. ``lines`` says which; without it each file is
+    told by its name (.jsonl, .ndjson) or its own first bytes, one small read by the driver per file, so pass it for
+    folders of many files. A line that is no JSON costs only itself."""
+    if lines is not None:
+        return _json(spark, [path], schema, lines)
+    names = _input_files(spark, path)
+    by_line = [n for n in names if n.lower().endswith((".jsonl", ".ndjson")) or not _is_document(spark, n)]
+    whole = sorted(set(names) - set(by_line))
+    if not whole or not by_line:
+        return _json(spark, names or [path], schema, lines=not whole)
+    both = _json(spark, by_line, schema, True), _json(spark, whole, schema, False)
+    return both[0].unionByName(both[1], allowMissingColumns=True)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: Schema = None) -> DataFrame:
@@ -77,9 +99,10 @@ def extension(path: str) -> str:
     return ext
 
 
-def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """By extension, in any letter case; other extensions are an error."""
-    return READERS[extension(path)](spark, path)
+def read_any(spark: SparkSession, path: str, **options) -> DataFrame:
+    """By extension, in any letter case; other extensions are an error. ``options`` go to the reader: ``schema`` for
+    CSV and JSON, ``multi_line`` for CSV, ``lines`` for JSON, ``columns`` for parquet."""
+    return READERS[extension(path)](spark, path, **options)
 
 
 def _split_rows(spark: SparkSession, path: str, split: str) -> DataFrame:

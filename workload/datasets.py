@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from chatloom.config import AugmentationConfig, EvaluationConfig, ManualSplit, PreprocessingConfig
+from chatloom.config import AugmentationConfig, EvaluationConfig, ManualSplit, NoSplit, PreprocessingConfig
 from chatloom.operators import augment, catalog, sampling, synthesis
 from chatloom.plans import evaluate as evaluation_plan
 from chatloom.plans import preprocess
@@ -13,7 +13,7 @@ from chatloom.plans.materialize import scratch_path
 from chatloom.sources import files
 from chatloom.sources.processed import read_processed as read_back
 from workload.lexical import lexicon
-from workload.tables import CHUNK, conversation_rows, table
+from workload.tables import conversation_rows, table
 
 MAPPINGS = {
     "system_field": {"type": "template", "value": "Language: {lang}"},
@@ -53,13 +53,86 @@ def preview(spark, sf):
 
 
 def profile(spark, sf):
-    """Row counts and column names of the documents."""
-    docs = _docs(spark, sf)
-    found = catalog.profile(docs)
-    names = F.array(*map(F.lit, found.columns))
-    return docs.agg(F.count(F.lit(1)).alias("num_examples")).select(
-        "num_examples", F.posexplode(names).alias("position", "name")
+    """Number of rows, column names and the sampled ids, as the profile says."""
+    found = catalog.profile(_docs(spark, sf).orderBy("doc_id"))
+    rows = [(found.num_examples, i, name, [r["doc_id"] for r in found.sample]) for i, name in enumerate(found.columns)]
+    done = spark.createDataFrame(rows, "num_examples long, position int, name string, ids array<long>")
+    return done.withColumn("ids", F.array_join("ids", ","))
+
+
+def read_csv(spark, sf):
+    """Documents written as CSV, with line breaks and quotes inside the texts."""
+    path = scratch_path(spark, "csv") + ".csv"
+    rows = _docs(spark, sf).select("doc_id", "source", "n_chars", "text")
+    rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return files.read_any(spark, path, schema="doc_id long, source string, n_chars long, text string")
+
+
+def read_text(spark, sf):
+    path = scratch_path(spark, "text") + ".txt"
+    table(spark, sf, "events").select("props").write.text(path)
+    return files.read_any(spark, path)
+
+
+def _event_json(spark, sf):
+    return table(spark, sf, "events").select("event_id", "user_id", F.to_json(F.struct("event_id", "event_type", "value")).alias("value"))
+
+
+_EVENT = "event_id long, event_type string, value double"
+
+
+def read_jsonl(spark, sf):
+    """Lines, one of which, the first, is no JSON."""
+    path = scratch_path(spark, "lines") + ".jsonl"
+    bad = spark.createDataFrame([("no json",)], "value string")
+    bad.unionByName(_event_json(spark, sf).select("value")).coalesce(1).write.text(path)
+    return files.read_any(spark, path, schema=_EVENT)
+
+
+def read_json(spark, sf):
+    """A folder with files of lines and files that are one array each."""
+    path = scratch_path(spark, "mixed") + ".json"
+    rows = _event_json(spark, sf)
+    rows.filter("user_id % 2 = 0").select("value").write.text(f"{path}/lines")
+    arrays = rows.filter("user_id % 2 = 1").groupBy(F.floor(F.col("event_id") / 1000).alias("part")).agg(
+        F.concat(F.lit("[\n"), F.array_join(F.collect_list("value"), ",\n"), F.lit("\n]")).alias("value")
     )
+    arrays.write.partitionBy("part").text(f"{path}/arrays")
+    return files.read_any(spark, path, schema=_EVENT).select("event_id", "event_type", "value")
+
+
+def process_two_sources(spark, sf):
+    """Two files under one name: two datasets, both there afterwards, and a second run of one replaces only that one."""
+    base, config = scratch_path(spark, "base"), PreprocessingConfig(field_mappings=MAPPINGS, split=NoSplit())
+    paths = {}
+    for lang in ("en", "fr", "en"):
+        if lang not in paths:
+            paths[lang] = scratch_path(spark, lang) + ".parquet"
+            _docs(spark, sf).filter(F.col("lang") == lang).write.parquet(paths[lang])
+        preprocess.process_dataset(spark, paths[lang], base, "docs", "language_modeling", config, key="doc_id", user_id="user1")
+    listed = catalog.manifest(spark, base).select("num_examples", F.explode("splits").alias("s"))
+    stored = [(r["num_examples"], spark.read.parquet(r["path"]).count()) for r in listed.select("num_examples", "s.path").collect()]
+    return spark.createDataFrame(stored, "num_examples long, stored long")
+
+
+def drop_dataset(spark, sf):
+    """Two datasets, of which the owner drops one."""
+    base, kept = scratch_path(spark, "base"), []
+    for lang in ("de", "es"):
+        rows = _docs(spark, sf).filter(F.col("lang") == lang).withColumn("split", F.lit("train"))
+        entry = catalog.write_processed(rows, base, lang, user_id="user1").first()
+        kept.append(entry["processed_dataset_id"])
+    catalog.drop_dataset(spark, base, kept[0], "user1")
+    left = catalog.list_datasets(catalog.manifest(spark, base), "user1").select("dataset_name", "num_examples")
+    return left.withColumn("first_exists", F.lit(catalog.dataset_exists(spark, base, kept[0])))
+
+
+def register_raw(spark, sf):
+    """A raw file listed, found by its owner."""
+    base = scratch_path(spark, "base")
+    entry = catalog.register_raw(spark, base, f"{sf}/documents.parquet", "user1").first()
+    found = catalog.get_raw(spark, base, entry["dataset_id"], "user1")
+    return found.select("user_id", "filename", "content_type", (F.col("size_bytes") > 0).alias("has_size"))
 
 
 def _manifest(spark, sf):
@@ -120,7 +193,8 @@ def process_dataset(spark, sf):
     """The whole preparation job, read back by id."""
     train, test = read_back(spark, *_processed(spark, sf))
     both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
-    return both.select("split", "doc_id", F.size("messages").cast("bigint").alias("n_messages"))
+    text = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("="), m["content"][0]["text"])), "|")
+    return both.select("split", "doc_id", text.alias("text"))
 
 
 def _echo(texts: pd.Series) -> pd.Series:
@@ -140,7 +214,7 @@ def evaluate_dataset(spark, sf):
 def _grown(spark, sf, factor=1.5):
     rows = conversation_rows(spark, sf)
     config = AugmentationConfig(augmentation_factor=factor, use_eda=True)
-    return augment.augment(rows, ["conv_id", "chunk"], config, lexicon(spark, sf))
+    return augment.augment(rows, "conv_id", config, lexicon(spark, sf))
 
 
 def augment_counts(spark, sf):
@@ -150,13 +224,13 @@ def augment_counts(spark, sf):
 def augment_draws(spark, sf):
     """Which conversations were drawn, and that editing keeps roles and number of messages."""
     roles = F.array_join(F.transform("messages", lambda m: m["role"]), ",")
-    return _grown(spark, sf).select("conv_id", "chunk", "draw", "origin", roles.alias("roles"))
+    return _grown(spark, sf).select("conv_id", "draw", "origin", roles.alias("roles"))
 
 
 def augment_splits(spark, sf):
-    rows = sampling.train_test_split(conversation_rows(spark, sf), 0.3, ["conv_id", "chunk"])
+    rows = sampling.train_test_split(conversation_rows(spark, sf), 0.3, "conv_id")
     config = AugmentationConfig(augmentation_factor=2.0, use_eda=True)
-    grown = augment.augment_splits(rows, ["conv_id", "chunk"], config, lexicon(spark, sf))
+    grown = augment.augment_splits(rows, "conv_id", config, lexicon(spark, sf))
     return grown.groupBy("split", "origin").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -165,7 +239,7 @@ def augment_report(spark, sf):
 
 
 def synthesis_prompts(spark, sf):
-    done = synthesis.synthesis_prompts(conversation_rows(spark, sf), 95, ["conv_id", "chunk"], custom_prompt=" Be brief. ")
+    done = synthesis.synthesis_prompts(conversation_rows(spark, sf), 95, "conv_id", custom_prompt=" Be brief. ")
     return done
 
 
@@ -190,14 +264,14 @@ def parse_conversations(spark, sf):
 
 def _author(prompts: pd.Series) -> pd.Series:
     """Stand-in model: as many conversations as the prompt asks for."""
-    asked = prompts.str.extract(r"Create (\d+) new")[0].astype(int)
+    asked = prompts.str.extract(r"Write (\d+) more")[0].astype(int)
     return asked.map(lambda n: "\n".join(f"```\nUser: question {i}\nAssistant: answer {i}\n```" for i in range(n)))
 
 
 def synthesize(spark, sf):
     rows = conversation_rows(spark, sf)
     n = rows.count() // 3
-    made = synthesis.synthesize(rows, n, ["conv_id", "chunk"], lambda: _author, system_message="Be kind.")
+    made = synthesis.synthesize(rows, n, "conv_id", lambda: _author, system_message="Be kind.")
     text = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("="), m["content"][0]["text"])), "|")
     return made.select("batch", F.col("block").cast("bigint").alias("block"), text.alias("text"))
 
@@ -207,7 +281,7 @@ def augment_with_models(spark, sf):
     rows = conversation_rows(spark, sf)
     config = AugmentationConfig(augmentation_factor=2.0, use_paraphrasing=True, use_synthesis=True)
     models = {"synthesis": lambda: _author, "paraphrasing": lambda: (lambda t: t.str.lower())}
-    grown = augment.augment(rows, ["conv_id", "chunk"], config, models=models)
+    grown = augment.augment(rows, "conv_id", config, models=models)
     return grown.groupBy("origin").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -217,6 +291,13 @@ QUERIES = {
     "split_summary": split_summary,
     "preview": preview,
     "profile": profile,
+    "read_csv": read_csv,
+    "read_text": read_text,
+    "read_jsonl": read_jsonl,
+    "read_json": read_json,
+    "process_two_sources": process_two_sources,
+    "drop_dataset": drop_dataset,
+    "register_raw": register_raw,
     "list_datasets": list_datasets,
     "get_dataset": get_dataset,
     "write_processed": write_processed,
@@ -233,17 +314,17 @@ QUERIES = {
 }
 
 _CONV = f"""
-conv AS (SELECT conv_id, turn // {CHUNK} AS chunk, string_agg(role, ',' ORDER BY turn) AS roles,
+conv AS (SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles,
                 string_agg(CASE WHEN role <> 'system' THEN upper(role[1]) || role[2:] || ': ' || text || chr(10) ELSE '' END, '' ORDER BY turn) AS said
-         FROM conversations GROUP BY 1, 2),
-ranked AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || conv_id || ':' || chunk)) - 1 AS row_index FROM conv),
+         FROM conversations GROUP BY 1),
+ranked AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || conv_id )) - 1 AS row_index FROM conv),
 total AS (SELECT count(*) AS n FROM conv)"""
 
 _RANKED_DOCS = """
 ranked AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS row_index FROM documents),
 total AS (SELECT count(*) AS n FROM documents)"""
 
-_U32 = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+_U60 = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 _WS = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 
 
@@ -263,7 +344,17 @@ ORACLES = {
         FROM documents GROUP BY source""",
     "preview": """SELECT doc_id, text, source AS split FROM documents
         QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 5""",
-    "profile": """SELECT (SELECT count(*) FROM documents) AS num_examples, position::INTEGER AS position, name
+    "read_csv": "SELECT doc_id, source, n_chars, text FROM documents",
+    "read_text": "SELECT props AS text FROM events",
+    "read_jsonl": "SELECT event_id, event_type, value FROM events UNION ALL SELECT NULL, NULL, NULL",
+    "read_json": "SELECT event_id, event_type, value FROM events",
+    "process_two_sources": f"""SELECT count(*) AS num_examples, count(*) AS stored FROM documents
+        WHERE lang IN ('en', 'fr') AND {_WS.format('text')} <> '' GROUP BY lang""",
+    "drop_dataset": "SELECT 'es' AS dataset_name, count(*) AS num_examples, false AS first_exists FROM documents WHERE lang = 'es'",
+    "register_raw": """SELECT 'user1' AS user_id, 'documents.parquet' AS filename, 'application/octet-stream' AS content_type,
+        true AS has_size FROM documents LIMIT 1""",
+    "profile": """SELECT (SELECT count(*) FROM documents) AS num_examples, position::INTEGER AS position, name,
+          (SELECT string_agg(doc_id, ',' ORDER BY doc_id) FROM (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 5)) AS ids
         FROM (VALUES (0, 'doc_id'), (1, 'text'), (2, 'lang'), (3, 'source'), (4, 'n_chars')) t(position, name)""",
     "list_datasets": r"""SELECT source AS dataset_name, substr(md5(source), 1, 8) AS processed_dataset_id, count(*) AS num_examples,
           string_agg(DISTINCT lang, ',' ORDER BY lang) AS splits,
@@ -275,7 +366,8 @@ ORACLES = {
                CASE WHEN row_index < floor(n * (1 - 0.1::DOUBLE)) THEN 'train' ELSE 'test' END AS split_name, count(*) AS num_rows
         FROM ranked, total GROUP BY ALL""",
     "process_dataset": f"""WITH {_RANKED_DOCS}
-        SELECT CASE WHEN row_index < floor(n * 0.75) THEN 'train' ELSE 'test' END AS split, doc_id, 3::BIGINT AS n_messages
+        SELECT CASE WHEN row_index < floor(n * 0.75) THEN 'train' ELSE 'test' END AS split, doc_id,
+               'system=Language: ' || lang || '|user=Continue the text from ' || source || '.|assistant=' || {_WS.format('text')} AS text
         FROM ranked, total WHERE {_WS.format('text')} <> ''""",
     "evaluate_dataset": f"""WITH {_RANKED_DOCS}
         SELECT doc_id, 'Language: ' || lang || chr(10) || chr(10) || 'Continue the text from ' || source || '.' AS prediction,
@@ -284,17 +376,17 @@ ORACLES = {
     "augment_counts": f"""WITH {_CONV} SELECT 'original' AS origin, n AS rows FROM total
         UNION ALL SELECT 'augmented', floor(n * 1.75)::BIGINT - n FROM total""",
     "augment_draws": f"""WITH {_CONV},
-        draws AS (SELECT d AS draw, {_U32.format("'42:draw:' || d")} % n AS row_index
+        draws AS (SELECT d AS draw, {_U60.format("'42:draw:' || d")} % n AS row_index
                   FROM total, range((SELECT floor(n * 1.5)::BIGINT - n FROM total)) t(d))
-        SELECT conv_id, chunk, NULL::BIGINT AS draw, 'original' AS origin, roles FROM conv
-        UNION ALL SELECT conv_id, chunk, draw, 'augmented', roles FROM draws JOIN ranked USING (row_index)""",
+        SELECT conv_id, NULL::BIGINT AS draw, 'original' AS origin, roles FROM conv
+        UNION ALL SELECT conv_id, draw, 'augmented', roles FROM draws JOIN ranked USING (row_index)""",
     "augment_splits": f"""WITH {_CONV}, s AS (SELECT floor(n * 0.7::DOUBLE)::BIGINT AS train, n FROM total)
         SELECT 'train' AS split, 'original' AS origin, train AS rows FROM s
         UNION ALL SELECT 'train', 'augmented', train FROM s UNION ALL SELECT 'test', 'original', n - train FROM s""",
     "augment_report": f"""WITH {_CONV} SELECT n AS original_count, floor(n * 1.5)::BIGINT AS final_count, 'eda' AS methods_used,
         false AS synthesis_used, '' AS errors, 1.0::DOUBLE AS success_rate FROM total""",
     "synthesis_prompts": f"""WITH {_CONV},
-        picks AS (SELECT b AS batch, e AS example, ({_U32.format("'42:batch:' || b")} + e - 1) % n AS row_index
+        picks AS (SELECT b AS batch, e AS example, ({_U60.format("'42:batch:' || b")} + e - 1) % n AS row_index
                   FROM total, range(10) t(b), range(1, 4) s(e)),
         p AS (SELECT batch, least(10, 95 - batch * 10) AS asked,
                      string_agg('Example ' || example || ':' || chr(10) || said, chr(10) ORDER BY example) AS examples
