@@ -9,7 +9,7 @@ nodes that share a few of its documents as pivots. Comparison of minwise sketche
 holds when 100 * |intersection| >= 75 * |union| on the full sets.
 
 Recall: a pair at similarity s survives a level of a tree with probability 2/3 s + 1/3 (1 - (1-s)^2) and so on down;
-at 0.75 a pair misses all 16 trees with 2e-12 if it parts at depth 1, and 3e-5 at depth 5. Small nodes
+at 0.75 a pair misses all 12 trees with probability 2e-9 if it parts below the roots, and 1e-4 at depth 4. Small nodes
 pass on several edge-disjoint spanning forests of their candidates, not all pairs, so the rows grow with the documents."""
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ from chatloom.plans.materialize import materialize
 SHINGLE = 5
 PERCENT = 75
 COORDINATES = 128
-TREES = 16
+TREES = 12
 SMALL = 64
-DEPTH = 6
+DEPTH = 4
 PIVOTS = 12
 FORESTS = 4
 #: Of 128 one-byte tokens a pair at 0.75 shares 96 on average, with a deviation of 4.9.
