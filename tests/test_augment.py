@@ -49,6 +49,23 @@ def test_large_lexicon_joins_by_shuffle(texts, lexicon, tokens, monkeypatch):
     assert sorted(map(str, other.collect())) == sorted(map(str, tokens.collect()))
 
 
+def test_rows_of_one_word_are_merged_on_both_paths(spark, texts, monkeypatch):
+    twice = spark.createDataFrame([("quick", ["swift"]), ("quick", ["fast"]), ("dog", ["hound"])], "word string, synonyms array<string>")
+    split = texts.withColumn("words", words(F.col("text")))
+    small = sorted(map(str, lexical.with_synonyms(split, "id", "words", twice).collect()))
+    assert any("swift" in r and "fast" in r for r in small)
+    monkeypatch.setattr(lexical, "BROADCAST_WORDS", 1)
+    assert sorted(map(str, lexical.with_synonyms(split, "id", "words", twice).collect())) == small
+    monkeypatch.setattr(lexical, "FREQUENT", 0)  # no word is broadcast
+    assert sorted(map(str, lexical.with_synonyms(split, "id", "words", twice).collect())) == small
+
+
+def test_missing_synthetic_rows_are_made_up_for(spark, lexicon):
+    config, errors = AugmentationConfig(2.0, use_eda=True, use_synthesis=True), []
+    grown = augment.extra_rows(chats(spark, 10), "id", config, lexicon, {"synthesis": failing}, errors)
+    assert grown.count() == 10 and errors == ["synthesis gave 0 of 5 rows"]
+
+
 def test_synonyms_replace_every_occurrence(tokens):
     got = edited(tokens, lexical.synonym_replace(F.col("words"), F.col("known"), F.lit(2), 42, F.col("id")))
     back = {"fast": "quick", "swift": "quick", "hound": "dog", "idle": "lazy"}

@@ -224,8 +224,34 @@ def test_overlap_respects_multiplicity(spark):
         assert r["n"] == sum((Counter(r["a"]) & Counter(r["b"])).values())
 
 
-def test_lexicon_sizes_are_checked():
-    assert lexical.BROADCAST_WORDS <= 1_000_000
+def test_missing_predictions_count(spark):
+    rows = [(0, "a", "a"), (1, None, "a"), (2, "b", "a"), (3, None, "b")]
+    df = spark.createDataFrame(rows, "sample_index long, prediction string, reference string")
+    assert metrics.exact_match(df).first()[0] == 0.25
+    got = metrics.precision_recall(df, "a").first()
+    assert (got["precision"], got["recall"]) == (1.0, pytest.approx(1 / 3))
+    per_class = {r["class"]: r["f1"] for r in metrics.f1_per_class(df).collect()}
+    assert per_class == {"a": pytest.approx(0.5), "b": 0.0}
+    done = {r["metric"]: r["value"] for r in metrics.evaluate_metrics(df, metrics=("rouge", "bleu", "meteor")).collect()}
+    assert done["rouge1"] == 0.25 and done["rougeLsum"] == 0.25 and done["meteor"] > 0
+
+
+def test_a_failing_metric_costs_only_itself(spark):
+    df = spark.createDataFrame([(0, "a", "a")], "sample_index long, prediction string, reference string")
+
+    def broken():
+        raise RuntimeError("no weights")
+
+    got = {r["metric"]: r for r in metrics.evaluate_metrics(df, metrics=("bertscore", "rouge"), embedder=broken).collect()}
+    assert got["bertscore_f1_mean"]["value"] is None and "no weights" in got["bertscore_f1_mean"]["error"]
+    assert got["rouge1"]["value"] == 1.0 and got["rouge1"]["error"] is None
+
+
+def test_text_labels_need_a_positive_one(spark):
+    df = spark.createDataFrame([(0, "yes", "yes"), (1, "no", "no")], "sample_index long, prediction string, reference string")
+    got = metrics.evaluate_metrics(df, metrics=("f1", "accuracy")).collect()
+    assert {r["metric"]: r["value"] for r in got} == {"f1": None, "accuracy": 1.0}
+    assert metrics.evaluate_metrics(df, metrics=("f1",), positive="yes").first()["value"] == 1.0
 
 
 def test_chat_text(spark):

@@ -25,6 +25,6 @@ def test_names():
 def test_query(spark, name):
     query, sql = entry.queries()[name], entry.oracle_sql().get(name)
     if sql is None:
-        assert query(spark, SF).columns
+        assert query(spark, SF).count() > 0
     else:
         assert compare(spark, SF, name, query, sql).startswith("ok"), name

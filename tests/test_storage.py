@@ -36,6 +36,17 @@ def test_json(spark, tmp_path):
         assert [r["id"] for r in got] == [1, 2] and got[0]["m"]["role"] == "user"
 
 
+def test_json_files_are_told_one_by_one(spark, tmp_path):
+    folder = tmp_path / "mixed.json"
+    folder.mkdir()
+    write(folder / "a.json", json.dumps([{"id": 1}, {"id": 2}]))
+    write(folder / "b.json", "no json\n" + "\n".join(json.dumps({"id": i}) for i in range(3, 9)))
+    write(folder / "c.json", json.dumps({"id": 9}, indent=2))
+    got = files.read_any(spark, str(folder), schema="id int").collect()
+    assert sorted(r["id"] or 0 for r in got) == [0, 1, 2, 3, 4, 5, 6, 7, 8, 9]
+    assert files.read_any(spark, str(folder / "b.json"), schema="id int", lines=True).count() == 7
+
+
 def test_text_and_unknown(spark, tmp_path):
     got = files.read_any(spark, write(tmp_path / "x.txt", "a\n\nb\n"))
     assert got.columns == ["text"] and [r["text"] for r in got.collect()] == ["a", "", "b"]
@@ -203,3 +214,32 @@ def test_stream(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         write_stream(chat, out, str(tmp_path / "cp")).awaitTermination()
         assert spark.read.parquet(out).count() == 24
+
+
+def test_one_name_for_two_sources(spark, tmp_path):
+    base, config = str(tmp_path / "base"), PreprocessingConfig(field_mappings=MAPPINGS, split=NoSplit())
+    ids = []
+    for name, n in (("x", 4), ("y", 6), ("x", 4)):
+        path = str(tmp_path / f"{name}.parquet")
+        spark.range(n).selectExpr("id", "concat('q', id) as q", "concat('a', id) as a").write.mode("overwrite").parquet(path)
+        entry = preprocess.process_dataset(spark, path, base, "same", "language_modeling", config, key="id", user_id="u")
+        ids.append(entry.first()["processed_dataset_id"])
+    assert ids[0] == ids[2] != ids[1]
+    listed = {r["processed_dataset_id"]: r for r in catalog.manifest(spark, base).collect()}
+    assert {i: spark.read.parquet(r["splits"][0]["path"]).count() for i, r in listed.items()} == {ids[0]: 4, ids[1]: 6}
+
+
+def test_an_id_is_not_taken_over(spark, tmp_path):
+    rows = spark.range(3).selectExpr("id", "'train' as split")
+    catalog.write_processed(rows, str(tmp_path), "one", user_id="u", processed_id="id")
+    with pytest.raises(ValueError, match="another configuration"):
+        catalog.write_processed(rows, str(tmp_path), "two", user_id="u", processed_id="id")
+
+
+def test_a_failed_rerun_leaves_the_dataset(spark, tmp_path):
+    good = spark.range(3).selectExpr("id", "'train' as split")
+    catalog.write_processed(good, str(tmp_path), "one", user_id="u", processed_id="id")
+    with pytest.raises(Exception):
+        catalog.write_processed(good.selectExpr("raise_error('x') as id", "split"), str(tmp_path), "one", user_id="u", processed_id="id")
+    entry = catalog.manifest(spark, str(tmp_path)).first()
+    assert spark.read.parquet(entry["splits"][0]["path"]).count() == 3
