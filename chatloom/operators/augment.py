@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatloom.config import AugmentationConfig
 from chatloom.functions import messages as M
-from chatloom.functions.columns import let, settle
+from chatloom.functions.columns import settle
 from chatloom.functions.rng import key_columns
-from chatloom.functions.text import clean_chars, is_blank, words
+from chatloom.functions.text import clean_chars, words
 from chatloom.operators import lexical, sampling, synthesis
-from chatloom.operators.generation import Loader, first_changed, method_order, try_methods
+from chatloom.operators.generation import Loader, first_results
 
 EDA, BACK_TRANSLATION, PARAPHRASING, SYNTHESIS = "eda", "back_translation", "paraphrasing", "synthesis"
 
@@ -56,79 +57,69 @@ def augment_messages(
     alphas: dict[str, float] | None = None,
     seed=sampling.SEED,
 ) -> DataFrame:
-    """Edits the text parts of user and assistant messages; everything else stays. A conversation is taken apart
-    into parts, and its parts meet again by key."""
+    """Edits the text parts of user and assistant messages; everything else stays. All texts of a row are edited in
+    one call, where the row is, so nothing is taken apart or moved, and a count of the rows edits none."""
     keys = [key] if isinstance(key, str) else list(key)
-    dtype = df.schema["messages"].dataType
-    if M.is_legacy(dtype):
+    if M.is_legacy(df.schema["messages"].dataType):
         df = df.withColumn("messages", M.wrap_legacy(F.col("messages")))
-        dtype = df.schema["messages"].dataType
-    others = [c for c in df.columns if c not in keys and c != "messages"]
-    own_words = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.filter("messages", lambda m: m["role"].isin("user", "assistant")),
-                lambda m: words(clean_chars(M.message_text(m))),
-            )
-        )
-    )
-    use_eda = EDA in methods
-    if use_eda:
-        placed = lexical.with_synonyms(df.withColumn("_words", own_words), keys, "_words", lexicon).drop("_words")
-    else:
-        placed = df.withColumn(
-            "known", F.array().cast(lexical.KNOWN)
-        )
-    parts = (
-        placed.select(*keys, *others, "known", F.posexplode_outer("messages").alias("_pos", "_m"))
-        .select(*keys, *others, "known", "_pos", F.col("_m.role").alias("_role"), F.posexplode_outer("_m.content").alias("_part_pos", "_part"))
-        .withColumn("_text", F.when(F.col("_role").isin("user", "assistant") & (F.col("_part.type") == "text"), F.col("_part.text")))
-    )
-    ident = [*key_columns(keys), F.col("_pos"), F.col("_part_pos")]
-    edited = _with_edits(parts, ident, methods, models or {}, alphas or lexical.rates(), seed)
-    part = F.when(F.col("_part").isNotNull(), F.col("_part").withField("text", F.coalesce("_new", "_text", "_part.text")))
-    whole = edited.groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in others],
-        F.sort_array(F.collect_list(F.struct("_pos", "_part_pos", "_role", part.alias("_part")))).alias("_parts"),
-    )
-    return settle(whole, "messages", _joined_parts(F.col("_parts"))).select(*df.columns)
 
+    def own_text(m: Column, p: Column) -> Column:
+        return F.when(m["role"].isin("user", "assistant") & (p["type"] == "text"), p["text"])
 
-def _joined_parts(parts: Column) -> Column:
-    """Ordered parts back to messages: each run of one position is a message."""
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size(parts) - 1),
-        lambda i: F.get(parts, i)["_pos"].isNotNull()
-        & ((i == 0) | (F.get(parts, i)["_pos"] != F.get(parts, i - 1)["_pos"])),
-    )
-
-    def message(at: Column, until: Column) -> Column:
-        own = F.filter(F.slice(parts, at + 1, until - at), lambda p: p["_part_pos"].isNotNull())
-        return F.struct(
-            F.get(parts, at)["_role"].alias("role"), F.transform(own, lambda p: p["_part"]).alias("content")
-        )
-
-    return let(
-        starts, lambda st: F.transform(st, lambda at, k: message(at, F.coalesce(F.get(st, k + 1), F.size(parts))))
+    texts = F.transform("messages", lambda m: F.transform(m["content"], lambda p: own_text(m, p)))
+    rows, shared = df, None
+    if EDA in methods:
+        merged = lexical.merge_words(lexicon)
+        shared = lexical.dictionary(merged)
+        if shared is None:  # too large to broadcast: the words meet it in a shuffle, and come back to the row
+            said = F.flatten(F.transform("messages", lambda m: words(clean_chars(M.message_text(m)))))
+            rows = lexical.with_synonyms(df.withColumn("_words", F.array_distinct(said)), keys, "_words", merged).drop("_words")
+    known = F.col("known") if "known" in rows.columns and "known" not in df.columns else F.array().cast(lexical.KNOWN)
+    edit = _editor(shared, methods, models or {}, alphas or lexical.rates(), seed)
+    ident = F.concat_ws(":", *[c.cast("string") for c in key_columns(keys)])
+    rows = settle(rows, "_texts", texts).withColumn("_new", edit(F.col("_texts"), ident, known))
+
+    def part(p: Column, i: Column, j: Column) -> Column:
+        return p.withField("text", F.coalesce(F.get(F.get(F.col("_new"), i), j), p["text"]))
+
+    edited = F.transform(
+        "messages",
+        lambda m, i: F.struct(
+            m["role"].alias("role"), F.transform(m["content"], lambda p, j: part(p, i, j)).alias("content")
+        ),
     )
+    return rows.withColumn("messages", F.when(F.col("messages").isNotNull(), edited)).select(*df.columns)
 
 
-def _with_edits(parts: DataFrame, key: list[Column], methods, models, alphas, seed) -> DataFrame:
-    """Adds ``_new``, the text after the first method that changes it."""
-    text = F.col("_text")
-    usable = F.when(~is_blank(text), text)
+def _editor(shared, methods: Sequence[str], models: dict, alphas: dict[str, float], seed):
+    """Edits nested lists of texts, each by the first method, in an order drawn from its key, that changes it."""
     chains = {m: models[m] for m in methods if m in models and m not in (EDA, SYNTHESIS)}
-    if EDA in methods:
-        planned = lexical.with_plan(parts, alphas, seed, *key)
-        planned = settle(planned, "_words", words(clean_chars(F.coalesce(text, F.lit("")))))
-        parts = settle(planned, "_lexical", lexical.eda_text(text, F.col("_words"), F.col("known"), alphas, seed, *key))
-    if chains:
-        names = [*chains, *([EDA] if EDA in methods else [])]
-        ready = F.col("_lexical") if EDA in methods else None
-        return parts.withColumn("_new", try_methods(usable, ready, method_order(seed, key, names), chains))
-    if EDA in methods:
-        return parts.withColumn("_new", first_changed(usable, seed, key, {EDA: F.col("_lexical")}))
-    return parts.withColumn("_new", text)
+    names = sorted([*chains, *([EDA] if EDA in methods else [])])
+
+    @F.pandas_udf("array<array<string>>")
+    def edit(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        loaded = {name: [load() for load in chain] for name, chain in chains.items()}
+        for rows, keys, known in batches:
+            places, texts, idents, ready = [], [], [], []
+            for r, (row, key, own) in enumerate(zip(rows, keys, known)):
+                synonyms = shared.value if shared is not None else {k["word"]: list(k["synonyms"]) for k in own}
+                for i, content in enumerate(row if row is not None else ()):
+                    for j, text in enumerate(content if content is not None else ()):
+                        if text is not None and text.strip():
+                            ident = f"{key}:{i}:{j}"
+                            places.append((r, i, j))
+                            texts.append(text)
+                            idents.append(ident)
+                            ready.append(lexical.edit_text(text, synonyms, alphas, seed, ident) if EDA in methods else None)
+            order = [sorted(names, key=lambda n: (lexical.order_text(seed, ident, n), n)) for ident in idents]
+            out = [None if row is None else [[None] * (0 if c is None else len(c)) for c in row] for row in rows]
+            for (r, i, j), new in zip(places, first_results(texts, ready, order, loaded)):
+                out[r][i][j] = new
+            yield pd.Series(out, dtype=object)
+
+    # called so, the planner leaves the call where it is instead of moving it into the lambdas that read it, where it
+    # can't run; a column nobody reads is still left out
+    return edit.asNondeterministic()
 
 
 def _with_origin(df: DataFrame, origin: str) -> DataFrame:

@@ -135,6 +135,33 @@ def method_order(seed, key: list[Column], names: list[str]) -> Column:
     return F.transform(ranked, lambda c: c["name"])
 
 
+def first_results(texts: list, ready: list, order: list, chains: dict[str, list[Generator]]) -> list:
+    """For every text the first method's result, in its own order of methods, that is new and not blank; the text
+    itself when there is none. A method without a chain of models has its result in ``ready``."""
+    result: list = [None] * len(texts)
+    for stage in range(max((len(o) for o in order), default=0)):
+        for name in sorted({o[stage] for o in order if len(o) > stage}):
+            rows = [
+                i
+                for i, o in enumerate(order)
+                if result[i] is None and len(o) > stage and o[stage] == name and (texts[i] or "").strip()
+            ]
+            if not rows:
+                continue
+            if name in chains:
+                answers = pd.Series([texts[i] for i in rows], dtype=object)
+                if name == "paraphrasing":
+                    answers = "paraphrase: " + answers
+                for model in chains[name]:
+                    answers = _answers(model, (answers.fillna(""),), 0)["text"]
+            else:
+                answers = [ready[i] for i in rows]
+            for i, a in zip(rows, answers):
+                if isinstance(a, str) and a.strip() and a != texts[i]:
+                    result[i] = a
+    return [t if r is None else r for t, r in zip(texts, result)]
+
+
 def try_methods(text: Column, lexical: Column | None, order: Column, loaders: dict[str, tuple[Loader, ...]]) -> Column:
     """Like first_changed for methods that call models: stage by stage, each model sees in one batch the rows
     whose turn it is and which have no result yet. A method of several loaders chains them."""
@@ -143,28 +170,7 @@ def try_methods(text: Column, lexical: Column | None, order: Column, loaders: di
     def choose(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         chains = {name: [load() for load in chain] for name, chain in loaders.items()}
         for texts, ready, order in batches:
-            result: list = [None] * len(texts)
-            for stage in range(max((len(o) for o in order), default=0)):
-                for name in sorted({o[stage] for o in order if len(o) > stage}):
-                    rows = [
-                        i
-                        for i, o in enumerate(order)
-                        if result[i] is None and len(o) > stage and o[stage] == name and (texts[i] or "").strip()
-                    ]
-                    if not rows:
-                        continue
-                    if name in chains:
-                        answers = pd.Series([texts[i] for i in rows], dtype=object)
-                        if name == "paraphrasing":
-                            answers = "paraphrase: " + answers
-                        for model in chains[name]:
-                            answers = _answers(model, (answers.fillna(""),), 0)["text"]
-                    else:
-                        answers = [ready[i] for i in rows]
-                    for i, a in zip(rows, answers):
-                        if isinstance(a, str) and a.strip() and a != texts[i]:
-                            result[i] = a
-            yield pd.Series([t if r is None else r for t, r in zip(texts, result)], dtype=object)
+            yield pd.Series(first_results(list(texts), list(ready), list(order), chains), dtype=object)
 
     none = F.lit(None).cast("string")
     return choose(text, none if lexical is None else lexical, order)

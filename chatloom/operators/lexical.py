@@ -6,6 +6,7 @@ Synonyms come from a lexicon table ``word, synonyms``."""
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -63,14 +64,12 @@ def merge_words(lexicon: DataFrame) -> DataFrame:
     return lexicon.groupBy("word").agg(F.sort_array(F.array_distinct(every)).alias("synonyms"))
 
 
-def _known_from_dictionary(own: Column, lexicon: DataFrame) -> Column:
+def _known_from_dictionary(own: Column, shared) -> Column:
     """Lookup in a broadcast dictionary, batch by batch, where the texts are."""
-    entries = {r["word"]: list(r["synonyms"]) for r in lexicon.collect()}
-    dictionary = lexicon.sparkSession.sparkContext.broadcast(entries)
 
     @F.pandas_udf(KNOWN)
     def known(own: pd.Series) -> pd.Series:
-        synonyms = dictionary.value
+        synonyms = shared.value
         found = (() if words is None else (w for w in words if w in synonyms) for words in own)
         return pd.Series([[{"word": w, "synonyms": synonyms[w]} for w in sorted(f)] for f in found], dtype=object)
 
@@ -104,8 +103,8 @@ def with_synonyms(df: DataFrame, key: str | Sequence[str], words_col: str, lexic
     keys = [key] if isinstance(key, str) else list(key)
     lexicon = merge_words(lexicon)
     own = settle(df, "_own", F.array_distinct(words_col))
-    if _is_small(lexicon):
-        return own.withColumn("known", _known_from_dictionary(F.col("_own"), lexicon)).drop("_own")
+    if (shared := dictionary(lexicon)) is not None:
+        return own.withColumn("known", _known_from_dictionary(F.col("_own"), shared)).drop("_own")
     empty = F.array().cast(KNOWN)
     joined = own.drop("_own").join(_known_from_join(own, keys, lexicon), keys, "left")
     return joined.withColumn("known", F.coalesce("known", empty))
@@ -322,3 +321,64 @@ def eda_one(
     known = with_plan(with_synonyms(base, key, "_words", lexicon), alphas, seed, *keys)
     changed = eda_text(F.col(column), F.col("_words"), F.col("known"), alphas, seed, *keys)
     return known.withColumn(out, changed).drop("_words", "known", "_plan")
+
+
+# ---- the same edits for many texts of one row, inside a task ---------------------------------------------
+
+
+def _hex(seed, *parts) -> str:
+    return hashlib.md5(":".join(map(str, (seed, *parts))).encode("utf-8")).hexdigest()
+
+
+def order_text(seed, key: str, name: str) -> str:
+    """What a row's methods are ordered by."""
+    return _hex(seed, "method", key, name)
+
+
+def _clean(text: str) -> str:
+    letters = re.sub("[^a-z ]", " ", re.sub("[’']", "", text).lower())
+    return re.sub("^ ", "", re.sub(" +", " ", letters))
+
+
+def _replace_words(tokens: list[str], synonyms: dict, n: int, seed, key: str) -> list[str]:
+    candidates = []
+    for w in sorted(set(tokens) & synonyms.keys() - set(STOP_WORDS)):
+        own = synonyms[w]
+        candidates.append((_hex(seed, "synonym", key, w), w, own[_draw(seed, "which", key, w) % len(own)]))
+    chosen = {w: s for _, w, s in sorted(candidates)[:n]}
+    return [chosen.get(w, w) for w in tokens]
+
+
+def _delete_words(tokens: list[str], p: float, seed, key: str) -> list[str]:
+    limit = int(p * 2**32)
+    if len(tokens) <= 1:
+        return tokens
+    kept = [w for i, w in enumerate(tokens) if limit < 2**32 and _hex(seed, "delete", key, i)[:8] > f"{limit:08x}"]
+    return kept or [tokens[_draw(seed, "keep", key) % len(tokens)]]
+
+
+def edit_text(text: str | None, synonyms: dict, alphas: dict[str, float], seed, key: str) -> str | None:
+    """The worker-side twin of ``eda_text``: one operation, chosen by the key. ``synonyms`` may hold words the text
+    has not."""
+    tokens = [] if text is None else [w for w in _clean(text).split(" ") if w]
+    enabled = [op for op in OPERATIONS if alphas[op] > 0]
+    if not tokens or not enabled:
+        return text
+    op = min(enabled, key=lambda o: (_hex(seed, "pick", key, o, 0), o))
+    ident, n = f"{key}:0", max(1, int(len(tokens) * alphas[op]))
+    if op == "synonym":
+        new = _replace_words(tokens, synonyms, n, seed, ident)
+    elif op == "delete":
+        new = _delete_words(tokens, alphas["delete"], seed, ident)
+    elif op == "swap":
+        new = _swap_words(tokens, n, seed, ident)
+    else:
+        new = _insert_words(tokens, {w: synonyms[w][0] for w in set(tokens) & synonyms.keys()}, n, seed, ident)
+    return _clean(" ".join(new))
+
+
+def dictionary(lexicon: DataFrame):
+    """A merged lexicon of checked small size as a broadcast dictionary, or None for a larger one."""
+    if not _is_small(lexicon):
+        return None
+    return lexicon.sparkSession.sparkContext.broadcast({r["word"]: list(r["synonyms"]) for r in lexicon.collect()})
