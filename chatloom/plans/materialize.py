@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -10,21 +13,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``. Only a local session may fall back to a folder
-    of this machine."""
+    of this machine, which goes when the program ends."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="chatloom-"))
+        if not shared:
+            shared = tempfile.mkdtemp(prefix="chatloom-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        sc.setCheckpointDir(shared)
     return sc.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
+    """Set ``spark.cleaner.referenceTracking.cleanCheckpoints`` for a session to drop checkpoints nobody holds."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; what is written there goes when the program ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
