@@ -12,7 +12,7 @@ from chatloom.plans import preprocess
 from chatloom.plans.materialize import scratch_path
 from chatloom.sources import files
 from chatloom.sources.processed import read_processed as read_back
-from workload.lexical import lexicon
+from workload.lexical import augmented, lexicon
 from workload.tables import conversation_rows, table
 
 MAPPINGS = {
@@ -222,9 +222,9 @@ def augment_counts(spark, sf):
 
 
 def augment_draws(spark, sf):
-    """Which conversations were drawn, and that editing keeps roles and number of messages."""
-    roles = F.array_join(F.transform("messages", lambda m: m["role"]), ",")
-    return _grown(spark, sf).select("conv_id", "draw", "origin", roles.alias("roles"))
+    """Which conversations were drawn, and every text after its edit."""
+    said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("="), m["content"][0]["text"])), "|")
+    return _grown(spark, sf).select("conv_id", "draw", "origin", said.alias("said"))
 
 
 def augment_splits(spark, sf):
@@ -328,6 +328,15 @@ _U60 = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 _WS = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 
 
+#: Every message of the drawn conversations.
+_DRAWN = f"""(
+    WITH {_CONV}, draws AS (
+      SELECT d AS draw, {_U60.format("'42:draw:' || d")} % n AS row_index
+      FROM total, range((SELECT floor(n * 1.5)::BIGINT - n FROM total)) t(d)),
+    said AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations)
+    SELECT draw, pos, 0 AS part, conv_id, role, text FROM draws JOIN ranked USING (row_index) JOIN said USING (conv_id))"""
+
+
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -375,11 +384,13 @@ ORACLES = {
         FROM ranked, total WHERE row_index >= floor(n * 0.75) AND {_WS.format('text')} <> ''""",
     "augment_counts": f"""WITH {_CONV} SELECT 'original' AS origin, n AS rows FROM total
         UNION ALL SELECT 'augmented', floor(n * 1.75)::BIGINT - n FROM total""",
-    "augment_draws": f"""WITH {_CONV},
-        draws AS (SELECT d AS draw, {_U60.format("'42:draw:' || d")} % n AS row_index
-                  FROM total, range((SELECT floor(n * 1.5)::BIGINT - n FROM total)) t(d))
-        SELECT conv_id, NULL::BIGINT AS draw, 'original' AS origin, roles FROM conv
-        UNION ALL SELECT conv_id, draw, 'augmented', roles FROM draws JOIN ranked USING (row_index)""",
+    "augment_draws": f"""{augmented(_DRAWN, ('draw', 'pos', 'part'), 1)}
+        SELECT conv_id, NULL::BIGINT AS draw, 'original' AS origin, string_agg(role || '=' || text, '|' ORDER BY turn) AS said
+        FROM conversations GROUP BY conv_id
+        UNION ALL
+        SELECT conv_id, d.draw, 'augmented', string_agg(role || '=' ||
+          CASE WHEN role IN ('user', 'assistant') THEN coalesce(nullif(done.text, ''), d.text) ELSE d.text END, '|' ORDER BY d.pos)
+        FROM {_DRAWN} d LEFT JOIN plans USING (draw, pos, part) LEFT JOIN done USING (turn_key, op) GROUP BY conv_id, d.draw""",
     "augment_splits": f"""WITH {_CONV}, s AS (SELECT floor(n * 0.7::DOUBLE)::BIGINT AS train, n FROM total)
         SELECT 'train' AS split, 'original' AS origin, train AS rows FROM s
         UNION ALL SELECT 'train', 'augmented', train FROM s UNION ALL SELECT 'test', 'original', n - train FROM s""",

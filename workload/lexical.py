@@ -192,7 +192,7 @@ merged AS (SELECT {key}, string_agg(coalesce(synonym, word), ' ' ORDER BY i) AS
            FROM placed LEFT JOIN chosen USING ({key}, word) GROUP BY {key})"""
 
 
-def _augmented(table: str, ids: tuple[str, ...], num_aug: int) -> str:
+def augmented(table: str, ids: tuple[str, ...], num_aug: int) -> str:
     """CTEs ``t`` (texts), ``plans`` (chosen operations) and ``done`` (the edited texts)."""
     key, cols = " || ':' || ".join(ids), ", ".join(ids)
     return f"""
@@ -233,13 +233,13 @@ ORACLES = {
                    FROM t, (VALUES ('synonym'), ('insert'), ('swap'), ('delete')) o(op))
         SELECT op, count(*) AS versions FROM ranked WHERE r <= 3 GROUP BY op
         UNION ALL SELECT 'original', count(*) FROM t""",
-    "eda_one": f"""{_augmented('conversations', ('conv_id', 'turn'), 1)}
+    "eda_one": f"""{augmented('conversations', ('conv_id', 'turn'), 1)}
         SELECT conv_id, turn, coalesce(done.text, original) AS augmented
         FROM t LEFT JOIN plans USING (conv_id, turn) LEFT JOIN done USING (turn_key, op)""",
-    "eda_documents": f"""{_augmented('documents', ('doc_id',), 1)}
+    "eda_documents": f"""{augmented('documents', ('doc_id',), 1)}
         SELECT doc_id, coalesce(done.text, original) AS augmented
         FROM t LEFT JOIN plans USING (doc_id) LEFT JOIN done USING (turn_key, op)""",
-    "eda_candidates": f"""{_augmented('conversations', ('conv_id', 'turn'), 9)}
+    "eda_candidates": f"""{augmented('conversations', ('conv_id', 'turn'), 9)}
         SELECT conv_id, turn, candidate, op, done.text AS augmented FROM plans JOIN done USING (turn_key, op)
         UNION ALL SELECT conv_id, turn, 9, 'original', array_to_string(words, ' ') FROM t WHERE len(words) > 0""",
 }
