@@ -12,8 +12,9 @@ from chatloom.plans import preprocess
 from chatloom.plans.materialize import scratch_path
 from chatloom.sources import files
 from chatloom.sources.processed import read_processed as read_back
+from workload.evaluation import ORACLES as EVALUATION
 from workload.lexical import augmented, lexicon
-from workload.tables import conversation_rows, table
+from workload.tables import PAIRS_SQL, conversation_rows, table
 
 MAPPINGS = {
     "system_field": {"type": "template", "value": "Language: {lang}"},
@@ -202,13 +203,22 @@ def _echo(texts: pd.Series) -> pd.Series:
     return texts.str.replace(r"(?s)^<start_of_turn>user\n|<end_of_turn>.*$", "", regex=True)
 
 
-def evaluate_dataset(spark, sf):
+def _evaluated(spark, sf):
     """The whole evaluation job on the stored test split, with a model that repeats the question."""
     base, processed_id = _processed(spark, sf)
-    done = evaluation_plan.evaluate_dataset(
-        spark, base, processed_id, "doc_id", lambda: _echo, EvaluationConfig(metrics=("exact_match", "bleu"))
-    )
-    return done.answers.select("doc_id", "prediction", "reference")
+    config = EvaluationConfig(metrics=("exact_match", "bleu"))
+    return evaluation_plan.evaluate_dataset(spark, base, processed_id, "doc_id", lambda: _echo, config)
+
+
+def evaluate_dataset(spark, sf):
+    return _evaluated(spark, sf).answers.select("doc_id", "prediction", "reference")
+
+
+def evaluate_dataset_scores(spark, sf):
+    """The scores of the same job, and how many rows they are about."""
+    done = _evaluated(spark, sf)
+    scores = done.metrics.select("metric", F.round("value", 6).alias("value"))
+    return scores.withColumn("rows", F.lit(done.num_evaluated).cast("bigint"))
 
 
 def _grown(spark, sf, factor=1.5):
@@ -303,6 +313,7 @@ QUERIES = {
     "write_processed": write_processed,
     "process_dataset": process_dataset,
     "evaluate_dataset": evaluate_dataset,
+    "evaluate_dataset_scores": evaluate_dataset_scores,
     "augment_counts": augment_counts,
     "augment_draws": augment_draws,
     "augment_splits": augment_splits,
@@ -415,3 +426,9 @@ ORACLES = {
     "augment_with_models": f"""WITH {_CONV} SELECT 'original' AS origin, n AS rows FROM total
         UNION ALL SELECT 'synthetic', n // 2 FROM total UNION ALL SELECT 'augmented', n - n // 2 FROM total""",
 }
+
+_ANSWERED = f"pairs AS (SELECT doc_id AS sample_index, prediction, reference FROM ({ORACLES['evaluate_dataset']}))"
+ORACLES["evaluate_dataset_scores"] = f"""
+    SELECT metric, round(value, 6) AS value, (SELECT count(*) FROM ({ORACLES['evaluate_dataset']})) AS rows FROM (
+      SELECT 'bleu' AS metric, bleu AS value FROM ({EVALUATION['bleu'].replace(PAIRS_SQL, _ANSWERED)})
+      UNION ALL SELECT 'exact_match', avg((prediction = reference)::INTEGER) FROM ({ORACLES['evaluate_dataset']}))"""
