@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatloom.functions import images
-from chatloom.operators import convert, sampling
+from chatloom.operators import convert, evaluation, sampling
+from chatloom.plans.materialize import scratch_path
+from chatloom.sources import files
 from chatloom.sources.files import spread
 from workload.tables import documents, flat_messages, table
 
@@ -147,6 +149,69 @@ def chat_preformatted_json(spark, sf):
     return flat_messages(chat, "prompt", "conv_id", "turn")
 
 
+def chat_struct_message(spark, sf):
+    """Turns as structs: their contents a list of two parts, or of plain texts."""
+    turns = table(spark, sf, "conversations")
+    part = lambda text: F.struct(F.lit("text").alias("type"), text.alias("text"))
+    listed = F.struct("role", F.array(part(F.col("text")), part(F.lit("more"))).alias("content"))
+    plain = F.struct("role", F.array(F.col("text"), F.col("role")).alias("content"))
+    rows = turns.select("conv_id", "turn", listed.alias("listed"), plain.alias("plain"))
+    parts = []
+    for column in ("listed", "plain"):
+        chat = convert.to_chat(rows, "prompt_only", {"user_field": {"type": "column", "value": column}}, keep=["conv_id", "turn"])
+        parts.append(flat_messages(chat, "prompt", "conv_id", "turn").withColumn("shape", F.lit(column)))
+    return parts[0].unionByName(parts[1])
+
+
+def chat_json_parts(spark, sf):
+    """Turns as JSON messages whose contents are lists of an object, a text and a number."""
+    turns = table(spark, sf, "conversations")
+    body = F.concat(
+        F.lit('{"role":"'), F.col("role"), F.lit('","content":[{"type":"text","text":'), F.to_json(F.struct("text")).substr(F.lit(9), F.length(F.to_json(F.struct("text"))) - 9),
+        F.lit('},"plain",'), F.col("turn").cast("string"), F.lit("]}"),
+    )
+    rows = turns.select("conv_id", "turn", body.alias("msg"))
+    chat = convert.to_chat(rows, "prompt_only", {"user_field": {"type": "column", "value": "msg"}}, keep=["conv_id", "turn"])
+    return flat_messages(chat, "prompt", "conv_id", "turn")
+
+
+def _pictures(spark, sf):
+    """Events with a payload that has a picture's signature, but every fifth, which has none."""
+    signature = F.when(F.col("event_id") % 5 != 0, F.unhex(F.lit("89504E470D0A1A0A"))).otherwise(F.encode(F.lit("none"), "utf-8"))
+    payload = F.concat(signature, F.encode("props", "utf-8"))
+    rows = spread(table(spark, sf, "events")).select("event_id", "event_type", payload.alias("img"))
+    mappings = {
+        "user_field": [{"type": "image", "value": "img"}, {"type": "template", "value": "What is {event_id}?"}],
+        "assistant_field": {"type": "column", "value": "event_type"},
+    }
+    return convert.to_chat(rows, "language_modeling", mappings, keep=["event_id"])
+
+
+def chat_vision(spark, sf):
+    parts = _pictures(spark, sf).select("event_id", F.col("messages")[0]["content"].alias("content"))
+    flat = parts.select("event_id", F.posexplode("content").alias("pos", "p"))
+    return flat.select("event_id", F.col("pos").cast("bigint").alias("pos"), "p.type", "p.text", F.sha2("p.image.bytes", 256).alias("picture"))
+
+
+def render_images(spark, sf):
+    shown = _pictures(spark, sf).select("event_id", convert.render_images(F.col("messages")).alias("m"))
+    urls = F.filter(F.flatten(F.transform("m", lambda m: F.transform(m["content"], lambda p: p["image"]))), lambda u: u.isNotNull())
+    return shown.select("event_id", F.array_join(urls, " ").alias("urls"))
+
+
+def extract_images(spark, sf):
+    done = evaluation.extract_images(_pictures(spark, sf), required=False)
+    return done.select("event_id", F.array_join(F.transform("images", lambda b: F.sha2(b, 256)), " ").alias("pictures"))
+
+
+def read_images(spark, sf):
+    """Files of any kind below a folder as payloads: together they hold every line that was written."""
+    path = scratch_path(spark, "files")
+    table(spark, sf, "events").select("props").write.text(path)
+    found = files.read_images(spark, path + "/*.txt")
+    return found.agg(F.sum(F.length("bytes")).alias("n_bytes"), F.min(F.col("path").startswith("/")).alias("rooted"))
+
+
 def drop_failed(spark, sf):
     """Documents whose conversion has a reply: those with a label."""
     docs = _docs(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left")
@@ -188,6 +253,12 @@ QUERIES = {
     "chat_prompt_only": chat_prompt_only,
     "chat_preference": chat_preference,
     "chat_preformatted_json": chat_preformatted_json,
+    "chat_struct_message": chat_struct_message,
+    "chat_json_parts": chat_json_parts,
+    "chat_vision": chat_vision,
+    "render_images": render_images,
+    "extract_images": extract_images,
+    "read_images": read_images,
     "drop_failed": drop_failed,
     "normalize_ws": normalize_ws,
     "base64_image_check": base64_image_check,
@@ -252,6 +323,20 @@ ORACLES = {
           CASE WHEN turn % 3 < 2 THEN text
                ELSE '{"content":' || to_json(text)::VARCHAR || ',"role":"' || role || '"}' END AS text
         FROM conversations""",
+    "chat_struct_message": """SELECT conv_id, turn, 0::BIGINT AS pos, role, k AS part_pos, 'text' AS part_type, shape,
+          CASE WHEN k = 0 THEN text WHEN shape = 'listed' THEN 'more' ELSE role END AS text
+        FROM conversations, range(2) p(k), (VALUES ('listed'), ('plain')) s(shape)""",
+    "chat_json_parts": """SELECT conv_id, turn, 0::BIGINT AS pos, role, k AS part_pos, 'text' AS part_type,
+          CASE k WHEN 0 THEN text WHEN 1 THEN 'plain' ELSE turn::VARCHAR END AS text
+        FROM conversations, range(3) p(k)""",
+    "chat_vision": """SELECT event_id, 0::BIGINT AS pos, 'image' AS type, NULL::VARCHAR AS text,
+          sha256(unhex('89504E470D0A1A0A') || encode(props)) AS picture FROM events WHERE event_id % 5 <> 0
+        UNION ALL SELECT event_id, (event_id % 5 <> 0)::BIGINT, 'text', 'What is ' || event_id || '?', NULL FROM events""",
+    "render_images": """SELECT event_id, CASE WHEN event_id % 5 <> 0
+          THEN 'data:image/png;base64,' || to_base64(unhex('89504E470D0A1A0A') || encode(props)) ELSE '' END AS urls FROM events""",
+    "extract_images": """SELECT event_id, CASE WHEN event_id % 5 <> 0
+          THEN sha256(unhex('89504E470D0A1A0A') || encode(props)) ELSE '' END AS pictures FROM events""",
+    "read_images": "SELECT sum(strlen(props) + 1)::BIGINT AS n_bytes, true AS rooted FROM events",
     "drop_failed": "SELECT d.doc_id FROM documents d JOIN labels l USING (doc_id)",
     "normalize_ws": f"SELECT doc_id, {ws('text')} AS text FROM documents",
     "base64_image_check": r"""WITH t AS (SELECT doc_id, text, base64(encode(text)) AS b FROM documents)
