@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from chatloom.functions.columns import settle
 from chatloom.functions.rng import index_below
 from chatloom.operators import evaluation, generation, metrics
 from workload.lexical import lexicon
@@ -89,6 +90,17 @@ def paraphrase(spark, sf):
     return generation.paraphrase(turns, "text", lambda: (lambda t: t.str.lower())).select("conv_id", "turn", "augmented")
 
 
+def method_choice(spark, sf):
+    """Two stand-in models in an order drawn per turn: one changes only texts of odd length, the other every text."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    odd = lambda: (lambda t: t.map(lambda s: s + "!" if len(s) % 2 else s))
+    small = lambda: (lambda t: t.map(lambda s: s[:20]))
+    order = generation.method_order(42, [F.col("conv_id"), F.col("turn")], ["back_translation", "paraphrasing"])
+    ready = settle(turns, "_order", order)
+    chosen = generation.try_methods(F.col("text"), None, F.col("_order"), {"back_translation": (odd,), "paraphrasing": (small,)})
+    return ready.select("conv_id", "turn", chosen.alias("augmented"))
+
+
 def _quality(spark, sf):
     labels = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
     return labels.select((F.col("n_chars") > 500).cast("int").alias("prediction"), F.col("quality").alias("reference"))
@@ -230,6 +242,7 @@ QUERIES = {
     "batch_generate": batch_generate,
     "back_translate": back_translate,
     "paraphrase": paraphrase,
+    "method_choice": method_choice,
     "exact_match": exact_match,
     "accuracy": accuracy,
     "precision_recall": precision_recall,
@@ -396,6 +409,9 @@ ORACLES = {
         SELECT metric, round(value, 6) AS value FROM (
           SELECT 'accuracy' AS metric, acc AS value FROM s UNION ALL SELECT 'precision', tp / pp FROM s
           UNION ALL SELECT 'recall', tp / rr FROM s UNION ALL SELECT 'f1', 2 * tp / (pp + rr) FROM s)""",
+    "method_choice": """SELECT conv_id, turn, CASE WHEN length(text) % 2 = 1
+          AND md5('42:method:' || conv_id || ':' || turn || ':back_translation') < md5('42:method:' || conv_id || ':' || turn || ':paraphrasing')
+          THEN text || '!' ELSE ('paraphrase: ' || text)[1:20] END AS augmented FROM conversations""",
     "paraphrase": """SELECT conv_id, turn, lower(trim('paraphrase: ' || text, ' ' || chr(9) || chr(10) || chr(13))) AS augmented FROM conversations""",
     "back_translate": r"""WITH w AS (SELECT conv_id, turn, text,
           list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS t FROM conversations)
