@@ -65,16 +65,24 @@ def word_slices(raw: bytes) -> Iterator[list[bytes]]:
 
 
 def gram_hashes(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
-    """One hash for every run of n words; a text with fewer words has one hash of all, an empty one none."""
+    """One hash for every run of n words; a text with fewer words has one hash of all, an empty one none. Runs are put
+    together from runs of 1, 2, 4 … words, so the work grows with the logarithm of n."""
     size = len(words)
     if size == 0:
         return words
     if size < n:
         return mix(np.array([gram_hashes(words, size, seed + 1)[0] + np.uint64(size)], np.uint64))
-    total = np.zeros(size - n + 1, np.uint64)
-    for i, c in enumerate(constants(n, seed)):
-        total += mix(words[i : size - n + 1 + i] ^ c) * c
-    return mix(total)
+    factors = constants(2 * n.bit_length() + 1, seed)
+    level, step, done, length = mix(words ^ factors[-1]), 1, None, 0
+    for i in range(n.bit_length()):
+        if n >> i & 1:
+            rest = len(level) - length
+            done = level if done is None else mix(done[:rest] * factors[2 * i] + level[length : length + len(done)])
+            length += step
+        if 2 * step <= n:
+            level = mix(level[:-step] * factors[2 * i + 1] + level[step:])
+            step *= 2
+    return done[: size - n + 1]
 
 
 def join_frequent(left: DataFrame, right: DataFrame, key: str, size: str) -> DataFrame:

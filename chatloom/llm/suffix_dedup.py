@@ -28,13 +28,24 @@ GRAM = 20  # words at the start of a retained suffix
 CROWD = 4096
 
 
+_STRETCH = 1 << 18  # runs whose minimisers are found together
+
+
 def retained(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every run of LEAST words the retained position that stands for it, and the hashes of all GRAM words."""
+    """For every run of LEAST words the retained position that stands for it, and the hashes of all GRAM words. Of
+    equal hashes the leftmost counts: a hash gives its upper bits, its place the lower ones, to one number that is
+    least in its run."""
     grams = gram_hashes(words, GRAM, 3)
     width = LEAST - GRAM + 1
-    views = np.lib.stride_tricks.sliding_window_view(grams, width)
-    step = 1 << 16
-    best = [views[s : s + step].argmin(axis=1) + np.arange(s, min(s + step, len(views))) for s in range(0, len(views), step)]
+    best, low = [], np.uint64(2 * _STRETCH - 1)
+    for start in range(0, len(grams) - width + 1, _STRETCH):
+        part = grams[start : start + _STRETCH + width - 1]
+        least, span = (part & ~low) | np.arange(len(part), dtype=np.uint64), 1
+        while 2 * span <= width:
+            least, span = np.minimum(least[:-span], least[span:]), 2 * span
+        if span < width:
+            least = np.minimum(least[: len(part) - width + 1], least[width - span :])
+        best.append((least & low).astype(np.int64) + start)
     return np.concatenate(best), grams
 
 
