@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import WordHashes, gram_hashes, text_bytes
+from chatloom.llm.common import WordHashes, gram_hashes, join_frequent, text_bytes
 from chatloom.plans.materialize import materialize
 
 LEAST = 50  # words of a repeat
@@ -173,8 +173,9 @@ def stretches(docs: DataFrame) -> DataFrame:
     that occur twice or more; ``later`` when another place, earlier by doc_id and position, has the same run."""
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("raw"))
     keys = materialize(texts.mapInArrow(_keys, "key long, doc_id long, position long"))
-    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    found = keys.join(counts, "key").groupBy("doc_id").agg(F.collect_set(F.struct("position", "key", "n")).alias("found"))
+    counts = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    again = join_frequent(keys, counts, "key", "n").filter("n is not null")
+    found = again.groupBy("doc_id").agg(F.collect_set(F.struct("position", "key", "n")).alias("found"))
     with_text = texts.join(found, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "raw", "found")
     suffixes = with_text.mapInArrow(_extend, "key long, n long, doc_id long, start long, runs binary")
     piece = F.pmod(F.xxhash64("doc_id", "start"), F.ceil(F.col("n") / CROWD))
