@@ -1,9 +1,10 @@
-"""Lexical augmentation over whole texts. The lexicon is derived from the documents themselves: words of one
-length that share their first three letters are synonyms of each other."""
+"""Lexical augmentation over whole texts. The lexicon is derived from the benchmark items: a word's synonyms are made
+from itself and from the next word, in order, that has the same first three letters."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chatloom.functions.text import clean_chars, words
 from chatloom.operators import lexical
@@ -16,16 +17,20 @@ STOP_SQL = ", ".join(f"'{w}'" for w in lexical.STOP_WORDS)
 
 
 def _raw_lexicon(spark, sf):
-    """Words of the benchmark items, grouped; spelled with a leading capital and an underscore to be cleaned."""
+    """Words of the benchmark items, each with two synonyms; spelled with a leading capital and an underscore to be cleaned."""
     w = (
         table(spark, sf, "benchmark")
         .select(F.explode(F.array_distinct(words(clean_chars(F.col("text"))))).alias("w"))
         .filter(F.length("w") >= 4)
         .distinct()
     )
-    pair = F.concat(F.initcap("w"), F.lit("_"), F.substring("w", 1, 2))
-    group = w.groupBy(F.substring("w", 1, 3).alias("stem")).agg(F.sort_array(F.collect_set(pair)).alias("synonyms"))
-    return w.join(group, F.substring("w", 1, 3) == F.col("stem")).select(F.col("w").alias("word"), "synonyms")
+    follows = F.lead("w").over(Window.partitionBy(F.substring("w", 1, 3)).orderBy("w"))
+
+    def spelled(c):
+        return F.concat(F.initcap(c), F.lit("_"), F.substring(c, 1, 2))
+
+    both = w.withColumn("next", follows)
+    return both.select(F.col("w").alias("word"), F.array_compact(F.array(spelled("w"), spelled("next"))).alias("synonyms"))
 
 
 def lexicon(spark, sf):
@@ -137,8 +142,8 @@ def _u32(text: str) -> str:
 
 _LEXICON = f"""
 w AS (SELECT DISTINCT w FROM (SELECT unnest({_words('text')}) AS w FROM benchmark) WHERE length(w) >= 4),
-lex AS (SELECT a.w AS word, list_sort(list_distinct(list(b.w || ' ' || b.w[1:2]))) AS synonyms
-        FROM w a JOIN w b ON a.w[1:3] = b.w[1:3] GROUP BY a.w)"""
+lex AS (SELECT w AS word, list_sort(list_distinct(list_filter([w || ' ' || w[1:2], n || ' ' || n[1:2]], lambda x: x IS NOT NULL))) AS synonyms
+        FROM (SELECT w, lead(w) OVER (PARTITION BY w[1:3] ORDER BY w) AS n FROM w))"""
 
 _TURNS = f"""
 turns AS (SELECT conv_id || '-' || turn AS turn_key, {_words('text')} AS words FROM conversations)"""
