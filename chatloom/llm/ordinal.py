@@ -3,8 +3,8 @@
 All grades share one weight per hashed feature; ordered thresholds cut the common score into grades:
 P(grade > k) = sigmoid(score - threshold_k). The expected grade is the sum of these tails, and the last tail is the
 probability of the best grade, by which documents are selected. Features are the words present in a text, without case and
-outer signs, and the shapes words take (signs around them, capitals, the word repeated), each shape by the share of words
-that have it."""
+outer signs, how longer words begin, and the shapes words take (signs around them, capitals, the word repeated), each
+shape by the share of words that have it."""
 
 from __future__ import annotations
 
@@ -21,19 +21,20 @@ from pyspark.sql import functions as F
 from chatloom.llm.common import word_slices
 
 BITS = 18
-SAMPLE = 16_384  # labelled rows the fit sees
-LEAST_DOCUMENTS = 8  # sampled documents a feature must occur in
+SAMPLE = 8192  # labelled rows the fit sees
+LEAST_DOCUMENTS = 20  # sampled documents a feature must occur in
 RIDGE = 1.0
 STEPS = 60
-KEEP = 0.5
+KEEP = 0.6
 _SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LIGHT = b".,;:!?\"'()"
+_STARTS = (5, 6, 8)  # bytes
 
 
 class Features(dict):
     """Hashed features of texts; what words give is remembered, up to a bound."""
 
-    def __missing__(self, word: bytes) -> tuple[int, bytes | None]:
+    def __missing__(self, word: bytes) -> tuple[tuple[int, ...], bytes | None]:
         if len(self) >= 1 << 19:
             self.clear()
         core = word.strip(_SIGNS)
@@ -46,7 +47,10 @@ class Features(dict):
             shape = b"loud"
         elif len(core) > 3 and core.isupper():
             shape = b"capitals"
-        value = self[word] = (xxhash.xxh3_64_intdigest(core.lower()) >> (64 - BITS), shape)
+        low = core.lower()
+        starts = [xxhash.xxh3_64_intdigest(low[:n], n) for n in _STARTS if len(low) > n]
+        found = (xxhash.xxh3_64_intdigest(low), *starts)
+        value = self[word] = (tuple(h >> (64 - BITS) for h in found), shape)
         return value
 
     def of(self, raw: bytes) -> np.ndarray:
@@ -54,8 +58,8 @@ class Features(dict):
         found, shapes, words, before = set(), Counter(), 0, None
         for part in word_slices(raw):
             for word, n in Counter(part).items():
-                feature, shape = self[word]
-                found.add(feature)
+                features, shape = self[word]
+                found.update(features)
                 if shape:
                     shapes[shape] += n
             shapes[b"again"] += sum(map(bytes.__eq__, part, part[1:])) + (bool(part) and part[0] == before)
@@ -120,13 +124,17 @@ def _minimize(value, start: np.ndarray, steps: int, memory: int = 8) -> np.ndarr
 
 def fit_rows(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, ridge: float = RIDGE) -> Model:
     """Penalized likelihood over feature rows and grades 0 to n_grades - 1."""
-    sizes = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
-    common = np.flatnonzero(np.bincount(flat, minlength=1 << BITS) >= min(LEAST_DOCUMENTS, max(1, len(rows) // 50)))
-    place = np.full(1 << BITS, -1)
+    counts = np.zeros(1 << BITS, np.int64)
+    for r in rows:
+        counts[r] += 1
+    common = np.flatnonzero(counts >= min(LEAST_DOCUMENTS, max(1, len(rows) // 50)))
+    place = np.full(1 << BITS, -1, np.int32)
     place[common] = np.arange(len(common))
-    owner, column = np.repeat(np.arange(len(rows)), sizes), place[flat]
-    owner, column = owner[column >= 0], column[column >= 0]
+    # most features are rare words, so what is left is much smaller than the rows
+    kept = [(c := place[r])[c >= 0] for r in rows]
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c in kept])
+    column = np.concatenate(kept)
+    del kept
     cuts, n = n_grades - 1, len(common)
 
     def thresholds(free: np.ndarray) -> np.ndarray:
@@ -179,11 +187,12 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, n_grades: int
     texts = docs.select(F.col("doc_id").cast("long").alias("_rated"), F.col("text").cast("string").alias("text"))
     # at most about `sample` narrow rows by the filter above, so they may go to the texts
     rows = texts.join(F.broadcast(picked), "_rated").select("draw", F.col("grade").cast("long").alias("grade"), "text")
-    rows = rows.mapInArrow(_featurize, "draw long, grade long, set binary").collect()
-    rows = sorted(((r["draw"], r["grade"], bytes(r["set"])) for r in rows))
-    if not rows:
+    found = rows.mapInArrow(_featurize, "draw long, grade long, set binary").toArrow()
+    if not found.num_rows:
         return None
-    return fit_rows([np.frombuffer(s, "<u4") for _, _, s in rows], np.array([g for _, g, _ in rows]), n_grades)
+    found = found.sort_by([("draw", "ascending"), ("grade", "ascending")])
+    sets = [np.frombuffer(s.as_buffer(), "<u4") for s in found["set"]]
+    return fit_rows(sets, found["grade"].to_numpy().astype(np.int64), n_grades)
 
 
 def score(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame:
