@@ -8,6 +8,7 @@ part of the next block; the last block of a task leaves less than one sequence's
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -231,8 +232,12 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int = END,
         packer = _Packer(TaskContext.get().partitionId() << 40, length, keep_ids)
         for batch in batches:
             for ids, texts in _chunks(batch):
-                for doc_id, found in zip(ids, words.of(texts)):
-                    packer.add(doc_id, found + close)
+                gc.disable()  # many small objects, no cycles: looking for some takes a sixth of the time
+                try:
+                    for doc_id, found in zip(ids, words.of(texts)):
+                        packer.add(doc_id, found + close)
+                finally:
+                    gc.enable()
                 yield packer.take()
         packer.pack(last=True)
         yield packer.take()
