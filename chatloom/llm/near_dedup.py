@@ -215,9 +215,9 @@ def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _crowded(nodes: DataFrame) -> DataFrame:
     """The (node, rep) rows of nodes with two or more documents, and the node's size. Sizes are counted before any
-    row moves, so a crowded node is not collected."""
-    sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return materialize(nodes.join(sizes, "node"))
+    row moves, and the rows of the few largest nodes stay where they are, so a crowded node is not collected."""
+    sizes = materialize(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    return materialize(join_frequent(nodes, sizes, "node", "size").filter("size is not null"))
 
 
 def _dealt(nodes: DataFrame) -> DataFrame:
