@@ -2,10 +2,13 @@
 
 A sentencepiece model with no piece that holds the space mark after another character never merges across the
 start of a run of spaces, so a text falls into pre-tokens (a run of marks and what follows up to the next one),
-and, where no piece holds a line break, at line breaks too. Pre-tokens are counted over the whole corpus, each
-distinct one is tokenized once, and a document's count is the sum of count times frequency. The most frequent ones
-(at most ``FREQUENT``, of at most ``SHORT`` bytes) are broadcast and summed where the texts are; only the others meet
-their counts in a shuffle, where no key is frequent."""
+and, where no piece holds a line break, at line breaks too. A document's count is the sum over its pre-tokens of pieces
+times frequency.
+
+The pre-tokens that make up a share of 2**-SHARE of the corpus or more are found first: each has that share in what
+some task has read, so tasks pass on only those. There can't be more than 2**SHARE of them, whatever the corpus; the
+short ones are tokenized, broadcast and summed where the texts are. All others meet in one shuffle by pre-token, where
+none is frequent: there each distinct one is tokenized once, and its pieces go to its documents' sums."""
 
 from __future__ import annotations
 
@@ -13,18 +16,19 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.plans.materialize import materialize
 
-FREQUENT = 1 << 17
+SHARE = 20
 SHORT = 64
 LIMIT = 4096
 _HELD = 1 << 19  # distinct pre-tokens a task counts before it passes them on
 MARK = "▁"
-_HEAD = "\n\n"  # starts the key of a document's own row; no pre-token has two line breaks
+_HEAD = "\n\n"  # starts the keys of rows about a document or a task; no pre-token has two line breaks
 
 
 def _pieces(processor) -> list[str]:
@@ -126,11 +130,12 @@ def token_counts(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
         split, held = splitter(_processor(shared.value)), Counter()
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["pretoken", "n"]
-            )
+            least = max(2, held.total() >> SHARE)
+            found = [(p, n) for p, n in held.items() if n >= least and len(p) <= SHORT]
+            found.append((_HEAD, held.total()))
             held.clear()
-            return batch
+            names, counts = zip(*found) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], ["pretoken", "n"])
 
         for batch in batches:
             for text in batch.column(0):
@@ -142,51 +147,68 @@ def token_counts(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(_processor(shared.value))
         for batch in batches:
-            counts = count(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(counts, pa.int64())], ["pretoken", "n", "pieces"]
-            )
+            counts = pa.array(count(batch.column(0).to_pylist()), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), counts], ["pretoken", "pieces"])
 
     texts = docs.select(F.col("text").cast("string").alias("text"))
     counted = texts.mapInArrow(corpus, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
-    pieces = materialize(counted.mapInArrow(tokenize, "pretoken string, n long, pieces long"))
-    top = pieces.filter(F.octet_length("pretoken") <= SHORT).orderBy(F.desc("n"), "pretoken").limit(FREQUENT)
-    frequent = sc.broadcast({r["pretoken"]: r["pieces"] for r in top.select("pretoken", "pieces").collect()})
+    counted = materialize(counted)
+    least = (counted.filter(F.col("pretoken") == _HEAD).agg(F.sum("n")).first()[0] or 0) >> SHARE
+    top = counted.filter((F.col("n") >= max(2, least)) & (F.col("pretoken") != _HEAD)).select("pretoken")
+    table = top.mapInArrow(tokenize, "pretoken string, pieces long").toArrow()
+    frequent = sc.broadcast(table.combine_chunks())
+
+    # only where rows share a doc_id, or have none, their texts must tell them apart; else that would be most of what moves
+    per_id = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count()
+    shared_ids = not per_id.filter("doc_id is null or count > 1").isEmpty()
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known = splitter(_processor(shared.value)), frequent.value
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+        split = splitter(_processor(shared.value))
+        known = dict(zip(*(c.to_pylist() for c in frequent.value.columns)))
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         rows: list[tuple] = []
 
         def out() -> pa.RecordBatch:
             columns = list(zip(*rows)) if rows else [()] * 5
             rows.clear()
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
-            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "version", "n_bytes", "pretoken", "n"])
+            return pa.RecordBatch.from_arrays(arrays, ["pretoken", "doc_id", "version", "n", "n_bytes"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = text.as_buffer() if text.is_valid else b""
-                version = xxhash.xxh3_64_intdigest(raw) - 2**63
+                version = xxhash.xxh32_intdigest(raw) if shared_ids else 0
                 total = 0
                 for pretoken, n in Counter(split(text.as_py() or "")).items():
-                    size = known.get(pretoken)
-                    if size is None:
-                        rows.append((doc_id, version, None, pretoken, n))
+                    pieces = known.get(pretoken)
+                    if pieces is None:
+                        rows.append((pretoken, doc_id, version, n, None))
                     else:
-                        total += size * n
-                rows.append((doc_id, version, len(raw), f"{_HEAD}{doc_id}", total))
-                if len(rows) > 1 << 17:
+                        total += pieces * n
+                rows.append((f"{_HEAD}{doc_id}", doc_id, version, total, len(raw)))
+                if len(rows) > 1 << 16:
                     yield out()
         yield out()
 
-    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    frequencies = numbered.mapInArrow(documents, "doc_id long, version long, n_bytes long, pretoken string, n long")
-    joined = frequencies.join(pieces.select("pretoken", "pieces"), "pretoken", "left")
-    sums = joined.groupBy("doc_id", "version").agg(
-        F.max("n_bytes").alias("n_bytes"),
-        F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("pieces"),
-        F.count("n_bytes").alias("rows"),
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come sorted by pre-token, so its pieces are counted once, and remembered past the end of a batch
+        count, last = counter(_processor(shared.value)), {}
+        for batch in batches:
+            pretokens = batch.column(0).to_pylist()
+            own = [p for p in dict.fromkeys(pretokens) if p not in last and not p.startswith(_HEAD)]
+            last.update(zip(own, count(own)))
+            weights = [last.get(p, 1) for p in pretokens]
+            last = {p: last[p] for p in pretokens[-1:] if p in last}
+            pieces = pc.multiply(batch.column(3), pa.array(weights, pa.int64()))
+            columns = [batch.column(1), batch.column(2), pieces, batch.column(4)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "pieces", "n_bytes"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    frequencies = rows.mapInArrow(documents, "pretoken string, doc_id long, version long, n long, n_bytes long")
+    together = frequencies.repartition("pretoken").sortWithinPartitions("pretoken")
+    parts = together.mapInArrow(weigh, "doc_id long, version long, pieces long, n_bytes long")
+    sums = parts.groupBy("doc_id", "version").agg(
+        F.sum("pieces").alias("pieces"), F.max("n_bytes").alias("n_bytes"), F.count("n_bytes").alias("rows")
     )
     each = F.expr("pieces div rows")
     return sums.select(
@@ -196,3 +218,4 @@ def token_counts(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
         (each > limit).alias("over_limit"),
         F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("_row"),
     ).drop("_row")
+

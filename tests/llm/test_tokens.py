@@ -104,7 +104,7 @@ def test_counts_odd_texts(spark):
 def test_counts_beyond_the_frequent_ones(spark, monkeypatch):
     import sentencepiece
 
-    monkeypatch.setattr(token_counts, "FREQUENT", 2)
+    monkeypatch.setattr(token_counts, "SHARE", 3)
     processor = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     texts = {i: f"the the of unusual{i % 7} wörd{i}\n\nand  more" for i in range(50)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
@@ -120,6 +120,16 @@ def test_counts_edges(edge_docs, edge_rows, no_docs):
     assert token_counts.token_counts(no_docs, PIECES).count() == 0
 
 
+def test_rows_that_share_an_id_are_counted_apart(spark):
+    import sentencepiece
+
+    processor = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rows = [(1, "a first text"), (1, "another, longer text"), (1, "a first text"), (None, "x"), (None, "y z"), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["n_tokens"]) for r in token_counts.token_counts(docs, PIECES).collect()]
+    assert sorted(got, key=str) == sorted(((i, len(processor.encode(t))) for i, t in rows), key=str)
+
+
 def test_models_that_join_words_are_refused():
     class Joined:
         def get_piece_size(self):
