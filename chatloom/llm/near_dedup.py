@@ -9,8 +9,11 @@ nodes that share a few of its documents as pivots. Comparison of minwise sketche
 holds when 100 * |intersection| >= 75 * |union| on the full sets.
 
 Recall: a pair at similarity s survives a level of a tree with probability 2/3 s + 1/3 (1 - (1-s)^2) and so on down;
-at 0.75 a pair misses all 12 trees with probability 2e-9 if it parts below the roots, and 1e-4 at depth 4. Small nodes
-pass on several edge-disjoint spanning forests of their candidates, not all pairs, so the rows grow with the documents."""
+at 0.75 a pair misses all 12 trees with probability 2e-9 if it parts below the roots, and 1e-4 at depth 4.
+
+Links are confirmed in two rounds. In the first, a small node passes on several edge-disjoint spanning forests of its
+candidates, which link most of a cluster with few rows; in the second, it passes on all other candidates whose ends the
+confirmed links of the first leave apart. So a candidate goes unconfirmed only if it can't change a component."""
 
 from __future__ import annotations
 
@@ -33,7 +36,7 @@ SMALL = 64
 DEPTH = 4
 PIVOTS = 12
 #: Of 128 one-byte tokens a pair at 0.75 shares 96 on average, with a deviation of 4.9. From CANDIDATE on a pair may
-#: be a link, from LIKELY on it is one nearly always, from STRONG on always.
+#: be a link; LIKELY and STRONG only order what the first round tries.
 CANDIDATE, LIKELY, STRONG = 72, 101, 108
 FORESTS = 4
 _STEP = 4096
@@ -132,39 +135,43 @@ class _Groups(dict):
         self[self.top(x)] = self.top(y)
 
 
-def forests(reps: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
-    """Candidate pairs of a small node. All pairs are compared, the most similar first. Strong pairs, which will be
-    confirmed, pass on one spanning forest; likely ones two edge-disjoint forests of what that leaves apart; and the
-    others FORESTS such forests of what two likely paths leave apart. So a false candidate hides no link."""
+def forests(reps: np.ndarray, sketches: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Candidate pairs of a small node for the first round, and for every pair in the order of ``np.triu_indices``
+    whether it is a candidate that is left for the second. All pairs are compared, the most similar first. Strong
+    pairs pass on one spanning forest; likely ones two edge-disjoint forests of what that leaves apart; and the
+    others FORESTS such forests of what two likely paths leave apart."""
     m = len(reps)
     left, right = np.triu_indices(m, 1)
     shared = np.concatenate([(sketches[i] == sketches[i + 1 :]).sum(axis=1) for i in range(m - 1)])
-    some = np.flatnonzero(shared >= CANDIDATE)
+    later = shared >= CANDIDATE
+    some = np.flatnonzero(later)
     if len(some) == 0:
-        return []
+        return [], later
     a, b = np.minimum(reps[left[some]], reps[right[some]]), np.maximum(reps[left[some]], reps[right[some]])
     strength = np.minimum(shared[some], STRONG)
     order = np.lexsort((b, a, -strength))
     sure, likely, other, out = _Groups(), [_Groups(), _Groups()], [_Groups() for _ in range(FORESTS)], []
-    for x, y, s in zip(a[order].tolist(), b[order].tolist(), strength[order].tolist()):
+    for at, x, y, s in zip(some[order].tolist(), a[order].tolist(), b[order].tolist(), strength[order].tolist()):
         if sure.together(x, y):
             continue
         if s == STRONG:
             for g in (sure, *likely, *other):
                 g.join(x, y)
-            out.append((x, y))
-            continue
-        if s < LIKELY and likely[1].together(x, y):
+        elif s < LIKELY and likely[1].together(x, y):
             continue
-        apart = next((g for g in (likely if s >= LIKELY else other) if not g.together(x, y)), None)
-        if apart is not None:
+        else:
+            apart = next((g for g in (likely if s >= LIKELY else other) if not g.together(x, y)), None)
+            if apart is None:
+                continue
             apart.join(x, y)
-            out.append((x, y))
-    return out
+        out.append((x, y))
+        later[at] = False
+    return out, later
 
 
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of the small nodes in (node, rep, sketch) rows that are sorted by node."""
+    """Candidate pairs (a, b) of the small nodes in (node, rep, sketch) rows that are sorted by node; and for a node
+    with candidates left for the second round a row of its documents and the bits of those pairs."""
     held = None
 
     def pairs(node, rep, sketch) -> pa.RecordBatch:
@@ -174,10 +181,26 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twos = starts[sizes == 2]
         near = twos[(sketch[twos] == sketch[twos + 1]).sum(axis=1) >= CANDIDATE]
         found = list(zip(np.minimum(rep[near], rep[near + 1]).tolist(), np.maximum(rep[near], rep[near + 1]).tolist()))
+        nodes, reps, bits = [], [], []
         for s, e in zip(starts[sizes > 2].tolist(), ends[sizes > 2].tolist()):
-            found += forests(rep[s:e], sketch[s:e])
+            some, later = forests(rep[s:e], sketch[s:e])
+            found += some
+            if later.any():
+                nodes.append(node[s])
+                reps.append(rep[s:e].tolist())
+                bits.append(np.packbits(later).tobytes())
         a, b = zip(*sorted(set(found))) if found else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        pad, gap = [None] * len(a), [None] * len(nodes)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([*a, *gap], pa.int64()),
+                pa.array([*b, *gap], pa.int64()),
+                pa.array([*pad, *nodes], pa.int64()),
+                pa.array([*pad, *reps], pa.list_(pa.int64())),
+                pa.array([*pad, *bits], pa.binary()),
+            ],
+            ["a", "b", "node", "reps", "bits"],
+        )
 
     for batch in batches:
         if not batch.num_rows:
@@ -194,6 +217,21 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(*held)
 
 
+def untried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs left for the second round whose ends have different groups, of (reps, bits, groups) rows."""
+    for batch in batches:
+        found = set()
+        for reps, bits, groups in zip(*(batch.column(i) for i in range(3))):
+            reps, groups = (x.values.to_numpy(zero_copy_only=False) for x in (reps, groups))
+            left, right = np.triu_indices(len(reps), 1)
+            later = np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=len(left)).astype(bool)
+            take = np.flatnonzero(later & (groups[left] != groups[right]))
+            x, y = reps[left[take]], reps[right[take]]
+            found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
+        a, b = zip(*sorted(found)) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = WordHashes()
     for batch in batches:
@@ -234,7 +272,7 @@ def _dealt(nodes: DataFrame) -> DataFrame:
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a, b) of the (rep, signature, sketch) rows."""
+    """What ``compare`` finds in the (rep, signature, sketch) rows."""
     nodes = _crowded(reps.select("rep", "signature").mapInArrow(roots, "node long, rep long"))
     small = nodes.filter(F.col("size") <= SMALL).select("node", "rep")
     large = nodes.filter(F.col("size") > SMALL)
@@ -248,12 +286,23 @@ def candidates(reps: DataFrame) -> DataFrame:
     small = small.unionByName(_dealt(large))
     sketched = small.join(reps.select("rep", "sketch"), "rep").select("node", "rep", "sketch")
     together = sketched.repartition("node").sortWithinPartitions("node")
-    return materialize(together.mapInArrow(compare, "a long, b long").distinct())
+    return materialize(together.mapInArrow(compare, "a long, b long, node long, reps array<long>, bits binary"))
 
 
-def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The confirmed pairs of representatives. Sets are made again from the texts, of candidates alone."""
-    pairs = candidates(reps)
+def _second(left: DataFrame, groups: DataFrame) -> DataFrame:
+    """Distinct pairs of the (node, reps, bits) rows whose ends have different groups; (id, component) are the groups,
+    and a document without a row is its own."""
+    rows = left.select("node", F.posexplode("reps").alias("at", "rep"))
+    rows = rows.join(groups, F.col("rep") == F.col("id"), "left")
+    rows = rows.select("node", F.struct("at", F.coalesce("component", "rep").alias("group")).alias("row"))
+    named = rows.groupBy("node").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    # a node whose documents are all in one group has nothing left
+    named = named.select("node", F.col("rows.group").alias("groups")).filter("array_min(groups) < array_max(groups)")
+    return left.join(named, "node").select("reps", "bits", "groups").mapInArrow(untried, "a long, b long").distinct()
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that are links. Sets are made again from the texts, of candidates alone."""
     wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_bytes().alias("raw"))
     texts = texts.join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
@@ -263,6 +312,17 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return materialize(both.select("a", "b", "s", "t").mapInArrow(confirm, "a long, b long").distinct())
 
 
+def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Confirmed pairs of representatives that join what all links join."""
+    found = candidates(reps)
+    pairs = materialize(found.filter("a is not null").select("a", "b").distinct())
+    groups = components(_confirmed(docs, pairs))
+    stars = groups.filter("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
+    left = _second(found.filter("node is not null").select("node", "reps", "bits"), groups)
+    left = materialize(left.join(pairs, ["a", "b"], "left_anti"))
+    return stars if left.isEmpty() else stars.unionByName(_confirmed(docs, left))
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 

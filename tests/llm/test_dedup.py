@@ -143,6 +143,32 @@ def test_near_against_all_pairs(spark):
     assert got == brute_components(texts)
 
 
+def family(draw, size, shared, own, planted, common_own):
+    """Texts with one boilerplate and words of their own; of the first 2 * planted, neighbours share some of those."""
+    fresh = (f"w{i}" for i in itertools.count())
+    boilerplate = [next(fresh) for _ in range(shared + 4)]
+    texts = {}
+    for i in range(size):
+        words = [next(fresh) for _ in range(own)]
+        if i < 2 * planted and i % 2:
+            words[:common_own] = last[:common_own]
+        last = words
+        texts[i] = " ".join(boilerplate + words)
+    order = list(texts)
+    draw.shuffle(order)
+    return {order[i]: t for i, t in texts.items()}
+
+
+@pytest.mark.parametrize("size", [60, 150])
+def test_near_links_in_a_family_below_the_threshold(spark, size):
+    texts = family(random.Random(size), size, 171, 30, size // 4, 3)  # 171 of 231, planted 174 of 228
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_dedup(docs).collect()}
+    want = brute_components(texts)
+    assert len({c for _, c in want.values()}) == size - size // 4
+    assert got == want
+
+
 def test_branching_keeps_pairs_at_the_threshold():
     draw = np.random.default_rng(1)
     survived = 0
