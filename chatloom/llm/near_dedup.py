@@ -3,13 +3,16 @@
 A document's set of shingle hashes is embedded as ``COORDINATES`` minwise tokens. Each of ``TREES`` independent
 trees branches a node's documents by the tokens at one or two coordinates that the node's path selects, 1/similarity
 on average, so that a pair at the threshold is expected to share a child at every level. A node of at most
-``SMALL`` documents is compared exhaustively, a larger one branches again. Documents that are still together in a
-large node after ``DEPTH`` levels agree in so many tokens that they are one cluster: the node is dealt into small
-nodes that share a few of its documents as pivots. Comparison of minwise sketches only picks candidates; a link
+``SMALL`` documents is compared exhaustively, a larger one branches again. From level ``DEPTH`` on, a large node that
+keeps more than half of its parent no longer shrinks: copies of one text, or texts with one boilerplate. It is dealt into
+small nodes that share a few of its documents as pivots, which joins most of what is one cluster; then the families,
+which are the documents such nodes connect, are compared on full sets in blocks, all pairs whose ends that left apart.
+Comparison of minwise sketches only picks candidates; a link
 holds when 100 * |intersection| >= 75 * |union| on the full sets.
 
 Recall: a pair at similarity s survives a level of a tree with probability 2/3 s + 1/3 (1 - (1-s)^2) and so on down;
-at 0.75 a pair misses all 12 trees with probability 2e-9 if it parts below the roots, and 1e-4 at depth 4.
+at 0.75 a pair misses all 12 trees with probability 2e-9 if it parts below the roots, and 1e-4 at depth 4, and
+more often the deeper a node that shrinks has to branch.
 
 Links are confirmed in two rounds. In the first, a small node passes on several edge-disjoint spanning forests of its
 candidates, which link most of a cluster with few rows; in the second, it passes on all other candidates whose ends the
@@ -39,6 +42,8 @@ PIVOTS = 12
 #: be a link; LIKELY and STRONG only order what the first round tries.
 CANDIDATE, LIKELY, STRONG = 72, 101, 108
 FORESTS = 4
+#: Documents and shingles of a piece of a family.
+PIECE, WEIGHT = 1024, 1 << 18
 _STEP = 4096
 
 
@@ -116,7 +121,8 @@ def deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         nodes, reps = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
         children, rows = branch(nodes, _signatures(batch.column(2)))
-        yield _node_batch(children, reps[rows])
+        below, parent = _node_batch(children, reps[rows]), pa.array(batch.column(3).to_numpy()[rows])
+        yield pa.RecordBatch.from_arrays([*below.columns, parent], ["node", "rep", "parent"])
 
 
 class _Groups(dict):
@@ -218,14 +224,14 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def untried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs left for the second round whose ends have different groups, of (reps, bits, groups) rows."""
+    """The pairs left for the second round whose ends differ in group and family, of (reps, bits, groups, families)."""
     for batch in batches:
         found = set()
-        for reps, bits, groups in zip(*(batch.column(i) for i in range(3))):
-            reps, groups = (x.values.to_numpy(zero_copy_only=False) for x in (reps, groups))
+        for reps, bits, groups, families in zip(*(batch.column(i) for i in range(4))):
+            reps, groups, families = (x.values.to_numpy() for x in (reps, groups, families))
             left, right = np.triu_indices(len(reps), 1)
             later = np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=len(left)).astype(bool)
-            take = np.flatnonzero(later & (groups[left] != groups[right]))
+            take = np.flatnonzero(later & (groups[left] != groups[right]) & (families[left] != families[right]))
             x, y = reps[left[take]], reps[right[take]]
             found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
         a, b = zip(*sorted(found)) if found else ((), ())
@@ -251,6 +257,59 @@ def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """The number of tokens that every set of x has in common with every set of y."""
+    both = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    counts = np.zeros((len(x), len(y)))
+    places = []
+    for side in (x, y):
+        rows, tokens = np.repeat(np.arange(len(side)), [len(s) for s in side]), np.concatenate(side)
+        at = np.searchsorted(both, tokens)
+        known = np.flatnonzero(both[np.minimum(at, len(both) - 1)] == tokens) if len(both) else at[:0]
+        order = known[np.argsort(at[known], kind="stable")]
+        places.append((rows[order], at[order]))
+    for start in range(0, len(both), _STEP):
+        dense = []
+        for side, (rows, at) in zip((x, y), places):
+            s, e = np.searchsorted(at, [start, start + _STEP])
+            dense.append(np.zeros((len(side), min(_STEP, len(both) - start)), np.float32))
+            dense[-1][rows[s:e], at[s:e] - start] = 1
+        counts += dense[0] @ dense[1].T
+    return counts
+
+
+def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between different groups in (block, second, rep, group, tokens) rows sorted by block, of its first piece
+    with its second, or inside the only one; of each block as many as join what all of them join."""
+
+    def found(rows: list[tuple]) -> pa.RecordBatch:
+        x, y = ([r for r in rows if r[0] == second] for second in (False, True))
+        x, y = x or y, y or x
+        counts = intersections([r[3] for r in x], [r[3] for r in y])
+        sizes = [np.array([len(r[3]) for r in side]) for side in (x, y)]
+        groups = [np.array([r[2] for r in side]) for side in (x, y)]
+        union = sizes[0][:, None] + sizes[1][None] - counts
+        near = (100 * counts >= PERCENT * union) & (groups[0][:, None] != groups[1][None])
+        joined, a, b = _Groups(), [], []
+        for i, j in zip(*(at.tolist() for at in np.nonzero(near))):
+            if not joined.together(x[i][2], y[j][2]):
+                joined.join(x[i][2], y[j][2])
+                a.append(min(x[i][1], y[j][1]))
+                b.append(max(x[i][1], y[j][1]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    held, now = [], None
+    for batch in batches:
+        for block, second, rep, group, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+            if block != now and held:
+                yield found(held)
+                held = []
+            now = block
+            held.append((second, rep, group, np.frombuffer(tokens, np.uint64)))
+    if held:
+        yield found(held)
+
+
 def _crowded(nodes: DataFrame) -> DataFrame:
     """The (node, rep) rows of nodes with two or more documents, and the node's size. Sizes are counted before any
     row moves, and the rows of the few largest nodes stay where they are, so a crowded node is not collected."""
@@ -271,56 +330,119 @@ def _dealt(nodes: DataFrame) -> DataFrame:
     )
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """What ``compare`` finds in the (rep, signature, sketch) rows."""
+def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """What ``compare`` finds in the (rep, signature, sketch) rows, and the (node, rep) rows of nodes that no longer
+    shrink, if there are any."""
     nodes = _crowded(reps.select("rep", "signature").mapInArrow(roots, "node long, rep long"))
     small = nodes.filter(F.col("size") <= SMALL).select("node", "rep")
     large = nodes.filter(F.col("size") > SMALL)
-    for _ in range(DEPTH - 1):
-        if large.isEmpty():
-            break
-        below = large.select("node", "rep").join(reps.select("rep", "signature"), "rep").select("node", "rep", "signature")
-        nodes = _crowded(below.mapInArrow(deeper, "node long, rep long"))
+    level, stuck = 1, None
+    while not large.isEmpty():
+        level += 1
+        below = large.join(reps.select("rep", "signature"), "rep").select("node", "rep", "signature", "size")
+        nodes = _crowded(below.mapInArrow(deeper, "node long, rep long, parent long"))
         small = small.unionByName(nodes.filter(F.col("size") <= SMALL).select("node", "rep"))
-        large = nodes.filter(F.col("size") > SMALL)
-    small = small.unionByName(_dealt(large))
+        large = nodes.filter(F.col("size") > SMALL).select("node", "rep", "size", "parent")
+        if level >= DEPTH:
+            still = large.filter("2 * size > parent").select("node", "rep", "size")
+            stuck = still if stuck is None else stuck.unionByName(still)
+            large = large.filter("2 * size <= parent")
+    if stuck is not None and stuck.isEmpty():
+        stuck = None
+    if stuck is not None:
+        small = small.unionByName(_dealt(stuck))
     sketched = small.join(reps.select("rep", "sketch"), "rep").select("node", "rep", "sketch")
     together = sketched.repartition("node").sortWithinPartitions("node")
-    return materialize(together.mapInArrow(compare, "a long, b long, node long, reps array<long>, bits binary"))
+    return materialize(together.mapInArrow(compare, "a long, b long, node long, reps array<long>, bits binary")), stuck
 
 
-def _second(left: DataFrame, groups: DataFrame) -> DataFrame:
-    """Distinct pairs of the (node, reps, bits) rows whose ends have different groups; (id, component) are the groups,
-    and a document without a row is its own."""
+def _second(left: DataFrame, groups: DataFrame, families: DataFrame | None) -> DataFrame:
+    """Distinct pairs of the (node, reps, bits) rows whose ends have different groups and are not of one family, whose
+    pairs are all compared. (id, component) are groups and families; a document without a row is its own."""
     rows = left.select("node", F.posexplode("reps").alias("at", "rep"))
-    rows = rows.join(groups, F.col("rep") == F.col("id"), "left")
-    rows = rows.select("node", F.struct("at", F.coalesce("component", "rep").alias("group")).alias("row"))
-    named = rows.groupBy("node").agg(F.array_sort(F.collect_list("row")).alias("rows"))
-    # a node whose documents are all in one group has nothing left
-    named = named.select("node", F.col("rows.group").alias("groups")).filter("array_min(groups) < array_max(groups)")
-    return left.join(named, "node").select("reps", "bits", "groups").mapInArrow(untried, "a long, b long").distinct()
+    rows = rows.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("group")), "rep", "left")
+    if families is not None:
+        rows = rows.join(families.select(F.col("id").alias("rep"), F.col("component").alias("family")), "rep", "left")
+    else:
+        rows = rows.withColumn("family", F.lit(None).cast("long"))
+    row = F.struct("at", F.coalesce("group", "rep").alias("group"), F.coalesce("family", "rep").alias("family"))
+    named = rows.groupBy("node").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    named = named.select("node", F.col("rows.group").alias("groups"), F.col("rows.family").alias("families"))
+    # a node whose documents are all in one group or family has nothing left
+    for c in ("groups", "families"):
+        named = named.filter(F.array_min(c) < F.array_max(c))
+    rows = left.join(named, "node").select("reps", "bits", "groups", "families")
+    return rows.mapInArrow(untried, "a long, b long").distinct()
+
+
+def _tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sets of the wanted representatives, made again from the texts."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_bytes().alias("raw"))
+    texts = texts.join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
+    return materialize(texts.mapInArrow(sets, "rep long, tokens binary"))
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs that are links. Sets are made again from the texts, of candidates alone."""
-    wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_bytes().alias("raw"))
-    texts = texts.join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
-    tokens = materialize(texts.mapInArrow(sets, "rep long, tokens binary"))
+    """The pairs that are links. Sets are made of candidates alone."""
+    tokens = _tokens(docs, pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct())
     first = pairs.join(tokens.select(F.col("rep").alias("a"), F.col("tokens").alias("s")), "a")
     both = first.join(tokens.select(F.col("rep").alias("b"), F.col("tokens").alias("t")), "b")
     return materialize(both.select("a", "b", "s", "t").mapInArrow(confirm, "a long, b long").distinct())
 
 
+def _families(stuck: DataFrame) -> DataFrame:
+    """(id, component) of the documents that nodes connect which no longer shrink."""
+    nodes = materialize(stuck.groupBy("node").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("size")))
+    rows = join_frequent(stuck.select("node", "rep"), nodes, "node", "size")
+    return components(rows.select(F.col("first").alias("a"), F.col("rep").alias("b")))
+
+
+def _within(docs: DataFrame, reps: DataFrame, families: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links inside the families between different groups. A family's documents are dealt into pieces; every two
+    pieces meet in a block, except two of the largest group, which has pieces of its own."""
+    members = families.select(F.col("id").alias("rep"), F.col("component").alias("family"))
+    members = members.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("group")), "rep", "left")
+    members = members.join(reps.select("rep", "n_shingles"), "rep")
+    members = materialize(members.select("rep", "family", F.coalesce("group", "rep").alias("group"), "n_shingles"))
+    sizes = members.groupBy("family", "group").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    sizes = sizes.groupBy("family").agg(F.max(F.struct("n", "group", "w")).alias("main"), F.sum("n").alias("size"), F.sum("w").alias("w"))
+
+    def pieces(n, w):
+        return F.greatest(F.ceil(n / PIECE), F.ceil(w / WEIGHT))
+
+    sizes = sizes.select(
+        "family",
+        "size",
+        (F.col("size") == F.col("main.n")).alias("done"),
+        F.col("main.group").alias("main"),
+        pieces(F.col("main.n"), F.col("main.w")).alias("mains"),
+        pieces(F.col("size") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("others"),
+    )
+    rows = join_frequent(members, materialize(sizes), "family", "size").filter("not done")
+    main, draw, zero = F.col("group") == F.col("main"), F.xxhash64("rep"), F.lit(0).cast("long")
+    own = F.when(main, F.col("others") + F.pmod(draw, F.col("mains"))).otherwise(F.pmod(draw, F.col("others")))
+    last = F.when(main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    rows = materialize(rows.select("rep", "family", "group", own.alias("own"), last.alias("last")))
+    rows = rows.join(_tokens(docs, rows.select("rep")), "rep")
+    rows = rows.select("*", F.explode(F.sequence(zero, F.col("last"))).alias("other"))
+    block = F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other")).alias("block")
+    rows = rows.select(block, (F.col("own") > F.col("other")).alias("second"), "rep", "group", "tokens")
+    blocks = rows.repartition("block").sortWithinPartitions("block")
+    return materialize(blocks.mapInArrow(cross, "a long, b long").distinct())
+
+
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Confirmed pairs of representatives that join what all links join."""
-    found = candidates(reps)
+    found, stuck = candidates(reps)
     pairs = materialize(found.filter("a is not null").select("a", "b").distinct())
     groups = components(_confirmed(docs, pairs))
-    stars = groups.filter("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
-    left = _second(found.filter("node is not null").select("node", "reps", "bits"), groups)
+    families = None if stuck is None else _families(stuck)
+    out = groups.filter("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
+    left = _second(found.filter("node is not null").select("node", "reps", "bits"), groups, families)
     left = materialize(left.join(pairs, ["a", "b"], "left_anti"))
-    return stars if left.isEmpty() else stars.unionByName(_confirmed(docs, left))
+    if not left.isEmpty():
+        out = out.unionByName(_confirmed(docs, left))
+    return out if families is None else out.unionByName(_within(docs, reps, families, groups))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -340,6 +462,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         .agg(
             F.min("doc_id").alias("rep"),
             F.count(F.lit(1)).alias("size"),
+            F.first("n_shingles").alias("n_shingles"),
             F.first("signature").alias("signature"),
             F.first("sketch").alias("sketch"),
         )

@@ -169,6 +169,17 @@ def test_near_links_in_a_family_below_the_threshold(spark, size):
     assert got == want
 
 
+def test_near_links_in_a_family_that_does_not_shrink(spark):
+    texts = family(random.Random(3), 2000, 171, 30, 100, 8)  # 171 of 231, planted 179 of 223
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(docs).collect()}
+    pairs = {}
+    for i, t in texts.items():  # a planted pair shares the first word after the boilerplate
+        pairs.setdefault(t.split()[175], []).append(i)
+    assert sum(len(p) == 2 for p in pairs.values()) == 100
+    assert got == {i: min(p) for p in pairs.values() for i in p}
+
+
 def test_branching_keeps_pairs_at_the_threshold():
     draw = np.random.default_rng(1)
     survived = 0
