@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from chatloom.llm import (
+    embedding_dedup,
     exact_dedup,
     language,
+    merkle,
     mixing,
     near_dedup,
     ordinal,
     packing,
     preference,
     quality_cascade,
+    spelling,
     suffix_dedup,
     token_counts,
 )
@@ -90,6 +93,19 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_cascade.cascade(_docs(spark, sf).select("doc_id", "text"))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    return embedding_dedup.near_vectors(vectors)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.audit(merkle.manifest(_docs(spark, sf).select("doc_id", "source", "lang", "n_chars", "text")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(_docs(spark, sf).select("doc_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -103,6 +119,9 @@ QUERIES = {
         op8_packing,
         op9_token_counts,
         op10_quality_rules,
+        op11_embedding_near_dedup,
+        op12_merkle_manifest,
+        op13_spelling_variants,
     )
 } | {"pipeline": corpus_pipeline.run}
 
