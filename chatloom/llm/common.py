@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.plans.materialize import materialize
+from chatloom.plans.materialize import materialize, scratch_path
 
 #: Words are runs of characters other than space and the controls 9 to 13, as in ``bytes.split()``.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,6 +23,41 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of the table has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+class Tables:
+    """Intermediate tables in the shared folder, which go when their last reader is done and not with the session."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, "table")
+        df.write.parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(kept)] = (kept, path)
+        return kept
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Deletes kept tables. The JVM's collection lets Spark drop the shuffle files behind them, too."""
+        for frame in frames:
+            _, path = self.paths.pop(id(frame), (None, None))
+            if path:
+                folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self.spark._jvm.System.gc()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scatters 64-bit values; one to one."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -3,20 +3,25 @@
 A document's set of shingle hashes is embedded as ``COORDINATES`` minwise tokens. Each of ``TREES`` independent
 trees branches a node's documents by the tokens at one or two coordinates that the node's path selects, 1/similarity
 on average, so that a pair at the threshold is expected to share a child at every level. A node of at most
-``SMALL`` documents is compared exhaustively, a larger one branches again. From level ``DEPTH`` on, a large node that
-keeps more than half of its parent no longer shrinks: copies of one text, or texts with one boilerplate. It is dealt into
-small nodes that share a few of its documents as pivots, which joins most of what is one cluster; then the families,
-which are the documents such nodes connect, are compared on full sets in blocks, all pairs whose ends that left apart.
-Comparison of minwise sketches only picks candidates; a link
-holds when 100 * |intersection| >= 75 * |union| on the full sets.
+``SMALL`` documents is compared exhaustively, a larger one branches again. Comparison of minwise sketches only picks
+candidates; a link holds when 100 * |intersection| >= 75 * |union| on the full sets.
+
+Copies. A cluster of near copies would stay together in every tree however deep, so the documents of a large node are
+first confirmed against its first document, the pivot, which is linear. Documents that confirmed links join are one
+group, and only pairs of different groups are compared from then on: a node of one group is closed; one in which no more
+than SMALL documents are outside its largest group is compared in pieces, each with all of those; the others branch.
+
+Boilerplate. From level ``DEPTH`` on, a node that keeps more than half of its parent no longer shrinks. The documents of all
+such nodes are joined exactly by prefix filter: a pair at the threshold shares one of the rarest quarter of its shingles,
+so each document goes to the nodes of those, which are compared in the same way, and in blocks where one stays large.
 
 Recall: a pair at similarity s survives a level of a tree with probability 2/3 s + 1/3 (1 - (1-s)^2) and so on down;
 at 0.75 a pair misses all 12 trees with probability 2e-9 if it parts below the roots, and 1e-4 at depth 4, and
 more often the deeper a node that shrinks has to branch.
 
-Links are confirmed in two rounds. In the first, a small node passes on several edge-disjoint spanning forests of its
-candidates, which link most of a cluster with few rows; in the second, it passes on all other candidates whose ends the
-confirmed links of the first leave apart. So a candidate goes unconfirmed only if it can't change a component."""
+Links are confirmed in rounds: the pivots'; then several edge-disjoint spanning forests of a small node's candidates, which
+link most of a cluster with few rows; then all other candidates whose ends are still apart. So a candidate goes
+unconfirmed only if it can't change a component. Intermediate tables go as soon as their last reader is done."""
 
 from __future__ import annotations
 
@@ -28,8 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import WordHashes, components, constants, gram_hashes, join_frequent, mix, text_bytes
-from chatloom.plans.materialize import materialize
+from chatloom.llm.common import Tables, WordHashes, components, constants, fresh, gram_hashes, join_frequent, mix, text_bytes
 
 SHINGLE = 5
 PERCENT = 75
@@ -37,13 +41,13 @@ COORDINATES = 128
 TREES = 12
 SMALL = 64
 DEPTH = 4
-PIVOTS = 12
 #: Of 128 one-byte tokens a pair at 0.75 shares 96 on average, with a deviation of 4.9. From CANDIDATE on a pair may
-#: be a link; LIKELY and STRONG only order what the first round tries.
-CANDIDATE, LIKELY, STRONG = 72, 101, 108
+#: be a link (four deviations, 2e-5 at the threshold); LIKELY and STRONG only order what the first round tries.
+CANDIDATE, LIKELY, STRONG = 76, 101, 108
 FORESTS = 4
-#: Documents and shingles of a piece of a family.
-PIECE, WEIGHT = 1024, 1 << 18
+PIECE = 256  # documents of a piece of a node
+HUB_PIECES = 1024  # pieces, at most, that the documents compared with one other are dealt into
+FEW = 1 << 19  # rows of ids that are broadcast, about 20 MB
 _STEP = 4096
 
 
@@ -118,11 +122,13 @@ def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The children of (node, rep, signature, group, size) rows, with the size of their parent."""
     for batch in batches:
         nodes, reps = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
         children, rows = branch(nodes, _signatures(batch.column(2)))
-        below, parent = _node_batch(children, reps[rows]), pa.array(batch.column(3).to_numpy()[rows])
-        yield pa.RecordBatch.from_arrays([*below.columns, parent], ["node", "rep", "parent"])
+        below = _node_batch(children, reps[rows])
+        more = [pa.array(batch.column(i).to_numpy()[rows]) for i in (3, 4)]
+        yield pa.RecordBatch.from_arrays([*below.columns, *more], ["node", "rep", "group", "parent"])
 
 
 class _Groups(dict):
@@ -141,55 +147,64 @@ class _Groups(dict):
         self[self.top(x)] = self.top(y)
 
 
-def forests(reps: np.ndarray, sketches: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+def _may_link(shared: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles with so many equal bytes may be similar enough."""
+    return (shared >= CANDIDATE) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+
+
+def forests(
+    reps: np.ndarray, groups: np.ndarray, sizes: np.ndarray, sketches: np.ndarray
+) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Candidate pairs of a small node for the first round, and for every pair in the order of ``np.triu_indices``
     whether it is a candidate that is left for the second. All pairs are compared, the most similar first. Strong
-    pairs pass on one spanning forest; likely ones two edge-disjoint forests of what that leaves apart; and the
-    others FORESTS such forests of what two likely paths leave apart."""
+    pairs pass on one spanning forest of the groups; likely ones two edge-disjoint forests of what that leaves apart; and
+    the others FORESTS such forests of what two likely paths leave apart."""
     m = len(reps)
     left, right = np.triu_indices(m, 1)
     shared = np.concatenate([(sketches[i] == sketches[i + 1 :]).sum(axis=1) for i in range(m - 1)])
-    later = shared >= CANDIDATE
+    later = _may_link(shared, sizes[left], sizes[right]) & (groups[left] != groups[right])
     some = np.flatnonzero(later)
     if len(some) == 0:
         return [], later
-    a, b = np.minimum(reps[left[some]], reps[right[some]]), np.maximum(reps[left[some]], reps[right[some]])
+    a, b = reps[left[some]], reps[right[some]]
     strength = np.minimum(shared[some], STRONG)
-    order = np.lexsort((b, a, -strength))
+    order = np.lexsort((np.maximum(a, b), np.minimum(a, b), -strength))
     sure, likely, other, out = _Groups(), [_Groups(), _Groups()], [_Groups() for _ in range(FORESTS)], []
-    for at, x, y, s in zip(some[order].tolist(), a[order].tolist(), b[order].tolist(), strength[order].tolist()):
-        if sure.together(x, y):
+    ends = (x[order].tolist() for x in (some, a, b, groups[left[some]], groups[right[some]], strength))
+    for at, x, y, g, h, s in zip(*ends):
+        if sure.together(g, h):
             continue
         if s == STRONG:
-            for g in (sure, *likely, *other):
-                g.join(x, y)
-        elif s < LIKELY and likely[1].together(x, y):
+            for forest in (sure, *likely, *other):
+                forest.join(g, h)
+        elif s < LIKELY and likely[1].together(g, h):
             continue
         else:
-            apart = next((g for g in (likely if s >= LIKELY else other) if not g.together(x, y)), None)
+            apart = next((f for f in (likely if s >= LIKELY else other) if not f.together(g, h)), None)
             if apart is None:
                 continue
-            apart.join(x, y)
-        out.append((x, y))
+            apart.join(g, h)
+        out.append((min(x, y), max(x, y)))
         later[at] = False
     return out, later
 
 
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (a, b) of the small nodes in (node, rep, sketch) rows that are sorted by node; and for a node
-    with candidates left for the second round a row of its documents and the bits of those pairs."""
+    """Candidate pairs (a, b) of the small nodes in (node, rep, group, n_shingles, sketch) rows that are sorted by node; and
+    for a node with candidates left for the second round a row of its documents and the bits of those pairs."""
     held = None
 
-    def pairs(node, rep, sketch) -> pa.RecordBatch:
+    def pairs(node, rep, group, size, sketch) -> pa.RecordBatch:
         cuts = np.flatnonzero(np.diff(node)) + 1
         starts, ends = np.r_[0, cuts], np.r_[cuts, len(node)]
         sizes = ends - starts
         twos = starts[sizes == 2]
-        near = twos[(sketch[twos] == sketch[twos + 1]).sum(axis=1) >= CANDIDATE]
+        near = _may_link((sketch[twos] == sketch[twos + 1]).sum(axis=1), size[twos], size[twos + 1])
+        near = twos[near & (group[twos] != group[twos + 1])]
         found = list(zip(np.minimum(rep[near], rep[near + 1]).tolist(), np.maximum(rep[near], rep[near + 1]).tolist()))
         nodes, reps, bits = [], [], []
         for s, e in zip(starts[sizes > 2].tolist(), ends[sizes > 2].tolist()):
-            some, later = forests(rep[s:e], sketch[s:e])
+            some, later = forests(rep[s:e], group[s:e], size[s:e], sketch[s:e])
             found += some
             if later.any():
                 nodes.append(node[s])
@@ -211,8 +226,8 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        sketch = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, COORDINATES)
-        now = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), sketch)
+        sketch = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        now = (*(batch.column(i).to_numpy() for i in range(4)), sketch)
         if held is not None:
             now = tuple(np.concatenate(x) for x in zip(held, now))
         last = np.searchsorted(now[0], now[0][-1])
@@ -224,225 +239,232 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def untried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs left for the second round whose ends differ in group and family, of (reps, bits, groups, families)."""
+    """The pairs left for the second round whose ends differ in group, of (reps, bits, groups)."""
     for batch in batches:
         found = set()
-        for reps, bits, groups, families in zip(*(batch.column(i) for i in range(4))):
-            reps, groups, families = (x.values.to_numpy() for x in (reps, groups, families))
+        for reps, bits, groups in zip(*(batch.column(i) for i in range(3))):
+            reps, groups = (x.values.to_numpy() for x in (reps, groups))
             left, right = np.triu_indices(len(reps), 1)
             later = np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=len(left)).astype(bool)
-            take = np.flatnonzero(later & (groups[left] != groups[right]) & (families[left] != families[right]))
+            take = np.flatnonzero(later & (groups[left] != groups[right]))
             x, y = reps[left[take]], reps[right[take]]
             found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
         a, b = zip(*sorted(found)) if found else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) that may be links, of (a, b, s, n, t, m) rows with their sketches and sizes."""
+    for batch in batches:
+        s, t = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, COORDINATES) for i in (2, 4))
+        n, m = (batch.column(i).to_numpy() for i in (3, 5))
+        take = pa.array(np.flatnonzero(_may_link((s == t).sum(axis=1), n, m)))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take)], ["a", "b"])
+
+
 def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, tokens, places) of (rep, digest, raw, places) rows; a row whose text is not the digest's is another text of
+    the doc_id and goes."""
     words = WordHashes()
     for batch in batches:
-        tokens = [shingles(raw.as_py(), words).tobytes() for raw in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.large_binary()).cast(pa.binary())], ["rep", "tokens"])
+        tokens = [shingles(raw.as_py(), words).tobytes() for raw in batch.column(2)]
+        same = pa.array([xxhash.xxh3_128_digest(t) == d.as_py() for t, d in zip(tokens, batch.column(1))], pa.bool_())
+        columns = [batch.column(0), pa.array(tokens, pa.large_binary()).cast(pa.binary()), batch.column(3)]
+        yield pa.RecordBatch.from_arrays(columns, ["rep", "tokens", "places"]).filter(same)
+
+
+def common(s: np.ndarray, t: np.ndarray) -> int:
+    """The number of values that two sorted sets share."""
+    s, t = (s, t) if len(s) <= len(t) else (t, s)
+    at = np.searchsorted(t, s)
+    return int((t[np.minimum(at, len(t) - 1)] == s).sum()) if len(t) else 0
 
 
 def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of (a, rep, tokens) rows in which those of a hub a follow each other, its own first."""
+    hub, own = None, None
     for batch in batches:
         a, b = [], []
-        for x, y, s, t in zip(*(batch.column(i) for i in range(4))):
-            s, t = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            if 100 * both >= PERCENT * (len(s) + len(t) - both):
-                a.append(x.as_py())
-                b.append(y.as_py())
+        for x, y, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            t = np.frombuffer(tokens.as_buffer(), np.uint64)
+            if x == y:
+                hub, own = x, t.copy()
+            elif x == hub:
+                both = common(own, t)
+                if 100 * both >= PERCENT * (len(own) + len(t) - both):
+                    a.append(x)
+                    b.append(y)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """The number of tokens that every set of x has in common with every set of y."""
-    both = np.intersect1d(np.concatenate(x), np.concatenate(y))
-    counts = np.zeros((len(x), len(y)))
-    places = []
-    for side in (x, y):
-        rows, tokens = np.repeat(np.arange(len(side)), [len(s) for s in side]), np.concatenate(side)
-        at = np.searchsorted(both, tokens)
-        known = np.flatnonzero(both[np.minimum(at, len(both) - 1)] == tokens) if len(both) else at[:0]
-        order = known[np.argsort(at[known], kind="stable")]
-        places.append((rows[order], at[order]))
-    for start in range(0, len(both), _STEP):
-        dense = []
-        for side, (rows, at) in zip((x, y), places):
-            s, e = np.searchsorted(at, [start, start + _STEP])
-            dense.append(np.zeros((len(side), min(_STEP, len(both) - start)), np.float32))
-            dense[-1][rows[s:e], at[s:e] - start] = 1
-        counts += dense[0] @ dense[1].T
-    return counts
-
-
-def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between different groups in (block, second, rep, group, tokens) rows sorted by block, of its first piece
-    with its second, or inside the only one; of each block as many as join what all of them join."""
-
-    def found(rows: list[tuple]) -> pa.RecordBatch:
-        x, y = ([r for r in rows if r[0] == second] for second in (False, True))
-        x, y = x or y, y or x
-        counts = intersections([r[3] for r in x], [r[3] for r in y])
-        sizes = [np.array([len(r[3]) for r in side]) for side in (x, y)]
-        groups = [np.array([r[2] for r in side]) for side in (x, y)]
-        union = sizes[0][:, None] + sizes[1][None] - counts
-        near = (100 * counts >= PERCENT * union) & (groups[0][:, None] != groups[1][None])
-        joined, a, b = _Groups(), [], []
-        for i, j in zip(*(at.tolist() for at in np.nonzero(near))):
-            if not joined.together(x[i][2], y[j][2]):
-                joined.join(x[i][2], y[j][2])
-                a.append(min(x[i][1], y[j][1]))
-                b.append(max(x[i][1], y[j][1]))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    held, now = [], None
-    for batch in batches:
-        for block, second, rep, group, tokens in zip(*(c.to_pylist() for c in batch.columns)):
-            if block != now and held:
-                yield found(held)
-                held = []
-            now = block
-            held.append((second, rep, group, np.frombuffer(tokens, np.uint64)))
-    if held:
-        yield found(held)
-
-
-def _crowded(nodes: DataFrame) -> DataFrame:
-    """The (node, rep) rows of nodes with two or more documents, and the node's size. Sizes are counted before any
-    row moves, and the rows of the few largest nodes stay where they are, so a crowded node is not collected."""
-    sizes = materialize(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
-    return materialize(join_frequent(nodes, sizes, "node", "size").filter("size is not null"))
-
-
-def _dealt(nodes: DataFrame) -> DataFrame:
-    """Large nodes as small ones: every document goes to one of them, and the node's pivots to all of them."""
-    share = SMALL - 2 * PIVOTS
-    pieces = F.ceil(F.col("size") / share)
-    draw = F.xxhash64("rep", "node")
-    rank = (F.pmod(draw, F.lit(1 << 40)) / F.lit(float(1 << 40))) * F.col("size")
-    own = F.pmod(F.xxhash64("node", "rep", F.lit(1)), pieces)
-    piece = F.when(rank < PIVOTS, F.sequence(F.lit(0).cast("long"), pieces - 1)).otherwise(F.array(own))
-    return nodes.select("node", "rep", F.explode(piece).alias("piece")).select(
-        F.xxhash64("node", "piece").alias("node"), "rep"
-    )
-
-
-def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """What ``compare`` finds in the (rep, signature, sketch) rows, and the (node, rep) rows of nodes that no longer
-    shrink, if there are any."""
-    nodes = _crowded(reps.select("rep", "signature").mapInArrow(roots, "node long, rep long"))
-    small = nodes.filter(F.col("size") <= SMALL).select("node", "rep")
-    large = nodes.filter(F.col("size") > SMALL)
+def _sorted_out(nodes: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """Of kept (node, rep, group, …) rows those to be compared, (node, rep, group), and those of nodes that are too large
+    for it, with ``size``. Nodes of one group are closed. Sizes are counted before any row moves, and the rows of the few
+    largest nodes stay where they are, so no crowded node is collected."""
+    counts = nodes.groupBy("node", "group").agg(F.count(F.lit(1)).alias("n"))
+    tops = counts.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "group")).alias("top"))
+    tops = tables.keep(tops.filter("size > top.n").select("node", "size", F.col("top.n").alias("n"), F.col("top.group").alias("top")))
+    rows = tables.keep(join_frequent(nodes, tops, "node", "size").filter("size is not null"))
+    whole = rows.filter(F.col("size") <= SMALL).select("node", "rep", "group")
+    rest = F.col("size") - F.col("n")
+    pieces = F.ceil(F.col("n") / PIECE)
+    own = F.array(F.pmod(F.xxhash64("rep"), pieces))
+    piece = F.when(F.col("group") == F.col("top"), own).otherwise(F.sequence(F.lit(0).cast("long"), pieces - 1))
+    split = rows.filter((F.col("size") > SMALL) & (rest <= SMALL)).select("node", "rep", "group", F.explode(piece).alias("piece"))
+    split = split.select(F.xxhash64("node", "piece").alias("node"), "rep", "group")
+    return whole.unionByName(split), rows.filter((F.col("size") > SMALL) & (rest > SMALL)).select(*nodes.columns, "size")
+
+
+def _named(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows with the group of each ``rep``; a document without a link is its own."""
+    named = rows.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("group")), "rep", "left")
+    return named.withColumn("group", F.coalesce("group", "rep"))
+
+
+def _pivots(large: DataFrame, reps: DataFrame, tables: Tables) -> DataFrame:
+    """Pairs (a, b) of the first document of each node and each other one that may be a link."""
+    first = tables.keep(large.groupBy("node").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("size")))
+    pairs = join_frequent(large.select("node", "rep"), first, "node", "size").filter("a <> rep")
+    pairs = tables.keep(pairs.select("a", F.col("rep").alias("b")).distinct())
+    hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size"))
+    own = reps.select(F.col("rep").alias("a"), F.col("sketch").alias("s"), F.col("n_shingles").alias("n"))
+    both = join_frequent(pairs, tables.keep(hubs.join(own, "a")), "a", "size")
+    other = reps.select(F.col("rep").alias("b"), F.col("sketch").alias("t"), F.col("n_shingles").alias("m"))
+    both = both.join(other, "b").select("a", "b", "s", "n", "t", "m")
+    return both.mapInArrow(promising, "a long, b long")
+
+
+def candidates(reps: DataFrame, nodes: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame | None]:
+    """The (node, rep, group) rows of all trees to be compared, from (node, rep, group) rows below the roots, and the (rep,
+    group) rows of nodes that no longer shrink, if there are any."""
+    small, large = _sorted_out(nodes, tables)
     level, stuck = 1, None
     while not large.isEmpty():
         level += 1
-        below = large.join(reps.select("rep", "signature"), "rep").select("node", "rep", "signature", "size")
-        nodes = _crowded(below.mapInArrow(deeper, "node long, rep long, parent long"))
-        small = small.unionByName(nodes.filter(F.col("size") <= SMALL).select("node", "rep"))
-        large = nodes.filter(F.col("size") > SMALL).select("node", "rep", "size", "parent")
+        below = large.join(reps.select("rep", "signature"), "rep").select("node", "rep", "signature", "group", "size")
+        nodes = tables.keep(below.mapInArrow(deeper, "node long, rep long, group long, parent long"))
+        more, large = _sorted_out(nodes, tables)
+        small = small.unionByName(more)
         if level >= DEPTH:
-            still = large.filter("2 * size > parent").select("node", "rep", "size")
+            still = large.filter("2 * size > parent").select("rep", "group")
             stuck = still if stuck is None else stuck.unionByName(still)
             large = large.filter("2 * size <= parent")
-    if stuck is not None and stuck.isEmpty():
-        stuck = None
     if stuck is not None:
-        small = small.unionByName(_dealt(stuck))
-    sketched = small.join(reps.select("rep", "sketch"), "rep").select("node", "rep", "sketch")
-    together = sketched.repartition("node").sortWithinPartitions("node")
-    return materialize(together.mapInArrow(compare, "a long, b long, node long, reps array<long>, bits binary")), stuck
-
-
-def _second(left: DataFrame, groups: DataFrame, families: DataFrame | None) -> DataFrame:
-    """Distinct pairs of the (node, reps, bits) rows whose ends have different groups and are not of one family, whose
-    pairs are all compared. (id, component) are groups and families; a document without a row is its own."""
-    rows = left.select("node", F.posexplode("reps").alias("at", "rep"))
-    rows = rows.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("group")), "rep", "left")
-    if families is not None:
-        rows = rows.join(families.select(F.col("id").alias("rep"), F.col("component").alias("family")), "rep", "left")
-    else:
-        rows = rows.withColumn("family", F.lit(None).cast("long"))
-    row = F.struct("at", F.coalesce("group", "rep").alias("group"), F.coalesce("family", "rep").alias("family"))
-    named = rows.groupBy("node").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    named = named.select("node", F.col("rows.group").alias("groups"), F.col("rows.family").alias("families"))
-    # a node whose documents are all in one group or family has nothing left
-    for c in ("groups", "families"):
-        named = named.filter(F.array_min(c) < F.array_max(c))
-    rows = left.join(named, "node").select("reps", "bits", "groups", "families")
-    return rows.mapInArrow(untried, "a long, b long").distinct()
-
-
-def _tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The sets of the wanted representatives, made again from the texts."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_bytes().alias("raw"))
-    texts = texts.join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
-    return materialize(texts.mapInArrow(sets, "rep long, tokens binary"))
-
-
-def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs that are links. Sets are made of candidates alone."""
-    tokens = _tokens(docs, pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct())
-    first = pairs.join(tokens.select(F.col("rep").alias("a"), F.col("tokens").alias("s")), "a")
-    both = first.join(tokens.select(F.col("rep").alias("b"), F.col("tokens").alias("t")), "b")
-    return materialize(both.select("a", "b", "s", "t").mapInArrow(confirm, "a long, b long").distinct())
-
-
-def _families(stuck: DataFrame) -> DataFrame:
-    """(id, component) of the documents that nodes connect which no longer shrink."""
-    nodes = materialize(stuck.groupBy("node").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("size")))
-    rows = join_frequent(stuck.select("node", "rep"), nodes, "node", "size")
-    return components(rows.select(F.col("first").alias("a"), F.col("rep").alias("b")))
-
-
-def _within(docs: DataFrame, reps: DataFrame, families: DataFrame, groups: DataFrame) -> DataFrame:
-    """Links inside the families between different groups. A family's documents are dealt into pieces; every two
-    pieces meet in a block, except two of the largest group, which has pieces of its own."""
-    members = families.select(F.col("id").alias("rep"), F.col("component").alias("family"))
-    members = members.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("group")), "rep", "left")
-    members = members.join(reps.select("rep", "n_shingles"), "rep")
-    members = materialize(members.select("rep", "family", F.coalesce("group", "rep").alias("group"), "n_shingles"))
-    sizes = members.groupBy("family", "group").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
-    sizes = sizes.groupBy("family").agg(F.max(F.struct("n", "group", "w")).alias("main"), F.sum("n").alias("size"), F.sum("w").alias("w"))
-
-    def pieces(n, w):
-        return F.greatest(F.ceil(n / PIECE), F.ceil(w / WEIGHT))
-
-    sizes = sizes.select(
-        "family",
-        "size",
-        (F.col("size") == F.col("main.n")).alias("done"),
-        F.col("main.group").alias("main"),
-        pieces(F.col("main.n"), F.col("main.w")).alias("mains"),
-        pieces(F.col("size") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("others"),
-    )
-    rows = join_frequent(members, materialize(sizes), "family", "size").filter("not done")
-    main, draw, zero = F.col("group") == F.col("main"), F.xxhash64("rep"), F.lit(0).cast("long")
-    own = F.when(main, F.col("others") + F.pmod(draw, F.col("mains"))).otherwise(F.pmod(draw, F.col("others")))
-    last = F.when(main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
-    rows = materialize(rows.select("rep", "family", "group", own.alias("own"), last.alias("last")))
-    rows = rows.join(_tokens(docs, rows.select("rep")), "rep")
-    rows = rows.select("*", F.explode(F.sequence(zero, F.col("last"))).alias("other"))
-    block = F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other")).alias("block")
-    rows = rows.select(block, (F.col("own") > F.col("other")).alias("second"), "rep", "group", "tokens")
-    blocks = rows.repartition("block").sortWithinPartitions("block")
-    return materialize(blocks.mapInArrow(cross, "a long, b long").distinct())
-
-
-def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
+        stuck = tables.keep(stuck.distinct())
+        if stuck.isEmpty():
+            stuck = None
+    return small, stuck
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
+    """(rep, tokens, places) of the (rep, digest, places) rows, from the texts. ``rows`` is how many places there are."""
+    raw = docs.select(F.col("doc_id").cast("long").alias("rep"), text_bytes().alias("raw"))
+    joined = raw.join(F.broadcast(wanted) if rows <= FEW else wanted, "rep")
+    kind = "array<struct<block:long,a:long>>"
+    return joined.select("rep", "digest", "raw", "places").mapInArrow(sets, f"rep long, tokens binary, places {kind}")
+
+
+def _confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame, tables: Tables) -> DataFrame:
+    """The pairs (a, b), which are distinct, that are links. The documents compared with one hub a are dealt into pieces; a
+    document's set goes to each of its pieces once, and that of the hub to all of them."""
+    pairs = tables.keep(pairs)
+    hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size"))
+    edges = join_frequent(pairs, tables.keep(hubs), "a", "size")
+    piece = F.pmod(F.xxhash64("b"), F.least(F.ceil(F.col("size") / PIECE), F.lit(HUB_PIECES)))
+    edges = tables.keep(edges.select("a", "b", F.xxhash64("a", piece).alias("block")))
+    place = F.struct("block", "a").alias("place")
+    members = edges.select(F.col("b").alias("rep"), place)
+    places = members.unionByName(edges.select(F.col("a").alias("rep"), place).distinct())
+    wanted = places.groupBy("rep").agg(F.collect_list("place").alias("places")).join(reps.select("rep", "digest"), "rep")
+    wanted = tables.keep(wanted)
+    held = _texts(docs, wanted, wanted.agg(F.sum(F.size("places"))).first()[0] or 0)
+    rows = held.select("rep", "tokens", F.explode("places").alias("place")).select("place.block", "place.a", "rep", "tokens")
+    rows = rows.repartition("block").sortWithinPartitions("block", "a", F.col("rep") != F.col("a"))
+    links = tables.keep(rows.select("a", "rep", "tokens").mapInArrow(confirm, "a long, b long").distinct())
+    tables.drop(pairs, edges, wanted)
+    return links
+
+
+def _rarest(docs: DataFrame, reps: DataFrame, members: DataFrame, tables: Tables) -> DataFrame:
+    """(node, rep, group) rows of the (rep, group) members, with a node for every token that more than one of them has and that
+    is among the rarest n - ceil(0.75 n) + 1 of the member's n. Any two members at the threshold share one."""
+    wanted = members.join(reps.select("rep", "digest"), "rep")
+    none = F.array().cast("array<struct<block:long,a:long>>").alias("places")
+    wanted = wanted.select("rep", "digest", none)
+    tokens = tables.keep(_texts(docs, wanted, wanted.count()).select("rep", "tokens").mapInArrow(_apart, "rep long, token long"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    rows = join_frequent(tokens, tables.keep(shared), "token", "size")
+    # tokens of one member are its rarest and meet nobody
+    ordered = F.sort_array(F.collect_list(F.when(F.col("size").isNotNull(), F.struct("size", "token"))))
+    each = rows.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), ordered.alias("shared"))
+    prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    left = F.greatest(F.lit(0), prefix - (F.col("n") - F.size("shared"))).cast("int")
+    each = each.select("rep", F.explode(F.slice("shared", F.lit(1), left)).alias("t"))
+    out = tables.keep(each.select(F.col("t.token").alias("node"), "rep").join(members, "rep").select("node", "rep", "group"))
+    tables.drop(tokens)
+    return out
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, token) of (rep, tokens)."""
+    for batch in batches:
+        for rep, tokens in zip(batch.column(0).to_pylist(), batch.column(1)):
+            t = np.frombuffer(tokens.as_buffer(), np.int64)
+            for start in range(0, len(t), 1 << 16):
+                part = t[start : start + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), rep)), pa.array(part)], ["rep", "token"])
+
+
+def _in_blocks(large: DataFrame) -> DataFrame:
+    """(node, rep, group) rows of small nodes in which any two documents of a large node meet at least once."""
+    pieces = F.ceil(2 * F.col("size") / PIECE)
+    own = F.pmod(F.xxhash64("rep"), pieces)
+    rows = large.select("node", "rep", "group", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("other"))
+    return rows.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "rep", "group")
+
+
+def _second(left: DataFrame, groups: DataFrame) -> DataFrame:
+    """Distinct pairs of the (node, reps, bits) rows whose ends have different groups."""
+    rows = _named(left.select("node", F.posexplode("reps").alias("at", "rep")), groups)
+    named = rows.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "group"))).alias("rows"))
+    named = named.select("node", F.col("rows.group").alias("groups"))
+    named = named.filter(F.array_min("groups") < F.array_max("groups"))  # else nothing is left
+    return left.join(named, "node").select("reps", "bits", "groups").mapInArrow(untried, "a long, b long").distinct()
+
+
+def links(docs: DataFrame, reps: DataFrame, tables: Tables) -> DataFrame:
     """Confirmed pairs of representatives that join what all links join."""
-    found, stuck = candidates(reps)
-    pairs = materialize(found.filter("a is not null").select("a", "b").distinct())
-    groups = components(_confirmed(docs, pairs))
-    families = None if stuck is None else _families(stuck)
-    out = groups.filter("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
-    left = _second(found.filter("node is not null").select("node", "reps", "bits"), groups, families)
-    left = materialize(left.join(pairs, ["a", "b"], "left_anti"))
+    nodes = reps.select("rep", "signature").mapInArrow(roots, "node long, rep long")
+    sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    nodes = tables.keep(nodes)
+    sizes = tables.keep(sizes)
+    crowded = tables.keep(join_frequent(nodes, sizes, "node", "size").filter("size is not null"))
+    tables.drop(nodes, sizes)
+    large, sure, groups = crowded.filter(F.col("size") > SMALL), None, None
+    nodes = crowded.select("node", "rep", F.col("rep").alias("group"))
+    if not large.isEmpty():
+        sure = _confirmed(docs, reps, _pivots(large, reps, tables), tables)
+        groups = tables.keep(components(sure))
+        nodes = tables.keep(_named(crowded.select("node", "rep"), groups))
+    small, stuck = candidates(reps, nodes, tables)
+    if stuck is not None:
+        rare = _rarest(docs, reps, stuck, tables)
+        more, large = _sorted_out(rare, tables)
+        small = small.unionByName(more).unionByName(_in_blocks(large))
+    sketched = small.join(reps.select("rep", "n_shingles", "sketch"), "rep").select("node", "rep", "group", "n_shingles", "sketch")
+    together = sketched.repartition("node").sortWithinPartitions("node")
+    found = tables.keep(together.mapInArrow(compare, "a long, b long, node long, reps array<long>, bits binary"))
+    tables.drop(crowded)
+    pairs = tables.keep(found.filter("a is not null").select("a", "b").distinct())
+    out = _confirmed(docs, reps, pairs, tables)
+    out = out if sure is None else out.unionByName(sure)
+    groups = tables.keep(components(out))
+    left = _second(found.filter("node is not null").select("node", "reps", "bits"), groups)
+    left = tables.keep(left.join(pairs, ["a", "b"], "left_anti"))
+    tables.drop(found, pairs)
     if not left.isEmpty():
-        out = out.unionByName(_confirmed(docs, left))
-    return out if families is None else out.unionByName(_within(docs, reps, families, groups))
+        out = out.unionByName(_confirmed(docs, reps, left, tables))
+    return out
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -451,11 +473,12 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     Documents with equal shingle sets are linked and take part once, so copies cost nothing however many there are.
     A text without words (null, empty, white space) has no shingles and is linked with nothing. A row without
     doc_id is linked with nothing: its component_id is null and it is kept. Rows that repeat a doc_id are one
-    document. An empty table gives no rows."""
+    document; of several texts, one counts for links with other documents. An empty table gives no rows."""
+    tables = Tables(docs.sparkSession)
     described = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("raw")).mapInArrow(
         describe, "doc_id long, n_shingles long, digest binary, signature binary, sketch binary"
     )
-    described = materialize(described)
+    described = tables.keep(described)
     groups = (
         described.filter("digest is not null and doc_id is not null")
         .groupBy("digest")
@@ -467,11 +490,20 @@ def near_dedup(docs: DataFrame) -> DataFrame:
             F.first("sketch").alias("sketch"),
         )
     )
-    groups = materialize(groups)
-    joined = components(links(docs, groups))
-    classes = groups.select("digest", "rep", "size").join(joined, F.col("rep") == F.col("id"), "left")
-    classes = materialize(classes.select("digest", F.coalesce("component", "rep").alias("component"), "size"))
+    groups = tables.keep(groups)
     rows = described.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    rows = tables.keep(rows)
+    tables.drop(described)
+    twice = groups.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("least")).filter("n > 1")
+    twice = tables.keep(twice)
+    reps = groups
+    if not twice.isEmpty():  # a doc_id with several texts goes by the one with the least digest
+        reps = groups.join(twice.select("rep", "least"), "rep", "left").filter("least is null or least = digest")
+        reps = tables.keep(reps.drop("least"))
+    joined = components(links(docs, reps, tables))
+    classes = groups.select("digest", "rep", "size").join(joined, F.col("rep") == F.col("id"), "left")
+    classes = tables.keep(classes.select("digest", F.coalesce("component", "rep").alias("component"), "size"))
+    tables.drop(groups, reps)
     out = join_frequent(rows, classes, "digest", "size")
     component = F.coalesce("component", "doc_id")
     kept = F.col("doc_id").isNull() | (F.col("doc_id") == component)
@@ -480,5 +512,6 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that are the first of their component, with the columns of ``docs``; rows without doc_id stay."""
-    dropped = near_dedup(docs).filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
+    (dropped,) = fresh(docs, "dropped")
+    out = near_dedup(docs).filter("not kept").select(F.col("doc_id").alias(dropped)).distinct()
+    return docs.join(out, docs["doc_id"].cast("long") == F.col(dropped), "left_anti")

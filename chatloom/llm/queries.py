@@ -14,6 +14,7 @@ from chatloom.llm import (
     merkle,
     mixing,
     near_dedup,
+    oracles,
     ordinal,
     packing,
     preference,
@@ -259,4 +260,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     AND 2 * length(regexp_replace(t, '[^\\p{Lu}]', '', 'g')) > word_chars)
   AND NOT 100 * len(list_filter(list_zip(words[:-2], words[2:]), lambda x: x[1] = x[2])) > 30 * n_words AS kept
 FROM f""",
+    "op11_embedding_near_dedup": oracles.EMBEDDINGS,
+    "op12_merkle_manifest": oracles.MERKLE,
+    "op13_spelling_variants": oracles.SPELLING,
 }
