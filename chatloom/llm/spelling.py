@@ -11,6 +11,7 @@ count, is split by what stays of each word when a letter is taken out, which no
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections import Counter
@@ -22,27 +23,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import join_frequent
+from chatloom.llm.common import join_frequent, text_bytes
 from chatloom.plans.materialize import materialize
 
-LETTERS = re.compile("[A-Za-zÀ-ÿ]+")
 LEAST_LENGTH, LEAST_USES, MISTYPED, RATIO = 5, 3, 97, 2
+#: Runs of letters that are long enough, in text of which A to Z are lower case.
+LETTERS = re.compile("[a-zÀ-ÿ]{%d,}" % LEAST_LENGTH)
 #: Groups in the order of the trie: the frequent letters part words best. Fixed values.
 ORDER = "etaoinshrdlucmfwypvbgkjqxz"
 GROUPS = len(ORDER)
 STEP = 4
 NODE_ROWS = 1 << 16  # rows a task searches at once
-_LEAF = 24  # residents below which the rest of the counts is compared at once
+_LEAF = 32  # residents below which the rest of the counts is compared at once
 _HELD = 1 << 18  # words a task counts before it passes them on
 _PAIRS = 1 << 20
 _WIDE = 40  # letters up to which words are compared as rows of an array
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _GROUP = np.array([ORDER.index(chr(c)) if chr(c) in ORDER else c % GROUPS for c in range(256)])
 
 
 def uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n) of (doc_id, text) rows, counted as far as memory allows. Where MISTYPED divides the CRC-32 of a word in
-    its document, a letter is missing."""
+    """(word, n) of (doc_id, text in UTF-8) rows, counted as far as memory allows. Where MISTYPED divides the CRC-32 of a word
+    in its document, a letter is missing: those are counted as the others first and then moved."""
     held: Counter[str] = Counter()
 
     def batch() -> pa.RecordBatch:
@@ -50,27 +51,17 @@ def uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"]
         )
 
+    crc = zlib.crc32
     for rows in batches:
         for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1)):
-            start = zlib.crc32(b"" if doc_id is None else b"%d" % doc_id)
-            start = zlib.crc32(b":", start)
-            seen: Counter[str] = Counter()
-            for run in LETTERS.finditer(text.as_py() or ""):
-                seen[run.group()] += 1
-            lower: Counter[str] = Counter()
-            for run, n in seen.items():
-                lower[run.translate(_LOWER)] += n
-            for word, n in lower.items():
-                size = len(word)
-                if size < LEAST_LENGTH:
-                    continue
-                h = zlib.crc32(word.encode(), start)
-                if h % MISTYPED == 0:
-                    at = h % size
-                    word = word[:at] + word[at + 1 :]
-                    if size == LEAST_LENGTH:
-                        continue
-                held[word] += n
+            start = crc(b":" if doc_id is None else b"%d:" % doc_id)
+            words = LETTERS.findall(text.as_py().lower().decode())
+            held.update(words)
+            for word in [w for w in set(words) if not crc(w.encode(), start) % MISTYPED]:
+                at, n = crc(word.encode(), start) % len(word), words.count(word)
+                held[word] -= n
+                if len(word) > LEAST_LENGTH:
+                    held[word[:at] + word[at + 1 :]] += n
             if len(held) >= _HELD:
                 yield batch()
                 held.clear()
@@ -79,7 +70,7 @@ def uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def vocabulary(docs: DataFrame) -> DataFrame:
     """(word, n) of all words of at least LEAST_LENGTH letters that occur LEAST_USES times or more."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     counted = rows.mapInArrow(uses, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return counted.filter(F.col("n") >= LEAST_USES)
 
@@ -88,33 +79,27 @@ def letter_counts(words: list[str]) -> np.ndarray:
     """How often every word has a letter of each group."""
     raw = np.frombuffer("".join(words).encode("latin-1"), np.uint8)
     row = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    return np.bincount(row * GROUPS + _GROUP[raw], minlength=len(words) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
+    return np.bincount(row * GROUPS + _GROUP[raw], minlength=len(words) * GROUPS).reshape(-1, GROUPS).astype("<i2")
 
 
 def _key(node: int, counts: np.ndarray) -> int:
-    value = xxhash.xxh3_64_intdigest(counts.astype("<i4").tobytes(), node & (2**64 - 1))
+    value = xxhash.xxh3_64_intdigest(counts.tobytes(), node & (2**64 - 1))
     return value - 2**64 if value >= 2**63 else value
 
 
-def _descents(
-    counts: np.ndarray, surplus: int, deficit: int, later: bool
-) -> Iterator[tuple[np.ndarray, int, int, bool]]:
-    """The children that a visitor's budgets reach some levels down, with what is left, and whether the path has left the
-    visitor's own. From its own path it leaves to larger counts only: the other end of a pair visits from there."""
-    reached = [(counts, surplus, deficit, later)]
-    for level in range(len(counts)):
-        more = []
-        for c, s, d, l in reached:
-            if s:
-                up = c.copy()
-                up[level] += 1
-                more.append((up, s - 1, d, True))
-            if d and l and c[level]:
-                down = c.copy()
-                down[level] -= 1
-                more.append((down, s, d - 1, True))
-        reached += more
-    yield from reached
+@functools.cache
+def _moves(levels: int, surplus: int, deficit: int, later: bool) -> list[tuple]:
+    """The ways a visitor's budgets lead some levels down: (level of a surplus, level of a deficit, budgets left, whether the
+    path has left the visitor's own). From its own path a visitor leaves to larger counts only: the other end of a pair
+    visits from there."""
+    out = [(None, None, surplus, deficit, later)]
+    for up in range(levels) if surplus else ():
+        out.append((up, None, 0, deficit, True))
+        if deficit:
+            out += [(up, down, 0, 0, True) for down in range(levels) if down != up and (later or down > up)]
+    if deficit and later:
+        out += [(None, down, surplus, 0, True) for down in range(levels)]
+    return out
 
 
 def descend(first: int):
@@ -129,7 +114,14 @@ def descend(first: int):
                 if resident[i]:
                     rows.append((_key(nodes[i], own), words[i], True, 0, 0, False))
                 else:
-                    for c, s, d, l in _descents(own, surplus[i], deficit[i], later[i]):
+                    for up, down, s, d, l in _moves(len(own), surplus[i], deficit[i], later[i]):
+                        if down is not None and not own[down]:
+                            continue
+                        c = own.copy()
+                        if up is not None:
+                            c[up] += 1
+                        if down is not None:
+                            c[down] -= 1
                         rows.append((_key(nodes[i], c), words[i], False, s, d, l))
             yield _rows(rows)
 
@@ -189,7 +181,9 @@ def _search(counts: np.ndarray, home: np.ndarray, guests: tuple[np.ndarray, ...]
         lo, hi, level, who, surplus, deficit = stack.pop()
         if hi - lo <= _LEAF or level == GROUPS:
             gap = counts[home[lo:hi], None, level:] - counts[None, who, level:]
-            near = (np.maximum(gap, 0).sum(axis=2) <= surplus) & (np.maximum(-gap, 0).sum(axis=2) <= deficit)
+            both = np.abs(gap).sum(axis=2, dtype=np.int16)
+            more = gap.sum(axis=2, dtype=np.int16)  # surplus less deficit
+            near = (both + more <= 2 * surplus) & (both - more <= 2 * deficit)
             r, v = np.nonzero(near)
             yield home[lo + r], who[v]
             continue
@@ -210,7 +204,7 @@ def _node(words: list[str], resident: np.ndarray, later: np.ndarray) -> pa.Recor
     whole counts are compared; one from the same node is compared with the residents after it."""
     counts = letter_counts(words)
     home, guests = np.flatnonzero(resident), np.flatnonzero(~resident)
-    one = np.ones(len(guests), np.int32)
+    one = np.ones(len(guests), np.int16)
     found_x, found_y = [], []
     for start in range(0, len(guests), 4096):
         part = slice(start, start + 4096)
