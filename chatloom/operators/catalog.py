@@ -1,5 +1,5 @@
-"""Writing processed datasets, and the manifest tables that list them. The manifest is partitioned by dataset,
-so an entry is added or removed as a folder of its own, without rewriting others."""
+"""Writing processed datasets, and the manifest tables that list them. A manifest is a log of commits: writers at the same
+time lose nothing, and readers see each entry as a whole, the old one or the new one."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chatloom.functions.rng import key_columns
+from chatloom.operators.commit_log import CommitLog
 from chatloom.schemas import MANIFEST, RAW_MANIFEST
 from chatloom.sources import files
 
@@ -90,17 +91,17 @@ def _drop_other_versions(spark: SparkSession, path: str) -> None:
             fs.delete(status.getPath(), True)
 
 
-def _append_entry(spark: SparkSession, rows: list[tuple], schema, path: str, entry: str) -> DataFrame:
-    df = spark.createDataFrame(rows, schema)
-    df.coalesce(1).write.mode("overwrite").parquet(posixpath.join(path, f"entry={entry}"))
-    return df
+def manifest_log(spark: SparkSession, base: str) -> CommitLog:
+    return CommitLog(spark, manifest_path(base), MANIFEST, "processed_dataset_id")
 
 
-def manifest(spark: SparkSession, base: str) -> DataFrame:
-    path = manifest_path(base)
-    if not _exists(spark, path):
-        return spark.createDataFrame([], MANIFEST)
-    return spark.read.schema(MANIFEST).parquet(path).select(*MANIFEST.names)
+def raw_log(spark: SparkSession, base: str) -> CommitLog:
+    return CommitLog(spark, posixpath.join(base, "raw_manifest"), RAW_MANIFEST, "dataset_id")
+
+
+def manifest(spark: SparkSession, base: str, version: int | None = None) -> DataFrame:
+    """The list of datasets, as of a version if one is given."""
+    return manifest_log(spark, base).read(version)
 
 
 def _split_order(name: str) -> tuple[bool, str]:
@@ -148,10 +149,10 @@ def register_processed(
         processed_id, name, user_id, dataset_id, dataset_source, dataset_subset,
         datetime.now(timezone.utc).replace(tzinfo=None), sum(counts.values()), modality, splits,
     )
-    entry = _append_entry(spark, [row], MANIFEST, manifest_path(base), f"id_{processed_id}")
+    manifest_log(spark, base).commit(put=[row])
     if path != dataset_path(base, processed_id):
         _drop_other_versions(spark, path)
-    return entry
+    return spark.createDataFrame([row], MANIFEST)
 
 
 def write_processed(
@@ -258,7 +259,7 @@ def drop_dataset(spark: SparkSession, base: str, processed_id: str, user_id: str
     n = sum(1 for _ in _files(spark, path)) if _exists(spark, path) else 0
     if n:
         _delete(spark, path)
-        _delete(spark, posixpath.join(manifest_path(base), f"entry=id_{processed_id}"))
+        manifest_log(spark, base).commit(remove=[processed_id])
     return n
 
 
@@ -266,10 +267,7 @@ def drop_dataset(spark: SparkSession, base: str, processed_id: str, user_id: str
 
 
 def raw_manifest(spark: SparkSession, base: str) -> DataFrame:
-    path = posixpath.join(base, "raw_manifest")
-    if not _exists(spark, path):
-        return spark.createDataFrame([], RAW_MANIFEST)
-    return spark.read.schema(RAW_MANIFEST).parquet(path).select(*RAW_MANIFEST.names)
+    return raw_log(spark, base).read()
 
 
 def register_raw(spark: SparkSession, base: str, path: str, user_id: str, dataset_id: str | None = None) -> DataFrame:
@@ -280,7 +278,8 @@ def register_raw(spark: SparkSession, base: str, path: str, user_id: str, datase
         dataset_id, user_id, files.safe_name(path), path, files.CONTENT_TYPES[kind],
         files.file_sizes(spark, path), datetime.now(timezone.utc).replace(tzinfo=None),
     )
-    return _append_entry(spark, [row], RAW_MANIFEST, posixpath.join(base, "raw_manifest"), f"id_{dataset_id}")
+    raw_log(spark, base).commit(put=[row])
+    return spark.createDataFrame([row], RAW_MANIFEST)
 
 
 def get_raw(spark: SparkSession, base: str, dataset_id: str, user_id: str) -> DataFrame:
@@ -294,4 +293,4 @@ def get_raw(spark: SparkSession, base: str, dataset_id: str, user_id: str) -> Da
 def drop_raw(spark: SparkSession, base: str, dataset_id: str, user_id: str) -> None:
     """Removes the entry of an owned raw dataset; the files stay."""
     get_raw(spark, base, dataset_id, user_id)
-    _delete(spark, posixpath.join(base, "raw_manifest", f"entry=id_{dataset_id}"))
+    raw_log(spark, base).commit(remove=[dataset_id])

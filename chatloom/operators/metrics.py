@@ -56,37 +56,33 @@ def accuracy(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.avg(_equal()).alias("accuracy"))
 
 
-def confusion(pairs: DataFrame) -> DataFrame:
-    """``p, r, n``: how often each label was predicted where each was right; all scores of classes come from it, so
-    they take one scan of the pairs."""
-    return pairs.groupBy(_text("prediction").alias("p"), _text("reference").alias("r")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
 def _class_scores(positive=1) -> dict[str, Column]:
-    """Scores over the rows of ``confusion``. A missing prediction is a miss, never a hit."""
+    """Scores as sums over the pairs, so that no text moves. A missing prediction is a miss, never a hit."""
     label = F.lit(str(positive))
-    p, r = F.col("p").eqNullSafe(label), F.col("r").eqNullSafe(label)
-
-    def count(test: Column) -> Column:
-        return F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
-
-    tp, fp, fn = count(p & r), count(p & ~r), count(~p & r)
-    right = count(F.col("p").eqNullSafe(F.col("r"))) / F.sum("n")
+    p, r = _text("prediction").eqNullSafe(label), _text("reference").eqNullSafe(label)
+    tp, fp, fn = (F.coalesce(F.sum(F.when(test, F.lit(1))), F.lit(0)) for test in (p & r, p & ~r, ~p & r))
+    right = F.avg(_equal())
     scores = {"exact_match": right, "accuracy": right, "precision": _ratio(tp, tp + fp), "recall": _ratio(tp, tp + fn)}
     return scores | {"f1": _ratio(2 * tp, 2 * tp + fp + fn), "_seen": tp + fp + fn}
 
 
 def precision_recall(pairs: DataFrame, positive=1) -> DataFrame:
     scores = _class_scores(positive)
-    return confusion(pairs).agg(scores["precision"].alias("precision"), scores["recall"].alias("recall"))
+    return pairs.agg(scores["precision"].alias("precision"), scores["recall"].alias("recall"))
 
 
 def f1_binary(pairs: DataFrame, positive=1) -> DataFrame:
-    return confusion(pairs).agg(_class_scores(positive)["f1"].alias("f1"))
+    return pairs.agg(_class_scores(positive)["f1"].alias("f1"))
+
+
+def confusion(pairs: DataFrame) -> DataFrame:
+    """``p, r, n``: how often each label was predicted where each was right; the scores of all classes come
+    from it. Labels are counted where they are before they move."""
+    return pairs.groupBy(_text("prediction").alias("p"), _text("reference").alias("r")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _per_class(counted: DataFrame) -> DataFrame:
@@ -114,14 +110,16 @@ def f1_macro(pairs: DataFrame) -> DataFrame:
     return f1_per_class(pairs).agg(F.avg("f1").alias("f1"))
 
 
-def is_binary(counted: DataFrame) -> bool:
-    """Whether the references hold no more than two labels."""
-    return counted.filter("r is not null").select("r").distinct().limit(3).count() <= 2
+def is_binary(pairs: DataFrame) -> bool:
+    """Whether the references hold no more than two labels: the least, the greatest, and no other."""
+    r = _text("reference")
+    ends = pairs.agg(F.min(r).alias("a"), F.max(r).alias("z")).first()
+    return ends["a"] is None or pairs.filter(r.isNotNull() & ~r.isin(ends["a"], ends["z"])).isEmpty()
 
 
 def f1(pairs: DataFrame, positive=1) -> DataFrame:
     """Binary F1 for up to two reference labels, else the mean over classes."""
-    return f1_binary(pairs, positive) if is_binary(confusion(pairs)) else f1_macro(pairs)
+    return f1_binary(pairs, positive) if is_binary(pairs) else f1_macro(pairs)
 
 
 # ---- n-gram overlap -------------------------------------------------------------------------------------
@@ -460,12 +458,12 @@ def _stacked(one: DataFrame, found: dict[str, tuple[Column, Column]]) -> DataFra
 
 def _class_part(pairs: DataFrame, wanted: Sequence[str], positive) -> DataFrame:
     """The scores of classes, from one scan. Scores of a positive label that never occurs say so."""
-    counted, scores = confusion(pairs), _class_scores(positive)
+    scores = _class_scores(positive)
     names = [n for n in wanted if n in CLASS_METRICS]
-    macro = "f1" in names and not is_binary(counted)
+    macro = "f1" in names and not is_binary(pairs)
     if macro:
         names.remove("f1")
-    one = counted.agg(*[scores[n].alias(n) for n in {*names, "_seen"}])
+    one = pairs.agg(*[scores[n].alias(n) for n in {*names, "_seen"}])
     missing = F.lit(f"label {str(positive)!r} occurs in no prediction and no reference; pass the positive label")
     none, found = F.lit(None), {}
     for name in names:
@@ -475,7 +473,7 @@ def _class_part(pairs: DataFrame, wanted: Sequence[str], positive) -> DataFrame:
             found[name] = (F.when(F.col("_seen") > 0, F.col(name)), F.when(F.col("_seen") == 0, missing))
     parts = [_stacked(one, found)] if found else []
     if macro:
-        parts.append(_per_class(counted).agg(F.avg("f1").alias("f1")).select(F.lit("f1").alias("metric"), F.col("f1").alias("value"), none.cast("string").alias("error")))
+        parts.append(_per_class(confusion(pairs)).agg(F.avg("f1").alias("f1")).select(F.lit("f1").alias("metric"), F.col("f1").alias("value"), none.cast("string").alias("error")))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 

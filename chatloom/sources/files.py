@@ -10,55 +10,92 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chatloom.sources.ranges import csv_records, json_elements
+
 Schema = T.StructType | str | None
 
 
+def _csv_by_ranges(spark: SparkSession, path: str, schema: Schema) -> DataFrame:
+    found = csv_records(spark, path)
+    rows = found.filter("not first").select("text")
+    options = {"escape": '"'}
+    if schema is None:
+        head = found.filter("first").agg(F.min(F.struct("file", "text")).alias("head")).first()["head"]
+        lines = [] if head is None else [head["text"]]
+        names = spark.createDataFrame([(x,) for x in lines], "text string")
+        names = _parsed_lines(names).first()
+        found_types = _parsed_lines(rows, inferSchema="true").schema
+        extra = list(range(len(found_types), len(names or ())))
+        types = [f.dataType for f in found_types] + [T.StringType() for _ in extra]
+        schema = T.StructType([T.StructField(n or f"_c{i}", t) for i, (n, t) in enumerate(zip(names or (), types))])
+        if not schema:
+            return spark.createDataFrame([], schema)
+    elif isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    parsed = rows.select(F.from_csv("text", _ddl(schema), options).alias("r"))
+    return parsed.select("r.*")
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema)
+
+
+def _parsed_lines(rows: DataFrame, **options: str) -> DataFrame:
+    """Strings as the CSV reader parses them, each one record."""
+    spark = rows.sparkSession
+    reader = spark.read.options(escape='"', **options)._jreader
+    encoder = spark._jvm.org.apache.spark.sql.Encoders.STRING()
+    return DataFrame(reader.csv(getattr(rows._jdf, "as")(encoder)), spark)
+
+
 def read_csv(spark: SparkSession, path: str, schema: Schema = None, multi_line: bool = True) -> DataFrame:
-    """Header row, quotes doubled inside quotes. Quoted line breaks need ``multi_line``, which reads each file in
-    one task; turn it off for large files without them."""
-    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+    """Header row, quotes doubled inside quotes. With ``multi_line``, quoted fields may hold line breaks; a file is still read
+    by many tasks, in two scans (``sources.ranges``). Without, it is one scan."""
+    if multi_line:
+        return _csv_by_ranges(spark, path, schema)
+    reader = spark.read.option("header", True).option("escape", '"')
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return reader.csv(path)
 
 
-HEAD_BYTES = 4096
-
-
 def _input_files(spark: SparkSession, path: str) -> list[str]:
     """The files below a folder, or those a path or glob names, as the readers would take them."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return listed.inputFiles()
 
 
-def _is_document(spark: SparkSession, path: str) -> bool:
-    """Whether a JSON file is one document: an array, or an object that goes on past its first line."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).open(jpath)
-    try:
-        head = bytes(stream.readNBytes(HEAD_BYTES)).decode("utf-8", "replace").lstrip("\ufeff \t\r\n")
-    finally:
-        stream.close()
-    return head.startswith("[") or head.split("\n", 1)[0].strip() == "{"
+def _json_documents(spark: SparkSession, path: str, schema: Schema) -> DataFrame:
+    rows = json_elements(spark, path).select("text")
+    encoder = spark._jvm.org.apache.spark.sql.Encoders.STRING()
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return DataFrame(reader._jreader.json(getattr(rows._jdf, "as")(encoder)), spark)
+
+
+def _json_lines(spark: SparkSession, paths: Sequence[str], schema: Schema) -> DataFrame:
+    return (spark.read if schema is None else spark.read.schema(schema)).json(list(paths))
+
+
+LINE_FILES = (".jsonl", ".ndjson")
 
 
-def _json(spark: SparkSession, paths: Sequence[str], schema: Schema, lines: bool) -> DataFrame:
-    reader = spark.read.option("multiLine", not lines)
-    return (reader.schema(schema) if schema is not None else reader).json(list(paths))
+def _is_line_file(name: str) -> bool:
+    return name.lower().removesuffix(".gz").endswith(LINE_FILES)
 
 
 def read_json(spark: SparkSession, path: str, schema: Schema = None, lines: bool | None = None) -> DataFrame:
-    """One document (an array of rows) per file, or one row per line. ``lines`` says which; without it each file is
-    told by its name (.jsonl, .ndjson) or its own first bytes, one small read by the driver per file, so pass it for
-    folders of many files. A line that is no JSON costs only itself."""
-    if lines is not None:
-        return _json(spark, [path], schema, lines)
-    names = _input_files(spark, path)
-    by_line = [n for n in names if n.lower().endswith((".jsonl", ".ndjson")) or not _is_document(spark, n)]
-    whole = sorted(set(names) - set(by_line))
-    if not whole or not by_line:
-        return _json(spark, names or [path], schema, lines=not whole)
-    both = _json(spark, by_line, schema, True), _json(spark, whole, schema, False)
-    return both[0].unionByName(both[1], allowMissingColumns=True)
+    """One row per line, or one per element of an array or per object. ``lines`` says which; without it names do:
+    .jsonl and .ndjson files hold lines, others are scanned for their structure (``sources.ranges``), so that an array, an
+    object over several lines and objects line by line all read right, and large arrays by many tasks. A line or an
+    element that is no JSON costs only itself."""
+    if lines is None:
+        names = _input_files(spark, path)
+        by_line = [n for n in names if _is_line_file(n)]
+        if by_line and len(by_line) < len(names):
+            others = [n for n in names if not _is_line_file(n)]
+            both = _json_lines(spark, by_line, schema), _json_documents(spark, others, schema)
+            return both[0].unionByName(both[1], allowMissingColumns=True)
+        lines = bool(by_line)
+    return _json_lines(spark, [path], schema) if lines else _json_documents(spark, path, schema)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: Schema = None) -> DataFrame:

@@ -255,8 +255,8 @@ Now write the 2 dialogues. Only a user and an assistant speak, in turns as in th
 
 Put every dialogue between fences, laid out like this:
 ```
-User: [question or request]
-Assistant: [helpful response]
+User: (what the user writes)
+Assistant: (what the assistant answers)
 ```
 """
 

@@ -83,10 +83,10 @@ _EVENT = "event_id long, event_type string, value double"
 
 
 def read_jsonl(spark, sf):
-    """Lines, one of which, the first, is no JSON."""
+    """Files of lines, one of which is no JSON, the only one of its file."""
     path = scratch_path(spark, "lines") + ".jsonl"
-    bad = spark.createDataFrame([("no json",)], "value string")
-    bad.unionByName(_event_json(spark, sf).select("value")).coalesce(1).write.text(path)
+    _event_json(spark, sf).select("value").write.text(path)
+    spark.createDataFrame([("no json",)], "value string").write.mode("append").text(path)
     return files.read_any(spark, path, schema=_EVENT)
 
 

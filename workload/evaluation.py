@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chatloom.functions.columns import settle
 from chatloom.functions.rng import index_below
-from chatloom.operators import evaluation, generation, metrics
+from chatloom.operators import evaluation, generation, intervals, metrics
 from workload.lexical import lexicon
 from workload.tables import PAIRS_SQL, conversation_rows, flat_messages, long_turns, table, turn_pairs
 
@@ -162,6 +162,12 @@ def rouge_l(spark, sf):
     return turn_pairs(spark, sf).select("sample_index", F.round(score, 6).alias("rougeL"))
 
 
+def rouge_intervals(spark, sf):
+    """ROUGE-1 of all pairs with the limits of 200 bootstrap replicates."""
+    found = intervals.score_intervals(turn_pairs(spark, sf), ["rouge1"])
+    return found.select("metric", *[F.round(c, 6).alias(c) for c in ("value", "low", "mid", "high")])
+
+
 def rouge_mean(spark, sf):
     return _rounded(metrics.rouge(turn_pairs(spark, sf)))
 
@@ -254,13 +260,14 @@ QUERIES = {
     "rouge2": rouge2,
     "rouge_l": rouge_l,
     "rouge_mean": rouge_mean,
+    "rouge_intervals": rouge_intervals,
     "meteor": meteor,
     "bertscore": bertscore,
     "evaluate_translation": evaluate_translation,
     "evaluate_classification": evaluate_classification,
 }
 
-_LONG = """longs AS (SELECT conv_id % 10 AS conv_id, conv_id // 10 * 1000 + turn AS turn, role, text FROM conversations),"""
+_LONG = """longs AS (SELECT conv_id // 20 AS conv_id, conv_id % 20 * 1000 + turn AS turn, role, text FROM conversations),"""
 
 _ASKED = """
 c AS (SELECT conv_id, turn, role, text,
@@ -370,6 +377,15 @@ ORACLES = {
         SELECT round(CASE WHEN min(x) > 0 THEN exp(avg(ln(greatest(x, 1e-300)))) *
             any_value(CASE WHEN pl > rl THEN 1 ELSE exp(1 - rl / pl) END) ELSE 0 END, 6) AS bleu
         FROM prec, lens""",
+    "rouge_intervals": f"""{_grams(_rouge_tokens, '[1]')},
+        s AS (SELECT sample_index, CASE WHEN m > 0 THEN 2.0::DOUBLE * m / (len(p) + len(r)) ELSE 0 END AS x
+              FROM t LEFT JOIN hits USING (sample_index)),
+        d AS (SELECT x, b, ('0x' || substr(md5('42:bootstrap:' || (b // 8) || ':' || sample_index), (b % 8 * 4 + 1)::BIGINT, 4))::INTEGER AS draw
+              FROM s, range({intervals.REPLICATES}) u(b)),
+        w AS (SELECT x, b, len(list_filter({intervals.poisson_limits()}, lambda l: l <= draw)) AS k FROM d),
+        v AS (SELECT b, sum(k * x) / nullif(sum(k), 0) AS v FROM w GROUP BY b)
+        SELECT 'rouge1' AS metric, (SELECT round(avg(x), 6) FROM s) AS value, round(quantile_cont(v, 0.025), 6) AS low,
+          round(quantile_cont(v, 0.5), 6) AS mid, round(quantile_cont(v, 0.975), 6) AS high FROM v""",
     "rouge1": _rouge_sql(1),
     "rouge2": _rouge_sql(2),
     "rouge_l": f"""WITH RECURSIVE {PAIRS_SQL},

@@ -129,7 +129,7 @@ b AS (SELECT doc_id % 32 AS batch_id, count(*) FILTER (x % 10 <> 0) AS n,
 
 ORACLES = {
     "chat_render": _RENDER.format(suffix=""),
-    "chat_render_long": "WITH longs AS (SELECT conv_id % 10 AS conv_id, conv_id // 10 * 1000 + turn AS turn, role, text"
+    "chat_render_long": "WITH longs AS (SELECT conv_id // 20 AS conv_id, conv_id % 20 * 1000 + turn AS turn, role, text"
     " FROM conversations), " + _RENDER.format(suffix="").replace("FROM conversations", "FROM longs").lstrip().removeprefix("WITH"),
     "chat_render_prompt": _RENDER.format(suffix=" || '<start_of_turn>model' || chr(10)"),
     "standardize": "SELECT conv_id, turn, role, text AS content FROM conversations",
