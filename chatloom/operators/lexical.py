@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from chatloom.functions.columns import let, settle
 from chatloom.functions.rng import above, hash_hex, index_below, key_columns, uniform
 from chatloom.functions.text import clean_chars, is_blank, words
+from chatloom.operators import word_filter
 
 # Words never replaced by a synonym, next to the empty word.
 STOP_WORDS = (
@@ -77,10 +78,12 @@ def _known_from_dictionary(own: Column, shared) -> Column:
 
 
 def _known_from_join(df: DataFrame, keys: list[str], lexicon: DataFrame) -> DataFrame:
-    """Lookup by join for a lexicon of any size. A word most texts hold would meet in one task: the few words that
-    make up a large share of all uses are broadcast, the others meet in a shuffle where none is frequent. A text's
-    words come together again before they move."""
-    own = df.select(*keys, F.explode("_own").alias("word"))
+    """Lookup by join for a lexicon of any size. Words that a filter of the lexicon's rules out never move. A word most texts
+    hold would meet in one task: the few words that make up a large share of all uses are broadcast, the others meet in a
+    shuffle where none is frequent. A text's words come together again before they move."""
+    shared = df.sparkSession.sparkContext.broadcast(word_filter.build(lexicon))
+    own = word_filter.keep_possible(df.select(*keys, "_own"), "_own", shared)
+    own = own.select(*keys, F.explode("_own").alias("word"))
     uses = own.groupBy("word").agg(F.count(F.lit(1)).alias("_uses"))
     counted = lexicon.join(uses, "word")
     total = uses.agg(F.sum("_uses")).first()[0] or 0
