@@ -20,8 +20,8 @@ at 0.75 a pair misses all 12 trees with probability 2e-9 if it parts below the r
 more often the deeper a node that shrinks has to branch.
 
 Links are confirmed in rounds: the pivots'; then several edge-disjoint spanning forests of a small node's candidates, which
-link most of a cluster with few rows; then all other candidates whose ends are still apart. So a candidate goes
-unconfirmed only if it can't change a component. Intermediate tables go as soon as their last reader is done."""
+link most of a cluster with few rows; then all other candidates whose ends are still apart, in their nodes, to which each
+document's set comes once and which only links leave. So a candidate goes unconfirmed only if it can't change a component. Intermediate tables go as soon as their last reader is done."""
 
 from __future__ import annotations
 
@@ -47,6 +47,7 @@ CANDIDATE, LIKELY, STRONG = 76, 101, 108
 FORESTS = 4
 PIECE = 256  # documents of a piece of a node
 HUB_PIECES = 1024  # pieces, at most, that the documents compared with one other are dealt into
+NODE_TOKENS = 1 << 22  # shingles of a node whose sets one task holds, 32 MB
 FEW = 1 << 19  # rows of ids that are broadcast, about 20 MB
 _STEP = 4096
 
@@ -253,6 +254,71 @@ def untried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, rep, a) of (node, reps, bits, groups) rows: the documents with a pair left for the second round whose other end is
+    of another group, and their groups."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for node, reps, bits, groups in zip(*(batch.column(i) for i in range(4))):
+            reps, groups = (x.values.to_numpy() for x in (reps, groups))
+            left, right = np.triu_indices(len(reps), 1)
+            later = np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=len(left)).astype(bool)
+            take = later & (groups[left] != groups[right])
+            some = np.union1d(left[take], right[take])
+            rows += [(node.as_py(), r, g) for r, g in zip(reps[some].tolist(), groups[some].tolist())]
+        columns = zip(*rows) if rows else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["block", "rep", "a"])
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """The number of tokens that every two sets share."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    kinds, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(n > 1) - 1
+    shared = np.flatnonzero(n[at] > 1)
+    row, at = row[shared], place[at[shared]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    counts = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(place[-1]) + 1 if len(place) else 0, _STEP):
+        s, e = np.searchsorted(at, [start, start + _STEP])
+        dense = np.zeros((len(sets), _STEP), np.float32)
+        dense[row[s:e], at[s:e] - start] = 1
+        counts += dense @ dense.T
+    return counts
+
+
+def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between different groups in (block, group, rep, tokens) rows sorted by block, of each block as many as join what
+    all of them join."""
+
+    def links(rows: list[tuple]) -> pa.RecordBatch:
+        rows = list({r[1]: r for r in rows}.values())
+        groups, reps, tokens = (list(c) for c in zip(*rows))
+        both, sizes = intersections(tokens), np.array([len(t) for t in tokens])
+        own = np.array(groups)
+        near = 100 * both >= PERCENT * (sizes[:, None] + sizes[None] - both)
+        i, j = np.nonzero(np.triu(near & (own[:, None] != own[None]), 1))
+        joined, a, b = _Groups(), [], []
+        for x, y in zip(i.tolist(), j.tolist()):
+            if not joined.together(groups[x], groups[y]):
+                joined.join(groups[x], groups[y])
+                a.append(min(reps[x], reps[y]))
+                b.append(max(reps[x], reps[y]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    held, now = [], None
+    for batch in batches:
+        for block, group, rep, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+            if block != now and held:
+                yield links(held)
+                held = []
+            now = block
+            held.append((group, rep, np.frombuffer(tokens, np.uint64)))
+    if held:
+        yield links(held)
+
+
 def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b) that may be links, of (a, b, s, n, t, m) rows with their sketches and sizes."""
     for batch in batches:
@@ -423,13 +489,30 @@ def _in_blocks(large: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "rep", "group")
 
 
-def _second(left: DataFrame, groups: DataFrame) -> DataFrame:
-    """Distinct pairs of the (node, reps, bits) rows whose ends have different groups."""
-    rows = _named(left.select("node", F.posexplode("reps").alias("at", "rep")), groups)
-    named = rows.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "group"))).alias("rows"))
-    named = named.select("node", F.col("rows.group").alias("groups"))
+def _second(docs: DataFrame, reps: DataFrame, left: DataFrame, groups: DataFrame, tables: Tables) -> DataFrame:
+    """Links that join what is left of the (node, reps, bits) rows and still apart. The documents' sets come to their nodes, each
+    once, and only links leave them; pairs of nodes that are too heavy for one task are confirmed one by one."""
+    rows = _named(left.select("node", F.posexplode("reps").alias("at", "rep")), groups).join(reps.select("rep", "n_shingles"), "rep")
+    named = rows.groupBy("node").agg(
+        F.array_sort(F.collect_list(F.struct("at", "group"))).alias("rows"), F.sum("n_shingles").alias("weight")
+    )
+    named = named.select("node", F.col("rows.group").alias("groups"), "weight")
     named = named.filter(F.array_min("groups") < F.array_max("groups"))  # else nothing is left
-    return left.join(named, "node").select("reps", "bits", "groups").mapInArrow(untried, "a long, b long").distinct()
+    todo = tables.keep(left.join(named, "node").select("node", "reps", "bits", "groups", "weight"))
+    light = todo.filter(F.col("weight") <= NODE_TOKENS).select("node", "reps", "bits", "groups")
+    members = light.mapInArrow(apart, "block long, rep long, a long")
+    wanted = members.groupBy("rep").agg(F.collect_list(F.struct("block", "a")).alias("places"))
+    wanted = tables.keep(wanted.join(reps.select("rep", "digest"), "rep"))
+    held = _texts(docs, wanted, wanted.agg(F.sum(F.size("places"))).first()[0] or 0)
+    rows = held.select("rep", "tokens", F.explode("places").alias("place")).select("place.block", "place.a", "rep", "tokens")
+    rows = rows.repartition("block").sortWithinPartitions("block")
+    out = tables.keep(rows.mapInArrow(within, "a long, b long").distinct())
+    heavy = todo.filter(F.col("weight") > NODE_TOKENS).select("reps", "bits", "groups")
+    pairs = tables.keep(heavy.mapInArrow(untried, "a long, b long").distinct())
+    if not pairs.isEmpty():
+        out = out.unionByName(_confirmed(docs, reps, pairs, tables))
+    tables.drop(todo, wanted)
+    return out
 
 
 def links(docs: DataFrame, reps: DataFrame, tables: Tables) -> DataFrame:
@@ -459,12 +542,9 @@ def links(docs: DataFrame, reps: DataFrame, tables: Tables) -> DataFrame:
     out = _confirmed(docs, reps, pairs, tables)
     out = out if sure is None else out.unionByName(sure)
     groups = tables.keep(components(out))
-    left = _second(found.filter("node is not null").select("node", "reps", "bits"), groups)
-    left = tables.keep(left.join(pairs, ["a", "b"], "left_anti"))
-    tables.drop(found, pairs)
-    if not left.isEmpty():
-        out = out.unionByName(_confirmed(docs, reps, left, tables))
-    return out
+    tables.drop(pairs)
+    left = found.filter("node is not null").select("node", "reps", "bits")
+    return out.unionByName(_second(docs, reps, left, groups, tables))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
