@@ -2,9 +2,11 @@
 
 The distinct digests of the history are dealt into parts of bounded size. Every part gets a minimal perfect hash:
 at each level the digests that are alone in their place of a bit array are settled, the others go on to the next
-level, and a digest's slot is the number of settled places before its own. A slot holds the full digest and the
-winner's doc_id, so a lookup compares all bytes: a digest the history lacks lands in some slot or none and is told
-apart there. New documents are grouped by digest first, so a part sees each digest once however often it occurs."""
+level, and a digest's slot is the number of settled places before its own. A slot holds the full digest, the
+winner's doc_id and how often the history has it, so a lookup compares all bytes: a digest the history lacks lands in some
+slot or none and is told apart there. Only new documents are looked up, grouped by digest first, so a part sees each
+digest once however often it occurs; those that the history lacks are groups of their own. What is known of a document of
+the history comes from its slot."""
 
 from __future__ import annotations
 
@@ -15,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import constants, join_frequent, mix
+from chatloom.llm.common import constants, fresh, join_frequent, mix
 from chatloom.plans.materialize import materialize
 
 PART_KEYS = 32_768  # digests in a part, about 1.3 MB
@@ -74,42 +76,49 @@ def _build(group: pd.DataFrame) -> pd.DataFrame:
             "bits": [[np.packbits(x).tobytes() for x in levels]],
             "digests": [keys[order].tobytes()],
             "winners": [group["winner"].to_numpy(np.int64)[order].tobytes()],
+            "counts": [group["n"].to_numpy(np.int64)[order].tobytes()],
         }
     )
 
 
 def _look_up(fresh: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    if not len(fresh):
-        return pd.DataFrame({"digest": [], "keep_id": [], "group_size": [], "in_history": []})
-    keep, member = fresh["first_id"].to_numpy(np.int64), np.zeros(len(fresh), bool)
+    keep, size = fresh["first_id"].to_numpy(np.int64), fresh["group_size"].to_numpy(np.int64)
+    member = np.zeros(len(fresh), bool)
+    found = []
     if len(index):
         part = index.iloc[0]
-        levels = [np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for n, b in zip(part["sizes"], part["bits"])]
-        held, winners = np.frombuffer(part["digests"], "<u8").reshape(-1, 4), np.frombuffer(part["winners"], "<i8")
-        keys = _as_keys(fresh["digest"])
-        slot = slots(levels, keys)
-        member = (slot >= 0) & (held[slot] == keys).all(axis=1)
-        keep = np.where(member, np.minimum(winners[slot], keep), keep)
-    return pd.DataFrame(
-        {"digest": fresh["digest"], "keep_id": keep, "group_size": fresh["group_size"], "in_history": member}
-    )
+        held = np.frombuffer(part["digests"], "<u8").reshape(-1, 4)
+        winners, counts = (np.frombuffer(part[c], "<i8").copy() for c in ("winners", "counts"))
+        if len(fresh):
+            levels = [np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for n, b in zip(part["sizes"], part["bits"])]
+            keys = _as_keys(fresh["digest"])
+            slot = slots(levels, keys)
+            member = (slot >= 0) & (held[slot] == keys).all(axis=1)
+            winners[slot[member]] = np.minimum(winners[slot[member]], keep[member])
+            counts[slot[member]] += size[member]
+        digests = [held[i].tobytes() for i in range(len(held))]
+        found.append(pd.DataFrame({"digest": digests, "keep_id": winners, "group_size": counts, "in_history": True}))
+    new = ~member
+    found.append(pd.DataFrame({"digest": fresh["digest"][new], "keep_id": keep[new], "group_size": size[new], "in_history": False}))
+    return pd.concat(found)
 
 
 def build_index(history: DataFrame, digests: int | None = None) -> DataFrame:
-    """One row per part from (doc_id, digest) rows: the bit arrays, and in slot order digests and smallest doc_ids.
-    ``digests`` is about how many distinct ones there are; it only sets the number of parts, which ``look_up``
+    """One row per part from (doc_id, digest) rows: the bit arrays, and in slot order digests, smallest doc_ids and numbers of
+    rows. ``digests`` is about how many distinct ones there are; it only sets the number of parts, which ``look_up``
     reads back from the index."""
-    winners = materialize(history.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("winner")))
+    known = history.filter("doc_id is not null").groupBy("digest")
+    winners = materialize(known.agg(F.min("doc_id").alias("winner"), F.count(F.lit(1)).alias("n")))
     n = winners.count() if digests is None else digests
     parts = max(1, min(_LEAST_PARTS, n // 64), -(-n // PART_KEYS))
     dealt = winners.withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(parts)))
-    schema = "part long, sizes array<int>, bits array<binary>, digests binary, winners binary"
+    schema = "part long, sizes array<int>, bits array<binary>, digests binary, winners binary, counts binary"
     return dealt.groupBy("part").applyInPandas(_build, schema).withColumn("parts", F.lit(parts))
 
 
 def look_up(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """For (doc_id, digest) rows, one row per distinct digest: digest, keep_id, group_size, in_history. keep_id is
-    the winner the history holds, or the smallest doc_id of the new group, whichever is smaller."""
+    """For new (doc_id, digest) rows and the history, one row per distinct digest: digest, keep_id, group_size, in_history.
+    keep_id is the winner the history holds, or the smallest doc_id of a new group; group_size counts both sides."""
     parts = (index.select("parts").first() or [1])[0]
     first = F.coalesce(F.min("doc_id"), F.lit(_NO_ID)).alias("first_id")
     groups = rows.groupBy("digest").agg(first, F.count(F.lit(1)).alias("group_size"))
@@ -130,7 +139,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     ends = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
     middle = 0 if ends[0] is None else (int(ends[0]) + int(ends[1]) + 1) // 2
     index = materialize(build_index(rows.filter(F.col("doc_id") <= middle)))
-    found = materialize(look_up(rows, index))
+    found = materialize(look_up(rows.filter(F.col("doc_id").isNull() | (F.col("doc_id") > middle)), index))
     each = rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n_rows"))
     out = join_frequent(materialize(each), found, "digest", "group_size")
     kept = F.col("doc_id").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))
@@ -139,9 +148,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents ``exact_dedup`` keeps, one row each, with the columns of ``docs``."""
-    winners = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_w_id"), F.col("digest").alias("_w_digest"))
-    keyed = docs.withColumn("_dedup_digest", text_digest())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_w_id")) & (F.col("_dedup_digest") == F.col("_w_digest"))
+    w_id, w_digest, own = fresh(docs, "id", "digest", "own")
+    winners = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias(w_id), F.col("digest").alias(w_digest))
+    keyed = docs.withColumn(own, text_digest())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(w_id)) & (F.col(own) == F.col(w_digest))
     one = keyed.join(winners, same, "left_semi")
-    known = one.filter("doc_id is not null").dropDuplicates(["doc_id", "_dedup_digest"])
-    return known.unionByName(one.filter("doc_id is null")).drop("_dedup_digest")
+    known = one.filter("doc_id is not null").dropDuplicates(["doc_id", own])
+    return known.unionByName(one.filter("doc_id is null")).drop(own)

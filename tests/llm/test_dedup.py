@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from chatloom.llm import common, exact_dedup, near_dedup, suffix_dedup
+from chatloom.llm import common, exact_dedup, mixing, near_dedup, suffix_dedup
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -58,11 +58,39 @@ def test_nonmembers_are_told_apart_by_their_bytes(spark):
         rows = [(i, hashlib.sha256(str(i).encode()).digest()) for i in ids]
         return spark.createDataFrame(rows, "doc_id long, digest binary")
 
-    index = exact_dedup.build_index(table(range(300)))
+    index = exact_dedup.build_index(table([*range(300), *range(20)]))
     found = exact_dedup.look_up(table(range(200, 700)), index).collect()
-    assert len(found) == 500
-    assert sorted(r["keep_id"] for r in found if r["in_history"]) == list(range(200, 300))
+    assert len(found) == 700
+    assert sorted(r["keep_id"] for r in found if r["in_history"]) == list(range(300))
     assert sorted(r["keep_id"] for r in found if not r["in_history"]) == list(range(300, 700))
+    assert {r["keep_id"]: r["group_size"] for r in found} == {i: 1 + (i < 20) + (200 <= i < 300) for i in range(700)}
+
+
+def test_the_index_gives_the_history_its_result(spark, edge_docs, monkeypatch):
+    """With an index that holds nothing, the documents of the history have no group."""
+    want = {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(edge_docs).collect()}
+    build = exact_dedup.build_index
+    monkeypatch.setattr(exact_dedup, "build_index", lambda history: build(history.limit(0)))
+    got = {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(edge_docs).collect()}
+    assert got != want
+
+
+CLASHING = ["_dropped", "_id", "_digest", "_own", "_w_id", "_w_digest", "_mixed", "_mix_key", "_key", "_row", "_copy", "_dedup_digest"]
+
+
+def test_columns_with_the_operators_own_names(spark):
+    rows = [(i, f"text {i // 2} of some words", "s", *range(len(CLASHING))) for i in range(8)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *CLASHING])
+    for out, n in ((exact_dedup.keep_first(docs), 4), (near_dedup.keep_one(docs), 4), (mixing.mix_documents(docs), 8)):
+        assert out.columns == docs.columns
+        assert [tuple(r)[3:] for r in out.collect()] == [tuple(range(len(CLASHING)))] * n
+
+
+def test_mix_copies_the_row_it_counts(spark):
+    rows = [(1, "a b c d", "s1"), (1, "x", "s2"), (2, "e f", "s2"), (2, "e f", "s1")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string").coalesce(1)
+        assert {tuple(r) for r in mixing.mix_documents(docs).collect()} <= {rows[0], rows[3]}
 
 
 def test_hot_keys_meet_the_same_rows(spark):
