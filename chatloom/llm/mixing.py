@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chatloom.llm.common import WORD, join_frequent
+from chatloom.llm.common import WORD, fresh, join_frequent
 from chatloom.plans.materialize import materialize
 
 ENTROPY = 0.95  # of the entropy of equal weights
@@ -130,8 +130,12 @@ def mix(
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The copies ``mix`` realises, with the columns of ``docs``; rows without doc_id stay as they are."""
-    copies = mix(docs, **options).select(F.col("doc_id").alias("_mixed"))
-    known = docs.filter("doc_id is not null").withColumn("_mix_key", F.col("doc_id").cast("long")).dropDuplicates(["_mix_key"])
-    out = known.join(copies, F.col("_mix_key") == F.col("_mixed")).drop("_mixed", "_mix_key")
+    """The copies ``mix`` realises, with the columns of ``docs``; rows without doc_id stay as they are. Of rows that repeat a
+    doc_id, the one that ``mix`` counts is copied: most tokens, then the first source, then by a hash of the text."""
+    key, row, copy = fresh(docs, "key", "row", "copy")
+    copies = mix(docs, **options).select(F.col("doc_id").alias(copy))
+    first = F.struct(-word_tokens(), F.coalesce(F.col("source").cast("string"), F.lit("")), F.xxhash64(F.col("text").cast("string")))
+    known = docs.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias(key))
+    known = known.agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), first).alias(row))
+    out = known.join(copies, F.col(key) == F.col(copy)).select(*[F.col(row)[c].alias(c) for c in docs.columns])
     return out.unionByName(docs.filter("doc_id is null"))
