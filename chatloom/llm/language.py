@@ -20,7 +20,6 @@ BINS = 1 << 16
 ORDER = 3
 SAMPLE = 2400  # labelled rows the fit sees, dealt evenly to the languages
 LANDMARKS = 256
-LANGUAGES = 256  # the most frequent ones are learned
 RIDGE = 1e-3
 UNKNOWN = "und"
 _SLICE = 1 << 20
@@ -103,11 +102,11 @@ def _rows(sets: list[np.ndarray], place: np.ndarray, width: int) -> np.ndarray:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Learns from (doc_id, text, lang) rows that have a lang and are not held out: about ``sample`` of them, as many
-    for every language, picked by hash. Texts are turned to n-gram sets, of bounded size, before they reach the driver.
+    for every language but one at least, picked by hash. Every language is learned; each takes a column of BINS weights. Texts are turned to n-gram sets, of bounded size, before they reach the driver.
     None where there is nothing to learn from."""
     known = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").count().collect()  # one row per language
     if not counts:
         return None
     each = max(1, sample // len(counts))
