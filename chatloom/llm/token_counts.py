@@ -25,6 +25,7 @@ from chatloom.plans.materialize import materialize
 
 SHARE = 20
 SHORT = 64
+SALTS = 64  # tasks that a longer pre-token is dealt to
 LIMIT = 4096
 _HELD = 1 << 19  # distinct pre-tokens a task counts before it passes them on
 MARK = "▁"
@@ -165,27 +166,29 @@ def token_counts(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter(_processor(shared.value))
         known = dict(zip(*(c.to_pylist() for c in frequent.value.columns)))
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
         rows: list[tuple] = []
+        number = 0
 
         def out() -> pa.RecordBatch:
-            columns = list(zip(*rows)) if rows else [()] * 5
+            columns = list(zip(*rows)) if rows else [()] * 6
             rows.clear()
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
-            return pa.RecordBatch.from_arrays(arrays, ["pretoken", "doc_id", "version", "n", "n_bytes"])
+            return pa.RecordBatch.from_arrays(arrays, ["pretoken", "salt", "doc_id", "version", "n", "n_bytes"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = text.as_buffer() if text.is_valid else b""
-                version = xxhash.xxh32_intdigest(raw) if shared_ids else 0
+                version = xxhash.xxh3_128_digest(raw) if shared_ids else b""
+                number += 1
                 total = 0
                 for pretoken, n in Counter(split(text.as_py() or "")).items():
                     pieces = known.get(pretoken)
                     if pieces is None:
-                        rows.append((pretoken, doc_id, version, n, None))
+                        rows.append((pretoken, number % SALTS if len(pretoken) > SHORT else 0, doc_id, version, n, None))
                     else:
                         total += pieces * n
-                rows.append((f"{_HEAD}{doc_id}", doc_id, version, total, len(raw)))
+                rows.append((_HEAD, number % (1 << 30), doc_id, version, total, len(raw)))
                 if len(rows) > 1 << 16:
                     yield out()
         yield out()
@@ -199,14 +202,15 @@ def token_counts(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
             last.update(zip(own, count(own)))
             weights = [last.get(p, 1) for p in pretokens]
             last = {p: last[p] for p in pretokens[-1:] if p in last}
-            pieces = pc.multiply(batch.column(3), pa.array(weights, pa.int64()))
-            columns = [batch.column(1), batch.column(2), pieces, batch.column(4)]
+            pieces = pc.multiply(batch.column(4), pa.array(weights, pa.int64()))
+            columns = [batch.column(2), batch.column(3), pieces, batch.column(5)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "pieces", "n_bytes"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    frequencies = rows.mapInArrow(documents, "pretoken string, doc_id long, version long, n long, n_bytes long")
-    together = frequencies.repartition("pretoken").sortWithinPartitions("pretoken")
-    parts = together.mapInArrow(weigh, "doc_id long, version long, pieces long, n_bytes long")
+    frequencies = rows.mapInArrow(documents, "pretoken string, salt int, doc_id long, version binary, n long, n_bytes long")
+    # long pre-tokens are not broadcast, and may be frequent
+    together = frequencies.repartition("pretoken", "salt").sortWithinPartitions("pretoken")
+    parts = together.mapInArrow(weigh, "doc_id long, version binary, pieces long, n_bytes long")
     sums = parts.groupBy("doc_id", "version").agg(
         F.sum("pieces").alias("pieces"), F.max("n_bytes").alias("n_bytes"), F.count("n_bytes").alias("rows")
     )
