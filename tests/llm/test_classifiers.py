@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -106,6 +107,12 @@ def test_one_product_equals_the_kernel_machine():
     assert (model.scores(sets).argmax(axis=1) == target.argmax(axis=1)).all()
 
 
+def test_every_language_is_learned(spark):
+    rows = [(1000 * k + i, f"{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyz'[k // 100]} " * 5, f"l{k}") for k in range(300) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(language.fit(docs).languages) == 300
+
+
 def test_language_edges(edge_docs, edge_rows, no_docs):
     model = language.fit(edge_docs)
     got = language.predict(edge_docs, model).collect()
@@ -154,6 +161,45 @@ def test_thresholds_are_ordered_and_gradients_fit():
     assert np.allclose(ordinal.fit_rows(rows, grades, 3).weights, model.weights)
 
 
+def test_likelihood_and_gradient_by_brute_force(monkeypatch):
+    """The likelihood row by row from its definition, its gradient by finite differences, and a fit that plain gradient
+    descent does not improve."""
+    draw = np.random.default_rng(3)
+    rows = [np.unique(draw.integers(0, 30, 6)).astype("<u4") for _ in range(150)]
+    grades = np.array([min(2, int((r < 9).sum() + draw.integers(0, 2)) // 2) for r in rows])
+    seen, minimize = {}, ordinal._minimize
+
+    def spy(value, start, *rest):
+        seen.update(value=value, start=start)
+        return minimize(value, start, *rest)
+
+    monkeypatch.setattr(ordinal, "_minimize", spy)
+    model = ordinal.fit_rows(rows, grades, 3)
+    x = seen["start"] + draw.normal(0, 0.3, len(seen["start"]))
+    columns = sorted({int(c) for r in rows for c in r if model.weights[c] != 0})
+    n = len(x) - 2
+    assert len(columns) == n
+
+    def loss(x):
+        weight, t = dict(zip(columns, x[:n])), [x[n], x[n] + math.exp(x[n + 1])]
+        total = ordinal.RIDGE / 2 * float(x[:n] @ x[:n])
+        for r, g in zip(rows, grades):
+            s = sum(weight.get(int(c), 0.0) for c in r)
+            below = [0.0, *(1 / (1 + math.exp(s - e)) for e in t), 1.0]
+            total -= math.log(below[g + 1] - below[g])
+        return total
+
+    value, gradient = seen["value"](x)
+    assert abs(value - loss(x)) < 1e-6 * value
+    step = np.eye(len(x)) * 1e-5
+    assert np.allclose(gradient, [(loss(x + d) - loss(x - d)) / 2e-5 for d in step], rtol=1e-4, atol=1e-4)
+    best = np.r_[model.weights[columns].astype(float), model.thresholds[0], math.log(model.thresholds[1] - model.thresholds[0])]
+    descended = best
+    for _ in range(200):
+        descended = descended - 0.01 * seen["value"](descended)[1]
+    assert loss(best) - loss(descended) < 1e-3 * loss(best)
+
+
 def test_minimizer_finds_a_minimum():
     target = np.arange(5.0)
     found = ordinal._minimize(lambda x: (float(((x - target) ** 2).sum()), 2 * (x - target)), np.zeros(5), 50)

@@ -130,6 +130,19 @@ def test_rows_that_share_an_id_are_counted_apart(spark):
     assert sorted(got, key=str) == sorted(((i, len(processor.encode(t))) for i, t in rows), key=str)
 
 
+def test_texts_whose_short_hashes_agree_and_long_frequent_words(spark):
+    """Two texts without doc_id with one 32-bit hash; a separator longer than what is broadcast in every text."""
+    import sentencepiece
+
+    processor = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rows = [(None, "word29873 x x x x "), (None, "word141855 ")]
+    rows += [(i, f"text {i} {'-' * 100} {'-' * 100}") for i in range(40)] + [(None, "same text")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [(r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in token_counts.token_counts(docs, PIECES).collect()]
+    want = [(i, len(t), len(processor.encode(t))) for i, t in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_models_that_join_words_are_refused():
     class Joined:
         def get_piece_size(self):
