@@ -1,7 +1,7 @@
 """From raw documents to packed sequences: a quality classifier, exact and near deduplication, mixing and packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept, read back from Parquet; all but the
-last return the columns of ``documents``."""
+last return the columns of ``documents``. No stage fails on nulls, and an empty table stays one."""
 
 from __future__ import annotations
 
@@ -21,27 +21,32 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose best grade is likely enough; the others go."""
+    """Documents whose best grade is likely enough; the others go. A null text counts as empty; a row is judged by its text
+    alone, so repeated rows stay or go together, and all stay where nothing is rated."""
     return ordinal.keep_good(docs, ratings(spark, sf_dir))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with equal texts."""
+    """One document of each group with equal texts, that with the smallest doc_id. Null and empty texts are equal; rows that
+    repeat doc_id and text are one; rows without doc_id stay."""
     return exact_dedup.keep_first(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, that with the smallest doc_id. Texts without words and rows without
+    doc_id stay."""
     return near_dedup.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as its source's weight asks for."""
+    """As many copies of each document as its source's weight asks for. A null source is one of its own, texts without words
+    weigh one token, of rows that repeat a doc_id the longest counts, and rows without doc_id stay as they are."""
     return mixing.mix_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 tokens."""
+    """The pieces of all documents in sequences of 2048 tokens. A null or empty text is its end token alone; repeated rows are
+    packed each by itself."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False).drop("ids")
 
 
