@@ -99,14 +99,16 @@ def _known_from_join(df: DataFrame, keys: list[str], lexicon: DataFrame) -> Data
     )
 
 
-def with_synonyms(df: DataFrame, key: str | Sequence[str], words_col: str, lexicon: DataFrame) -> DataFrame:
+def with_synonyms(
+    df: DataFrame, key: str | Sequence[str], words_col: str, lexicon: DataFrame, by_join: bool = False
+) -> DataFrame:
     """Adds ``known``: the text's own words found in the lexicon, with their synonyms, ordered by word. A lexicon
-    of checked small size goes to the texts, which then need not move at all; for a larger one the texts' words
-    go to the lexicon."""
+    of checked small size goes to the texts, which then need not move at all; for a larger one, or with ``by_join``, the
+    texts' words go to the lexicon."""
     keys = [key] if isinstance(key, str) else list(key)
     lexicon = merge_words(lexicon)
     own = settle(df, "_own", F.array_distinct(words_col))
-    if (shared := dictionary(lexicon)) is not None:
+    if not by_join and (shared := dictionary(lexicon)) is not None:
         return own.withColumn("known", _known_from_dictionary(F.col("_own"), shared)).drop("_own")
     empty = F.array().cast(KNOWN)
     joined = own.drop("_own").join(_known_from_join(own, keys, lexicon), keys, "left")

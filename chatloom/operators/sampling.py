@@ -47,6 +47,21 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     return materialize(df.withColumn(name, F.monotonically_increasing_id()))
 
 
+def with_position(df: DataFrame, name: str = "position") -> DataFrame:
+    """Adds each row's 0-based place in the order the rows stand in, as after a sort. One count per partition is broadcast;
+    the rows are checkpointed, so that a recomputed task numbers them alike."""
+    from chatloom.plans.materialize import materialize
+
+    placed = materialize(df.withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
+    starts = counts.select("_part", before.alias("_start"))
+    rank = F.col("_start") + F.col("_id").bitwiseAND((1 << 33) - 1)
+    joined = placed.join(F.broadcast(starts), part == F.col("_part"))
+    return joined.select(*df.columns, rank.alias(name))
+
+
 @dataclass(frozen=True)
 class _Prefixes:
     """Counts of order-text prefixes of one length, within one parent prefix."""

@@ -29,8 +29,8 @@ def sample_exact(spark, sf):
 
 
 def shuffle(spark, sf):
-    ordered = sampling.shuffle(_docs(spark, sf).select("doc_id", "lang"), "doc_id")
-    return sampling.with_order_rank(ordered, "doc_id", name="position")
+    """The rows with the places they really have after the shuffle."""
+    return sampling.with_position(sampling.shuffle(_docs(spark, sf).select("doc_id", "lang"), "doc_id"))
 
 
 def split_manual(spark, sf):

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatloom.config import AugmentationConfig, EvaluationConfig, ManualSplit, NoSplit, PreprocessingConfig
 from chatloom.operators import augment, catalog, sampling, synthesis
+from chatloom.operators.commit_log import CommitLog
 from chatloom.plans import evaluate as evaluation_plan
 from chatloom.plans import preprocess
 from chatloom.plans.materialize import scratch_path
@@ -102,6 +104,21 @@ def read_json(spark, sf):
     return files.read_any(spark, path, schema=_EVENT).select("event_id", "event_type", "value")
 
 
+def commit_log(spark, sf):
+    """Documents per language listed one by one, then the long ones of all at once, less the last language; as it was
+    before that and as it is."""
+    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("n", T.LongType())])
+    log = CommitLog(spark, scratch_path(spark, "log"), schema, "lang")
+    long = F.count(F.when(F.col("n_chars") > 500, 1))
+    counts = _docs(spark, sf).filter("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), long.alias("long"))
+    counts = sorted(tuple(r) for r in counts.collect())  # one row per language
+    for lang, n, _ in counts:
+        before = log.commit(put=[(lang, n)])
+    log.commit(put=[(lang, n) for lang, _, n in counts[:-1]], remove=[counts[-1][0]])
+    states = log.read(before).withColumn("state", F.lit("before")), log.read().withColumn("state", F.lit("now"))
+    return states[0].unionByName(states[1])
+
+
 def process_two_sources(spark, sf):
     """Two files under one name: two datasets, both there afterwards, and a second run of one replaces only that one."""
     base, config = scratch_path(spark, "base"), PreprocessingConfig(field_mappings=MAPPINGS, split=NoSplit())
@@ -302,6 +319,7 @@ QUERIES = {
     "preview": preview,
     "profile": profile,
     "read_csv": read_csv,
+    "commit_log": commit_log,
     "read_text": read_text,
     "read_jsonl": read_jsonl,
     "read_json": read_json,
@@ -364,6 +382,10 @@ ORACLES = {
         FROM documents GROUP BY source""",
     "preview": """SELECT doc_id, text, source AS split FROM documents
         QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 5""",
+    "commit_log": """WITH c AS (SELECT lang, count(*) AS n, count(*) FILTER (n_chars > 500) AS l FROM documents
+        WHERE lang IS NOT NULL GROUP BY lang)
+        SELECT lang, n, 'before' AS state FROM c
+        UNION ALL SELECT lang, l, 'now' FROM c WHERE lang < (SELECT max(lang) FROM c)""",
     "read_csv": "SELECT doc_id, source, n_chars, text FROM documents",
     "read_text": "SELECT props AS text FROM events",
     "read_jsonl": "SELECT event_id, event_type, value FROM events UNION ALL SELECT NULL, NULL, NULL",

@@ -68,6 +68,15 @@ def synonym_replace(spark, sf):
     return known.select("doc_id", F.array_join(new, " ").alias("text"))
 
 
+def synonym_replace_by_join(spark, sf):
+    """As for a lexicon too large for one task: its words are told by a filter first."""
+    docs = documents(spark, sf, "doc_id", "text").select("doc_id", words(clean_chars(F.col("text"))).alias("words"))
+    known = lexical.with_synonyms(docs, "doc_id", "words", lexicon(spark, sf), by_join=True)
+    n = lexical.edits(F.size("words"), 0.1)
+    new = lexical.synonym_replace(F.col("words"), F.col("known"), n, SEED, F.col("doc_id"))
+    return known.select("doc_id", F.array_join(new, " ").alias("text"))
+
+
 def random_swap(spark, sf):
     turns = _turn_words(spark, sf)
     n = lexical.edits(F.size("words"), 0.1)
@@ -117,6 +126,7 @@ QUERIES = {
     "clean_chars": clean,
     "synonyms": synonyms,
     "synonym_replace": synonym_replace,
+    "synonym_replace_by_join": synonym_replace_by_join,
     "random_insert": random_insert,
     "random_swap": random_swap,
     "random_delete": random_delete,
@@ -248,3 +258,4 @@ ORACLES = {
         SELECT conv_id, turn, candidate, op, done.text AS augmented FROM plans JOIN done USING (turn_key, op)
         UNION ALL SELECT conv_id, turn, 9, 'original', array_to_string(words, ' ') FROM t WHERE len(words) > 0""",
 }
+ORACLES["synonym_replace_by_join"] = ORACLES["synonym_replace"]
