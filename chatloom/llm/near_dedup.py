@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import Tables, WordHashes, components, constants, fresh, gram_hashes, join_frequent, mix, text_bytes
+from chatloom.llm.common import HOT_KEYS, Tables, WordHashes, components, constants, fresh, gram_hashes, join_frequent, mix, text_bytes
 
 SHINGLE = 5
 PERCENT = 75
@@ -453,32 +453,68 @@ def _confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame, tables: Table
 
 def _rarest(docs: DataFrame, reps: DataFrame, members: DataFrame, tables: Tables) -> DataFrame:
     """(node, rep, group) rows of the (rep, group) members, with a node for every token that more than one of them has and that
-    is among the rarest n - ceil(0.75 n) + 1 of the member's n. Any two members at the threshold share one."""
+    is among the rarest n - ceil(0.75 n) + 1 of the member's n. Any two members at the threshold share one.
+
+    The few tokens that are frequent among the members (at most HOT_KEYS) come last in every order; they stay in one list per
+    member, and only the others are looked up one by one."""
     wanted = members.join(reps.select("rep", "digest"), "rep")
     none = F.array().cast("array<struct<block:long,a:long>>").alias("places")
     wanted = wanted.select("rep", "digest", none)
-    tokens = tables.keep(_texts(docs, wanted, wanted.count()).select("rep", "tokens").mapInArrow(_apart, "rep long, token long"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    rows = join_frequent(tokens, tables.keep(shared), "token", "size")
-    # tokens of one member are its rarest and meet nobody
+    held = tables.keep(_texts(docs, wanted, wanted.count()).select("rep", "tokens"))
+    counts = held.select("tokens").mapInArrow(_token_counts, "token long, n long")
+    shared = tables.keep(counts.groupBy("token").agg(F.sum("n").alias("size")).filter("size > 1"))
+    total = shared.agg(F.sum("size")).first()[0] or 0
+    often = F.col("size") * HOT_KEYS >= F.lit(total)
+    frequent = [r["token"] for r in shared.filter(often).orderBy("size", "token").collect()]
+    rows = tables.keep(held.mapInArrow(_told_apart(frequent), "rep long, token long, frequent array<long>"))
+    looked_up = rows.filter("token is not null").select("rep", "token").join(shared.filter(~often), "token", "left")
+    # a token that no other member has is the rarest of all and meets nobody
     ordered = F.sort_array(F.collect_list(F.when(F.col("size").isNotNull(), F.struct("size", "token"))))
-    each = rows.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), ordered.alias("shared"))
+    each = looked_up.groupBy("rep").agg(F.count(F.when(F.col("size").isNull(), 1)).alias("alone"), ordered.alias("others"))
+    each = rows.filter("token is null").select("rep", "frequent").join(each, "rep", "left")
+    each = each.join(reps.select("rep", F.col("n_shingles").alias("n")), "rep")
     prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
-    left = F.greatest(F.lit(0), prefix - (F.col("n") - F.size("shared"))).cast("int")
-    each = each.select("rep", F.explode(F.slice("shared", F.lit(1), left)).alias("t"))
-    out = tables.keep(each.select(F.col("t.token").alias("node"), "rep").join(members, "rep").select("node", "rep", "group"))
-    tables.drop(tokens)
+    left = F.greatest(F.lit(0), prefix - F.coalesce("alone", F.lit(0))).cast("int")
+    others = F.coalesce(F.transform("others", lambda t: t["token"]), F.array().cast("array<long>"))
+    each = each.select("rep", F.explode(F.slice(F.concat(others, "frequent"), F.lit(1), left)).alias("node"))
+    out = tables.keep(each.join(members, "rep").select("node", "rep", "group"))
+    tables.drop(held, shared, rows)
     return out
 
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, token) of (rep, tokens)."""
+def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, n) of (tokens) rows, added up batch by batch."""
     for batch in batches:
-        for rep, tokens in zip(batch.column(0).to_pylist(), batch.column(1)):
-            t = np.frombuffer(tokens.as_buffer(), np.int64)
-            for start in range(0, len(t), 1 << 16):
-                part = t[start : start + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), rep)), pa.array(part)], ["rep", "token"])
+        if batch.num_rows:
+            tokens = np.concatenate([np.frombuffer(t.as_buffer(), np.int64) for t in batch.column(0)])
+            kinds, n = np.unique(tokens, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(n)], ["token", "n"])
+
+
+def _told_apart(frequent: list[int]):
+    """Of (rep, tokens) rows a row (rep, null, those of the frequent tokens that it has, in their order) and a row (rep, token,
+    null) for each other one."""
+    ranked = np.array(frequent, np.int64)
+    order = np.argsort(ranked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, tokens in zip(batch.column(0).to_pylist(), batch.column(1)):
+                t = np.frombuffer(tokens.as_buffer(), np.int64)
+                at = np.searchsorted(ranked[order], t)
+                hit = np.zeros(len(t), bool)
+                if len(ranked):
+                    hit = ranked[order][np.minimum(at, len(ranked) - 1)] == t
+                own = ranked[np.sort(order[at[hit]])].tolist()
+                rest = t[~hit]
+                columns = [
+                    pa.array(np.full(len(rest) + 1, rep)),
+                    pa.array([None, *rest.tolist()], pa.int64()),
+                    pa.array([own] + [None] * len(rest), pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["rep", "token", "frequent"])
+
+    return run
 
 
 def _in_blocks(large: DataFrame) -> DataFrame:
