@@ -102,7 +102,7 @@ def tree(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         rounds.append(materialize(_tops(rounds[-1])))
     above = rounds.pop()
     tops = above.select(F.col("grp").alias("grp"), F.col("digest").alias("digest"))  # for joins with the rows
-    above = above.select("grp", "pos", F.array().cast("array<string>").alias("path"))
+    above = above.drop("digest").withColumn("path", F.array().cast("array<string>"))
     while rounds:
         rows = _paths(rounds.pop())
         upper = above.select("grp", F.col("pos").alias("_block"), F.col("path").alias("_upper"))
