@@ -12,8 +12,10 @@ group, and only pairs of different groups are compared from then on: a node of o
 than SMALL documents are outside its largest group is compared in pieces, each with all of those; the others branch.
 
 Boilerplate. From level ``DEPTH`` on, a node that keeps more than half of its parent no longer shrinks. The documents of all
-such nodes are joined exactly by prefix filter: a pair at the threshold shares one of the rarest quarter of its shingles,
-so each document goes to the nodes of those, which are compared in the same way, and in blocks where one stays large.
+such nodes are joined exactly by prefix filter: the rarest shingle that a pair at the threshold shares is in the rarest
+seventh of the smaller document's and in the rarest quarter of the larger one's, so each document goes to the nodes of those. What
+is rarer than a node's shingle isn't shared, which bounds the sizes a document can meet there: a large node is parted by size,
+and compared in the same way, in blocks with the documents that have it in their rarest seventh where it stays large.
 
 Recall: a pair at similarity s survives a level of a tree with probability 2/3 s + 1/3 (1 - (1-s)^2) and so on down;
 at 0.75 a pair misses all 12 trees with probability 2e-9 if it parts below the roots, and 1e-4 at depth 4, and
@@ -48,6 +50,7 @@ FORESTS = 4
 PIECE = 256  # documents of a piece of a node
 HUB_PIECES = 1024  # pieces, at most, that the documents compared with one other are dealt into
 NODE_TOKENS = 1 << 22  # shingles of a node whose sets one task holds, 32 MB
+SIZE_STEP = 1.05  # sizes of the lesser documents of a part of a node differ by this factor at most
 FEW = 1 << 19  # rows of ids that are broadcast, about 20 MB
 _STEP = 4096
 
@@ -452,8 +455,9 @@ def _confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame, tables: Table
 
 
 def _rarest(docs: DataFrame, reps: DataFrame, members: DataFrame, tables: Tables) -> DataFrame:
-    """(node, rep, group) rows of the (rep, group) members, with a node for every token that more than one of them has and that
-    is among the rarest n - ceil(0.75 n) + 1 of the member's n. Any two members at the threshold share one.
+    """(node, rep, group, n, rarer) rows of the (rep, group) members, with a node for every token that more than one of them has
+    and that is among the rarest n - ceil(0.75 n) + 1 of the member's n, and the number of its tokens that are rarer. Any two
+    members at the threshold share one.
 
     The few tokens that are frequent among the members (at most HOT_KEYS) come last in every order; they stay in one list per
     member, and only the others are looked up one by one."""
@@ -476,8 +480,10 @@ def _rarest(docs: DataFrame, reps: DataFrame, members: DataFrame, tables: Tables
     prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
     left = F.greatest(F.lit(0), prefix - F.coalesce("alone", F.lit(0))).cast("int")
     others = F.coalesce(F.transform("others", lambda t: t["token"]), F.array().cast("array<long>"))
-    each = each.select("rep", F.explode(F.slice(F.concat(others, "frequent"), F.lit(1), left)).alias("node"))
-    out = tables.keep(each.join(members, "rep").select("node", "rep", "group"))
+    ordered = F.posexplode(F.slice(F.concat(others, "frequent"), F.lit(1), left)).alias("at", "node")
+    each = each.select("rep", "n", F.coalesce("alone", F.lit(0)).alias("alone"), ordered)
+    each = each.join(members, "rep")
+    out = tables.keep(each.select("node", "rep", "group", "n", (F.col("alone") + F.col("at")).alias("rarer")))
     tables.drop(held, shared, rows)
     return out
 
@@ -517,11 +523,48 @@ def _told_apart(frequent: list[int]):
     return run
 
 
-def _in_blocks(large: DataFrame) -> DataFrame:
-    """(node, rep, group) rows of small nodes in which any two documents of a large node meet at least once."""
-    pieces = F.ceil(2 * F.col("size") / PIECE)
-    own = F.pmod(F.xxhash64("rep"), pieces)
-    rows = large.select("node", "rep", "group", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("other"))
+def _by_size(rare: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """Of the (node, rep, group, n, rarer) rows the (node, rep, group) rows of small nodes, and the (node, rep, group, lesser)
+    rows of the parts that large nodes fall into.
+
+    A pair of n <= m tokens at the threshold shares at least 3 (n + m) / 7 of them, and none of those rarer than the node's,
+    which are i and j. So 7 i <= 4 n - 3 m <= n: the smaller one is ``lesser``, and m - j >= 3 (n + m) / 7 gives
+    3 m / 4 <= n <= (4 m - 7 j) / 3. A part holds the lesser documents of sizes that differ by a twentieth, and every document that can
+    be the larger one of a pair with such a size."""
+    lesser = 7 * F.col("rarer") <= F.col("n")
+    rows = rare.withColumn("lesser", lesser)
+    counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.max("lesser").alias("any")).filter("size > 1 and any")
+    rows = join_frequent(rows, tables.keep(counts.select("node", "size")), "node", "size").filter("size is not null")
+    rows = tables.keep(rows)
+    small = rows.filter(F.col("size") <= SMALL).select("node", "rep", "group")
+
+    def step(size):
+        return F.floor(F.log(size) / F.log(F.lit(SIZE_STEP)))
+
+    least = F.ceil(3 * F.col("n") / 4)
+    most = F.least(F.col("n"), F.floor((4 * F.col("n") - 7 * F.col("rarer")) / 3))
+    none = F.array().cast("array<long>")
+    larger = F.when(least <= most, F.sequence(step(least), step(F.greatest(least, most)))).otherwise(none)
+    own = F.when(F.col("lesser"), F.array(step(F.col("n")))).otherwise(none)
+    parts = rows.filter(F.col("size") > SMALL).withColumn("own", step(F.col("n")))
+    parts = parts.select("node", "rep", "group", "lesser", "own", F.explode(F.array_union(own, larger)).alias("part"))
+    parts = parts.select(
+        F.xxhash64("node", "part").alias("node"), "rep", "group", (F.col("lesser") & (F.col("own") == F.col("part"))).alias("lesser")
+    )
+    parts = tables.keep(parts)
+    counts = parts.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.max("lesser").alias("any")).filter("size > 1 and any")
+    parts = join_frequent(parts, tables.keep(counts.select("node", "size")), "node", "size").filter("size is not null")
+    return small, tables.keep(parts.select("node", "rep", "group", "lesser"))
+
+
+def _in_blocks(large: DataFrame, tables: Tables) -> DataFrame:
+    """(node, rep, group) rows of small nodes in which every lesser document of a large node meets every other document."""
+    counts = tables.keep(large.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.count_if("lesser").alias("few")))
+    rows = join_frequent(large.select("node", "rep", "group", "lesser"), counts, "node", "size")
+    few, more = F.ceil(2 * F.col("few") / PIECE), F.ceil(2 * (F.col("size") - F.col("few")) / PIECE)
+    own = F.when(F.col("lesser"), F.pmod(F.xxhash64("rep"), few)).otherwise(few + F.pmod(F.xxhash64("rep"), F.greatest(more, F.lit(1))))
+    last = F.when(F.col("lesser"), few + more).otherwise(few) - 1
+    rows = rows.select("node", "rep", "group", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
     return rows.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "rep", "group")
 
 
@@ -568,8 +611,9 @@ def links(docs: DataFrame, reps: DataFrame, tables: Tables) -> DataFrame:
     small, stuck = candidates(reps, nodes, tables)
     if stuck is not None:
         rare = _rarest(docs, reps, stuck, tables)
-        more, large = _sorted_out(rare, tables)
-        small = small.unionByName(more).unionByName(_in_blocks(large))
+        few, parts = _by_size(rare, tables)
+        more, large = _sorted_out(parts, tables)
+        small = small.unionByName(few).unionByName(more).unionByName(_in_blocks(large, tables))
     sketched = small.join(reps.select("rep", "n_shingles", "sketch"), "rep").select("node", "rep", "group", "n_shingles", "sketch")
     together = sketched.repartition("node").sortWithinPartitions("node")
     found = tables.keep(together.mapInArrow(compare, "a long, b long, node long, reps array<long>, bits binary"))

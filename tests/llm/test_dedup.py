@@ -1,5 +1,7 @@
+import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -208,6 +210,42 @@ def test_near_links_in_a_family_that_does_not_shrink(spark):
     assert got == {i: min(p) for p in pairs.values() for i in p}
 
 
+def test_links_meet_in_the_parts_of_large_nodes(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", 4)
+    monkeypatch.setattr(near_dedup, "PIECE", 8)
+    draw = random.Random(8)
+    boilerplate = list(range(60))
+    sets = {}
+    for i in range(250):  # parts of one boilerplate, some words of a second one, and words of their own
+        own = [1000 * (i + 1) + j for j in range(draw.choice([0, 1, 4, 9, 15]))]
+        sets[i] = {*boilerplate[: draw.randint(30, 60)], *draw.sample(range(100, 140), draw.randint(0, 8)), *own}
+    counts = collections.Counter(t for s in sets.values() for t in s)
+    rare = []
+    for i, s in sets.items():
+        order = sorted(s, key=lambda t: (counts[t], t))
+        prefix = order[: len(s) - math.ceil(0.75 * len(s)) + 1]
+        rare += [(t, i, i, len(s), at) for at, t in enumerate(prefix) if counts[t] > 1]
+    tables = common.Tables(spark)
+    rare = tables.keep(spark.createDataFrame(rare, "node long, rep long, group long, n long, rarer long").repartition(3))
+    small, parts = near_dedup._by_size(rare, tables)
+    blocks = near_dedup._in_blocks(parts.join(parts.groupBy("node").count().withColumnRenamed("count", "size"), "node"), tables)
+    met = set()
+    for nodes in (small, blocks):
+        together = collections.defaultdict(list)
+        for r in nodes.collect():
+            together[r["node"]].append(r["rep"])
+        assert max(map(len, together.values()), default=0) <= 4 * near_dedup.PIECE
+        assert all(len(t) == len(set(t)) for t in together.values())
+        met |= {frozenset(p) for t in together.values() for p in itertools.combinations(t, 2)}
+    links = {
+        frozenset((i, j))
+        for i, j in itertools.combinations(sets, 2)
+        if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+    }
+    assert len(links) > 1000 and links <= met
+    assert len(met) < 0.9 * len(sets) * (len(sets) - 1) / 2
+
+
 def test_branching_keeps_pairs_at_the_threshold():
     draw = np.random.default_rng(1)
     survived = 0
