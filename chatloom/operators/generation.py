@@ -3,8 +3,9 @@ returns a function from a pandas Series of texts to a Series of texts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,25 +39,33 @@ def _answers(model, inputs: tuple[pd.Series, ...], retries: int) -> pd.DataFrame
     return pd.DataFrame(rows, columns=["text", "error"], dtype=object)
 
 
-def _batches(parts: tuple[pd.Series, ...], size: int) -> Iterator[tuple[pd.Series, ...]]:
-    for start in range(0, len(parts[0]), size):
-        yield tuple(p.iloc[start : start + size].reset_index(drop=True) for p in parts)
+def ask(load: Loader | Sequence[Loader], *inputs: Column, batch_size: int = 32, retries: int = 2) -> Column:
+    """``struct<text, error>`` of the model's answer; a null first input is not asked. Of several models, each further one is
+    asked about the answer of the one before, in the same task, so that the answers in between go nowhere; the first error
+    counts."""
+    loads = [load] if callable(load) else list(load)
 
-
-def ask(load: Loader, *inputs: Column, batch_size: int = 32, retries: int = 2) -> Column:
-    """``struct<text, error>`` of the model's answer; a null first input is not asked."""
+    def one(models, parts):
+        """Texts and errors of one small batch."""
+        errors = np.full(len(parts[0]), None, object)
+        for model in models:
+            texts, at = np.full(len(errors), None, object), np.flatnonzero(parts[0].notna())
+            if len(at):
+                done = _answers(model, tuple(p.iloc[at].reset_index(drop=True) for p in parts), retries)
+                texts[at], errors[at] = done["text"], done["error"]
+            parts = (pd.Series(texts, dtype=object),)
+        return texts, errors
 
     def run(batches):
-        model = load()
+        models = [load() for load in loads]
         for batch in batches:
             parts = batch if isinstance(batch, tuple) else (batch,)
-            wanted = parts[0].notna()
-            out = pd.DataFrame({"text": None, "error": None}, index=parts[0].index, dtype=object)
-            asked = tuple(p[wanted] for p in parts)
-            if wanted.any():
-                done = pd.concat([_answers(model, b, retries) for b in _batches(asked, batch_size)])
-                out.loc[wanted, ["text", "error"]] = done[["text", "error"]].to_numpy()
-            yield out
+            rows = np.flatnonzero(parts[0].notna().to_numpy())
+            texts, errors = np.full(len(parts[0]), None, object), np.full(len(parts[0]), None, object)
+            for start in range(0, len(rows), batch_size):
+                at = rows[start : start + batch_size]
+                texts[at], errors[at] = one(models, tuple(p.iloc[at].reset_index(drop=True) for p in parts))
+            yield pd.DataFrame({"text": texts, "error": errors})
 
     if len(inputs) == 1:
 
@@ -84,11 +93,10 @@ def generate(df: DataFrame, prompt_col: str, load: Loader, *, out: str = "genera
 
 def back_translate(df: DataFrame, column: str, forward: Loader, backward: Loader, *, out: str = "augmented", batch_size: int = 32) -> DataFrame:
     """To another language and back. An empty result gives the stripped original, a failure the original."""
-    there = settle(df, "_asked", _non_blank(column)).withColumn(
-        "_there", ask(forward, F.col("_asked"), batch_size=batch_size, retries=0)
+    back = settle(df, "_asked", _non_blank(column)).withColumn(
+        "_back", ask((forward, backward), F.col("_asked"), batch_size=batch_size, retries=0)
     )
-    back = there.withColumn("_back", ask(backward, F.col("_there.text"), batch_size=batch_size, retries=0))
-    return _with_fallback(back, column, out, F.coalesce(F.col("_there.error"), F.col("_back.error"))).drop("_there", "_asked")
+    return _with_fallback(back, column, out, F.col("_back.error")).drop("_asked")
 
 
 def paraphrase(df: DataFrame, column: str, load: Loader, *, out: str = "augmented", batch_size: int = 32) -> DataFrame:

@@ -6,10 +6,11 @@ Synonyms come from a lexicon table ``word, synonyms``."""
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from chatloom.functions.columns import let, settle
 from chatloom.functions.rng import above, hash_hex, index_below, key_columns, uniform
 from chatloom.functions.text import clean_chars, is_blank, words
 from chatloom.operators import word_filter
+from chatloom.plans.materialize import materialize
 
 # Words never replaced by a synonym, next to the empty word.
 STOP_WORDS = (
@@ -34,6 +36,7 @@ SWAP_TRIES = 3
 KNOWN = "array<struct<word:string,synonyms:array<string>>>"
 BROADCAST_WORDS = 500_000  # a lexicon up to this many words and characters is broadcast,
 BROADCAST_CHARS = 64 * 2**20  # a larger one is joined by shuffle
+PART = 256  # texts that are Python objects at once; an Arrow batch holds up to 64 MB, many times more as words
 FREQUENT = 1000  # in that shuffle, words of at least 1/FREQUENT of all uses are broadcast, which are no more
 
 
@@ -65,38 +68,48 @@ def merge_words(lexicon: DataFrame) -> DataFrame:
     return lexicon.groupBy("word").agg(F.sort_array(F.array_distinct(every)).alias("synonyms"))
 
 
+_KNOWN_TYPE = pa.list_(pa.struct([("word", pa.string()), ("synonyms", pa.list_(pa.string()))]))
+
+
+def parts(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[tuple[list, ...]]:
+    """The rows of Arrow batches, a few at a time."""
+    for batch in batches:
+        for start in range(0, len(batch[0]), PART):
+            yield tuple(a.slice(start, PART).to_pylist() for a in batch)
+
+
 def _known_from_dictionary(own: Column, shared) -> Column:
-    """Lookup in a broadcast dictionary, batch by batch, where the texts are."""
+    """Lookup in a broadcast dictionary, a few rows at a time, where the texts are."""
 
-    @F.pandas_udf(KNOWN)
-    def known(own: pd.Series) -> pd.Series:
+    @F.arrow_udf(KNOWN)
+    def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         synonyms = shared.value
-        found = (() if words is None else (w for w in words if w in synonyms) for words in own)
-        return pd.Series([[{"word": w, "synonyms": synonyms[w]} for w in sorted(f)] for f in found], dtype=object)
+        for (rows,) in parts((b,) for b in batches):
+            found = (sorted(w for w in words or () if w in synonyms) for words in rows)
+            yield pa.array([[{"word": w, "synonyms": synonyms[w]} for w in f] for f in found], _KNOWN_TYPE)
 
     return known(own)
 
 
-def _known_from_join(df: DataFrame, keys: list[str], lexicon: DataFrame) -> DataFrame:
-    """Lookup by join for a lexicon of any size. Words that a filter of the lexicon's rules out never move. A word most texts
-    hold would meet in one task: the few words that make up a large share of all uses are broadcast, the others meet in a
-    shuffle where none is frequent. A text's words come together again before they move."""
+def _known_from_join(df: DataFrame, keys: list[str], lexicon: DataFrame):
+    """Lookup by join for a lexicon of any size: a dictionary of the frequent words, and ``_rest`` of each text that has
+    other words of the lexicon. Words that a filter of the lexicon's rules out never move. A word most texts hold would meet
+    in one task: the few words that make up a large share of all uses are a broadcast dictionary and stay where the texts
+    are, the others meet in a shuffle where none is frequent. A text's words come together again before they move."""
     shared = df.sparkSession.sparkContext.broadcast(word_filter.build(lexicon))
     own = word_filter.keep_possible(df.select(*keys, "_own"), "_own", shared)
-    own = own.select(*keys, F.explode("_own").alias("word"))
-    uses = own.groupBy("word").agg(F.count(F.lit(1)).alias("_uses"))
-    counted = lexicon.join(uses, "word")
+    uses = own.select(F.explode("_own").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("_uses"))
+    uses = materialize(lexicon.select("word").join(uses, "word"))
     total = uses.agg(F.sum("_uses")).first()[0] or 0
-    often = F.col("_uses") * FREQUENT >= F.lit(total)
-    hot = F.broadcast(counted.filter(often).select("word", F.col("synonyms").alias("_hot")))
-    tagged = own.join(hot, "word", "left")
-    here = tagged.filter(F.col("_hot").isNotNull()).select(*keys, "word", F.col("_hot").alias("synonyms"))
-    rest = tagged.filter(F.col("_hot").isNull()).drop("_hot").join(counted.filter(~often).drop("_uses"), "word")
-    return (
-        here.unionByName(rest.select(*keys, "word", "synonyms"))
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct("word", "synonyms"))).alias("known"))
-    )
+    often = uses.filter(F.col("_uses") * FREQUENT >= F.lit(total)).select("word")
+    hot = {r["word"]: list(r["synonyms"]) for r in lexicon.join(F.broadcast(often), "word").collect()}
+    rest = own.select(*keys, F.explode(F.array_except("_own", F.array(*map(F.lit, hot)).cast("array<string>"))).alias("word"))
+    rest = rest.join(lexicon, "word").groupBy(*keys).agg(F.collect_list(F.struct("word", "synonyms")).alias("_rest"))
+    return df.sparkSession.sparkContext.broadcast(hot), rest
+
+
+def _with_rest(df: DataFrame, keys: list[str], rest: DataFrame) -> DataFrame:
+    return df.join(rest, keys, "left").withColumn("_rest", F.coalesce("_rest", F.array().cast(KNOWN)))
 
 
 def with_synonyms(
@@ -110,9 +123,48 @@ def with_synonyms(
     own = settle(df, "_own", F.array_distinct(words_col))
     if not by_join and (shared := dictionary(lexicon)) is not None:
         return own.withColumn("known", _known_from_dictionary(F.col("_own"), shared)).drop("_own")
-    empty = F.array().cast(KNOWN)
-    joined = own.drop("_own").join(_known_from_join(own, keys, lexicon), keys, "left")
-    return joined.withColumn("known", F.coalesce("known", empty))
+    hot, rest = _known_from_join(own, keys, lexicon)
+    here = _with_rest(own.withColumn("_hot", _known_from_dictionary(F.col("_own"), hot)).drop("_own"), keys, rest)
+    return here.withColumn("known", F.sort_array(F.concat("_hot", "_rest"))).drop("_hot", "_rest")
+
+
+def _edited(clean: Column, op: Column, key: Column, rest: Column | None, shared, alphas: dict[str, float], seed) -> Column:
+    """Cleaned texts after the operation named in ``op``, in one Arrow call where the texts are; any other name leaves the
+    words as they are. ``rest`` holds what a text knows besides the dictionary."""
+
+    @F.arrow_udf("string")
+    def edit(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        synonyms = shared.value
+        for clean, op, key, rest in parts(batches):
+            done = []
+            for text, o, k, more in zip(clean, op, key, rest):
+                own = synonyms
+                if more:
+                    own = {r["word"]: r["synonyms"] for r in more}
+                    own |= {w: synonyms[w] for w in set((text or "").split()) if w in synonyms}
+                tokens = (text or "").split()
+                done.append(" ".join(_edit_words(tokens, o, own, alphas, seed, k)))
+            yield pa.array(done, pa.string())
+
+    return edit(clean, op, key, F.lit(None).cast(KNOWN) if rest is None else rest)
+
+
+def replace_synonyms(
+    df: DataFrame, column: str, key: str | Sequence[str], lexicon: DataFrame, share: float = 0.1, seed=42,
+    by_join: bool = False, out: str = "replaced",
+) -> DataFrame:
+    """Adds the cleaned text of a column with synonyms for up to the given share of its words (one at least), every
+    occurrence alike: ``synonym_replace`` in one Arrow call, without a column of the synonyms of all words."""
+    keys, alphas = [key] if isinstance(key, str) else list(key), rates(synonym=share)
+    lexicon, ready = merge_words(lexicon), settle(df, "_clean", clean_chars(F.coalesce(F.col(column), F.lit(""))))
+    shared = None if by_join else dictionary(lexicon)
+    rest = None
+    if shared is None:
+        own = settle(ready.select(*keys, "_clean"), "_own", F.array_distinct(words(F.col("_clean"))))
+        shared, known = _known_from_join(own, keys, lexicon)
+        ready, rest = _with_rest(ready, keys, known), F.col("_rest")
+    done = _edited(F.col("_clean"), F.lit("synonym"), _key_text(key_columns(key)), rest, shared, alphas, seed)
+    return ready.withColumn(out, done).drop("_clean", "_rest")
 
 
 def edits(n_words: Column, alpha: float) -> Column:
@@ -158,45 +210,52 @@ def _first_non_empty(words_col: Column, kept: Column, fallback: Column) -> Colum
     return F.when(F.size(words_col) <= 1, words_col).otherwise(F.get(options, F.lit(0)))
 
 
-def _draw(seed, *parts) -> int:
-    """The worker-side twin of rng.u32."""
-    text = ":".join(map(str, (seed, *parts)))
-    return int(hashlib.md5(text.encode("utf-8")).hexdigest()[:8], 16)
+def _draws(seed, *parts):
+    """The worker-side twin of rng.u32 for draws that differ in their last part, of which it is a function."""
+    start = hashlib.md5(":".join(map(str, (seed, *parts, ""))).encode("utf-8"))
+
+    def draw(last) -> int:
+        h = start.copy()
+        h.update(str(last).encode("utf-8"))
+        return int.from_bytes(h.digest()[:4], "big")
+
+    return draw
 
 
 def _swap_words(tokens: list[str], n: int, seed, key: str) -> list[str]:
+    size, first, other = len(tokens), _draws(seed, "swap", key), _draws(seed, "with", key)
     for step in range(n):
-        i = _draw(seed, "swap", key, step) % len(tokens)
-        tries = (_draw(seed, "with", key, step, t) % len(tokens) for t in range(SWAP_TRIES))
+        i = first(step) % size
+        tries = (other(f"{step}:{t}") % size for t in range(SWAP_TRIES))
         j = next((j for j in tries if j != i), i)
         tokens[i], tokens[j] = tokens[j], tokens[i]
     return tokens
 
 
 def _insert_words(tokens: list[str], synonym_of: dict[str, str], n: int, seed, key: str) -> list[str]:
-    for step in range(n):
-        tries = (tokens[_draw(seed, "insert", key, step, t) % len(tokens)] for t in range(INSERT_TRIES))
+    draw, place = _draws(seed, "insert", key), _draws(seed, "at", key)
+    for step in range(n if synonym_of else 0):
+        tries = (tokens[draw(f"{step}:{t}") % len(tokens)] for t in range(INSERT_TRIES))
         new = next((synonym_of[w] for w in tries if w in synonym_of), None)
         if new is not None:
-            tokens.insert(_draw(seed, "at", key, step) % len(tokens), new)
+            tokens.insert(place(step) % len(tokens), new)
     return tokens
 
 
 def _ordered_edits(seed):
     """Insertions and swaps build on each other, so they run word by word in Python, one text at a time."""
 
-    @F.pandas_udf("array<string>")
-    def edit(
-        op: pd.Series, tokens: pd.Series, known: pd.Series, synonym: pd.Series, n: pd.Series, key: pd.Series
-    ) -> pd.Series:
+    @F.arrow_udf("array<string>")
+    def edit(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         def one(op, tokens, known, synonym, n, key):
-            if tokens is None or len(tokens) == 0:
+            if not tokens:
                 return tokens
             if op == "swap":
-                return _swap_words(list(tokens), int(n), seed, key)
-            return _insert_words(list(tokens), dict(zip(known, synonym)), int(n), seed, key)
+                return _swap_words(tokens, int(n), seed, key)
+            return _insert_words(tokens, dict(zip(known or (), synonym or ())), int(n), seed, key)
 
-        return pd.Series([one(*row) for row in zip(op, tokens, known, synonym, n, key)])
+        for part in parts(batches):
+            yield pa.array([one(*row) for row in zip(*part)], pa.list_(pa.string()))
 
     return edit
 
@@ -322,6 +381,12 @@ def eda_one(
 ) -> DataFrame:
     """Adds one augmented version of every text."""
     keys, alphas = key_columns(key), alphas or rates()
+    if (shared := dictionary(merge_words(lexicon))) is not None:
+        ready = with_plan(settle(df, "_clean", clean_chars(F.coalesce(F.col(column), F.lit("")))), alphas, seed, *keys)
+        plan = F.col("_plan")
+        done = _edited(F.col("_clean"), plan["op"], _key_text((*keys, plan["rep"])), None, shared, alphas, seed)
+        as_is = (F.trim("_clean") == "") | (plan["op"] == "none")
+        return ready.withColumn(out, F.when(as_is, F.col(column)).otherwise(clean_chars(done))).drop("_clean", "_plan")
     base = df.withColumn("_words", words(clean_chars(F.coalesce(F.col(column), F.lit("")))))
     known = with_plan(with_synonyms(base, key, "_words", lexicon), alphas, seed, *keys)
     changed = eda_text(F.col(column), F.col("_words"), F.col("known"), alphas, seed, *keys)
@@ -345,21 +410,40 @@ def _clean(text: str) -> str:
     return re.sub("^ ", "", re.sub(" +", " ", letters))
 
 
+_STOP_SET = frozenset(STOP_WORDS)
+
+
 def _replace_words(tokens: list[str], synonyms: dict, n: int, seed, key: str) -> list[str]:
-    candidates = []
-    for w in sorted(set(tokens) & synonyms.keys() - set(STOP_WORDS)):
-        own = synonyms[w]
-        candidates.append((_hex(seed, "synonym", key, w), w, own[_draw(seed, "which", key, w) % len(own)]))
-    chosen = {w: s for _, w, s in sorted(candidates)[:n]}
+    which, candidates = _draws(seed, "which", key), []
+    order = hashlib.md5(f"{seed}:synonym:{key}:".encode())
+    for w in {w for w in tokens if w in synonyms} - _STOP_SET:
+        h = order.copy()
+        h.update(w.encode())
+        candidates.append((h.digest(), w))
+    chosen = {w: synonyms[w][which(w) % len(synonyms[w])] for _, w in heapq.nsmallest(n, candidates) if synonyms[w]}
     return [chosen.get(w, w) for w in tokens]
 
 
 def _delete_words(tokens: list[str], p: float, seed, key: str) -> list[str]:
-    limit = int(p * 2**32)
+    limit, draw = int(p * 2**32), _draws(seed, "delete", key)
     if len(tokens) <= 1:
         return tokens
-    kept = [w for i, w in enumerate(tokens) if limit < 2**32 and _hex(seed, "delete", key, i)[:8] > f"{limit:08x}"]
-    return kept or [tokens[_draw(seed, "keep", key) % len(tokens)]]
+    kept = [w for i, w in enumerate(tokens) if limit < 2**32 and draw(i) > limit]
+    return kept or [tokens[_draws(seed, "keep")(key) % len(tokens)]]
+
+
+def _edit_words(tokens: list[str], op: str, synonyms: dict, alphas: dict[str, float], seed, key: str) -> list[str]:
+    """One operation on the words of a text. ``synonyms`` may hold words the text has not."""
+    if not tokens or op not in OPERATIONS:
+        return tokens
+    n = max(1, int(len(tokens) * alphas[op]))
+    if op == "synonym":
+        return _replace_words(tokens, synonyms, n, seed, key)
+    if op == "delete":
+        return _delete_words(tokens, alphas["delete"], seed, key)
+    if op == "swap":
+        return _swap_words(tokens, n, seed, key)
+    return _insert_words(tokens, {w: next(iter(synonyms[w]), None) for w in set(tokens) if w in synonyms}, n, seed, key)
 
 
 def edit_text(text: str | None, synonyms: dict, alphas: dict[str, float], seed, key: str) -> str | None:
@@ -370,16 +454,7 @@ def edit_text(text: str | None, synonyms: dict, alphas: dict[str, float], seed,
     if not tokens or not enabled:
         return text
     op = min(enabled, key=lambda o: (_hex(seed, "pick", key, o, 0), o))
-    ident, n = f"{key}:0", max(1, int(len(tokens) * alphas[op]))
-    if op == "synonym":
-        new = _replace_words(tokens, synonyms, n, seed, ident)
-    elif op == "delete":
-        new = _delete_words(tokens, alphas["delete"], seed, ident)
-    elif op == "swap":
-        new = _swap_words(tokens, n, seed, ident)
-    else:
-        new = _insert_words(tokens, {w: synonyms[w][0] for w in set(tokens) & synonyms.keys()}, n, seed, ident)
-    return _clean(" ".join(new))
+    return _clean(" ".join(_edit_words(tokens, op, synonyms, alphas, seed, f"{key}:0")))
 
 
 def dictionary(lexicon: DataFrame):

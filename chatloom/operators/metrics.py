@@ -10,10 +10,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.functions.columns import let
+from chatloom.functions.columns import let, stretches
 from chatloom.functions.stemming import porter_stems
 from chatloom.functions.text import ngrams, tokens_13a, tokens_rouge, tokens_words
 from chatloom.operators import lexical
@@ -150,8 +151,18 @@ def _numbered(items: Column) -> Column:
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Common items, each as often as the side that has fewer of it."""
-    return F.size(F.array_intersect(_numbered(a), _numbered(b)))
+    """Common items, each as often as the side that has fewer of it. Items are sorted and numbered only where both sides
+    repeat some: else each common item counts once."""
+
+    def single(items: Column) -> Column:
+        return F.size(F.array_distinct(items)) == F.size(items)
+
+    def counted(both: Column) -> Column:
+        a, b = both["a"], both["b"]
+        once = F.when(single(a) | single(b), F.size(F.array_intersect(a, b)))
+        return once.otherwise(F.size(F.array_intersect(_numbered(a), _numbered(b))))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), counted)
 
 
 def _given(text: Column) -> Column:
@@ -314,19 +325,21 @@ def rouge(pairs: DataFrame) -> DataFrame:
 ALPHA, BETA, GAMMA = 0.9, 3.0, 0.5
 
 
-def _match(left: list, right: list, fits) -> list[tuple[int, int]]:
-    """Pairs of positions, each left word taking the last fitting right word; used words are removed."""
+def _match_known(left: list, right: list, known: dict) -> list[tuple[int, int]]:
+    """Pairs of positions, each left word, from the last on, taking the last right word among its synonyms that is free."""
+    places: dict = {}
+    for at, word, _ in right:
+        places.setdefault(word, []).append(at)
     pairs = []
-    for i in range(len(left) - 1, -1, -1):
-        for j in range(len(right) - 1, -1, -1):
-            if fits(left[i], right[j]):
-                pairs.append((left.pop(i)[0], right.pop(j)[0]))
-                break
+    for at, word, _ in reversed(left):
+        free = [places[s] for s in set(known[word]) if places.get(s)]
+        if free:
+            pairs.append((at, max(free, key=lambda ends: ends[-1]).pop()))
     return pairs
 
 
 def _match_equal(left: list, right: list, form: int) -> list[tuple[int, int]]:
-    """_match for equality, by lookup instead of search."""
+    """Pairs of positions, each left word, from the last on, taking the last equal right word; used words are removed."""
     last: dict = {}
     for item in right:
         last.setdefault(item[form], []).append(item)
@@ -348,7 +361,7 @@ def _meteor(p_words, p_stems, r_words, r_stems, known) -> float:
     pairs = _match_equal(left, right, 1) + _match_equal(left, right, 2)
     if known:
         left = [x for x in left if x[1] in known]
-        pairs += _match(left, right, lambda a, b: b[1] in known[a[1]])
+        pairs += _match_known(left, right, known)
     if not pairs:
         return 0.0
     pairs.sort()
@@ -358,34 +371,30 @@ def _meteor(p_words, p_stems, r_words, r_stems, known) -> float:
     return (1 - GAMMA * (chunks / len(pairs)) ** BETA) * mean
 
 
-def meteor_score(*columns: Column) -> Column:
-    """Words and stems of the prediction, the same of the reference, and the prediction's words with synonyms."""
+def meteor_score(p_words: Column, p_stems: Column, r_words: Column, r_stems: Column, known: Column, shared=None) -> Column:
+    """The score from words and stems of both sides. Synonyms of the prediction's words come from ``known``, or from a
+    broadcast dictionary where that is null."""
 
-    @F.pandas_udf("double")
-    def score(
-        p_words: pd.Series, p_stems: pd.Series, r_words: pd.Series, r_stems: pd.Series, known: pd.Series, synonyms: pd.Series
-    ) -> pd.Series:
-        rows = zip(p_words, p_stems, r_words, r_stems, known, synonyms)
-        return pd.Series(
-            [_meteor(pw, ps, rw, rs, {w: set(s) for w, s in zip(k, sy)}) for pw, ps, rw, rs, k, sy in rows],
-            dtype="float64",
-        )
+    @F.arrow_udf("double")
+    def score(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        synonyms = {} if shared is None else shared.value
+        for part in lexical.parts(batches):
+            rows = ((*r, synonyms if k is None else {x["word"]: x["synonyms"] for x in k}) for *r, k in zip(*part))
+            yield pa.array([_meteor(*r) for r in rows], pa.float64())
 
-    return score(*columns)
+    return score(p_words, p_stems, r_words, r_stems, known)
 
 
 def with_meteor(pairs: DataFrame, key: str = "sample_index", lexicon: DataFrame | None = None, out: str = "meteor") -> DataFrame:
     """Adds each pair's score. Words match when equal, then by stem, then through the lexicon."""
     tokens = pairs.withColumns({"_p": tokens_words(_given(F.col("prediction"))), "_r": tokens_words(_given(F.col("reference")))})
-    if lexicon is None:
-        known = F.array().cast("array<string>")
-        synonyms = F.array().cast("array<array<string>>")
-    else:
-        tokens = lexical.with_synonyms(tokens, key, "_p", lexicon)
-        known = F.transform("known", lambda k: k["word"])
-        synonyms = F.transform("known", lambda k: k["synonyms"])
+    known, shared = F.lit(None).cast(lexical.KNOWN), None
+    if lexicon is not None:
+        shared = lexical.dictionary(lexical.merge_words(lexicon))
+        if shared is None:
+            tokens, known = lexical.with_synonyms(tokens, key, "_p", lexicon), F.col("known")
     p, r = F.col("_p"), F.col("_r")
-    score = meteor_score(p, porter_stems(p), r, porter_stems(r), known, synonyms)
+    score = meteor_score(p, porter_stems(p), r, porter_stems(r), known, shared)
     return tokens.withColumn(out, score).select(*pairs.columns, out)
 
 
@@ -396,33 +405,48 @@ def meteor(pairs: DataFrame, key: str = "sample_index", lexicon: DataFrame | Non
 # ---- bertscore ------------------------------------------------------------------------------------------
 
 Embedder = Callable[[pd.Series], pd.Series]  # texts to lists of token vectors
+# Token vectors are many times larger than their texts, so the embedder gets no more texts at once than these.
+EMBED_ROWS = 64
+EMBED_CHARS = 2**16
+COSINES = 2**20
 
 
 def _greedy(p: np.ndarray, r: np.ndarray) -> tuple[float, float, float]:
+    """Cosines are held for as many tokens at once as COSINES allow, so two long texts need no full matrix."""
     if len(p) == 0 or len(r) == 0:
         return 0.0, 0.0, 0.0
-    sim = (p / np.linalg.norm(p, axis=1, keepdims=True)) @ (r / np.linalg.norm(r, axis=1, keepdims=True)).T
-    precision, recall = float(sim.max(axis=1).mean()), float(sim.max(axis=0).mean())
+    p, r = p / np.linalg.norm(p, axis=1, keepdims=True), r / np.linalg.norm(r, axis=1, keepdims=True)
+    found, best = [], np.full(len(r), -np.inf)
+    step = max(1, COSINES // len(r))
+    for start in range(0, len(p), step):
+        sim = p[start : start + step] @ r.T
+        found.append(sim.max(axis=1))
+        best = np.maximum(best, sim.max(axis=0))
+    precision, recall = float(np.concatenate(found).mean()), float(best.mean())
     total = precision + recall
     return precision, recall, 2 * precision * recall / total if total else 0.0
 
 
 def bertscore_columns(prediction: Column, reference: Column, load: Callable[[], Embedder]) -> Column:
     """``struct<precision, recall, f1, error>``: every token's best cosine with the other side, averaged. Token vectors
-    live only inside the task. Where the embedder fails, the rows of its batch have an error and no score."""
+    live only inside the task, those of a few texts at a time. Where the embedder fails, the rows it was asked about have an
+    error and no score."""
 
     @F.pandas_udf("precision double, recall double, f1 double, error string")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         embed = None
         for predicted, referenced in batches:
-            try:
-                embed = embed or load()
-                rows = [
-                    (*_greedy(np.asarray(list(p), dtype="float64"), np.asarray(list(r), dtype="float64")), None)
-                    for p, r in zip(embed(predicted), embed(referenced))
-                ]
-            except Exception as e:  # noqa: BLE001 - the caller's model; one failing metric must not end the others
-                rows = [(None, None, None, f"{type(e).__name__}: {e}"[:500])] * len(predicted)
+            rows = []
+            for start, end in stretches((predicted.str.len() + referenced.str.len()).to_numpy(), EMBED_ROWS, EMBED_CHARS):
+                try:
+                    embed = embed or load()
+                    asked = (s.iloc[start:end].reset_index(drop=True) for s in (predicted, referenced))
+                    rows += [
+                        (*_greedy(np.asarray(list(p), dtype="float64"), np.asarray(list(r), dtype="float64")), None)
+                        for p, r in zip(*map(embed, asked), strict=True)
+                    ]
+                except Exception as e:  # noqa: BLE001 - the caller's model; one failing metric must not end the others
+                    rows += [(None, None, None, f"{type(e).__name__}: {e}"[:500])] * (end - start)
             yield pd.DataFrame(rows, columns=["precision", "recall", "f1", "error"]).astype({"error": object})
 
     return score(_given(prediction), _given(reference))

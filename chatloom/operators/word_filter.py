@@ -11,14 +11,15 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_WORDS = 8  # of 32 bits
 BITS_PER_WORD = 12
 MOST_BYTES = 1 << 26
+TESTED = 1 << 18  # words tested at once
 _SALTS = np.array([0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31], np.uint32)
 
 
@@ -93,12 +94,13 @@ _WORDS = [f"w{i}" for i in range(BLOCK_WORDS)]
 def keep_possible(df: DataFrame, column: str, shared) -> DataFrame:
     """The rows with only those words in an array column that a broadcast filter passes, in order."""
 
-    @F.pandas_udf("array<boolean>")
-    def passes(hashes: pd.Series) -> pd.Series:
-        sizes = [0 if h is None else len(h) for h in hashes]
-        flat = np.concatenate([np.zeros(0, np.int64), *(np.asarray(h, np.int64) for h in hashes if h is not None)])
-        found = np.split(shared.value.might_hold(flat.view(np.uint64)), np.cumsum(sizes)[:-1])
-        return pd.Series([f.tolist() for f in found], index=hashes.index, dtype=object)
+    @F.arrow_udf("array<boolean>")
+    def passes(hashes: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(hashes), 0).to_numpy().astype(np.int64)
+        flat = hashes.flatten().to_numpy().view(np.uint64)
+        found = [shared.value.might_hold(flat[i : i + TESTED]) for i in range(0, len(flat), TESTED)]
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, bool), *found])))
 
     tested = df.withColumn("_passed", passes(F.transform(column, _hash)))
     return tested.withColumn(column, F.filter(column, lambda w, i: F.get("_passed", i))).drop("_passed")

@@ -61,20 +61,16 @@ def random_delete(spark, sf):
 
 
 def synonym_replace(spark, sf):
-    docs = documents(spark, sf, "doc_id", "text").select("doc_id", words(clean_chars(F.col("text"))).alias("words"))
-    known = lexical.with_synonyms(docs, "doc_id", "words", lexicon(spark, sf))
-    n = lexical.edits(F.size("words"), 0.1)
-    new = lexical.synonym_replace(F.col("words"), F.col("known"), n, SEED, F.col("doc_id"))
-    return known.select("doc_id", F.array_join(new, " ").alias("text"))
+    docs = documents(spark, sf, "doc_id", "text")
+    done = lexical.replace_synonyms(docs, "text", "doc_id", lexicon(spark, sf), 0.1, SEED)
+    return done.select("doc_id", F.col("replaced").alias("text"))
 
 
 def synonym_replace_by_join(spark, sf):
     """As for a lexicon too large for one task: its words are told by a filter first."""
-    docs = documents(spark, sf, "doc_id", "text").select("doc_id", words(clean_chars(F.col("text"))).alias("words"))
-    known = lexical.with_synonyms(docs, "doc_id", "words", lexicon(spark, sf), by_join=True)
-    n = lexical.edits(F.size("words"), 0.1)
-    new = lexical.synonym_replace(F.col("words"), F.col("known"), n, SEED, F.col("doc_id"))
-    return known.select("doc_id", F.array_join(new, " ").alias("text"))
+    docs = documents(spark, sf, "doc_id", "text")
+    done = lexical.replace_synonyms(docs, "text", "doc_id", lexicon(spark, sf), 0.1, SEED, by_join=True)
+    return done.select("doc_id", F.col("replaced").alias("text"))
 
 
 def random_swap(spark, sf):
