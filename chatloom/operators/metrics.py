@@ -170,18 +170,32 @@ def _given(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
+def _matches(p: list[str], r: list[str], n: int) -> int:
+    """Common n-grams, each as often as the side that has fewer of it. Only the shorter side's are kept."""
+    p, r = (p, r) if len(p) <= len(r) else (r, p)
+    left = Counter(zip(*(p[i:] for i in range(n))))
+    found = 0
+    for gram in filter(left.__contains__, zip(*(r[i:] for i in range(n)))):
+        if left[gram]:
+            left[gram] -= 1
+            found += 1
+    return found
+
+
 def bleu_counts(prediction: Column, reference: Column, order: int = 4) -> Column:
     """``struct<p_len, r_len, m1, t1, …>``: lengths, matched and possible n-grams of one pair."""
+    names = ["p_len", "r_len", *(f"{x}{n}" for n in range(1, order + 1) for x in "mt")]
 
-    def counts(both: Column) -> Column:
-        p, r = both["p"], both["r"]
-        fields = [F.size(p).cast("bigint").alias("p_len"), F.size(r).cast("bigint").alias("r_len")]
-        for n in range(1, order + 1):
-            fields.append(overlap(ngrams(p, n), ngrams(r, n)).cast("bigint").alias(f"m{n}"))
-            fields.append(F.greatest(F.size(p) - (n - 1), F.lit(0)).cast("bigint").alias(f"t{n}"))
-        return F.struct(*fields)
+    @F.arrow_udf(", ".join(f"{name} long" for name in names))
+    def counts(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for part in lexical.parts(batches):
+            rows = []
+            for p, r in zip(*part):
+                orders = ((_matches(p, r, n), max(len(p) - n + 1, 0)) for n in range(1, order + 1))
+                rows.append((len(p), len(r), *(x for pair in orders for x in pair)))
+            yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
-    return let(F.struct(tokens_13a(_given(prediction)).alias("p"), tokens_13a(_given(reference)).alias("r")), counts)
+    return counts(tokens_13a(_given(prediction)), tokens_13a(_given(reference)))
 
 
 def bleu_expr(counts: str, order: int = 4) -> Column:
