@@ -11,8 +11,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,30 +79,46 @@ def _pieces(spark: SparkSession, path: str, sep: str) -> DataFrame:
         meta["file_path"].alias("file"),
         meta["file_block_start"].alias("block"),
         meta["file_size"].alias("size"),
+        ((meta["file_block_start"] == 0) & (meta["file_block_length"] >= meta["file_size"])).alias("alone"),
         F.col("value").alias("piece"),
     )
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[str], bool]]:
-    """(key, pieces, last) of rows whose last column is the piece and whose others are the key, which is one per range; a range
-    comes in several parts, of which ``last`` marks the last."""
+    """(key, pieces, last) of rows whose last column is the piece and whose others are the key, which is one per range and
+    begins with file and block; a range comes in several parts, of which ``last`` marks the last."""
     held: tuple | None = None
     for batch in batches:
-        if not batch.num_rows:
+        n = batch.num_rows
+        if not n:
             continue
-        keys = list(zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns - 1))))
+        changed = np.zeros(n, bool)
+        changed[0] = True
+        for c in batch.columns[:2]:
+            changed[1:] |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(changed).tolist()
         pieces = batch.column(batch.num_columns - 1).to_pylist()
-        start = 0
-        for i in range(1, len(keys) + 1):
-            if i == len(keys) or keys[i] != keys[start]:
-                if held:
-                    yield (*held, held[0] != keys[start])
-                held = (keys[start], pieces[start:i])
-                start = i
+        for start, end in zip(starts, [*starts[1:], n]):
+            key = tuple(c[start].as_py() for c in batch.columns[:-1])
+            if held:
+                yield (*held, held[0] != key)
+            held = (key, pieces[start:end])
     if held:
         yield (*held, True)
 
 
+_BLANK = "\ufeff \t\r\n"
+
+
+def _head(head: str, pieces: list[str]) -> str:
+    """The start of the first piece that is not blank, if ``head``, that of the pieces before, was blank."""
+    for piece in pieces:
+        if len(head) >= 64 or head.strip(_BLANK):
+            break
+        head = piece[:64] if piece.strip(_BLANK) else ""
+    return head
+
+
 def _effects(scan: Scan, sep: str):
     """What each range does to both states: state and depth after it, least depth at the end of a piece outside of quotes."""
 
@@ -109,9 +127,8 @@ def _effects(scan: Scan, sep: str):
         head, octets = "", 0
         for key, pieces, last in _ranges(batches):
             state = state or [[0, 0, NEVER], [1, 0, NEVER]]
+            head = _head(head, pieces)
             for piece in pieces:
-                if len(head) < 64 and not head.strip("﻿ \t\r\n"):
-                    head = piece[:64] if piece.strip("﻿ \t\r\n") else ""
                 octets += len(piece.encode()) + len(sep)
                 effect = scan(piece + sep)
                 for way in state:
@@ -120,7 +137,7 @@ def _effects(scan: Scan, sep: str):
                     if not way[0]:
                         way[2] = min(way[2], way[1])
             if last:
-                row = [*key, head.lstrip("﻿ \t\r\n")[:1], octets, *state[0], *state[1]]
+                row = [*key, head.lstrip(_BLANK)[:1], octets, *state[0], *state[1]]
                 yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], _EFFECT_NAMES)
                 state, head, octets = [], "", 0
 
@@ -152,15 +169,21 @@ def _starts(effects: pd.DataFrame) -> pd.DataFrame:
 
 def _cut(scan: Scan, sep: str, closing: bool):
     """(file, owner, block, at, first, whole, text) of whole records, and of what a range has of those that cross its borders.
-    With ``closing``, the separator belongs to the record that it ends."""
+    A range without a known start is a whole file. With ``closing``, the separator belongs to the record that it ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, open_pieces = None, []
         for key, pieces, last in _ranges(batches):
-            file, block, quoted, depth, base, owner, cut = key
+            file, block, size, quoted, depth, base, owner, cut = key
+            alone = quoted is None
             if now is None:
-                foreign = bool(quoted or depth > base)  # the first record began before this range
-                mine, now, at = owner if foreign else block, (quoted, depth), 0
+                foreign = not alone and bool(quoted or depth > base)  # the first record began before this range
+                mine, now, at = owner if foreign else block, (0, 0) if alone else (quoted, depth), 0
+                head, octets = "", 0
+            if alone:
+                head = _head(head, pieces)
+                octets += sum(len(p.encode()) for p in pieces) + len(pieces) * len(sep)
+                base, cut = int(head.lstrip(_BLANK)[:1] == "["), octets == size + 1
             rows = []
             for i, piece in enumerate(pieces):
                 end = cut and last and i == len(pieces) - 1
@@ -193,11 +216,12 @@ def records(spark: SparkSession, path: str, scan: Scan, sep: str, closing: bool)
     """(file, first, text) of every record of the files: ``first`` is that of a file. Ranges are as large as
     ``spark.sql.files.maxPartitionBytes`` makes them; a compressed file is one range."""
     pieces = _pieces(spark, path, sep)
-    effects = pieces.mapInArrow(_effects(scan, sep), _EFFECTS)
+    # a file that is one range starts outside of everything: only the others need the first scan
+    effects = pieces.filter("not alone").drop("alone").mapInArrow(_effects(scan, sep), _EFFECTS)
     starts = effects.groupBy("file").applyInPandas(_starts, _STARTS)
     # one row per range
-    placed = pieces.drop("size").join(F.broadcast(starts), ["file", "block"])
-    placed = placed.select("file", "block", "quoted", "depth", "base", "owner", "cut", "piece")
+    placed = pieces.join(F.broadcast(starts), ["file", "block"], "left")
+    placed = placed.select("file", "block", "size", "quoted", "depth", "base", "owner", "cut", "piece")
     cut = placed.mapInArrow(_cut(scan, sep, closing), _CUT)
     part = F.struct("block", F.col("whole").alias("w"), "text", "first")
     parts = cut.filter("not whole").groupBy("file", "owner").agg(F.array_sort(F.collect_list(part)).alias("p"))

@@ -131,3 +131,17 @@ def test_a_bad_element_costs_only_itself(spark, tmp_path, cut, size):
     assert sum(x is None for x in got) == 4
     broken = write(tmp_path / f"broken{size}.json", '[{"id": 1}, {"id": 2}, {"id": 3')
     assert sorted(str(r["id"]) for r in files.read_json(spark, broken, schema="id int").collect()) == ["1", "2", "None"]
+
+
+def _no_starts(effects):
+    raise AssertionError("a file in one range needs no first scan")
+
+
+def test_files_in_one_range_are_scanned_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ranges, "_starts", _no_starts)
+    (tmp_path / "a.json").write_text('[{"a": 1}, 5,\n {"a": "}[\\""}\n]')
+    (tmp_path / "b.json").write_text('\ufeff\n{"a": 2}\n{"a":\n {"b": 3}}')
+    (tmp_path / "c.json").write_text('{"a": 4}{"a": 5')
+    (tmp_path / "d.json").write_bytes(b"")
+    got = sorted(r["text"] for r in ranges.json_elements(spark, str(tmp_path)).collect())
+    assert got == sorted(['{"a": 1}', '{"a": "}[\\""}', "5", '{"a": 2}', '{"a":\n {"b": 3}}', '{"a": 4}', '{"a": 5'])
