@@ -139,7 +139,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every vertex of the edges (a, b): the smallest vertex that is reachable.
 
     Large-star and small-star steps in turn: in the first, a vertex's larger neighbours move to its smallest
-    neighbour, in the second the smaller ones do, until the stars stand still. No neighbourhood is collected."""
+    neighbour, in the second the smaller ones do, until all are stars. No neighbourhood is collected."""
 
     def larger(e: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -152,17 +152,17 @@ def components(edges: DataFrame) -> DataFrame:
         moved = e.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def is_stars(e: DataFrame) -> bool:
+        """Whether every vertex is either a centre or has one neighbour, which is a centre."""
+        both = e.select("a", F.lit(1).alias("up"), F.lit(0).alias("down"))
+        both = both.unionByName(e.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = both.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return ends.filter(F.col("up") + F.col("down") > 1).count() == 0
 
-    edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = materialize(edges)
-    before = state(edges)
-    while before[0]:
+    edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    while True:
         edges = materialize(smaller(larger(edges).filter("a <> b").distinct()))
-        after = state(edges)
-        if after == before:
+        if is_stars(edges):
             break
-        before = after
     stars = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("id"), "component")).distinct()

@@ -11,15 +11,16 @@ first confirmed against its first document, the pivot, which is linear. Document
 group, and only pairs of different groups are compared from then on: a node of one group is closed; one in which no more
 than SMALL documents are outside its largest group is compared in pieces, each with all of those; the others branch.
 
-Boilerplate. From level ``DEPTH`` on, a node that keeps more than half of its parent no longer shrinks. The documents of all
-such nodes are joined exactly by prefix filter: the rarest shingle that a pair at the threshold shares is in the rarest
+Boilerplate. From level ``DEPTH`` on, a node that keeps more than half of its parent no longer shrinks, and once the large nodes
+hold no more than ``LAST`` rows, none of them branches again, as a level is a round of jobs. The documents of all such nodes are
+joined exactly by prefix filter: the rarest shingle that a pair at the threshold shares is in the rarest
 seventh of the smaller document's and in the rarest quarter of the larger one's, so each document goes to the nodes of those. What
 is rarer than a node's shingle isn't shared, which bounds the sizes a document can meet there: a large node is parted by size,
 and compared in the same way, in blocks with the documents that have it in their rarest seventh where it stays large.
 
 Recall: a pair at similarity s survives a level of a tree with probability 2/3 s + 1/3 (1 - (1-s)^2) and so on down;
 at 0.75 a pair misses all 12 trees with probability 2e-9 if it parts below the roots, and 1e-4 at depth 4, and
-more often the deeper a node that shrinks has to branch.
+more often the deeper a node that shrinks has to branch. Documents of one family stop at the first level that does not halve them.
 
 Links are confirmed in rounds: the pivots'; then several edge-disjoint spanning forests of a small node's candidates, which
 link most of a cluster with few rows; then all other candidates whose ends are still apart, in their nodes, to which each
@@ -42,7 +43,8 @@ PERCENT = 75
 COORDINATES = 128
 TREES = 12
 SMALL = 64
-DEPTH = 4
+DEPTH = 2
+LAST = 1 << 14  # rows of large nodes that do not branch for another level
 #: Of 128 one-byte tokens a pair at 0.75 shares 96 on average, with a deviation of 4.9. From CANDIDATE on a pair may
 #: be a link (four deviations, 2e-5 at the threshold); LIKELY and STRONG only order what the first round tries.
 CANDIDATE, LIKELY, STRONG = 76, 101, 108
@@ -405,7 +407,7 @@ def _pivots(large: DataFrame, reps: DataFrame, tables: Tables) -> DataFrame:
 
 def candidates(reps: DataFrame, nodes: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame | None]:
     """The (node, rep, group) rows of all trees to be compared, from (node, rep, group) rows below the roots, and the (rep,
-    group) rows of nodes that no longer shrink, if there are any."""
+    group) rows of nodes that no longer shrink or are the last large ones, if there are any."""
     small, large = _sorted_out(nodes, tables)
     level, stuck = 1, None
     while not large.isEmpty():
@@ -415,8 +417,11 @@ def candidates(reps: DataFrame, nodes: DataFrame, tables: Tables) -> tuple[DataF
         more, large = _sorted_out(nodes, tables)
         small = small.unionByName(more)
         if level >= DEPTH:
-            still = large.filter("2 * size > parent").select("rep", "group")
+            last = large.count() <= LAST
+            still = (large if last else large.filter("2 * size > parent")).select("rep", "group")
             stuck = still if stuck is None else stuck.unionByName(still)
+            if last:
+                break
             large = large.filter("2 * size <= parent")
     if stuck is not None:
         stuck = tables.keep(stuck.distinct())
@@ -460,7 +465,8 @@ def _rarest(docs: DataFrame, reps: DataFrame, members: DataFrame, tables: Tables
     members at the threshold share one.
 
     The few tokens that are frequent among the members (at most HOT_KEYS) come last in every order; they stay in one list per
-    member, and only the others are looked up one by one."""
+    member, and only the others are looked up one by one. Tokens of one member are counted, not joined, and while there are no
+    more than FEW of the others, don't leave the task."""
     wanted = members.join(reps.select("rep", "digest"), "rep")
     none = F.array().cast("array<struct<block:long,a:long>>").alias("places")
     wanted = wanted.select("rep", "digest", none)
@@ -470,18 +476,22 @@ def _rarest(docs: DataFrame, reps: DataFrame, members: DataFrame, tables: Tables
     total = shared.agg(F.sum("size")).first()[0] or 0
     often = F.col("size") * HOT_KEYS >= F.lit(total)
     frequent = [r["token"] for r in shared.filter(often).orderBy("size", "token").collect()]
-    rows = tables.keep(held.mapInArrow(_told_apart(frequent), "rep long, token long, frequent array<long>"))
-    looked_up = rows.filter("token is not null").select("rep", "token").join(shared.filter(~often), "token", "left")
-    # a token that no other member has is the rarest of all and meets nobody
-    ordered = F.sort_array(F.collect_list(F.when(F.col("size").isNotNull(), F.struct("size", "token"))))
-    each = looked_up.groupBy("rep").agg(F.count(F.when(F.col("size").isNull(), 1)).alias("alone"), ordered.alias("others"))
+    others = shared.filter(~often)
+    known = np.sort(others.select("token").toArrow().column(0).to_numpy()) if others.count() <= FEW else None
+    rows = tables.keep(held.mapInArrow(_told_apart(frequent, known), "rep long, token long, frequent array<long>"))
+    looked_up = rows.filter("token is not null").select("rep", "token").join(others, "token")
+    ordered = F.sort_array(F.collect_list(F.struct("size", "token")))
+    each = looked_up.groupBy("rep").agg(ordered.alias("others"))
     each = rows.filter("token is null").select("rep", "frequent").join(each, "rep", "left")
     each = each.join(reps.select("rep", F.col("n_shingles").alias("n")), "rep")
+    # a token that no other member has is the rarest of all and meets nobody
+    alone = F.col("n") - F.size("frequent") - F.coalesce(F.array_size("others"), F.lit(0))
+    each = each.withColumn("alone", alone)
     prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
-    left = F.greatest(F.lit(0), prefix - F.coalesce("alone", F.lit(0))).cast("int")
+    left = F.greatest(F.lit(0), prefix - F.col("alone")).cast("int")
     others = F.coalesce(F.transform("others", lambda t: t["token"]), F.array().cast("array<long>"))
     ordered = F.posexplode(F.slice(F.concat(others, "frequent"), F.lit(1), left)).alias("at", "node")
-    each = each.select("rep", "n", F.coalesce("alone", F.lit(0)).alias("alone"), ordered)
+    each = each.select("rep", "n", "alone", ordered)
     each = each.join(members, "rep")
     out = tables.keep(each.select("node", "rep", "group", "n", (F.col("alone") + F.col("at")).alias("rarer")))
     tables.drop(held, shared, rows)
@@ -497,9 +507,9 @@ def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(n)], ["token", "n"])
 
 
-def _told_apart(frequent: list[int]):
+def _told_apart(frequent: list[int], known: np.ndarray | None):
     """Of (rep, tokens) rows a row (rep, null, those of the frequent tokens that it has, in their order) and a row (rep, token,
-    null) for each other one."""
+    null) for each other one, or for those among the sorted ``known`` ones."""
     ranked = np.array(frequent, np.int64)
     order = np.argsort(ranked)
 
@@ -513,6 +523,8 @@ def _told_apart(frequent: list[int]):
                     hit = ranked[order][np.minimum(at, len(ranked) - 1)] == t
                 own = ranked[np.sort(order[at[hit]])].tolist()
                 rest = t[~hit]
+                if known is not None:
+                    rest = rest[known[np.minimum(np.searchsorted(known, rest), len(known) - 1)] == rest] if len(known) else rest[:0]
                 columns = [
                     pa.array(np.full(len(rest) + 1, rep)),
                     pa.array([None, *rest.tolist()], pa.int64()),
@@ -568,9 +580,11 @@ def _in_blocks(large: DataFrame, tables: Tables) -> DataFrame:
     return rows.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "rep", "group")
 
 
-def _second(docs: DataFrame, reps: DataFrame, left: DataFrame, groups: DataFrame, tables: Tables) -> DataFrame:
-    """Links that join what is left of the (node, reps, bits) rows and still apart. The documents' sets come to their nodes, each
-    once, and only links leave them; pairs of nodes that are too heavy for one task are confirmed one by one."""
+def _second(docs: DataFrame, reps: DataFrame, left: DataFrame, groups: DataFrame, tables: Tables) -> DataFrame | None:
+    """Links that join what is left of the (node, reps, bits) rows and still apart, if there are any. The documents' sets come to
+    their nodes, each once, and only links leave them; pairs of nodes that are too heavy for one task are confirmed one by one."""
+    if left.isEmpty():
+        return None
     rows = _named(left.select("node", F.posexplode("reps").alias("at", "rep")), groups).join(reps.select("rep", "n_shingles"), "rep")
     named = rows.groupBy("node").agg(
         F.array_sort(F.collect_list(F.struct("at", "group"))).alias("rows"), F.sum("n_shingles").alias("weight")
@@ -578,6 +592,8 @@ def _second(docs: DataFrame, reps: DataFrame, left: DataFrame, groups: DataFrame
     named = named.select("node", F.col("rows.group").alias("groups"), "weight")
     named = named.filter(F.array_min("groups") < F.array_max("groups"))  # else nothing is left
     todo = tables.keep(left.join(named, "node").select("node", "reps", "bits", "groups", "weight"))
+    if todo.isEmpty():
+        return None
     light = todo.filter(F.col("weight") <= NODE_TOKENS).select("node", "reps", "bits", "groups")
     members = light.mapInArrow(apart, "block long, rep long, a long")
     wanted = members.groupBy("rep").agg(F.collect_list(F.struct("block", "a")).alias("places"))
@@ -591,11 +607,11 @@ def _second(docs: DataFrame, reps: DataFrame, left: DataFrame, groups: DataFrame
     if not pairs.isEmpty():
         out = out.unionByName(_confirmed(docs, reps, pairs, tables))
     tables.drop(todo, wanted)
-    return out
+    return None if out.isEmpty() else out
 
 
-def links(docs: DataFrame, reps: DataFrame, tables: Tables) -> DataFrame:
-    """Confirmed pairs of representatives that join what all links join."""
+def linked(docs: DataFrame, reps: DataFrame, tables: Tables) -> DataFrame:
+    """(id, component) of the representatives that links join."""
     nodes = reps.select("rep", "signature").mapInArrow(roots, "node long, rep long")
     sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     nodes = tables.keep(nodes)
@@ -624,7 +640,10 @@ def links(docs: DataFrame, reps: DataFrame, tables: Tables) -> DataFrame:
     groups = tables.keep(components(out))
     tables.drop(pairs)
     left = found.filter("node is not null").select("node", "reps", "bits")
-    return out.unionByName(_second(docs, reps, left, groups, tables))
+    more = _second(docs, reps, left, groups, tables)
+    if more is None:
+        return groups
+    return components(more.unionByName(groups.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -660,7 +679,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     if not twice.isEmpty():  # a doc_id with several texts goes by the one with the least digest
         reps = groups.join(twice.select("rep", "least"), "rep", "left").filter("least is null or least = digest")
         reps = tables.keep(reps.drop("least"))
-    joined = components(links(docs, reps, tables))
+    joined = linked(docs, reps, tables)
     classes = groups.select("digest", "rep", "size").join(joined, F.col("rep") == F.col("id"), "left")
     classes = tables.keep(classes.select("digest", F.coalesce("component", "rep").alias("component"), "size"))
     tables.drop(groups, reps)

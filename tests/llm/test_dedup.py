@@ -210,6 +210,39 @@ def test_near_links_in_a_family_that_does_not_shrink(spark):
     assert got == {i: min(p) for p in pairs.values() for i in p}
 
 
+def test_a_family_that_does_not_shrink_branches_once(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    shared = draw.integers(0, 2**63, 171, dtype=np.uint64)
+    sets = [np.r_[shared, draw.integers(0, 2**63, 30, dtype=np.uint64)] for _ in range(200)]
+    rows = [(i, near_dedup.minwise(s).tobytes()) for i, s in enumerate(sets)]
+    reps = spark.createDataFrame(rows, "rep long, signature binary").repartition(3)
+    tables, levels, sorted_out = common.Tables(spark), [], near_dedup._sorted_out
+    nodes = tables.keep(reps.mapInArrow(near_dedup.roots, "node long, rep long").selectExpr("node", "rep", "rep as group"))
+    monkeypatch.setattr(near_dedup, "LAST", 0, raising=False)
+    monkeypatch.setattr(near_dedup, "_sorted_out", lambda nodes, t: levels.append(nodes.count()) or sorted_out(nodes, t))
+    _, stuck = near_dedup.candidates(reps, nodes, tables)
+    assert sorted(r["rep"] for r in stuck.collect()) == list(range(200))
+    assert sum(levels[1:]) < 2 * levels[0]
+
+
+@pytest.mark.parametrize("few", [0, 1 << 19])
+def test_tokens_of_one_member_are_counted_and_not_looked_up(spark, monkeypatch, few):
+    texts = {i: " ".join([f"s{j}" for j in range(30)] + [f"p{i // 2}x{j}" for j in range(8)] + [f"o{i}x{j}" for j in range(9)]) for i in range(40)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    raw = docs.selectExpr("doc_id", "cast(text as binary) as raw")
+    reps = raw.mapInArrow(near_dedup.describe, "doc_id long, n_shingles long, digest binary, signature binary, sketch binary").withColumnRenamed("doc_id", "rep")
+    tables = common.Tables(spark)
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    got = near_dedup._rarest(docs, tables.keep(reps), reps.selectExpr("rep", "rep as group"), tables).collect()
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    counts = collections.Counter(x for s in sets.values() for x in s)
+    want = []
+    for i, s in sets.items():
+        order = sorted(counts[x] for x in s)
+        want += [(i, len(s), at) for at, n in enumerate(order[: len(s) - math.ceil(0.75 * len(s)) + 1]) if n > 1]
+    assert want and sorted((r["rep"], r["n"], r["rarer"]) for r in got) == sorted(want)
+
+
 def test_links_meet_in_the_parts_of_large_nodes(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL", 4)
     monkeypatch.setattr(near_dedup, "PIECE", 8)
@@ -272,6 +305,15 @@ def test_components_of_a_path_and_a_star(spark):
     assert common.components(edges.limit(0)).count() == 0
 
 
+def test_components_that_are_stars_take_one_round(spark, monkeypatch):
+    kept, materialize = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df: kept.append(1) or materialize(df))
+    edges = spark.createDataFrame([(i % 3, i) for i in range(3, 90)] + [(5, 2), (2, 2)], "a long, b long")
+    got = {r["id"]: r["component"] for r in common.components(edges).collect()}
+    assert got == {i: i % 3 for i in range(90)}
+    assert len(kept) == 1
+
+
 # repeated passages
 
 
