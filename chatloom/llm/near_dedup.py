@@ -54,6 +54,9 @@ HUB_PIECES = 1024  # pieces, at most, that the documents compared with one other
 NODE_TOKENS = 1 << 22  # shingles of a node whose sets one task holds, 32 MB
 SIZE_STEP = 1.05  # sizes of the lesser documents of a part of a node differ by this factor at most
 FEW = 1 << 19  # rows of ids that are broadcast, about 20 MB
+TOKEN_BITS, MOST_BITS = 16, 1 << 29  # of a map of tokens, for each token and at most
+MAP_TOKENS = 1 << 24  # tokens that one task maps
+MAP_SLICE = 1 << 16  # bytes of a map in a row
 _STEP = 4096
 
 
@@ -465,20 +468,22 @@ def _rarest(docs: DataFrame, reps: DataFrame, members: DataFrame, tables: Tables
     members at the threshold share one.
 
     The few tokens that are frequent among the members (at most HOT_KEYS) come last in every order; they stay in one list per
-    member, and only the others are looked up one by one. Tokens of one member are counted, not joined, and while there are no
-    more than FEW of the others, don't leave the task."""
-    wanted = members.join(reps.select("rep", "digest"), "rep")
+    member, and only the others are looked up one by one. Tokens of one member are neither counted nor joined: but for the few that
+    ``_shared_bits`` passes, they don't leave the task."""
+    wanted = members.join(reps.select("rep", "digest", "n_shingles"), "rep")
+    n_rows, n_tokens = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     none = F.array().cast("array<struct<block:long,a:long>>").alias("places")
-    wanted = wanted.select("rep", "digest", none)
-    held = tables.keep(_texts(docs, wanted, wanted.count()).select("rep", "tokens"))
-    counts = held.select("tokens").mapInArrow(_token_counts, "token long, n long")
+    held = tables.keep(_texts(docs, wanted.select("rep", "digest", none), n_rows).select("rep", "tokens"))
+    bits = docs.sparkSession.sparkContext.broadcast(_shared_bits(held, n_tokens))
+    counts = held.select("tokens").mapInArrow(_token_counts(bits), "token long, n long")
     shared = tables.keep(counts.groupBy("token").agg(F.sum("n").alias("size")).filter("size > 1"))
     total = shared.agg(F.sum("size")).first()[0] or 0
     often = F.col("size") * HOT_KEYS >= F.lit(total)
     frequent = [r["token"] for r in shared.filter(often).orderBy("size", "token").collect()]
     others = shared.filter(~often)
     known = np.sort(others.select("token").toArrow().column(0).to_numpy()) if others.count() <= FEW else None
-    rows = tables.keep(held.mapInArrow(_told_apart(frequent, known), "rep long, token long, frequent array<long>"))
+    rows = tables.keep(held.mapInArrow(_told_apart(frequent, known, bits), "rep long, token long, frequent array<long>"))
+    bits.unpersist()
     looked_up = rows.filter("token is not null").select("rep", "token").join(others, "token")
     ordered = F.sort_array(F.collect_list(F.struct("size", "token")))
     each = looked_up.groupBy("rep").agg(ordered.alias("others"))
@@ -498,18 +503,89 @@ def _rarest(docs: DataFrame, reps: DataFrame, members: DataFrame, tables: Tables
     return out
 
 
-def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, n) of (tokens) rows, added up batch by batch."""
-    for batch in batches:
-        if batch.num_rows:
-            tokens = np.concatenate([np.frombuffer(t.as_buffer(), np.int64) for t in batch.column(0)])
-            kinds, n = np.unique(tokens, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(n)], ["token", "n"])
+def _places(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """The two bits of each token, which is a hash, in a map of so many."""
+    tokens = tokens.view(np.uint64)
+    return np.stack([tokens, tokens >> np.uint64(32)]) & np.uint64(bits - 1)
+
+
+def _seen(bits: int):
+    """Of (tokens) rows the maps of the bits that tokens fall on at all, and more than once, in (slice, once, twice) rows."""
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+
+        def add(tokens: list[np.ndarray]) -> None:
+            kinds, n = np.unique(_places(np.concatenate(tokens), bits), return_counts=True)
+            at, bit = (kinds >> np.uint64(3)).astype(np.int64), np.uint8(1) << (kinds & np.uint64(7)).astype(np.uint8)
+            again = (n > 1) | ((once[at] & bit) > 0)
+            np.bitwise_or.at(twice, at[again], bit[again])
+            np.bitwise_or.at(once, at, bit)
+
+        for batch in batches:
+            held, n = [], 0
+            for row in batch.column(0):
+                held.append(np.frombuffer(row.as_buffer(), np.int64))
+                n += len(held[-1])
+                if n >= FEW:
+                    add(held)
+                    held, n = [], 0
+            if held:
+                add(held)
+        for start in range(0, bits // 8, MAP_SLICE):
+            if once[start : start + MAP_SLICE].any():
+                parts = [pa.array([m[start : start + MAP_SLICE].tobytes()], pa.binary()) for m in (once, twice)]
+                yield pa.RecordBatch.from_arrays([pa.array([start]), *parts], ["slice", "once", "twice"])
+
+    return seen
+
+
+def _seen_twice(maps: pa.Table) -> pa.Table:
+    """What the maps of one slice have seen more than once together."""
+    once, twice = np.zeros(MAP_SLICE, np.uint8), np.zeros(MAP_SLICE, np.uint8)
+    for o, t in zip(maps.column("once").to_pylist(), maps.column("twice").to_pylist()):
+        o, t = np.frombuffer(o, np.uint8), np.frombuffer(t, np.uint8)
+        twice |= t | (once & o)
+        once |= o
+    return pa.table({"slice": maps.column("slice")[:1], "twice": pa.array([twice.tobytes()], pa.binary())})
+
+
+def _shared_bits(held: DataFrame, n_tokens: int) -> np.ndarray:
+    """A map whose bits are set where two or more members of the (rep, tokens) rows have a token. A token of two members falls
+    on set bits always, one of a single member with a probability of 1.4 % at most while the map grows with the tokens, up to 33
+    million; beyond those its size stays and it passes more. A task maps so many tokens that all maps are about as large as those."""
+    bits = 1 << max((8 * MAP_SLICE).bit_length() - 1, min((TOKEN_BITS * n_tokens - 1).bit_length(), MOST_BITS.bit_length() - 1))
+    maps = held.select("tokens").coalesce(-(-n_tokens // MAP_TOKENS) or 1)
+    maps = maps.mapInArrow(_seen(bits), "slice long, once binary, twice binary")
+    found = maps.groupBy("slice").applyInArrow(_seen_twice, "slice long, twice binary").toArrow()
+    out = np.zeros(bits // 8, np.uint8)
+    for start, twice in zip(found.column("slice").to_pylist(), found.column("twice")):
+        out[start : start + MAP_SLICE] = np.frombuffer(twice.as_buffer(), np.uint8)
+    return out
+
+
+def _on_bits(tokens: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Which tokens fall on set bits of the map."""
+    first, second = _places(tokens, 8 * len(shared))
+    return (((shared[first >> 3] >> (first & 7)) & (shared[second >> 3] >> (second & 7))) & 1).astype(bool)
+
+
+def _token_counts(shared):
+    """Of (tokens) rows (token, n) of those that fall on bits of the broadcast map, added up batch by batch."""
+
+    def token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                tokens = np.concatenate([np.frombuffer(t.as_buffer(), np.int64) for t in batch.column(0)])
+                kinds, n = np.unique(tokens[_on_bits(tokens, shared.value)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(n)], ["token", "n"])
+
+    return token_counts
 
 
-def _told_apart(frequent: list[int], known: np.ndarray | None):
+def _told_apart(frequent: list[int], known: np.ndarray | None, shared):
     """Of (rep, tokens) rows a row (rep, null, those of the frequent tokens that it has, in their order) and a row (rep, token,
-    null) for each other one, or for those among the sorted ``known`` ones."""
+    null) for each other one that is among the sorted ``known`` ones, or without those falls on bits of the broadcast map."""
     ranked = np.array(frequent, np.int64)
     order = np.argsort(ranked)
 
@@ -523,7 +599,9 @@ def _told_apart(frequent: list[int], known: np.ndarray | None):
                     hit = ranked[order][np.minimum(at, len(ranked) - 1)] == t
                 own = ranked[np.sort(order[at[hit]])].tolist()
                 rest = t[~hit]
-                if known is not None:
+                if known is None:
+                    rest = rest[_on_bits(rest, shared.value)]
+                else:
                     rest = rest[known[np.minimum(np.searchsorted(known, rest), len(known) - 1)] == rest] if len(known) else rest[:0]
                 columns = [
                     pa.array(np.full(len(rest) + 1, rep)),

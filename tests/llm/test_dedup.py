@@ -243,6 +243,26 @@ def test_tokens_of_one_member_are_counted_and_not_looked_up(spark, monkeypatch,
     assert want and sorted((r["rep"], r["n"], r["rarer"]) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("task_tokens", [100, 1 << 24])
+def test_tokens_of_one_member_do_not_leave_their_task(spark, monkeypatch, task_tokens):
+    draw = np.random.default_rng(6)
+    line, pair = draw.integers(-(2**63), 2**63 - 1, 50), draw.integers(-(2**63), 2**63 - 1, (100, 4))
+    sets = [np.unique(np.r_[line, pair[i // 2], draw.integers(-(2**63), 2**63 - 1, 60)]) for i in range(200)]
+    held = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "rep long, tokens binary").repartition(4)
+    monkeypatch.setattr(near_dedup, "MAP_TOKENS", task_tokens)
+    bits = spark.sparkContext.broadcast(near_dedup._shared_bits(held, sum(map(len, sets))))
+    counted = held.select("tokens").mapInArrow(near_dedup._token_counts(bits), "token long, n long").collect()
+    assert len(counted) < 4 * 50 + 2 * 400 + 0.05 * 200 * 60
+    got = collections.Counter()
+    for r in counted:
+        got[r["token"]] += r["n"]
+    want = collections.Counter(t for s in sets for t in s.tolist())
+    assert {t: n for t, n in got.items() if n > 1} == {t: n for t, n in want.items() if n > 1}
+    apart = near_dedup._told_apart([], None, bits)
+    looked_up = held.mapInArrow(apart, "rep long, token long, frequent array<long>").filter("token is not null")
+    assert looked_up.count() < 200 * 54 + 0.05 * 200 * 60
+
+
 def test_links_meet_in_the_parts_of_large_nodes(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL", 4)
     monkeypatch.setattr(near_dedup, "PIECE", 8)
