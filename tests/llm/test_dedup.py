@@ -263,6 +263,20 @@ def test_tokens_of_one_member_do_not_leave_their_task(spark, monkeypatch, task_t
     assert looked_up.count() < 200 * 54 + 0.05 * 200 * 60
 
 
+def test_a_full_map_passes_more_tokens_and_loses_none(spark, monkeypatch):
+    draw = np.random.default_rng(7)
+    line = draw.integers(-(2**63), 2**63 - 1, 50)
+    sets = [np.unique(np.r_[line, draw.integers(-(2**63), 2**63 - 1, 3000)]) for _ in range(200)]
+    held = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "rep long, tokens binary").repartition(4)
+    monkeypatch.setattr(near_dedup, "MOST_BITS", 1 << 19)
+    bits = near_dedup._shared_bits(held, sum(map(len, sets)))
+    assert 8 * len(bits) == 1 << 19 and near_dedup._on_bits(line, bits).all()
+    assert 0.3 < near_dedup._on_bits(draw.integers(-(2**63), 2**63 - 1, 10_000), bits).mean() < 1
+    counted = held.select("tokens").mapInArrow(near_dedup._token_counts(spark.sparkContext.broadcast(bits)), "token long, n long")
+    shared = counted.groupBy("token").sum("n").filter("`sum(n)` > 1").collect()
+    assert {r[0]: r[1] for r in shared} == {t: 200 for t in line.tolist()}
+
+
 def test_links_meet_in_the_parts_of_large_nodes(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL", 4)
     monkeypatch.setattr(near_dedup, "PIECE", 8)
